@@ -1,4 +1,385 @@
-"""Queries over the given tables, by name, and the same in SQL."""
+"""Queries over the given tables, by name, and the same in SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Figures are rounded to six places in both, as sums of floats depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locspark.functions import scalars as S
+from locspark.operators import assign, filters, images, render, spatial, stats, temporal
+from locspark.sources import tables
+from locspark.sources.fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SIZE = 256
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*((F.round(c, 6) if t in ("double", "float") else F.col(c).cast("long") if t in ("int", "smallint") else F.col(c)).alias(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None, *views: str, round_: bool = True):
+    """Registers a function of the named views under its name, with its SQL."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(*(view(spark, sf_dir, v) for v in views)) if views else f(spark, sf_dir)
+            return rounded(out) if round_ else out
+
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+_QUALITY = """least(1.0, greatest(0.0, (CASE WHEN photons < 50 THEN 0.1 WHEN photons > 50000 THEN 0.5 ELSE 1 - abs((photons - 50) / 49950.0 - 950.0 / 49950.0) END) * greatest(0.0, 1 - localization_precision / 20)
+ * (CASE WHEN (sigma_x + sigma_y) / 2 BETWEEN 0.5 AND 3.0 THEN 1.0 ELSE 0.3 END) * (CASE WHEN greatest(sigma_x, sigma_y) / least(sigma_x, sigma_y) <= 2 THEN 1 - (greatest(sigma_x, sigma_y) / least(sigma_x, sigma_y) - 1) ELSE 0.1 END)
+ * (CASE WHEN cluster_chi_squared <= 10 THEN 1 - cluster_chi_squared / 10 ELSE 0.2 END)))"""
+_REASON = """CASE WHEN photons < 50 THEN 'photons:low' WHEN photons > 50000 THEN 'photons:high' WHEN localization_precision > 20 THEN 'precision:precision' WHEN NOT (sigma_x + sigma_y) / 2 BETWEEN 0.5 AND 3.0 THEN 'psf_shape:sigma'
+ WHEN greatest(sigma_x, sigma_y) / least(sigma_x, sigma_y) > 2 THEN 'psf_shape:ellipticity' WHEN cluster_n_molecules < 2 THEN 'cluster_quality:molecules' WHEN cluster_chi_squared > 10 THEN 'cluster_quality:chi_squared' END"""
+
+
+@query("t AS (SELECT row_number() OVER () AS i, url FROM pages) SELECT url, CASE WHEN regexp_matches(lower(url), '" + "|".join(S.MARKER_WORDS) + "') THEN 'marker' WHEN regexp_matches(lower(url), '" + "|".join(S.DAPI_WORDS) + "') THEN 'dapi' ELSE 'other' END AS channel FROM t")
+def classify_channel(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", S.classify_channel(F.col("url")).alias("channel"))
+
+
+_NAMES = "'dir/cell' || (event_id % 500) || CASE event_id % 4 WHEN 0 THEN '_DAPI.tif' WHEN 1 THEN '_sc35.TIF' WHEN 2 THEN '_ch2.nd2' ELSE '.txt' END"
+
+
+@query(f"n AS (SELECT DISTINCT split_part({_NAMES}, '/', 2) AS name FROM events) SELECT name, CASE WHEN contains(name, 'sc35') THEN 'marker' WHEN contains(name, 'DAPI') OR contains(name, 'ch2') THEN 'dapi' ELSE 'other' END AS channel FROM n WHERE NOT contains(name, '.txt')")
+def image_catalog(spark, sf_dir):
+    return tables.image_catalog(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_NAMES).alias("path")))
+
+
+@query("t AS (SELECT * FROM locs) SELECT loc_id, CAST(x AS FLOAT)::DOUBLE AS x, CAST(y AS FLOAT)::DOUBLE AS y, CAST(x_error AS FLOAT)::DOUBLE AS lpx, CAST(y_error AS FLOAT)::DOUBLE AS lpy, CAST(photons AS FLOAT)::DOUBLE AS photons, CAST(frame AS BIGINT) AS frame FROM t", "locs", round_=False)
+def to_render_format(locs):
+    out = locs.select("loc_id", *S.render_format())
+    return out.select(*(F.col(c).cast("double" if t == "float" else "long").alias(c) for c, t in out.dtypes))
+
+
+@query(f"""t AS (SELECT * FROM locs) SELECT loc_id, round(greatest(0.1, least(2.0, 1 / sqrt(photons / 1000))), 6) AS precision_sum, round(greatest(0.05, least(2.0, 1.2 / sqrt(photons / 100))), 6) AS precision_background,
+ round(sqrt(x_error * x_error + y_error * y_error) * 10, 6) AS precision_nm, round(greatest(photons / 100 * 2 * pi() * sigma_x * sigma_x, 50), 6) AS emitter, round({_QUALITY}, 6) AS quality,
+ round(greatest(0.1, least(2.0, photons / 1000)) * greatest(0.1, least(3.0, 20 / greatest(localization_precision, 1.0))), 6) AS weight, round((sigma_x + sigma_y) / 2 * 5, 6) AS sigma, round(x * 5, 6) AS super_x, round(y * 5, 6) AS super_y FROM t""", "locs")
+def scalar_functions(locs):
+    n = F.col("photons")
+    return locs.select("loc_id", S.precision_from_photons(n).alias("precision_sum"), S.precision_from_photons(n, "background").alias("precision_background"), S.localization_precision(F.col("x_error"), F.col("y_error")).alias("precision_nm"), S.emitter_photons(n / 100, F.col("sigma_x")).alias("emitter"), S.quality_score().alias("quality"), S.render_weight().alias("weight"), S.render_sigma().alias("sigma"), (F.col("x") * 5).alias("super_x"), (F.col("y") * 5).alias("super_y"))
+
+
+for _step, _where in {"photons": "photons BETWEEN 50 AND 50000", "precision": "localization_precision <= 20", "psf_shape": "(sigma_x + sigma_y) / 2 BETWEEN 0.5 AND 3 AND greatest(sigma_x, sigma_y) / least(sigma_x, sigma_y) <= 2", "cluster_quality": "cluster_n_molecules >= 2 AND cluster_chi_squared <= 10"}.items():
+
+    def _filtered(locs, step=_step):
+        return filters.apply_filter(locs, step).select("movie_id", "loc_id")
+
+    _filtered.__name__ = f"filter_{_step}"
+    query(f"t AS (SELECT * FROM locs) SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id FROM t WHERE {_where}", "locs")(_filtered)
+
+# the k-th nearest others by brute force, over rows that pass the row-local filters
+_KEPT = f"t AS (SELECT * FROM locs WHERE ({_REASON}) IS NULL)"
+_NEAR = "p AS (SELECT a.movie_id, a.loc_id, b.loc_id AS other_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM t a JOIN t b ON a.movie_id = b.movie_id AND a.loc_id <> b.loc_id), k AS (SELECT *, row_number() OVER (PARTITION BY movie_id, loc_id ORDER BY distance, other_id) AS rank FROM p)"
+_OUT = "g AS (SELECT movie_id, loc_id, avg(distance) AS d FROM k WHERE rank <= 9 GROUP BY ALL), s AS (SELECT *, CASE WHEN stddev_pop(d) OVER (PARTITION BY movie_id) > 0 THEN abs(d - avg(d) OVER (PARTITION BY movie_id)) / stddev_pop(d) OVER (PARTITION BY movie_id) > 3 ELSE false END AS outlier FROM g)"
+# runs by a walk over rows in order of frame and id
+_WALK = """o AS (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY frame, loc_id) AS r FROM {rows}),
+w AS (SELECT movie_id, r, loc_id, frame, loc_id AS run_id, x AS ax, y AS ay, frame AS af FROM o WHERE r = 1
+ UNION ALL SELECT o.movie_id, o.r, o.loc_id, o.frame, CASE WHEN {fits} THEN w.run_id ELSE o.loc_id END, CASE WHEN {fits} THEN w.ax ELSE o.x END, CASE WHEN {fits} THEN w.ay ELSE o.y END, CASE WHEN {fits} THEN w.af ELSE o.frame END
+ FROM w JOIN o ON o.movie_id = w.movie_id AND o.r = w.r + 1)"""
+_STRICT = "o.frame = w.frame + 1 AND sqrt((o.x - w.ax) * (o.x - w.ax) + (o.y - w.ay) * (o.y - w.ay)) < 2.0"
+_LOOSE = "o.frame - w.af <= 10 AND sqrt((o.x - w.ax) * (o.x - w.ax) + (o.y - w.ay) * (o.y - w.ay)) <= 2.0"
+
+
+def _kept(locs):
+    return locs.filter(filters.first_reason().isNull())
+
+
+@query(f"{_KEPT}, {_NEAR}, {_OUT} SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, outlier FROM s", "locs")
+def filter_spatial_outliers(locs):
+    return filters.spatial_outliers(_kept(locs)).select("movie_id", "loc_id", "outlier")
+
+
+@query(f"{_WALK.format(rows='locs', fits=_STRICT)} SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, count(*) OVER (PARTITION BY movie_id, run_id) > 5 AS rejected FROM w", "locs")
+def filter_temporal_consistency(locs):
+    return filters.temporal_rejects(locs).select("movie_id", "loc_id", "rejected")
+
+
+_CASCADE = f"{_KEPT}, {_NEAR}, {_OUT}, u AS (SELECT t.* FROM t JOIN s USING (movie_id, loc_id) WHERE NOT s.outlier), {_WALK.format(rows='u', fits=_STRICT)}, z AS (SELECT movie_id, loc_id, count(*) OVER (PARTITION BY movie_id, run_id) > 5 AS rejected FROM w)"
+
+
+@query(f"{_CASCADE} SELECT CAST(u.movie_id AS BIGINT) AS movie_id, u.loc_id, round({_QUALITY}, 6) AS quality_score FROM u JOIN z USING (movie_id, loc_id) WHERE NOT z.rejected", "locs")
+def filter_cascade(locs):
+    return filters.filter_cascade(locs).select("movie_id", "loc_id", "quality_score")
+
+
+@query(f"{_CASCADE}, f AS (SELECT movie_id, {_REASON} AS step FROM locs WHERE ({_REASON}) IS NOT NULL UNION ALL SELECT movie_id, 'spatial:outlier' FROM s WHERE outlier UNION ALL SELECT movie_id, CASE WHEN rejected THEN 'temporal:run' ELSE 'kept' END FROM z) SELECT CAST(movie_id AS BIGINT) AS movie_id, step, count(*) AS n FROM f GROUP BY ALL", "locs")
+def filter_funnel(locs):
+    return filters.filter_funnel(locs)
+
+
+@query(f"{_WALK.format(rows='locs', fits=_LOOSE)}, g AS (SELECT *, count(*) OVER (PARTITION BY movie_id, run_id) AS n FROM w), h AS (SELECT movie_id, run_id, min(af) AS f FROM g WHERE n >= 2 GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY f, run_id) - 1 AS c FROM h) SELECT CAST(g.movie_id AS BIGINT) AS movie_id, i.c AS temporal_cluster_id, g.loc_id FROM g JOIN i USING (movie_id, run_id)", "locs")
+def temporal_link(locs):
+    return temporal.temporal_link(locs)
+
+
+@query(f"{_KEPT}, {_NEAR} SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, other_id, round(distance, 6) AS distance, rank FROM k WHERE rank <= 5", "locs")
+def knn(locs):
+    return spatial.knn(_kept(locs), 5)
+
+
+@query(f"{_KEPT}, {_NEAR} SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, round(1 / (avg(distance) + 1e-6), 6) AS density FROM k WHERE rank <= 9 GROUP BY ALL", "locs")
+def local_density(locs):
+    return spatial.local_density(_kept(locs))
+
+
+@query(f"""{_KEPT}, {_NEAR}, d AS (SELECT movie_id, distance, row_number() OVER (PARTITION BY movie_id ORDER BY distance) AS i FROM k WHERE rank = 3),
+b AS (SELECT *, lead(distance, 2) OVER w - 2 * lead(distance) OVER w + distance AS bend, lead(distance) OVER w AS knee FROM d WINDOW w AS (PARTITION BY movie_id ORDER BY i)), c AS (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY bend DESC, i) AS r FROM b WHERE bend IS NOT NULL)
+SELECT CAST(movie_id AS BIGINT) AS movie_id, round(least(10.0, greatest(2.5, knee)), 6) AS eps FROM c WHERE r = 1""", "locs")
+def knee_eps(locs):
+    return spatial.knee_eps(_kept(locs))
+
+
+_EPS = "e AS (SELECT a.movie_id, a.loc_id, b.loc_id AS other_id FROM t a JOIN t b ON a.movie_id = b.movie_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.0)"
+
+
+@query(f"{_KEPT}, {_EPS} SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, other_id FROM e", "locs")
+def eps_neighbors(locs):
+    return spatial.eps_neighbors(_kept(locs), 1.0).drop("distance")
+
+
+@query(f"""{_KEPT}, {_EPS}, c AS (SELECT movie_id, loc_id FROM e GROUP BY ALL HAVING count(*) >= 3), l AS (SELECT e.* FROM e JOIN c USING (movie_id, loc_id) JOIN c d ON e.movie_id = d.movie_id AND e.other_id = d.loc_id),
+r AS (SELECT movie_id, loc_id, loc_id AS root FROM c UNION SELECT r.movie_id, l.other_id, r.root FROM r JOIN l ON r.movie_id = l.movie_id AND r.loc_id = l.loc_id AND r.root < l.other_id),
+m AS (SELECT movie_id, loc_id, min(root) AS root FROM r GROUP BY ALL), b AS (SELECT e.movie_id, e.loc_id, min(m.root) AS root FROM e JOIN m ON e.movie_id = m.movie_id AND e.other_id = m.loc_id GROUP BY ALL),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY movie_id ORDER BY root) - 1 AS cluster_id FROM (SELECT DISTINCT movie_id, root FROM m)),
+a AS (SELECT movie_id, loc_id, root FROM m UNION ALL SELECT b.* FROM b ANTI JOIN m USING (movie_id, loc_id))
+SELECT CAST(t.movie_id AS BIGINT) AS movie_id, t.loc_id, CAST(coalesce(n.cluster_id, -1) AS BIGINT) AS cluster_id FROM t LEFT JOIN a USING (movie_id, loc_id) LEFT JOIN n ON a.movie_id = n.movie_id AND a.root = n.root""", "locs")
+def dbscan(locs):
+    return spatial.dbscan(_kept(locs), 1.0).select("movie_id", "loc_id", "cluster_id")
+
+
+_TRUNC = "a AS (SELECT l.*, coalesce(i.label, 0) AS speckle_id FROM locs l LEFT JOIN labels_image i ON i.x = trunc(l.x) AND i.y = trunc(l.y) AND trunc(l.x) BETWEEN 0 AND 255 AND trunc(l.y) BETWEEN 0 AND 255)"
+
+
+def _assigned(locs, labels):
+    return assign.assign_to_speckles(locs, labels, SIZE, SIZE)
+
+
+@query(f"{_TRUNC} SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, CASE WHEN speckle_id > 0 THEN 'nuclear_speckle' ELSE 'background' END AS location, CAST(speckle_id AS BIGINT) AS speckle_id FROM a", "locs", "labels_image")
+def assign_trunc(locs, labels):
+    return _assigned(locs, labels).select("movie_id", "loc_id", "location", "speckle_id")
+
+
+@query("""r AS (SELECT movie_id, loc_id, round_even(x - 100, 0) AS px, round_even(y - 100, 0) AS py FROM locs), a AS (SELECT r.*, i.label, px BETWEEN 0 AND 79 AND py BETWEEN 0 AND 79 AS inside FROM r LEFT JOIN labels_image i ON i.x = px AND i.y = py)
+SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, CASE WHEN NOT inside THEN 'out_of_bounds' WHEN label > 0 THEN 'nuclear_speckle' ELSE 'background' END AS location, CAST(CASE WHEN NOT inside THEN -1 ELSE coalesce(label, 0) END AS BIGINT) AS speckle_id FROM a""", "locs", "labels_image")
+def assign_round(locs, labels):
+    moved = locs.withColumn("x", F.col("x") - 100).withColumn("y", F.col("y") - 100)
+    return assign.assign_to_speckles(moved, labels, 80, 80, "round").select("movie_id", "loc_id", "location", "speckle_id")
+
+
+@query(f"{_TRUNC}, s AS (SELECT count(*) AS area FROM labels_image) SELECT CAST(movie_id AS BIGINT) AS movie_id, count(*) FILTER (speckle_id > 0) AS n_speckle, count(*) FILTER (speckle_id = 0) AS n_background, any_value(area) AS speckle_area, 65536 - any_value(area) AS background_area, round((count(*) FILTER (speckle_id > 0) / any_value(area)) / (count(*) FILTER (speckle_id = 0) / (65536 - any_value(area))), 6) AS enrichment FROM a, s GROUP BY movie_id", "locs", "labels_image")
+def enrichment_density(locs, labels):
+    return assign.enrichment_density(_assigned(locs, labels), labels, SIZE, SIZE)
+
+
+@query(f"{_TRUNC} SELECT CAST(movie_id AS BIGINT) AS movie_id, count(*) AS total, count(*) FILTER (speckle_id > 0) AS n_speckle, count(*) FILTER (speckle_id = 0) AS n_background, round(count(*) FILTER (speckle_id > 0) / greatest(count(*) FILTER (speckle_id = 0), 1), 6) AS enrichment, round(100 * count(*) FILTER (speckle_id > 0) / count(*), 6) AS speckle_percent FROM a GROUP BY movie_id", "locs", "labels_image")
+def enrichment_counts(locs, labels):
+    return assign.enrichment_counts(_assigned(locs, labels))
+
+
+@query(f"{_TRUNC}, g AS (SELECT DISTINCT movie_id, label FROM locs, labels_image) SELECT CAST(g.movie_id AS BIGINT) AS movie_id, CAST(g.label AS BIGINT) AS speckle_id, count(a.loc_id) AS molecule_count, round(coalesce(sum(a.photons), 0), 6) AS total_photons FROM g LEFT JOIN a ON a.movie_id = g.movie_id AND a.speckle_id = g.label GROUP BY ALL", "locs", "labels_image")
+def speckle_stats(locs, labels):
+    return assign.speckle_stats(_assigned(locs, labels), labels)
+
+
+@query(f"{_TRUNC} SELECT CAST(movie_id AS BIGINT) AS movie_id, CASE WHEN speckle_id > 0 THEN 'nuclear_speckle' ELSE 'background' END AS location, count(*) AS n FROM a GROUP BY ALL", "locs", "labels_image")
+def points_by_location(locs, labels):
+    return assign.points_by_location(_assigned(locs, labels))
+
+
+_M = "CAST(movie_id AS BIGINT) AS movie_id"
+_MC = f"{_M}, CAST(cluster_id AS BIGINT) AS cluster_id"
+_C = "t AS (SELECT * FROM locs WHERE cluster_id <> -1)"
+query(f"t AS (SELECT * FROM locs) SELECT {_M}, count(*) AS n, round(avg(localization_precision), 6) AS mean_precision, round(stddev_pop(localization_precision), 6) AS std_precision, round(avg(photons), 6) AS mean_photons, round(stddev_pop(photons), 6) AS std_photons FROM t GROUP BY movie_id", "locs")(stats.localization_summary)
+query(f"""{_C}, g AS (SELECT movie_id, cluster_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, max(x) - min(x) AS xe, max(y) - min(y) AS ye, sum(photons) AS tp, avg(photons) AS mp, stddev_pop(photons) AS sp, avg(quality_score) AS q, avg(localization_precision) AS lp, max(frame) - min(frame) + 1 AS span FROM t GROUP BY ALL),
+c AS (SELECT movie_id, cluster_id, avg(sqrt((x - mx) * (x - mx) + (y - my) * (y - my))) * 10 AS c FROM t JOIN g USING (movie_id, cluster_id) GROUP BY ALL)
+SELECT {_MC}, n AS n_molecules, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(xe, 6) AS x_extent, round(ye, 6) AS y_extent, round(tp, 6) AS total_photons, round(mp, 6) AS mean_photons, round(sp, 6) AS std_photons, round(q, 6) AS mean_quality, round(lp, 6) AS mean_precision, CAST(span AS BIGINT) AS frame_span, round(xe * ye, 6) AS area, round(xe * ye * 100, 6) AS area_nm2,
+ round(sqrt(xe * ye / pi()), 6) AS radius, round(sqrt(xe * ye / pi()) * 10, 6) AS radius_nm, round(n / greatest(xe * ye, 1.0), 6) AS density, round(n / greatest(xe * ye, 1.0) * 10000, 6) AS density_um2, round(n / greatest(span, 1), 6) AS temporal_density, round(c, 6) AS compactness_nm FROM g JOIN c USING (movie_id, cluster_id)""", "locs")(stats.cluster_properties)
+query(f"t AS (SELECT movie_id, cluster_id, count(*) AS n FROM locs GROUP BY ALL) SELECT {_M}, count(*) FILTER (cluster_id <> -1) AS n_clusters, CAST(sum(n) FILTER (cluster_id = -1) AS BIGINT) AS n_noise, round(sum(n) FILTER (cluster_id = -1) / sum(n), 6) AS noise_fraction, min(n) FILTER (cluster_id <> -1) AS min_size, max(n) FILTER (cluster_id <> -1) AS max_size, round(avg(n) FILTER (cluster_id <> -1), 6) AS mean_size FROM t GROUP BY movie_id", "locs")(stats.cluster_stats)
+query(f"{_C} SELECT {_MC}, count(*) AS n, round(avg(photons), 6) AS mean_photons, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area, round(count(*) / greatest((max(x) - min(x)) * (max(y) - min(y)), 1.0), 6) AS density FROM t GROUP BY movie_id, cluster_id", "locs")(stats.cluster_table)
+query(f"{_C} SELECT {_MC}, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(4 * stddev_pop(x), 6) AS width, round(4 * stddev_pop(y), 6) AS height FROM t GROUP BY movie_id, cluster_id HAVING count(*) >= 3", "locs")(stats.cluster_ellipses)
+query(f"{_C} SELECT {_MC}, count(*) AS size, CAST(max(frame) - min(frame) + 1 AS BIGINT) AS lifetime FROM t GROUP BY movie_id, cluster_id", "locs")(stats.cluster_lifetimes)
+query(f"t AS (SELECT * FROM locs) SELECT {_M}, CAST(frame AS BIGINT) AS frame, count(*) AS n FROM t GROUP BY movie_id, frame", "locs")(stats.locs_per_frame)
+query(f"{_C}, r AS (SELECT *, dense_rank() OVER (PARTITION BY movie_id ORDER BY cluster_id) AS r FROM t) SELECT {_MC}, CAST(frame AS BIGINT) AS frame, count(*) AS n FROM r WHERE r <= 10 GROUP BY movie_id, cluster_id, frame", "locs")(stats.cluster_frames)
+query(f"{_C}, r AS (SELECT *, dense_rank() OVER (PARTITION BY movie_id ORDER BY cluster_id) AS r FROM t), q AS (SELECT movie_id, cluster_id, quantile_cont(photons, 0.25) AS q1, quantile_cont(photons, 0.5) AS q2, quantile_cont(photons, 0.75) AS q3 FROM r WHERE r <= 10 GROUP BY ALL), v AS (SELECT r.movie_id, r.cluster_id, q1, q2, q3, photons, photons BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM r JOIN q USING (movie_id, cluster_id)) SELECT {_MC}, round(q1, 6) AS q1, round(q2, 6) AS median, round(q3, 6) AS q3, round(min(photons) FILTER (inside), 6) AS low, round(max(photons) FILTER (inside), 6) AS high, count(*) FILTER (NOT inside) AS n_fliers FROM v GROUP BY movie_id, cluster_id, q1, q2, q3", "locs")(stats.photon_boxplot)
+query(f"t AS (SELECT * FROM locs) SELECT {_M}, round(min(x) - 5, 6) AS x_min, round(max(x) + 5, 6) AS x_max, round(min(y) - 5, 6) AS y_min, round(max(y) + 5, 6) AS y_max FROM t GROUP BY movie_id", "locs")(stats.image_bounds)
+query(f"t AS (SELECT * FROM locs) SELECT {_M}, count(*) AS n, count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS n_clusters, count(*) FILTER (cluster_id = -1) AS n_noise, round(sum(photons), 6) AS total_photons, round(avg(photons), 6) AS mean_photons, round(avg(quality_score), 6) AS mean_quality, round(100 * count(*) FILTER (cluster_id = -1) / count(*), 6) AS noise_percent, round(count(*) FILTER (cluster_id <> -1) / count(DISTINCT cluster_id) FILTER (cluster_id <> -1), 6) AS mean_cluster_size FROM t GROUP BY movie_id", "locs")(stats.dataset_summary)
+query(f"t AS (SELECT movie_id, loc_id, CAST(frame - lag(frame) OVER (PARTITION BY movie_id ORDER BY frame, loc_id) AS BIGINT) AS gap FROM locs) SELECT {_M}, loc_id, gap FROM t WHERE gap IS NOT NULL", "locs")(stats.frame_intervals)
+query(f"{_C} SELECT {_M}, loc_id, CAST(cluster_id AS BIGINT) AS cluster_id, row_number() OVER (PARTITION BY movie_id, cluster_id ORDER BY loc_id) - 1 AS rank FROM t", "locs")(stats.rank_in_cluster)
+query(f"t AS (SELECT * FROM locs) SELECT {_M}, count(*) AS n_localizations, CAST(max(frame) + 1 AS BIGINT) AS n_frames, round(min(photons), 6) AS min_photons, round(max(photons), 6) AS max_photons, min(quality_score) AS min_quality, max(quality_score) AS max_quality, count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS n_clusters FROM t GROUP BY movie_id", "locs")(lambda locs: tables.localization_metadata(locs).drop("parameters"))
+QUERIES["localization_metadata"], SQL["localization_metadata"] = QUERIES.pop("<lambda>"), SQL.pop("<lambda>")
+
+
+@query("""d AS (SELECT movie_id, cluster_id, frame, count(*) AS k FROM locs WHERE cluster_id <> -1 GROUP BY ALL), g AS (SELECT movie_id, cluster_id, sum(k) AS n, max(k) AS most, max(frame) - min(frame) + 1 AS span FROM d GROUP BY ALL)
+SELECT CAST(l.movie_id AS BIGINT) AS movie_id, l.loc_id, CAST(CASE WHEN g.n < 2 OR (g.n / g.span > 0.02 AND g.most > least(1, g.n // 2)) THEN -1 ELSE l.cluster_id END AS BIGINT) AS cluster_id FROM locs l LEFT JOIN g USING (movie_id, cluster_id)""", "locs")
+def validate_temporal(locs):
+    return stats.validate_temporal(locs, max_density=0.02, max_simultaneous=1).select("movie_id", "loc_id", "cluster_id")
+
+
+_HIST = "b AS (SELECT l_linenumber AS k, min(l_extendedprice)::DOUBLE AS a, max(l_extendedprice)::DOUBLE AS z FROM lineitem GROUP BY ALL), g AS (SELECT k, CASE WHEN a = z THEN a - 0.5 ELSE a END AS a, CASE WHEN a = z THEN z + 0.5 ELSE z END AS z FROM b)"
+
+
+@query(f"""{_HIST}, n AS (SELECT k, CAST(least(floor((l_extendedprice::DOUBLE - a) / (z - a) * 30), 29) AS BIGINT) AS bin, count(*) AS n FROM lineitem JOIN g ON k = l_linenumber GROUP BY ALL), r AS (SELECT k, a, z, unnest(range(30)) AS bin FROM g)
+SELECT CAST(r.k AS BIGINT) AS l_linenumber, CAST(r.bin AS BIGINT) AS bin, round(a + (z - a) / 30 * r.bin, 6) AS lo, round(a + (z - a) / 30 * (r.bin + 1), 6) AS hi, coalesce(n.n, 0) AS n FROM r LEFT JOIN n ON r.k = n.k AND r.bin = n.bin""")
+def histogram(spark, sf_dir):
+    return stats.histogram(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice", 30, "l_linenumber")
+
+
+@query("t AS (SELECT movie_id, frame::DOUBLE AS v, photons AS w FROM locs), b AS (SELECT movie_id, min(v) AS a, max(v) AS z, min(w) AS c, max(w) AS d FROM t GROUP BY ALL) SELECT CAST(movie_id AS BIGINT) AS movie_id, CAST(least(floor((v - a) / (z - a) * 30), 29) AS BIGINT) AS bin_1, CAST(least(floor((w - c) / (d - c) * 30), 29) AS BIGINT) AS bin_2, count(*) AS n FROM t JOIN b USING (movie_id) GROUP BY ALL", "locs")
+def histogram2d(locs):
+    return stats.histogram2d(locs, "frame", "photons")
+
+
+def _smooth_sql(sigma: float, source: str = "marker_pixels") -> str:
+    r = int(4 * sigma + 0.5)
+    return f"""d AS (SELECT unnest(range(-{r}, {r} + 1)) AS d), q AS (SELECT d, exp(-d * d / {2 * sigma * sigma}) / (SELECT sum(exp(-d * d / {2 * sigma * sigma})) FROM d) AS w FROM d), o AS (SELECT unnest(range(64)) AS o), w AS (SELECT o, least(greatest(o + d, 0), 63) AS i, sum(w) AS w FROM o, q GROUP BY ALL),
+h AS (SELECT image_id, y, o AS x, sum(value * w) AS value FROM {source} JOIN w ON x = i GROUP BY ALL), s AS (SELECT image_id, o AS y, x, sum(value * w) AS value FROM h JOIN w ON y = i GROUP BY ALL)"""
+
+
+_PIX = "CAST(image_id AS BIGINT) AS image_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x"
+
+
+@query(f"{_smooth_sql(1.5)} SELECT {_PIX}, round(value, 6) AS value FROM s", "marker_pixels")
+def gaussian_smooth(pixels):
+    return images.gaussian_smooth(pixels, 1.5)
+
+
+@query(f"t AS (SELECT *, value / max(value) OVER (PARTITION BY image_id) AS v FROM marker_pixels) SELECT {_PIX}, CAST(trunc(v * 65535) AS BIGINT) AS value FROM t", "marker_pixels")
+def normalize_image(pixels):
+    return images.normalize_image(pixels, bits16=True)
+
+
+@query("t AS (SELECT * FROM marker_pixels) SELECT CAST(image_id AS BIGINT) AS image_id, round(quantile_cont(value, 0.85), 6) AS threshold FROM t GROUP BY image_id", "marker_pixels")
+def percentile_threshold(pixels):
+    return images.percentile_threshold(pixels, 85)
+
+
+_OTSU = """b AS (SELECT image_id, min(value) AS a, max(value) AS z FROM marker_pixels GROUP BY ALL), n AS (SELECT image_id, a, z, least(floor((value - a) / (z - a) * 256), 255) AS bin, count(*) AS n FROM marker_pixels JOIN b USING (image_id) GROUP BY ALL),
+c AS (SELECT *, a + (z - a) * (bin + 0.5) / 256 AS c FROM n), e AS (SELECT image_id, bin, c, sum(n) OVER w AS w1, sum(n * c) OVER w AS s1, sum(n) OVER p AS w, sum(n * c) OVER p AS s FROM c WINDOW w AS (PARTITION BY image_id ORDER BY bin), p AS (PARTITION BY image_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(w1 * (w - w1) * pow(s1 / w1 - (s - s1) / (w - w1), 2), 6) DESC, bin) AS r FROM e WHERE w > w1), th AS (SELECT image_id, c AS threshold FROM f WHERE r = 1)"""
+
+
+@query(f"{_OTSU} SELECT CAST(image_id AS BIGINT) AS image_id, round(threshold, 6) AS threshold FROM th", "marker_pixels")
+def otsu_threshold(pixels):
+    return images.otsu_threshold(pixels)
+
+
+_MASK = f"{_OTSU}, m AS (SELECT image_id, y, x, y * 1048576 + x AS i FROM marker_pixels JOIN th USING (image_id) WHERE value > threshold)"
+_PARTS = """r AS (SELECT image_id, i, y, x, i AS root FROM m UNION SELECT m.image_id, m.i, m.y, m.x, r.root FROM r JOIN m ON m.image_id = r.image_id AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1 AND r.root < m.i),
+p AS (SELECT image_id, y, x, min(root) AS root FROM r GROUP BY ALL), l AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM p)"""
+
+
+def _mask(pixels):
+    return images.threshold_mask(pixels, images.otsu_threshold(pixels))
+
+
+@query(f"{_MASK} SELECT {_PIX} FROM m", "marker_pixels")
+def threshold_mask(pixels):
+    return _mask(pixels)
+
+
+@query(f"{_MASK}, {_PARTS} SELECT {_PIX}, label FROM l", "marker_pixels")
+def label_components(pixels):
+    return images.label_components(_mask(pixels))
+
+
+@query(f"{_MASK}, {_PARTS}, k AS (SELECT *, count(*) OVER (PARTITION BY image_id, label) AS area FROM l) SELECT {_PIX}, dense_rank() OVER (PARTITION BY image_id ORDER BY label) AS label FROM k WHERE area BETWEEN 50 AND 200", "marker_pixels")
+def filter_regions_by_area(pixels):
+    return images.filter_regions_by_area(images.label_components(_mask(pixels)), 50, 200)
+
+
+@query(f"{_MASK}, {_PARTS}, k AS (SELECT *, count(*) OVER (PARTITION BY image_id, label) AS area FROM l) SELECT {_PIX} FROM k WHERE area >= 60", "marker_pixels")
+def remove_small(pixels):
+    return images.remove_small(_mask(pixels), 60, 8)
+
+
+@query(f"""{_MASK}, {_PARTS} SELECT CAST(image_id AS BIGINT) AS image_id, label, count(*) AS area, round(avg(y), 6) AS centroid_y, round(avg(x), 6) AS centroid_x, CAST(min(y) AS BIGINT) AS min_row, CAST(min(x) AS BIGINT) AS min_col, CAST(max(y) + 1 AS BIGINT) AS max_row, CAST(max(x) + 1 AS BIGINT) AS max_col, round(avg(value), 6) AS mean_intensity FROM l JOIN marker_pixels USING (image_id, y, x) GROUP BY image_id, label""", "marker_pixels")
+def region_props(pixels):
+    return images.region_props(images.label_components(_mask(pixels)), pixels).drop("perimeter", "circularity")
+
+
+_EDGE = "(VALUES (0, 1), (1, 0), (0, -1), (-1, 0))"
+
+
+@query(f"""{_MASK}, {_PARTS}, rim AS (SELECT a.image_id, a.label, a.y, a.x FROM l a LEFT JOIN l c ON a.image_id = c.image_id AND a.label = c.label AND abs(a.y - c.y) + abs(a.x - c.x) = 1 GROUP BY ALL HAVING count(c.y) < 4),
+k AS (SELECT a.image_id, a.label, a.y, a.x, 1 + 2 * count(*) FILTER (abs(a.y - c.y) + abs(a.x - c.x) = 1) + 10 * count(*) FILTER (abs(a.y - c.y) = 1 AND abs(a.x - c.x) = 1) AS code FROM rim a JOIN rim c ON a.image_id = c.image_id AND a.label = c.label AND abs(a.y - c.y) <= 1 AND abs(a.x - c.x) <= 1 GROUP BY ALL)
+SELECT CAST(image_id AS BIGINT) AS image_id, label, round(sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1.0 WHEN code IN (21, 33) THEN sqrt(2) WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0.0 END), 6) AS perimeter FROM k GROUP BY image_id, label""", "marker_pixels")
+def perimeter(pixels):
+    return images.perimeter(images.label_components(_mask(pixels)))
+
+
+@query(f"{_MASK} SELECT DISTINCT CAST(a.image_id AS BIGINT) AS image_id, CAST(a.y + v.dy AS BIGINT) AS y, CAST(a.x + v.dx AS BIGINT) AS x FROM m a, {_EDGE} v(dy, dx) WHERE a.y + v.dy >= 0 AND a.x + v.dx >= 0 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.image_id = a.image_id AND b.y = a.y + v.dy AND b.x = a.x + v.dx)", "marker_pixels")
+def label_boundaries(pixels):
+    return images.label_boundaries(_mask(pixels).withColumn("label", F.lit(1)))
+
+
+@query(f"""{_MASK}, z AS (SELECT p.image_id, p.y, p.x FROM marker_pixels p ANTI JOIN m USING (image_id, y, x)) SELECT CAST(m.image_id AS BIGINT) AS image_id, CAST(m.y AS BIGINT) AS y, CAST(m.x AS BIGINT) AS x, round(min(sqrt((m.y - z.y) * (m.y - z.y) + (m.x - z.x) * (m.x - z.x))), 6) AS distance FROM m JOIN z USING (image_id) GROUP BY ALL""", "marker_pixels")
+def distance_transform(pixels):
+    return images.distance_transform(_mask(pixels), images.image_sizes(pixels))
+
+
+@query(f"""t AS (SELECT * FROM marker_pixels) SELECT {_PIX}, value FROM t a WHERE value > 40 AND y BETWEEN 3 AND 60 AND x BETWEEN 3 AND 60
+ AND NOT EXISTS (SELECT 1 FROM t b WHERE b.image_id = a.image_id AND abs(b.y - a.y) <= 3 AND abs(b.x - a.x) <= 3 AND (b.value > a.value OR (b.value = a.value AND b.y * 64 + b.x < a.y * 64 + a.x)))""", "marker_pixels")
+def local_maxima(pixels):
+    return images.local_maxima(pixels, 3, images.image_sizes(pixels).select("image_id", F.lit(40.0).alias("threshold")))
+
+
+_DISK = "(SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4)"
+
+
+@query(f"""{_MASK}, k AS (SELECT * FROM {_DISK}), w AS (SELECT DISTINCT image_id, m.y + dy AS y, m.x + dx AS x FROM m, k WHERE m.y + dy BETWEEN 0 AND 63 AND m.x + dx BETWEEN 0 AND 63)
+SELECT CAST(w.image_id AS BIGINT) AS image_id, CAST(w.y AS BIGINT) AS y, CAST(w.x AS BIGINT) AS x FROM w WHERE NOT EXISTS (SELECT 1 FROM k WHERE w.y + dy BETWEEN 0 AND 63 AND w.x + dx BETWEEN 0 AND 63 AND NOT EXISTS (SELECT 1 FROM w v WHERE v.image_id = w.image_id AND v.y = w.y + dy AND v.x = w.x + dx))""", "marker_pixels")
+def binary_closing(pixels):
+    return images.binary_closing(_mask(pixels), 2, images.image_sizes(pixels))
+
+
+@query(f"""m AS (SELECT image_id, y, x FROM dapi_pixels WHERE value > 30), e AS (SELECT image_id, y, x FROM dapi_pixels WHERE value <= 30),
+r AS (SELECT image_id, y, x FROM e WHERE y IN (0, 63) OR x IN (0, 63) UNION SELECT e.image_id, e.y, e.x FROM r JOIN e ON e.image_id = r.image_id AND abs(e.y - r.y) + abs(e.x - r.x) = 1) SELECT {_PIX} FROM (SELECT * FROM m UNION ALL SELECT e.* FROM e ANTI JOIN r USING (image_id, y, x))""", "dapi_pixels")
+def fill_holes(pixels):
+    return images.fill_holes(pixels.filter("value > 30").select("image_id", "y", "x"), images.image_sizes(pixels))
+
+
+@query("t AS (SELECT movie_id, CAST(trunc(y * 5) AS BIGINT) AS y, CAST(trunc(x * 5) AS BIGINT) AS x FROM locs WHERE x > 0 AND x < 256 AND y > 0 AND y < 256) SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, count(*)::DOUBLE AS value FROM t GROUP BY ALL", "locs")
+def render_histogram(locs):
+    return render.render_histogram(locs, SIZE, SIZE)
+
+
+_FEW = "t AS (SELECT * FROM locs WHERE x_error <= 0.3 AND y_error <= 0.3)"
+
+
+def _few(locs):
+    return locs.filter("x_error <= 0.3 and y_error <= 0.3")  # the kernels of the others are large for SQL
+
+
+@query(f"""{_FEW}, p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, greatest(x_error, 0.1) * 5 AS sx, greatest(y_error, 0.1) * 5 AS sy FROM t WHERE x > 0 AND x < 256 AND y > 0 AND y < 256),
+u AS (SELECT *, unnest(range(greatest(0, trunc(cy - 3 * sy)::BIGINT), least(1280, trunc(cy + 3 * sy)::BIGINT + 1))) AS y FROM p), v AS (SELECT *, unnest(range(greatest(0, trunc(cx - 3 * sx)::BIGINT), least(1280, trunc(cx + 3 * sx)::BIGINT + 1))) AS x FROM u)
+SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, round(sum(exp(-((x - cx + 0.5) * (x - cx + 0.5) / (2 * sx * sx) + (y - cy + 0.5) * (y - cy + 0.5) / (2 * sy * sy))) / (2 * pi() * sx * sy)), 6) AS value FROM v GROUP BY ALL""", "locs")
+def render_gaussian_pdf(locs):
+    return render.render_gaussian_pdf(_few(locs), SIZE, SIZE)
+
+
+@query(f"""{_FEW}, p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, greatest(x_error * 5, 0.5) AS s FROM t WHERE x >= 0 AND x < 256 AND y >= 0 AND y < 256), q AS (SELECT *, trunc(3 * s)::BIGINT + 1 AS r FROM p),
+u AS (SELECT *, unnest(range(greatest(0, trunc(cy)::BIGINT - r), least(1280, trunc(cy)::BIGINT + r + 1))) AS y FROM q), v AS (SELECT *, unnest(range(greatest(0, trunc(cx)::BIGINT - r), least(1280, trunc(cx)::BIGINT + r + 1))) AS x FROM u),
+i AS (SELECT movie_id, y, x, sum(exp(-((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (2 * s * s))) AS value FROM v GROUP BY ALL) SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, round(value / max(value) OVER (PARTITION BY movie_id), 6) AS value FROM i""", "locs")
+def render_gaussian_peak(locs):
+    return render.render_gaussian_peak(_few(locs), SIZE, SIZE)
+
+
+@query("t AS (SELECT movie_id, loc_id, x, y FROM locs) SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, x > 0 AND x < 128 AND y > 0 AND y < 128 AS in_viewport FROM t WHERE x * 5 >= 0 AND x * 5 < 1000 AND y * 5 >= 0 AND y * 5 < 1000", "locs")
+def render_bounds(locs):
+    on = render.render_bounds_check(locs, 200, 200)
+    return on.join(render.viewport(locs, 128, 128).select("movie_id", "loc_id", F.lit(True).alias("v")), ["movie_id", "loc_id"], "left").select("movie_id", "loc_id", F.coalesce("v", F.lit(False)).alias("in_viewport"))
