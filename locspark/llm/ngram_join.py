@@ -33,6 +33,11 @@ from locspark.llm.components import components
 
 #: Texts of a candidate group that one task takes; larger groups are cut into parts of this size.
 PART = 3000
+#: Frequencies are counted by this part of the hashes. N-grams that share it count as more frequent than they are, which
+#: changes the order (for all texts alike), never a link: sets are compared by whole hashes.
+FREQUENCY_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+#: Bytes of text in a block: the sets of a block take several times as much memory.
+BLOCK_BYTES = 4 << 20
 
 SETS = "doc_id long, n_shingles long, digest binary, tokens binary, freqs binary"
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("freqs", pa.binary())])
@@ -61,7 +66,7 @@ def shingle_sets(table: pa.Table, words: int) -> Iterator[np.ndarray]:
 
 
 def _frequencies(table: pa.Table, words: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    keys, counts = np.unique(np.concatenate(list(shingle_sets(table, words))), return_counts=True)
+    keys, counts = np.unique(np.concatenate(list(shingle_sets(table, words))) & FREQUENCY_BITS, return_counts=True)
     return [(0, keys, counts)]
 
 
@@ -74,10 +79,10 @@ def _candidates(docs: pa.Table, answers: pa.Table, words: int, percent: int) ->
     if not docs.num_rows:
         return _SETS.empty_table()
     sets = list(shingle_sets(docs, words))
-    keys, freq = np.unique(np.concatenate(sets)), common.answers(answers, 0)
+    keys, freq = np.unique(np.concatenate(sets) & FREQUENCY_BITS), common.answers(answers, 0)
     out = []
     for doc_id, s in zip(docs["doc_id"].to_pylist(), sets):
-        f = freq[np.searchsorted(keys, s)] if len(s) else np.zeros(0, np.uint32)
+        f = freq[np.searchsorted(keys, s & FREQUENCY_BITS)] if len(s) else np.zeros(0, np.uint32)
         shared = f > 1
         if not len(s) or shared.sum() < needed(len(s), percent):
             out.append((doc_id, len(s), None, None, None))
@@ -206,7 +211,7 @@ def _join_task(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=_LINK)
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, part: int = PART, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, part: int = PART, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of `docs`; see the module."""
     base = common.base_columns(docs, key, text)
     n = common.block_count(base, block_bytes)
