@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from locspark.llm import common
 
 MARK = "▁"
-#: Units whose encoding a worker keeps; beyond that it starts anew.
-KEPT_UNITS = 400_000
+#: Units and pairs of tokens that a task keeps; beyond that it starts anew.
+KEPT_UNITS, KEPT_PAIRS = 200_000, 500_000
 
 
 class PieceModel:
@@ -115,7 +115,7 @@ class PieceModel:
 
     def check(self, a: int, b: int) -> bool:
         """If token b can follow token a (both by number), kept for later."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         out = self.pairs[a * self.width + b] = self.compatible(self.names[a], self.names[b])
         return out
@@ -200,6 +200,9 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces, name: str, keep: bool) ->
                 ids, decoded = ",".join([u[0] for u in units]), "".join([u[2] for u in units])[1:]
                 rows.append((doc_id, sum([u[1] for u in units]), sha(ids), sha(decoded), np.fromstring(ids, np.int32, sep=",") if keep else None, decoded if keep else None))
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
+    # the worker goes on to other tasks
+    model.units.clear()
+    model.pairs.clear()
 
 
 def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
