@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one block holds on average.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that the numpy code works on at once; a longer document makes a longer piece.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -129,7 +129,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     turns = np.flatnonzero(step)
     smaller = np.zeros(n, bool)
     if len(turns):
-        smaller[: turns[-1] + 1] = step[turns[np.searchsorted(turns, np.arange(turns[-1] + 1))]] > 0
+        smaller[: turns[-1] + 1] = np.repeat(step[turns] > 0, np.diff(turns, prepend=-1))
     # a larger suffix is placed by its successor: go on from the last wanted place to the next smaller suffix or the end
     ends = np.flatnonzero(smaller | (text == 0))
     need = wanted.copy()
@@ -271,7 +271,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_b
     n = common.block_count(base, block_bytes)
     blocks = common.in_blocks(base, n)
     seen = common.count_keys(blocks, lambda t: _anchors(t, min_bytes, gram), n)
-    contexts = blocks.groupBy("block").cogroup(seen.select("block", "bucket", "kind", "answer").groupBy("block")).applyInArrow(lambda d, s: _contexts(d, s, min_bytes, gram, n, hot_anchor), CONTEXT)
+    contexts = blocks.groupBy("block").cogroup(seen.select("block", "bucket", "kind", "answer").groupBy("block")).applyInArrow(lambda d, s: _contexts(d, s, min_bytes, gram, 2 * n, hot_anchor), CONTEXT)
     intervals = contexts.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, min_bytes), INTERVAL)
     return blocks.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(lambda d, i: _cut(d, i, keep_bytes), RESULT)
 
