@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locspark.functions import scalars as S
-from locspark.operators import assign, filters, images, render, spatial, stats, temporal
+from locspark.jobs import workloads
+from locspark.operators import assign, filters, floods, images, localize, render, spatial, stats, temporal
 from locspark.sources import tables
 from locspark.sources.fixtures import view, with_views
 
@@ -358,28 +359,220 @@ def render_histogram(locs):
     return render.render_histogram(locs, SIZE, SIZE)
 
 
-_FEW = "t AS (SELECT * FROM locs WHERE x_error <= 0.3 AND y_error <= 0.3)"
-
-
-def _few(locs):
-    return locs.filter("x_error <= 0.3 and y_error <= 0.3")  # the kernels of the others are large for SQL
-
-
-@query(f"""{_FEW}, p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, greatest(x_error, 0.1) * 5 AS sx, greatest(y_error, 0.1) * 5 AS sy FROM t WHERE x > 0 AND x < 256 AND y > 0 AND y < 256),
+@query("""t AS (SELECT * FROM locs), p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, greatest(x_error, 0.1) * 5 AS sx, greatest(y_error, 0.1) * 5 AS sy FROM t WHERE x > 0 AND x < 256 AND y > 0 AND y < 256),
 u AS (SELECT *, unnest(range(greatest(0, trunc(cy - 3 * sy)::BIGINT), least(1280, trunc(cy + 3 * sy)::BIGINT + 1))) AS y FROM p), v AS (SELECT *, unnest(range(greatest(0, trunc(cx - 3 * sx)::BIGINT), least(1280, trunc(cx + 3 * sx)::BIGINT + 1))) AS x FROM u)
 SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, round(sum(exp(-((x - cx + 0.5) * (x - cx + 0.5) / (2 * sx * sx) + (y - cy + 0.5) * (y - cy + 0.5) / (2 * sy * sy))) / (2 * pi() * sx * sy)), 6) AS value FROM v GROUP BY ALL""", "locs")
 def render_gaussian_pdf(locs):
-    return render.render_gaussian_pdf(_few(locs), SIZE, SIZE)
+    return render.render_gaussian_pdf(locs, SIZE, SIZE)
 
 
-@query(f"""{_FEW}, p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, greatest(x_error * 5, 0.5) AS s FROM t WHERE x >= 0 AND x < 256 AND y >= 0 AND y < 256), q AS (SELECT *, trunc(3 * s)::BIGINT + 1 AS r FROM p),
+@query("""t AS (SELECT * FROM locs), p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, greatest(x_error * 5, 0.5) AS s FROM t WHERE x >= 0 AND x < 256 AND y >= 0 AND y < 256), q AS (SELECT *, trunc(3 * s)::BIGINT + 1 AS r FROM p),
 u AS (SELECT *, unnest(range(greatest(0, trunc(cy)::BIGINT - r), least(1280, trunc(cy)::BIGINT + r + 1))) AS y FROM q), v AS (SELECT *, unnest(range(greatest(0, trunc(cx)::BIGINT - r), least(1280, trunc(cx)::BIGINT + r + 1))) AS x FROM u),
 i AS (SELECT movie_id, y, x, sum(exp(-((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (2 * s * s))) AS value FROM v GROUP BY ALL) SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, round(value / max(value) OVER (PARTITION BY movie_id), 6) AS value FROM i""", "locs")
 def render_gaussian_peak(locs):
-    return render.render_gaussian_peak(_few(locs), SIZE, SIZE)
+    return render.render_gaussian_peak(locs, SIZE, SIZE)
 
 
 @query("t AS (SELECT movie_id, loc_id, x, y FROM locs) SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, x > 0 AND x < 128 AND y > 0 AND y < 128 AS in_viewport FROM t WHERE x * 5 >= 0 AND x * 5 < 1000 AND y * 5 >= 0 AND y * 5 < 1000", "locs")
 def render_bounds(locs):
     on = render.render_bounds_check(locs, 200, 200)
     return on.join(render.viewport(locs, 128, 128).select("movie_id", "loc_id", F.lit(True).alias("v")), ["movie_id", "loc_id"], "left").select("movie_id", "loc_id", F.coalesce("v", F.lit(False)).alias("in_viewport"))
+
+
+_DOG = ", ".join(f"{a} AS (WITH {_smooth_sql(g)} SELECT * FROM s)" for a, g in (("fine", 0.5), ("mid", 1.5), ("coarse", 3.0)))
+
+
+@query(f"{_DOG}, t AS (SELECT image_id, y, x, greatest(0.0, mid.value - coarse.value + 0.5 * (fine.value - mid.value)) AS value FROM fine JOIN mid USING (image_id, y, x) JOIN coarse USING (image_id, y, x)) SELECT {_PIX}, round(value, 6) AS value FROM t", "marker_pixels")
+def dog_enhance(pixels):
+    return images.dog_enhance(pixels)
+
+
+@query(f"""o AS (SELECT unnest(range(24)) AS o), a AS (SELECT o, (o + 0.5) * 64 / 24 - 0.5 AS pos FROM o), t AS (SELECT o, floor(pos)::BIGINT + k AS tap, 1 - abs(pos - floor(pos) - k) AS near FROM a, range(2) r(k)),
+d AS (SELECT unnest(range(-3, 4)) AS d), q AS (SELECT d, exp(-d * d / (2 * pow((64 / 24 - 1) / 2, 2))) AS g FROM d), w AS (SELECT o, least((tap + d + 126) % 126, 126 - (tap + d + 126) % 126) AS i, sum(near * g / (SELECT sum(g) FROM q)) AS w FROM t, q GROUP BY ALL),
+h AS (SELECT image_id, y, o AS x, sum(value * w) AS value FROM marker_pixels JOIN w ON x = i GROUP BY ALL), s AS (SELECT image_id, o AS y, x, sum(value * w) AS value FROM h JOIN w ON y = i GROUP BY ALL) SELECT {_PIX}, round(value, 6) AS value FROM s""", "marker_pixels")
+def resize_image(pixels):
+    return images.resize_image(pixels, 24, 24)
+
+
+_OPEN = """k AS (SELECT dy, dx FROM range(-5, 6) a(dy), range(-5, 6) b(dx) WHERE dy * dy + dx * dx <= 25),
+lo AS (SELECT p.image_id, p.y - dy AS y, p.x - dx AS x, min(value) AS value FROM marker_pixels p, k WHERE p.y - dy BETWEEN 0 AND 63 AND p.x - dx BETWEEN 0 AND 63 GROUP BY ALL),
+hi AS (SELECT p.image_id, p.y - dy AS y, p.x - dx AS x, max(value) AS value FROM lo p, k WHERE p.y - dy BETWEEN 0 AND 63 AND p.x - dx BETWEEN 0 AND 63 GROUP BY ALL)"""
+
+
+@query(f"{_OPEN} SELECT {_PIX}, value FROM hi", "marker_pixels")
+def opening(pixels):
+    return floods.opening(pixels, 5)
+
+
+@query(f"{_OPEN}, t AS (SELECT image_id, y, x, m.value - hi.value AS value FROM hi JOIN marker_pixels m USING (image_id, y, x)) SELECT {_PIX}, value FROM t", "marker_pixels")
+def top_hat(pixels):
+    return floods.top_hat(pixels, 5)
+
+
+@query(None, "marker_pixels")
+def h_maxima(pixels):
+    return floods.h_maxima(pixels, images.percentile_threshold(pixels, 90).select("image_id", (F.col("threshold") * 0.1).alias("h")))
+
+
+@query(None, "marker_pixels")
+def watershed(pixels):
+    seeds = images.label_components(h_maxima(pixels))
+    return floods.watershed(pixels.withColumn("value", -F.col("value")), seeds, _mask(pixels))
+
+
+_REGIONS = "g AS (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, avg(value) AS v FROM l JOIN marker_pixels USING (image_id, y, x) GROUP BY ALL)"
+
+
+@query(f"{_MASK}, {_PARTS}, {_REGIONS}, own AS (SELECT g.image_id, g.label FROM g JOIN dapi_pixels d ON d.image_id = g.image_id AND d.y = trunc(cy) AND d.x = trunc(cx) AND d.value > 30) SELECT CAST(image_id AS BIGINT) AS image_id, label, row_number() OVER (PARTITION BY image_id ORDER BY label) AS new_label FROM own", "marker_pixels", "dapi_pixels")
+def speckles_in_nuclei(pixels, dapi):
+    return images.speckles_in_nuclei(images.region_props(images.label_components(_mask(pixels)), pixels), dapi.filter("value > 30")).select("image_id", "label", "new_label")
+
+
+@query(f"{_MASK}, {_PARTS}, {_REGIONS} SELECT CAST(image_id AS BIGINT) AS image_id, 1 AS n_nuclei, count(*) AS n_speckles, round(avg(area), 6) AS mean_area, round(stddev_pop(area), 6) AS std_area, round(avg(v), 6) AS mean_intensity, round(stddev_pop(v), 6) AS std_intensity, count(*)::DOUBLE AS speckles_per_nucleus FROM g GROUP BY image_id", "marker_pixels", "dapi_pixels")
+def region_report(pixels, dapi):
+    regions = lambda mask, p: images.region_props(images.label_components(mask), p)
+    return images.region_report(regions(dapi.filter("value > 30"), dapi), regions(_mask(pixels), pixels))
+
+
+@query(f"{_MASK}, {_PARTS}, {_REGIONS} SELECT CAST(image_id AS BIGINT) AS image_id, label, area, round(v, 6) AS mean_intensity FROM g", "marker_pixels")
+def size_vs_intensity(pixels):
+    return images.region_props(images.label_components(_mask(pixels)), pixels).select("image_id", "label", "area", "mean_intensity")
+
+
+_BACK = "b AS (SELECT movie_id, frame, quantile_cont(value, 0.25) AS background FROM frame_pixels GROUP BY ALL), e AS (SELECT movie_id, frame, any_value(background) AS background, stddev_pop(value) FILTER (value < background) AS noise FROM frame_pixels JOIN b USING (movie_id, frame) GROUP BY ALL)"
+_MF = "CAST(movie_id AS BIGINT) AS movie_id, CAST(frame AS BIGINT) AS frame"
+
+
+@query(f"{_BACK} SELECT {_MF}, round(background, 6) AS background, round(noise, 6) AS noise, round(background + 5 * noise, 6) AS threshold FROM e", "frame_pixels")
+def frame_background(pixels):
+    return localize.frame_background(pixels)
+
+
+@query(f"r AS (SELECT *, row_number() OVER (PARTITION BY movie_id, frame ORDER BY value, y, x) AS r, count(*) OVER (PARTITION BY movie_id, frame) AS n FROM frame_pixels) SELECT {_MF}, greatest(1.0, median(value)) AS background FROM r WHERE r <= n // 4 GROUP BY movie_id, frame", "frame_pixels")
+def robust_background(pixels):
+    return localize.robust_background(pixels)
+
+
+# peaks of v over t, off a border, and the pixels about them
+_PEAKS = """c AS (SELECT z.* FROM z JOIN th USING (movie_id, frame) WHERE v > t AND y BETWEEN {border} AND 63 - {border} AND x BETWEEN {border} AND 63 - {border}),
+pk AS (SELECT movie_id, frame, y AS py, x AS px, row_number() OVER (PARTITION BY movie_id, frame ORDER BY v DESC, y, x) - 1 AS peak FROM c
+ WHERE NOT EXISTS (SELECT 1 FROM z o WHERE o.movie_id = c.movie_id AND o.frame = c.frame AND abs(o.y - c.y) <= 3 AND abs(o.x - c.x) <= 3 AND (o.v > c.v OR (o.v = c.v AND (o.y < c.y OR (o.y = c.y AND o.x < c.x)))))),
+n AS (SELECT * FROM pk JOIN frame_pixels USING (movie_id, frame) WHERE abs(y - py) <= {half} AND abs(x - px) <= {half})"""
+
+
+@query(f"""f AS (SELECT movie_id * 1000 + frame AS image_id, y, x, value FROM frame_pixels), {_smooth_sql(1.0, "f")}, z AS (SELECT image_id // 1000 AS movie_id, image_id % 1000 AS frame, y, x, round(value, 9) AS v FROM s), th AS (SELECT movie_id, frame, quantile_cont(v, 0.995) AS t FROM z GROUP BY ALL), {_PEAKS.format(border=3, half=3)},
+g AS (SELECT movie_id, frame, peak, sum(value) AS s, max(value) AS m, sum(value * x) / sum(value) AS cx, sum(value * y) / sum(value) AS cy FROM n GROUP BY ALL)
+SELECT {_MF}, peak, round(cx, 6) AS x, round(cy, 6) AS y, round(greatest(0.1, least(2.0, 1 / sqrt(s / 1000))), 6) AS x_error, s AS photons, m AS intensity FROM g WHERE s >= 100""", "frame_pixels")
+def localize_centroid(pixels):
+    return localize.localize_centroid(tables.pixels_to_frames(pixels)).drop("y_error", "background")
+
+
+@query(f"""{_BACK}, z AS (SELECT movie_id, frame, y, x, value AS v FROM frame_pixels), th AS (SELECT movie_id, frame, background + 5 * noise AS t FROM e), {_PEAKS.format(border=5, half=4)},
+w AS (SELECT movie_id, frame, peak, quantile_cont(value, 0.25) AS ground FROM n GROUP BY ALL), l AS (SELECT n.*, ground, greatest(value - ground, 0) AS light FROM n JOIN w USING (movie_id, frame, peak)),
+g AS (SELECT movie_id, frame, peak, any_value(ground) AS ground, sum(light) AS s, sum(light * x) / sum(light) AS cx, sum(light * y) / sum(light) AS cy FROM l GROUP BY ALL)
+SELECT {_MF}, peak, round(cx, 6) AS x, round(cy, 6) AS y, round(greatest(0.05, least(2.0, 1.2 / sqrt(s / 100))), 6) AS x_error, s AS photons, ground AS background FROM g WHERE s >= 100""", "frame_pixels")
+def localize_bgsub(pixels):
+    return localize.localize_bgsub(tables.pixels_to_frames(pixels)).drop("y_error", "intensity")
+
+
+@query(None, "frame_pixels")
+def localize_grouped(pixels):
+    return localize.localize_grouped(tables.pixels_to_frames(pixels))
+
+
+@query(None, "frame_pixels")
+def group_peaks(pixels):
+    by = ["movie_id", "frame"]
+    return localize.group_peaks(images.local_maxima(pixels, 2, pixels.select(by).distinct().withColumn("threshold", F.lit(40.0)), 3, by), 12.0)
+
+
+@query("""f AS (SELECT image_id, y, x, value, sum(amplitude * exp(-((m.x - e.ex) * (m.x - e.ex) + (m.y - e.ey) * (m.y - e.ey)) / 8)) AS light FROM marker_pixels m JOIN (SELECT image_id AS i, x AS ex, y AS ey, amplitude FROM spots) e ON e.i = m.image_id GROUP BY ALL)
+SELECT CAST(image_id AS BIGINT) AS image_id, round(sum(pow(value - 12 - light, 2)) / (count(*) - 25), 6) AS chi_squared, round(1 - sum(pow(value - 12 - light, 2)) / (var_pop(value) * count(*)), 6) AS r_squared FROM f GROUP BY image_id""", "marker_pixels", "spots")
+def fit_quality(pixels, spots):
+    return localize.fit_quality(pixels, spots.select("image_id").distinct().withColumn("background", F.lit(12.0)), spots, "image_id")
+
+
+@query(None, "locs")
+def subcluster(locs):
+    return floods.subcluster(locs, 3).select("movie_id", "loc_id", "cluster_id", "sub_cluster_id")
+
+
+@query(None, "locs")
+def cluster_speckles(locs):
+    return workloads.cluster_speckles(locs, 1.0).select("movie_id", "loc_id", "cluster_id", "sub_cluster_id")
+
+
+def _spread_sql(sigma: float, source: str, height: str, width: str) -> str:
+    """A blur of a sparse table (movie_id, y, x, value, and its sizes), mirrored at the edges: table s."""
+    r = int(4 * sigma + 0.5)
+    fold = "CASE WHEN (({c} + d) % (2 * {n}) + 2 * {n}) % (2 * {n}) < {n} THEN (({c} + d) % (2 * {n}) + 2 * {n}) % (2 * {n}) ELSE 2 * {n} - 1 - (({c} + d) % (2 * {n}) + 2 * {n}) % (2 * {n}) END"
+    return f"""d AS (SELECT unnest(range(-{r}, {r} + 1)) AS d), q AS (SELECT d, exp(-d * d / {2 * sigma * sigma}) / (SELECT sum(exp(-d * d / {2 * sigma * sigma})) FROM d) AS w FROM d),
+sx AS (SELECT movie_id, h, w, y, {fold.format(c="x", n="w")} AS x, sum(value * k) AS value FROM (SELECT i.*, {height} AS h, {width} AS w FROM {source} i) i, (SELECT d, w AS k FROM q) q GROUP BY ALL), s AS (SELECT movie_id, {fold.format(c="y", n="h")} AS y, x, sum(value * k) AS value FROM sx, (SELECT d, w AS k FROM q) q GROUP BY ALL)"""
+
+
+_MYX = "CAST(movie_id AS BIGINT) AS movie_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x"
+
+
+@query(f"""i AS (SELECT movie_id, trunc(y * 5)::BIGINT AS y, trunc(x * 5)::BIGINT AS x, count(*)::DOUBLE AS value FROM locs WHERE x * 5 >= 0 AND x * 5 < 1280 AND y * 5 >= 0 AND y * 5 < 1280 GROUP BY ALL), {_spread_sql(0.5, "i", "1280", "1280")},
+t AS (SELECT *, value / max(value) OVER (PARTITION BY movie_id) AS v FROM s) SELECT {_MYX}, round(v, 6) AS value FROM t""", "locs")
+def render_histogram_smooth(locs):
+    return render.render_histogram_smooth(locs, SIZE, SIZE)
+
+
+@query(f"""b AS (SELECT movie_id, min(x) - 5 AS bx, min(y) - 5 AS yb, ceil((max(x) - min(x) + 10) * 5)::BIGINT AS w, ceil((max(y) - min(y) + 10) * 5)::BIGINT AS h FROM locs GROUP BY ALL),
+p AS (SELECT l.movie_id, b.w, b.h, (x - bx) * 5 AS cx, (y - yb) * 5 AS cy, (sigma_x + sigma_y) / 2 * 5 AS s, greatest(0.1, least(2.0, photons / 1000)) * greatest(0.1, least(3.0, 20 / greatest(localization_precision, 1.0))) AS a FROM locs l JOIN b USING (movie_id)), k AS (SELECT *, trunc(5 * s)::BIGINT + 1 AS r FROM p),
+u AS (SELECT *, unnest(range(greatest(0, trunc(cy)::BIGINT - r), least(h, trunc(cy)::BIGINT + r + 1))) AS y FROM k), v AS (SELECT *, unnest(range(greatest(0, trunc(cx)::BIGINT - r), least(w, trunc(cx)::BIGINT + r + 1))) AS x FROM u),
+i AS (SELECT movie_id, w, h, y, x, sum(a * exp(-((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (2 * s * s))) AS value FROM v GROUP BY ALL), j AS (SELECT movie_id, y, x, value, w AS wide, h AS high FROM i), {_spread_sql(2.5, "j", "high", "wide")} SELECT {_MYX}, round(value, 6) AS value FROM s""", "locs")
+def render_weighted(locs):
+    return render.render_weighted(locs)
+
+
+@query(None, "locs")
+def render_set(locs):
+    return render.render_set(locs, SIZE, SIZE)
+
+
+@query("t AS (SELECT movie_id, trunc(y * 5)::BIGINT AS y, trunc(x * 5)::BIGINT AS x FROM locs WHERE x > 0 AND x < 256 AND y > 0 AND y < 256) SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, count(*)::DOUBLE AS value FROM t WHERE y BETWEEN 320 AND 959 AND x BETWEEN 320 AND 959 GROUP BY ALL", "locs")
+def crop_center(locs):
+    return render.crop_center(render.render_histogram(locs, SIZE, SIZE), SIZE * 5, SIZE * 5)
+
+
+@query("t AS (SELECT movie_id AS image_id, y, x, avg(value) AS value FROM frame_pixels GROUP BY ALL) SELECT CAST(image_id AS BIGINT) AS image_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(value, 6) AS value FROM t", "frame_pixels")
+def select_channel(pixels):
+    return tables.select_channel(pixels.select(F.col("movie_id").alias("image_id"), F.col("frame").alias("channel"), "y", "x", "value"), "mean")
+
+
+@query(f"t AS (SELECT * FROM frame_pixels) SELECT {_MF}, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, value FROM t", "frame_pixels")
+def read_frames(pixels):
+    return tables.frames_to_pixels(tables.pixels_to_frames(pixels))
+
+
+@query(None, "marker_pixels")
+def segment_speckles(pixels):
+    return images.segment_speckles(pixels, small=10, least=30)
+
+
+@query(None, "dapi_pixels")
+def segment_nuclei(pixels):
+    return images.segment_nuclei(pixels, least=500)
+
+
+@query(None, "marker_pixels")
+def segment_by_distance(pixels):
+    return floods.segment_by_distance(pixels)
+
+
+@query(None, "marker_pixels")
+def segment_by_h_maxima(pixels):
+    return floods.segment_by_h_maxima(pixels, least=30)
+
+
+@query(None, "frame_pixels", "marker_pixels")
+def analyze_movie(pixels, marker):
+    one = marker.filter("image_id = 0")  # a movie has one marker image
+    return workloads.analyze_movie(tables.pixels_to_frames(pixels), one, 64, 64, small=10, least=30)["enrichment"]
+
+
+@query(None, "marker_pixels", "dapi_pixels")
+def analyze_marker_dapi(marker, dapi):
+    return workloads.analyze_marker_dapi(marker, dapi, least_nucleus=500, least_speckle=30)["report"]

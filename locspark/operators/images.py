@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locspark.operators.graph import connected
+from locspark.operators.graph import connected, written
 
 KEY = "image_id"
 _PIXEL = 1 << 20  # y * _PIXEL + x orders pixels by raster
@@ -34,6 +34,31 @@ def gaussian_smooth(pixels: DataFrame, sigma: float, key: str = KEY) -> DataFram
     return _along(_along(pixels.select(key, "y", "x", "value"), "x", sizes, sigma, key), "y", sizes, sigma, key)
 
 
+def resize_image(pixels: DataFrame, height: int, width: int, key: str = KEY) -> DataFrame:
+    """Each image on a grid of the given size: a Gaussian of (factor - 1) / 2 against aliasing, then linear interpolation, edges mirrored.
+
+    Both are one table of weights an axis, so an axis is one join and one sum. Its size is that of the weights, not of
+    the images.
+    """
+    sizes = image_sizes(pixels, key)
+
+    def along(p: DataFrame, axis: str, size: str, n: int) -> DataFrame:
+        other = "x" if axis == "y" else "y"
+        f = F.col(size) / F.lit(float(n))
+        sigma = F.greatest((f - 1) / 2, F.lit(0.0))
+        w = sizes.select(size).distinct().withColumn("sigma", sigma).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        w = w.withColumn("at", (F.col("out") + 0.5) * f - 0.5).withColumn("radius", (4 * F.col("sigma") + 0.5).cast("int"))
+        w = w.withColumn("tap", F.explode(F.array(F.floor("at"), F.floor("at") + 1))).withColumn("near", 1 - F.abs(F.col("at") - F.col("tap"))).filter("near > 0")
+        w = w.withColumn("d", F.explode(F.sequence(-F.col("radius"), F.col("radius")))).withColumn("g", F.when(F.col("sigma") > 0, F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma")))).otherwise(1.0))
+        w = w.withColumn("g", F.col("near") * F.col("g") / F.sum("g").over(W.partitionBy(size, "out", "tap")))
+        turn = F.greatest(2 * F.col(size) - 2, F.lit(1))
+        place = F.pmod(F.col("tap") + F.col("d"), turn)
+        w = w.groupBy(size, "out", F.least(place, turn - place).cast("int").alias(axis)).agg(F.sum("g").alias("w"))
+        return p.join(F.broadcast(sizes.select(key, size)), key).join(w, [size, axis]).groupBy(key, other, F.col("out").alias(axis)).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+
+    return along(along(pixels.select(key, "y", "x", "value"), "x", "width", width), "y", "height", height).select(key, "y", "x", "value")
+
+
 def dog_enhance(pixels: DataFrame, key: str = KEY) -> DataFrame:
     """Difference of Gaussians, the finest half added, negative values cut to 0."""
     g = lambda s, n: gaussian_smooth(pixels, s, key).withColumnRenamed("value", n)
@@ -110,19 +135,19 @@ def filter_regions_by_area(labels: DataFrame, least: int = 100, most: int | None
 
 def remove_small(mask: DataFrame, least: int, neighbors: int = 4, key: str = KEY) -> DataFrame:
     """The mask without components of fewer than `least` pixels."""
-    labels = label_components(mask, neighbors, key)
+    labels = written(label_components(mask, neighbors, key))
     keep = labels.groupBy(key, "label").agg(F.count("*").alias("area")).filter(F.col("area") >= least)
     return labels.join(keep, [key, "label"], "left_semi").select(key, "y", "x")
 
 
-def _grid(sizes: DataFrame, key: str) -> DataFrame:
+def grid(sizes: DataFrame, key: str) -> DataFrame:
     return sizes.select(key, "height", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
 
 
 def fill_holes(mask: DataFrame, sizes: DataFrame, key: str = KEY) -> DataFrame:
     """The mask with the background components that don't touch the border."""
-    empty = _grid(sizes, key).join(mask, [key, "y", "x"], "left_anti")
-    labels = label_components(empty, 4, key).join(F.broadcast(sizes), key)
+    empty = grid(sizes, key).join(mask, [key, "y", "x"], "left_anti")
+    labels = written(label_components(written(empty), 4, key)).join(F.broadcast(sizes), key)
     open_ = labels.filter("y = 0 or x = 0 or y = height - 1 or x = width - 1").select(key, "label").distinct()
     return mask.select(key, "y", "x").union(labels.join(open_, [key, "label"], "left_anti").select(key, "y", "x"))
 
@@ -136,17 +161,17 @@ def binary_closing(mask: DataFrame, radius: int, sizes: DataFrame, key: str = KE
     moved = mask.select(key, "y", "x", F.explode(_disk(radius)).alias("d")).select(key, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
     inside = lambda df: df.join(F.broadcast(sizes), key).filter("y >= 0 and x >= 0 and y < height and x < width")
     wide = inside(moved.distinct()).select(key, "y", "x")
-    empty = _grid(sizes, key).join(wide, [key, "y", "x"], "left_anti")
+    empty = grid(sizes, key).join(wide, [key, "y", "x"], "left_anti")
     near = inside(empty.select(key, F.explode(_disk(radius)).alias("d"), "y", "x").select(key, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct())
     return wide.join(near.select(key, "y", "x"), [key, "y", "x"], "left_anti")
 
 
 def distance_transform(mask: DataFrame, sizes: DataFrame, key: str = KEY) -> DataFrame:
     """(key, y, x, distance) of mask pixels to the nearest pixel off the mask: by columns, then the least over each row."""
-    grid = _grid(sizes, key).select(key, "y", "x").join(mask.select(key, "y", "x", F.lit(True).alias("on")), [key, "y", "x"], "left")
+    whole = grid(sizes, key).select(key, "y", "x").join(mask.select(key, "y", "x", F.lit(True).alias("on")), [key, "y", "x"], "left")
     up, down = W.partitionBy(key, "x").orderBy("y"), W.partitionBy(key, "x").orderBy(F.desc("y"))
     zero = F.when(F.col("on").isNull(), F.col("y"))
-    g = grid.withColumn("g", F.least(F.col("y") - F.last(zero, True).over(up), F.last(zero, True).over(down) - F.col("y")))
+    g = whole.withColumn("g", F.least(F.col("y") - F.last(zero, True).over(up), F.last(zero, True).over(down) - F.col("y")))
     other = g.filter("g is not null").select(key, "y", F.col("x").alias("ox"), "g")
     d2 = F.min((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + F.col("og") * F.col("og"))
     return mask.select(key, "y", "x").join(other.withColumnRenamed("g", "og"), [key, "y"]).groupBy(key, "y", "x").agg(F.sqrt(d2).alias("distance"))
@@ -183,7 +208,7 @@ def perimeter(labels: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def label_boundaries(labels: DataFrame, key: str = KEY) -> DataFrame:
-    """Outer boundary: background pixels next to a label, by edge or corner."""
+    """Outer boundary: background pixels that share an edge with a label."""
     moved = labels.select(key, F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in EDGES))).alias("n")).select(key, "n.y", "n.x").distinct()
     return moved.filter("y >= 0 and x >= 0").join(labels, [key, "y", "x"], "left_anti")
 
@@ -202,15 +227,23 @@ def region_report(nuclei: DataFrame, speckles: DataFrame, key: str = KEY) -> Dat
     return a.join(b, key, "full").fillna(0, ["n_nuclei", "n_speckles"]).withColumn("speckles_per_nucleus", F.col("n_speckles") / F.nullif("n_nuclei", F.lit(0)))
 
 
+def otsu_mask(smooth: DataFrame, small: int, key: str = KEY) -> DataFrame:
+    """Pixels over Otsu's threshold, without parts of fewer than `small`, as a written table."""
+    mask = written(threshold_mask(smooth, otsu_threshold(smooth, key=key), key))
+    return written(remove_small(mask, small, 4, key))
+
+
 def segment_speckles(pixels: DataFrame, small: int = 50, closing: int = 2, least: int = 100, most: int = 10000, key: str = KEY) -> DataFrame:
-    """Labels: smooth, Otsu, drop small parts, close, components within the area range."""
-    smooth, sizes = gaussian_smooth(pixels, 1.0, key), image_sizes(pixels, key)
-    mask = binary_closing(remove_small(threshold_mask(smooth, otsu_threshold(smooth, key=key), key), small, 4, key), closing, sizes, key)
-    return filter_regions_by_area(label_components(mask, 8, key), least, most, key)
+    """Labels: smooth, Otsu, drop small parts, close, components within the area range. Steps that are read twice are written once."""
+    sizes = written(image_sizes(pixels, key))
+    smooth = written(gaussian_smooth(pixels, 1.0, key))
+    mask = written(binary_closing(otsu_mask(smooth, small, key), closing, sizes, key))
+    return filter_regions_by_area(written(label_components(mask, 8, key)), least, most, key)
 
 
 def segment_nuclei(pixels: DataFrame, least: int = 5000, closing: int = 3, key: str = KEY) -> DataFrame:
-    """Labels: normalise, smooth, Otsu, drop small parts, close, fill holes, components."""
-    smooth, sizes = gaussian_smooth(normalize_image(pixels, key=key), 1.5, key), image_sizes(pixels, key)
-    mask = binary_closing(remove_small(threshold_mask(smooth, otsu_threshold(smooth, key=key), key), least, 4, key), closing, sizes, key)
-    return label_components(fill_holes(mask, sizes, key), 8, key)
+    """Labels: normalise, smooth, Otsu, drop small parts, close, fill holes, components. Steps that are read twice are written once."""
+    sizes = written(image_sizes(pixels, key))
+    smooth = written(gaussian_smooth(normalize_image(pixels, key=key), 1.5, key))
+    mask = written(binary_closing(otsu_mask(smooth, least, key), closing, sizes, key))
+    return label_components(written(fill_holes(mask, sizes, key)), 8, key)

@@ -62,12 +62,45 @@ def render_histogram(locs: DataFrame, height: int, width: int, oversampling: int
     return viewport(locs, height, width).groupBy("movie_id", (F.col("y") * oversampling).cast("int").alias("y"), (F.col("x") * oversampling).cast("int").alias("x")).agg(F.count("*").cast("double").alias("value"))
 
 
-def render_weighted(locs: DataFrame, padding: float = 5.0, pixel_size: float = 10.0, sr_pixel_size: float = 2.0) -> DataFrame:
-    """Weighted kernels over the bounds of each movie, cut at five deviations (less than 4e-6 of the peak is left out)."""
+def sparse_smooth(image: DataFrame, sigma: float, sizes: DataFrame) -> DataFrame:
+    """A Gaussian, cut at 4 sigma, over a sparse image: each pixel gives to those about it, mirrored at the edges. sizes: (movie_id, h, w)."""
+    radius = int(4 * sigma + 0.5)
+    kernel = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-radius, radius + 1)]
+    taps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(k / sum(kernel)).alias("k")) for d, k in zip(range(-radius, radius + 1), kernel)))
+    for axis, other, size in (("x", "y", "w"), ("y", "x", "h")):
+        turned = F.pmod(F.col(axis) + F.col("t.d"), 2 * F.col(size))
+        p = image.join(F.broadcast(sizes), "movie_id").withColumn("t", F.explode(taps))
+        image = p.groupBy("movie_id", other, F.when(turned < F.col(size), turned).otherwise(2 * F.col(size) - 1 - turned).cast("int").alias(axis)).agg(F.sum(F.col("value") * F.col("t.k")).alias("value"))
+    return image.select("movie_id", "y", "x", "value")
+
+
+def render_histogram_smooth(locs: DataFrame, height: int, width: int, oversampling: int = 5, sigma: float = 0.5) -> DataFrame:
+    """Counts on the super-resolution grid, smoothed, divided by the largest."""
+    on = render_bounds_check(locs, height, width, oversampling)
+    counts = on.groupBy("movie_id", (F.col("y") * oversampling).cast("int").alias("y"), (F.col("x") * oversampling).cast("int").alias("x")).agg(F.count("*").cast("double").alias("value"))
+    sizes = locs.select("movie_id").distinct().select("movie_id", F.lit(height * oversampling).alias("h"), F.lit(width * oversampling).alias("w"))
+    image = sparse_smooth(counts, sigma, sizes)
+    top = image.groupBy("movie_id").agg(F.max("value").alias("top"))
+    return image.join(F.broadcast(top), "movie_id").select("movie_id", "y", "x", (F.col("value") / F.col("top")).alias("value"))
+
+
+def render_set(locs: DataFrame, height: int, width: int, oversampling: int = 5) -> DataFrame:
+    """(mode, movie_id, y, x, value): precision, photon and histogram images, each scaled to 16 bits."""
+    made = {"precision": render_gaussian_peak(locs, height, width, "precision", oversampling), "photon": render_gaussian_peak(locs, height, width, "photon", oversampling), "histogram": render_histogram_smooth(locs, height, width, oversampling)}
+    out = None
+    for mode, image in made.items():
+        one = image.select(F.lit(mode).alias("mode"), "movie_id", "y", "x", F.floor(F.col("value") * 65535 + 1e-6).cast("int").alias("value"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def render_weighted(locs: DataFrame, padding: float = 5.0, pixel_size: float = 10.0, sr_pixel_size: float = 2.0, blur_sigma: float = 0.5) -> DataFrame:
+    """Weighted kernels over the bounds of each movie, cut at five deviations (less than 4e-6 of the peak is left out), then a blur."""
     scale = pixel_size / sr_pixel_size
     bounds = locs.groupBy("movie_id").agg((F.min("x") - padding).alias("bx"), (F.min("y") - padding).alias("by"), F.ceil((F.max("x") - F.min("x") + 2 * padding) * scale).cast("int").alias("w"), F.ceil((F.max("y") - F.min("y") + 2 * padding) * scale).cast("int").alias("h"))
     p = locs.join(F.broadcast(bounds), "movie_id").select("movie_id", "w", "h", ((F.col("x") - F.col("bx")) * scale).alias("cx"), ((F.col("y") - F.col("by")) * scale).alias("cy"), render_sigma(pixel_size, sr_pixel_size).alias("s"), render_weight().alias("a"))
     dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
     r = (5 * F.col("s")).cast("int") + 1
     lo = lambda c: F.col(c).cast("int") - r
-    return _splat(p, lo("cy"), F.least(F.col("cy").cast("int") + r + 1, F.col("h")), lo("cx"), F.least(F.col("cx").cast("int") + r + 1, F.col("w")), F.col("a") * F.exp(-(dx * dx + dy * dy) / (2 * F.col("s") * F.col("s"))), 1 << 30, 1 << 30)
+    image = _splat(p, lo("cy"), F.least(F.col("cy").cast("int") + r + 1, F.col("h")), lo("cx"), F.least(F.col("cx").cast("int") + r + 1, F.col("w")), F.col("a") * F.exp(-(dx * dx + dy * dy) / (2 * F.col("s") * F.col("s"))), 1 << 30, 1 << 30)
+    return sparse_smooth(image, blur_sigma * scale, bounds.select("movie_id", "h", "w")) if blur_sigma > 0 else image

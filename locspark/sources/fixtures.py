@@ -35,7 +35,10 @@ SELECT CAST(m AS INT) AS movie_id, CAST(f AS INT) AS frame, CAST(y AS INT) AS y,
   CAST(5 + (x * 7 + y * 13 + f * 3) % 6 + SUM(GREATEST(0, 90 + 15 * n - 20 * ((x - (n * 23 + f * 5 + m * 7) % 48 - 8) * (x - (n * 23 + f * 5 + m * 7) % 48 - 8) + (y - (n * 31 + f * 3 + m * 11) % 48 - 8) * (y - (n * 31 + f * 3 + m * 11) % 48 - 8)))) AS DOUBLE) AS value
 FROM mv CROSS JOIN fr CROSS JOIN xs CROSS JOIN ys CROSS JOIN sp GROUP BY m, f, x, y"""
 
-VIEWS = {"locs": LOCS, "labels_image": LABELS, "marker_pixels": MARKER, "dapi_pixels": DAPI, "frame_pixels": FRAMES}
+SPOTS = """WITH img AS (SELECT event_id AS i FROM events WHERE event_id < 4), sp AS (SELECT event_id AS n FROM events WHERE event_id < 6)
+SELECT CAST(i AS INT) AS image_id, CAST((n * 23 + i * 7) % 52 + 6 AS DOUBLE) AS x, CAST((n * 31 + i * 11) % 52 + 6 AS DOUBLE) AS y, CAST(2 AS DOUBLE) AS sigma, CAST(60 + 10 * n AS DOUBLE) AS amplitude FROM img CROSS JOIN sp"""
+
+VIEWS = {"locs": LOCS, "labels_image": LABELS, "marker_pixels": MARKER, "dapi_pixels": DAPI, "frame_pixels": FRAMES, "spots": SPOTS}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
