@@ -58,7 +58,7 @@ def highest_pass(a, y, x):
 
 def test_h_maxima(spark):
     a = np.random.default_rng(3).integers(0, 9, (9, 8)).astype(float)
-    rows = [(0, y, x, a[y, x]) for y in range(9) for x in range(8)]
+    rows = [(0, y, x, float(a[y, x])) for y in range(9) for x in range(8)]
     pixels = spark.createDataFrame(rows, "image_id int, y int, x int, value double")
     got = {(r.y, r.x) for r in floods.h_maxima(pixels, spark.createDataFrame([(0, 3.0)], "image_id int, h double")).collect()}
     assert got == {(y, x) for y in range(9) for x in range(8) if a[y, x] - highest_pass(a, y, x) >= 3}
