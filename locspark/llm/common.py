@@ -8,6 +8,8 @@ order. A key of any frequency costs one entry a block, so no key makes a task la
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that the numpy code works on at once; a longer document makes a longer piece.
 PIECE_BYTES = 1 << 18
+#: Bytes of one Arrow batch from Spark to Python, unless the session has its own; a longer row makes a longer batch.
+BATCH_BYTES = 4 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -43,8 +47,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to `BATCH_BYTES`, unless the session has a value of its own: rows can have long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker goes on to other tasks and would keep the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def frugal(f: Callable) -> Callable:
+    """`f`, after which freed memory is given back."""
+
+    @functools.wraps(f)
+    def own(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    return own
+
+
 def base_columns(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key (as long) and the text (null: empty), under fixed names, whatever else the table holds."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
@@ -167,6 +202,7 @@ _REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa
 _RESPONSE = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("answer", pa.binary()), ("total", pa.int64()), ("known", pa.int64())])
 
 
+@frugal
 def _answer(table: pa.Table) -> pa.Table:
     """Adds up one bucket and one kind of key; each block gets the sums of its keys in its own order."""
     blocks = table["block"].to_pylist()
@@ -188,12 +224,13 @@ def _answer(table: pa.Table) -> pa.Table:
 def count_keys(blocks: DataFrame, extract: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]], n_buckets: int) -> DataFrame:
     """For each block, the corpus-wide sums of its keys' counts. extract: of a block's table, (kind, sorted distinct keys, counts)."""
 
+    @frugal
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         return joined([requests(k, c.astype(np.uint32), block, kind, n_buckets) for kind, k, c in extract(table)], _REQUEST)
 
-    asked = blocks.groupBy("block").applyInArrow(ask, REQUEST)
-    return asked.groupBy("bucket", "kind").applyInArrow(_answer, RESPONSE)
+    asked = blocks.groupBy("block").applyInArrow(lambda t: ask(t), REQUEST)
+    return asked.groupBy("bucket", "kind").applyInArrow(lambda t: _answer(t), RESPONSE)
 
 
 def answers(table: pa.Table, kind: int) -> np.ndarray:

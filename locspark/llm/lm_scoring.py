@@ -119,6 +119,7 @@ class Automaton:
         return docs[words], seen[words], base[words], np.log10(p[words])
 
 
+@common.frugal
 def _score(table: pa.Table, answers: pa.Table, order: int, folds: int, total: int, known: int, left: tuple[float, float]) -> pa.Table:
     if not table.num_rows:
         return _RESULT.empty_table()

@@ -75,6 +75,7 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+@common.frugal
 def _candidates(docs: pa.Table, answers: pa.Table, words: int, percent: int) -> pa.Table:
     if not docs.num_rows:
         return _SETS.empty_table()
@@ -188,9 +189,9 @@ def linked(reps: list[int], sizes: list[int], sets: list[np.ndarray], freqs: lis
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, -freq))] = np.arange(len(tokens))
     ranks = np.split(rank[where], np.cumsum([len(s) for s in sets])[:-1])
-    tree = PrefixTree(percent)
+    tree, numbers = PrefixTree(percent), list(range(len(tokens)))  # the sets share these numbers
     for i in np.lexsort((reps, sizes)):
-        s = np.sort(ranks[i]).tolist()
+        s = [numbers[r] for r in np.sort(ranks[i]).tolist()]
         tree.probe(int(i), sizes[i], s)
         tree.insert(int(i), sizes[i], s)
     return [(reps[a], reps[b]) for a, b in tree.links]
@@ -199,6 +200,7 @@ def linked(reps: list[int], sizes: list[int], sets: list[np.ndarray], freqs: lis
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+@common.frugal
 def _join_task(table: pa.Table, percent: int) -> pa.Table:
     part = table["part"].to_numpy()
     order = np.argsort(part, kind="stable")

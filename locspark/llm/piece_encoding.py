@@ -203,6 +203,7 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces, name: str, keep: bool) ->
     # the worker goes on to other tasks
     model.units.clear()
     model.pairs.clear()
+    common.give_back()
 
 
 def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:

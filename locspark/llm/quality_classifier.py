@@ -174,10 +174,12 @@ def _kept(batches: Iterator[pa.RecordBatch], shipped, at: int, threshold: float)
         texts = batch.column(at).fill_null("")
         keep = [shipped.value.score(x) >= threshold for x in features(texts)]
         yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+        common.give_back()
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS) -> DataFrame:
     """The rows of `docs` that score `threshold` or more, as they are."""
     shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, sample, folds))
     at = docs.columns.index(text)
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(lambda b: _kept(b, shipped, at, threshold), docs.schema)

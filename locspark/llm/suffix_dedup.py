@@ -85,6 +85,7 @@ INTERVAL = "block int, rows binary, lo binary, hi binary"
 _INTERVAL = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())])
 
 
+@common.frugal
 def _contexts(docs: pa.Table, seen: pa.Table, min_bytes: int, gram: int, n_buckets: int, hot_anchor: int) -> pa.Table:
     """A block's distinct contexts of repeated anchors, with the places of each."""
     texts = [x for x in (_texts(docs) if docs.num_rows else []) if len(x[1]) >= min_bytes]
@@ -205,6 +206,7 @@ def repeated_windows(contexts: list[bytes], times: np.ndarray, min_bytes: int) -
     return [np.ones(n, bool) if k > 1 else hit[s : s + n] for s, n, k in zip(starts, windows, times)]
 
 
+@common.frugal
 def _sort_bucket(table: pa.Table, min_bytes: int) -> pa.Table:
     """Suffix sorting over the contexts of one bucket of anchors; intervals of repeated bytes for each block."""
     at: dict[tuple, int] = {}
@@ -239,6 +241,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_hash", pa.int64()), ("kept", pa.binary())])
 
 
+@common.frugal
 def _cut(docs: pa.Table, intervals: pa.Table, keep_bytes: bool) -> pa.Table:
     if not docs.num_rows:
         return _RESULT.empty_table()
