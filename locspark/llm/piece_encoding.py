@@ -183,13 +183,9 @@ _UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
-_models: dict[str, PieceModel] = {}
 
-
-def _encode(batches: Iterator[pa.RecordBatch], pieces, name: str, keep: bool) -> Iterator[pa.RecordBatch]:
-    model = _models.get(name)
-    if model is None:
-        model = _models[name] = PieceModel(pieces.value)
+def _encode(batches: Iterator[pa.RecordBatch], pieces, keep: bool) -> Iterator[pa.RecordBatch]:
+    model = PieceModel(pieces.value)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -200,9 +196,8 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces, name: str, keep: bool) ->
                 ids, decoded = ",".join([u[0] for u in units]), "".join([u[2] for u in units])[1:]
                 rows.append((doc_id, sum([u[1] for u in units]), sha(ids), sha(decoded), np.fromstring(ids, np.int32, sep=",") if keep else None, decoded if keep else None))
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
-    # the worker goes on to other tasks
-    model.units.clear()
-    model.pairs.clear()
+    # the worker goes on to other tasks: nothing of this one stays
+    del model
     common.give_back()
 
 
@@ -212,4 +207,4 @@ def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     The model's pieces, of fixed number, are sent to the executors.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path).pieces)
-    return common.base_columns(docs, key, text).mapInArrow(lambda b: _encode(b, pieces, model_path, keep), RESULT)
+    return common.base_columns(docs, key, text).mapInArrow(lambda b: _encode(b, pieces, keep), RESULT)
