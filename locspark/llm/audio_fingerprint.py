@@ -5,14 +5,19 @@ Over an integral image of these, sixteen box filters compare parts of a window o
 (Gray code), so a window gives one packed 32-bit integer. Equal integers of two recordings vote for the offset between
 their windows; at the offset with most votes the bit errors decide.
 
+Recordings under `SHORT` samples can't hold a run of `LEAST_RUN` windows, so their fingerprint is a fine one, of frames and
+hops a quarter as long. Long recordings have a fine one besides, by which they meet the short ones; two long ones meet by
+the coarse. If the shorter of a pair has fewer than `LEAST_RUN` windows, its first and last must vote. Those of under
+`LEAST_VOTES` windows (304 to 335 samples) are in classes but in no pair: one or two integers are equal by chance.
+
 Recordings with equal fingerprints form one class, named by its smallest id; classes are matched once. The query set
 (ids divisible by `every`) goes over all classes in blocks of at most `QUERY_WINDOWS` windows, each sent to the executors
 and dropped before the next.
 
-`bytes_as_audio` reads a text's UTF-8 bytes as 8-bit samples; that's how tables without sound are used here. Nulls and
-recordings too short for a window have no fingerprint (class_id null) and match nothing; rows with a null id get the
-class but are no queries. Constant sound gives constant integers. Repeated rows are members of one class. An empty table
-gives no rows.
+`bytes_as_audio` reads a text's UTF-8 bytes as 8-bit samples; that's how tables without sound are used here. Recordings
+too short for a fine window (304 samples) have no fingerprint (class_id null) and match nothing, but those of the same
+samples share a group_id; nulls and empty ones are in no group. Rows with a null id get the class but are no queries.
+Constant sound gives constant integers. Repeated rows are members of one class. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,19 +36,21 @@ RATE, FRAME, HOP, WINDOW = 8000, 256, 64, 16
 LOWEST, HIGHEST = 100.0, 3500.0
 #: A match: so many windows from the first to the last vote at least, so many votes, and bit errors of at most this share.
 LEAST_RUN, LEAST_VOTES, MOST_ERRORS = 16, 3, 0.2
+#: Recordings of fewer samples can't reach LEAST_RUN; frame and hop of their fingerprints.
+SHORT, FINE_FRAME, FINE_HOP = FRAME + (WINDOW + LEAST_RUN - 2) * HOP, FRAME // 4, HOP // 4
 QUERY_WINDOWS = 1 << 20
 
 
-def _fold() -> np.ndarray:
-    f = np.arange(FRAME // 2 + 1) * RATE / FRAME
+def _fold(frame: int) -> np.ndarray:
+    f = np.arange(frame // 2 + 1) * RATE / frame
     out = np.zeros((len(f), 12), np.float32)
     use = (f >= LOWEST) & (f <= HIGHEST)
     out[np.flatnonzero(use), np.round(12 * np.log2(f[use] / 440)).astype(int) % 12] = 1
     return out
 
 
-_FOLD = _fold()
-_TAPER = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
+_FOLD = {n: _fold(n) for n in (FRAME, FINE_FRAME)}
+_TAPER = {n: np.hanning(n + 1)[:n].astype(np.float32) for n in (FRAME, FINE_FRAME)}
 
 
 def _boxes(k: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
@@ -66,15 +73,15 @@ _FILTERS = [_boxes(k) for k in range(16)]
 _STEP = (0.18, 0.06, 0.05, 0.04)
 
 
-def chroma(samples: np.ndarray) -> np.ndarray:
+def chroma(samples: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
     """Pitch classes of each frame, of length one (zero for silence)."""
-    if len(samples) < FRAME:
+    if len(samples) < frame:
         return np.zeros((0, 12))
-    view = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
+    view = np.lib.stride_tricks.sliding_window_view(samples, frame)[::hop]
     out = []
     for a in range(0, len(view), 4096):
-        spectrum = np.fft.rfft(view[a : a + 4096] * _TAPER)
-        out.append((spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ _FOLD)
+        spectrum = np.fft.rfft(view[a : a + 4096] * _TAPER[frame])
+        out.append((spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ _FOLD[frame])
     x = np.concatenate(out).astype(np.float64)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return np.where(norm > 1e-6, x / np.maximum(norm, 1e-6), 0)
@@ -98,8 +105,13 @@ def pack(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_fingerprint(samples: np.ndarray) -> np.ndarray:
+    return pack(chroma(samples, FINE_FRAME, FINE_HOP))
+
+
 def fingerprint(samples: np.ndarray) -> np.ndarray:
-    return pack(chroma(samples))
+    """The fingerprint that classes go by: a fine one for short recordings."""
+    return fine_fingerprint(samples) if len(samples) < SHORT else pack(chroma(samples))
 
 
 def bytes_as_audio(raw: bytes) -> np.ndarray:
@@ -107,16 +119,24 @@ def bytes_as_audio(raw: bytes) -> np.ndarray:
     return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
 
 
-PRINTS = "doc_id long, n_windows long, digest string, print binary"
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("n_windows", pa.int64()), ("digest", pa.string()), ("print", pa.binary())])
+PRINTS = "doc_id long, n_windows long, hop int, digest string, print binary, fine binary"
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("n_windows", pa.int64()), ("hop", pa.int32()), ("digest", pa.string()), ("print", pa.binary()), ("fine", pa.binary())])
+
+
+def _print(raw: bytes) -> tuple:
+    """(n_windows, hop, digest, print, fine): fine is the long recordings' second fingerprint; the digest is of the samples where there is no window."""
+    samples = bytes_as_audio(raw)
+    p = fingerprint(samples).tobytes()
+    if not p:
+        return 0, None, hashlib.sha256(b"samples" + raw).hexdigest() if raw else None, None, None
+    if len(samples) < SHORT:
+        return len(p) // 4, FINE_HOP, hashlib.sha256(b"fine" + p).hexdigest(), p, None
+    return len(p) // 4, HOP, hashlib.sha256(p).hexdigest(), p, fine_fingerprint(samples).tobytes()
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            p = fingerprint(bytes_as_audio(raw or b""))
-            rows.append((doc_id, len(p), hashlib.sha256(p.tobytes()).hexdigest() if len(p) else None, p.tobytes() if len(p) else None))
+        rows = [(doc_id, *_print(raw or b"")) for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _PRINTS)] if rows else [pa.array([], f.type) for f in _PRINTS], schema=_PRINTS)
 
 
@@ -125,29 +145,38 @@ class Queries:
 
     def __init__(self, prints: list[tuple[int, bytes]]):
         self.ids, self.prints = [i for i, _ in prints], [np.frombuffer(p, np.uint32) for _, p in prints]
-        size = [len(p) for p in self.prints]
+        size = self.size = np.array([len(p) for p in self.prints], np.int64)
         values = np.concatenate(self.prints) if prints else np.zeros(0, np.uint32)
         order = np.argsort(values, kind="stable")
         self.values, self.owner = values[order], np.repeat(np.arange(len(size)), size)[order]
         self.place = (np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size))[order] if prints else np.zeros(0, np.int64)
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self._short(values)] = True
+
+    @staticmethod
+    def _short(values: np.ndarray) -> np.ndarray:
+        return (values * np.uint32(0x9E3779B1)) >> np.uint32(10)
 
     def matches(self, own: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query, offset, run, bit errors): the best offset of each query that aligns with the fingerprint."""
-        lo, hi = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
+        at = np.flatnonzero(self.filter[self._short(own)])
+        lo, hi = np.searchsorted(self.values, own[at], "left"), np.searchsorted(self.values, own[at], "right")
         n = hi - lo
         hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         if not len(hit):
             return []
-        place = np.repeat(np.arange(len(own)), n)
+        place = np.repeat(at, n)
         key = self.owner[hit].astype(np.int64) << 32 | (place - self.place[hit] + (1 << 31))
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         votes = np.diff(np.concatenate((first, [len(key)])))
         best: dict[int, tuple[int, int, int, int]] = {}
-        for f, v in zip(first[votes >= LEAST_VOTES].tolist(), votes[votes >= LEAST_VOTES].tolist()):
+        shorter = np.minimum(self.size[key[first] >> 32], len(own))
+        enough = votes >= LEAST_VOTES
+        for f, v, least in zip(first[enough].tolist(), votes[enough].tolist(), np.minimum(LEAST_RUN, shorter[enough]).tolist()):
             q, offset, a, z = int(key[f] >> 32), int(key[f] & 0xFFFFFFFF) - (1 << 31), int(place[f]), int(place[f + v - 1])
-            if z - a + 1 >= LEAST_RUN and v > best.get(q, (0,))[0]:
+            if z - a + 1 >= least and v > best.get(q, (0,))[0]:
                 best[q] = (v, offset, a, z)
         out = []
         for q, (_, offset, a, z) in best.items():
@@ -157,43 +186,50 @@ class Queries:
         return out
 
 
-MATCH = "doc_id long, query_id long, offset long, run long, bit_errors double"
-_MATCH = pa.schema([("doc_id", pa.int64()), ("query_id", pa.int64()), ("offset", pa.int64()), ("run", pa.int64()), ("bit_errors", pa.float64())])
+MATCH = "doc_id long, query_id long, offset long, run long, bit_errors double, hop int"
+_MATCH = pa.schema([("doc_id", pa.int64()), ("query_id", pa.int64()), ("offset", pa.int64()), ("run", pa.int64()), ("bit_errors", pa.float64()), ("hop", pa.int32())])
 
 
 def _align(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    queries = Queries(shipped.value)
+    # two long recordings meet by the coarse fingerprint, all other pairs by the fine one
+    long = Queries([(i, p) for i, hop, p, _ in shipped.value if hop == HOP])
+    short = Queries([(i, p) for i, hop, p, _ in shipped.value if hop == FINE_HOP])
+    every = Queries([(i, p if hop == FINE_HOP else fine) for i, hop, p, fine in shipped.value])
     for batch in batches:
         rows = []
-        for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows += [(rep, *m) for m in queries.matches(np.frombuffer(raw, np.uint32)) if m[0] != rep]
+        for rep, own_hop, raw, fine in zip(*(c.to_pylist() for c in batch.columns)):
+            for queries, own, hop in [(every, raw, FINE_HOP)] if own_hop == FINE_HOP else [(long, raw, HOP), (short, fine, FINE_HOP)]:
+                rows += [(rep, *m, hop) for m in queries.matches(np.frombuffer(own, np.uint32)) if m[0] != rep]
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _MATCH)] if rows else [pa.array([], f.type) for f in _MATCH], schema=_MATCH)
 
 
 def align_recordings(recordings: DataFrame, key: str = "doc_id", audio: str = "text", every: int = 100, query_windows: int = QUERY_WINDOWS) -> DataFrame:
     """All rows as members of their classes, and pairs between the names of classes that align.
 
-    (doc_id, class_id, n_windows, digest, query_id, offset, run, bit_errors). Members: one row for each of the table, the
-    last four null. Pairs: doc_id is the name of a class, query_id the name of a class that a query is in; window w of the
-    query stands at window w + offset, over `run` windows.
+    (doc_id, class_id, n_windows, digest, query_id, offset, run, bit_errors, hop, group_id). Members: one row for each of the
+    table, query_id to bit_errors null; group_id is class_id, or without a window the smallest id of the same samples. Pairs:
+    doc_id is the name of a class, query_id the name of a class that a query is in; window w of the query stands at window
+    w + offset, over `run` windows. hop: samples from one window to the next.
     """
     base = recordings.select(F.col(key).cast("long").alias("doc_id"), F.col(audio).cast("binary").alias("audio"))
     prints = common.written(base.mapInArrow(_prints, PRINTS))
-    named = prints.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max(F.coalesce(F.col("doc_id") % every == 0, F.lit(False))).alias("asks"), F.first("n_windows").alias("n_windows"), F.first("print").alias("print"))
+    named = prints.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max(F.coalesce(F.col("doc_id") % every == 0, F.lit(False))).alias("asks"), *[F.first(c).alias(c) for c in ("n_windows", "hop", "print", "fine")])
     classes = common.written(named)
-    asked = classes.filter("asks")
-    blocks = max(1, -(-2 * (asked.agg(F.sum("n_windows")).first()[0] or 0) // query_windows))
-    searched = classes.filter("class_id is not null").select("class_id", "print")
+    asked = classes.filter("asks and n_windows > 0")
+    blocks = max(1, -(-2 * (asked.agg(F.sum(F.octet_length(F.coalesce("fine", "print")) / 4).cast("long")).first()[0] or 0) // query_windows))
+    searched = classes.filter("class_id is not null and n_windows > 0").select("class_id", "hop", "print", "fine")
     pairs = None
     for b in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == b)
-        shipped = recordings.sparkSession.sparkContext.broadcast([(r.class_id, bytes(r.print)) for r in own.select("class_id", "print").toLocalIterator()])
+        shipped = recordings.sparkSession.sparkContext.broadcast([(r.class_id, r.hop, bytes(r.print), r.fine and bytes(r.fine)) for r in own.select("class_id", "hop", "print", "fine").toLocalIterator()])
         found = searched.mapInArrow(lambda x, s=shipped: _align(x, s), MATCH)
         if blocks > 1:
             found = common.written(found)
             shipped.destroy()
         pairs = found if pairs is None else pairs.union(found)
-    members = prints.filter("digest is not null").join(classes.select("digest", "class_id"), "digest").select("doc_id", "class_id", "n_windows", "digest")
-    members = members.union(prints.filter("digest is null").select("doc_id", F.lit(None).cast("long"), "n_windows", "digest"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("offset", "long"), ("run", "long"), ("bit_errors", "double"))]
-    return members.select("*", *none).union(pairs.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("long"), F.lit(None).cast("string"), "query_id", "offset", "run", "bit_errors"))
+    none = lambda **columns: [F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+    missing = none(query_id="long", offset="long", run="long", bit_errors="double")
+    members = prints.filter("digest is not null").join(classes.select("digest", F.col("class_id").alias("group_id")), "digest")
+    members = members.select("doc_id", F.when(F.col("n_windows") > 0, F.col("group_id")).alias("class_id"), "n_windows", "digest", *missing, "hop", "group_id")
+    members = members.union(prints.filter("digest is null").select("doc_id", *none(class_id="long"), "n_windows", "digest", *missing, "hop", *none(group_id="long")))
+    return members.union(pairs.select("doc_id", F.col("doc_id").alias("class_id"), *none(n_windows="long", digest="string"), "query_id", "offset", "run", "bit_errors", "hop", F.col("doc_id").alias("group_id")))

@@ -57,3 +57,22 @@ def test_edge_cases(spark):
     rows = A.align_recordings(spark.createDataFrame([(None, "w" * 5000, 0), (7, "w" * 5000, 0), (7, "w" * 5000, 0), (100, None, 0), (200, "", 0), (300, "x" * 200, 0)], schema)).collect()
     assert len(rows) == 6 and sorted(x.class_id or 0 for x in rows) == [0, 0, 0, 7, 7, 7]
     assert A.align_recordings(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_short_recordings(spark):
+    text = lambda seed, n: np.random.default_rng(seed).integers(97, 123, n).astype(np.uint8).tobytes()
+    long, late = text(1, 5000), text(2, 5000)
+    data = {
+        100: text(3, 700), 101: text(3, 700), 102: text(3, 700)[:-60] + text(4, 60),  # a query, a copy, a near copy
+        200: long[1600:2000], 201: long,  # a short query within a long recording
+        300: late, 301: late[800:1200],  # and the other way about
+        400: text(5, 340), 401: text(5, 340) + text(6, 60),  # three windows
+        500: text(7, 1500), 501: text(8, 100), 502: text(8, 100), 503: text(9, 100), 504: b"",
+    }
+    df = spark.createDataFrame(list(data.items()), "doc_id long, text binary")
+    for windows in (A.QUERY_WINDOWS, 100):
+        rows = A.align_recordings(df, query_windows=windows).collect()
+        assert {(x.doc_id, x.query_id, x.offset) for x in rows if x.query_id is not None} == {(102, 100, 0), (201, 200, 100), (301, 300, -50), (401, 400, 0)}
+        own = {x.doc_id: x for x in rows if x.query_id is None}
+        assert {i: x.class_id for i, x in own.items()} == {i: None if i > 500 else 100 if i == 101 else i for i in data}
+        assert {i: x.group_id for i, x in own.items()} == {i: {101: 100, 502: 501, 504: None}.get(i, i) for i in data}
