@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[*range(9, 14)]] = 32
 
-FINDS = "doc_id long, item_id long, first_byte long, last_byte long, edits int, n_places int"
-_FINDS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64()), ("edits", pa.int32()), ("n_places", pa.int32())])
+FINDS = "doc_id long, item_id long, first_byte long, last_byte long, edits int, n_places int, text_hash long"
+_FINDS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64()), ("edits", pa.int32()), ("n_places", pa.int32()), ("text_hash", pa.int64())])
 
 
 def _gram_hashes(plain: np.ndarray, q: int) -> np.ndarray:
@@ -157,15 +158,13 @@ def _find(batches: Iterator[pa.RecordBatch], shipped, options: tuple) -> Iterato
                     own = best.setdefault((d, int(pieces.items[p])), [1 << 60, 0, 1 << 30, set()])
                     own[0], own[1], own[2] = min(own[0], a + lo - int(at[d])), max(own[1], a + hi - int(at[d])), min(own[2], edits)
                     own[3].add((p, a + lo))
-            rows += [(ids[first + d], item, x[0], x[1], x[2], len(x[3])) for (d, item), x in best.items()]
+            hashes = {d: xxhash.xxh64_intdigest(raw[at[d] : at[d + 1]].tobytes(), 42) for d, _ in best}  # as Spark's xxhash64
+            rows += [(ids[first + d], item, x[0], x[1], x[2], len(x[3]), hashes[d] - (hashes[d] >> 63 << 64)) for (d, item), x in best.items()]
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _FINDS)] if rows else [pa.array([], f.type) for f in _FINDS], schema=_FINDS)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", piece: int = PIECE, stride: int = STRIDE, least: int = LEAST, q: int = Q, edits: float = EDITS, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
-    """(doc_id, item_id, first_byte, last_byte, edits, n_places): one row for each text and item of which it holds a piece.
-
-    first_byte, last_byte: from the first such place to the end of the last. edits: of the piece that fits best.
-    """
+def _finds(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", piece: int = PIECE, stride: int = STRIDE, least: int = LEAST, q: int = Q, edits: float = EDITS, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
+    """The finds, with the hash of each text."""
     rows = common.base_columns(docs, key, text)
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (block_bytes // 2)))
@@ -179,7 +178,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     return out
 
 
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, item_id, first_byte, last_byte, edits, n_places): one row for each text and item of which it holds a piece.
+
+    first_byte, last_byte: from the first such place to the end of the last. edits: of the piece that fits best.
+    """
+    return _finds(docs, benchmark, key, text, **options).drop("text_hash")
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`docs` without the rows whose text holds a piece of a benchmark item; rows with a null id stay only if none does."""
-    hit = find_benchmark(docs, benchmark, key, text, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col(key).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """`docs` without the rows whose text holds a piece of a benchmark item.
+
+    Rows are found again by id and the hash of their text, so null and repeated ids do no harm.
+    """
+    hit = _finds(docs, benchmark, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(hit, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left_anti")

@@ -246,6 +246,14 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`docs` without the rows that link with one of smaller id, directly or by others; rows with a null id stay."""
-    others = ngram_join(docs, key, text, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(others, F.col(key).cast("long") == F.col("_id"), "left_anti")
+    """`docs` without the rows that link with one of smaller id, directly or by others; rows with a null id stay.
+
+    Rows go by a hash of id and text, so that of a repeated id each text is judged by itself; rows with both equal stay.
+    """
+    row, own = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")), F.col(key).cast("long")
+    base = docs.select(row.alias("_row"), own.alias("_id"), F.col(text).alias("_text"))
+    groups = ngram_join(base, "_row", "_text", **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    rows = common.written(groups.join(base.filter("_id is not null").select("_row", "_id").distinct(), "_row"))
+    first = rows.groupBy("_group").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    others = rows.join(first, "_group").filter("_row <> _first").select(F.col("_row").alias("_other"))
+    return docs.join(others, row == F.col("_other"), "left_anti")

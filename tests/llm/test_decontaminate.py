@@ -62,6 +62,14 @@ def test_against_brute_force(spark):
     assert {x.doc_id for x in without_benchmark(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_rows_of_a_null_or_repeated_id_are_judged_each(spark):
+    item = " ".join(f"word{i * i}" for i in range(30))
+    docs = [(i, t) for i in (None, 5) for t in ("clean é", "é said " + item, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, without_benchmark(df, bench).collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in docs if item not in (t or ""))
+    assert find_benchmark(df, bench).columns == ["doc_id", "item_id", "first_byte", "last_byte", "edits", "n_places"]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -58,6 +58,12 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id or 0) for r in one_of_each_group(df).collect()) == [0, 0, 4, 4]
 
 
+def test_rows_of_a_repeated_id_are_judged_each(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "q r s t u v w"), (3, "h i j k l m n"), (3, "H i j k l m n"), (None, "o p o p q q o")]
+    got = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == [(0, "o p o p q q o"), (1, "a b c d e f g"), (2, "q r s t u v w"), (3, "h i j k l m n")]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 5), (None, 3), (11, 11)]
     got = dict(components(spark.createDataFrame(links, "x long, y long")).collect())
