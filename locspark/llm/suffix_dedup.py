@@ -104,7 +104,7 @@ def _contexts(docs: pa.Table, seen: pa.Table, min_bytes: int, gram: int, n_bucke
                 own = found.get(key)
                 if own is None:
                     # a window of a hot anchor meets only equal windows, in a group of its own
-                    group = int(h[k]) if len(cut) == 1 else xxhash.xxh3_64_intdigest(key)
+                    group = int(h[k]) if times[k] <= hot_anchor else xxhash.xxh3_64_intdigest(key)
                     own = found[key] = [group, raw, [], []]
                 own[2].append(row)
                 own[3].append(at)

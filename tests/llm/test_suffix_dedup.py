@@ -47,6 +47,16 @@ def test_against_brute_force(spark, hot, block):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute(texts, 30)
 
 
+def test_windows_that_end_a_text_by_a_hot_anchor(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    once = [word(30) for _ in range(40)]
+    texts = once + [word(25) + x + word(25) for x in once]  # one window of the anchor, and a run of several
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sorted(suffix_dedup(df, min_bytes=30, hot_anchor=1, block_bytes=150).collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute(texts, 30)
+
+
 def test_suffix_order_is_a_suffix_array():
     r = random.Random(1)
     for alphabet in (b"ab", b"abcd", b"a"):
