@@ -1,25 +1,29 @@
 """Byte-pair pieces of a SentencePiece model: encoding by a table of last tokens, and decoding.
 
-The encoding of each prefix of a text ends in exactly one token. An automaton finds the pieces that end at a place; of
-these, the last token is the one that is compatible with the last token of the prefix before it: two tokens are
+The encoding of each prefix of a text ends in exactly one token. An automaton over the pieces finds those that end at a
+place; of these, the last token is the one that is compatible with the last token of the prefix before it: two tokens are
 compatible if merging their joined characters gives just the two back. From the table of last tokens the ids are
 recovered backwards, from the end of the text. No piece spans a change from other characters to the space mark or a
-line feed, so texts are handled as units between these, and the encodings of units are kept while a task runs.
+line feed, so texts are handled as units between these: the distinct units of a batch fill their tables side by side,
+place by place, and a unit over `LONG` characters by itself. Whether two tokens are compatible is kept in a table of
+bounded size, for as long as the worker lives.
 
 Merging takes the adjacent pair whose joined piece has the best score, the leftmost of equals. Characters that are no
 piece become the ids of their UTF-8 bytes. The model isn't trained here: its pieces come from a given file.
 
 Null texts are empty and have no ids. Texts of any length are one pass over their units. Repeated rows are encoded each;
-an empty table gives no rows.
+null and repeated ids do no harm, as each row is encoded by itself. Other columns, of whatever name, are left out. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,44 +32,105 @@ from pyspark.sql import functions as F
 from locspark.llm import common
 
 MARK = "▁"
-#: Units and pairs of tokens that a task keeps; beyond that it starts anew.
-KEPT_UNITS, KEPT_PAIRS = 200_000, 500_000
+#: Pairs of tokens whose compatibility is kept; beyond that the table starts anew.
+KEPT_PAIRS = 400_000
+#: Units of more characters are encoded one by one; of the others, so many at once.
+LONG, UNITS = 64, 1 << 16
+#: Bytes of text whose units are looked at together.
+TEXT_BYTES = 4 << 20
+
+
+class NumberTable:
+    """Values from 0 by non-negative 64-bit keys, for whole arrays at once: open addressing, linear probing."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for those without."""
+        at, mask = self._slots(keys), (1 << self.bits) - 1
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            slot = at[rest] = (at[rest] + 1) & mask
+            found = self.keys[slot]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[slot[hit]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct new keys."""
+        at, mask, rest = self._slots(keys), (1 << self.bits) - 1, np.arange(len(keys))
+        while len(rest):
+            slot = at[rest]
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[rest[free]]
+            own = free & (self.keys[slot] == keys[rest])
+            self.values[slot[own]] = values[rest[own]]
+            rest = rest[~own]
+            at[rest] = (at[rest] + 1) & mask
+        self.n += len(keys)
+
+    def clear(self) -> None:
+        self.keys.fill(-1)
+        self.n = 0
 
 
 class PieceModel:
-    """Pieces with scores, as a model file has them."""
+    """Pieces with scores, as a model file has them.
+
+    Tokens go by number: the pieces by id, then the start of a text, then characters without a piece by code point.
+    """
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
         """pieces: by id, (piece, score, kind) with kind 1 for ordinary pieces, 6 for bytes."""
-        self.pieces = pieces
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == 1}
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+            raise ValueError("pieces may have the space mark at their start only, and no line feed")
         scores = sorted({pieces[i][1] for i in self.ids.values()}, reverse=True)
         place = {x: k for k, x in enumerate(scores)}
         self.rank = {p: place[pieces[i][1]] for p, i in self.ids.items()}
         self.splits: dict[str, tuple | None] = {}
-        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6}
+        self.names, self.start, self.width = [p for p, _, _ in pieces] + [""], len(pieces), 1 << 22
+        self.sizes = np.array([len(x) for x in self.names], np.int32)
         self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(MARK, " ").encode() for p, _, kind in pieces]
-        self.automaton = ahocorasick.Automaton()
+        self.spelled = [str(i) for i in range(len(pieces))]
+        self.byte_ids = np.zeros(256, np.int32)
+        for i, (p, _, kind) in enumerate(pieces):
+            if kind == 6:
+                self.byte_ids[int(p[3:5], 16)] = i
+        self.pairs, self.single_pairs = NumberTable(20), {}
+        self._build_automaton()
+
+    def _build_automaton(self) -> None:
+        """States of the pieces' prefixes; an arc's key is its state's number times the alphabet, plus the character's code."""
+        alphabet = sorted({c for p in self.ids for c in p})
+        self.codes = np.zeros(0x110000, np.int32)
+        self.codes[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        code, self.alphabet = {c: k + 1 for k, c in enumerate(alphabet)}, len(alphabet) + 1
+        self.arcs: dict[int, int] = {}
+        ends = [-1]
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
-        # tokens by number: the pieces, the start of a text, and characters without a piece as they come
-        self.names, self.start, self.numbers, self.width = [p for p, _, _ in pieces] + [""], len(pieces), {}, 1 << 22
-        self.sizes, self.lengths = [len(x) for x in self.names], [1] * len(self.names)
-        self.spelled = [str(i) for i in range(len(self.names))]
-        self.raw.append(b"")
-        self.pairs: dict[int, bool] = {}
-        self.units: dict[str, tuple[str, int, str]] = {}
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
-            raise ValueError("pieces may have the space mark at their start only, and no line feed")
+            state = 0
+            for c in p:
+                key = state * self.alphabet + code[c]
+                state = self.arcs.setdefault(key, len(ends))
+                if state == len(ends):
+                    ends.append(-1)
+            ends[state] = i
+        self.ends, self.longest = np.array(ends, np.int32), max(map(len, self.ids), default=0)
+        self.arc_table = NumberTable(max(4, (2 * len(self.arcs)).bit_length()))
+        self.arc_table.put(np.fromiter(self.arcs, np.int64, len(self.arcs)), np.fromiter(self.arcs.values(), np.int32, len(self.arcs)))
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        kind = lambda i: 6 if sp.is_byte(i) else 3 if sp.is_control(i) else 2 if sp.is_unknown(i) else 1
-        return cls([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
+        return cls(load_pieces(path))
 
     def last_merge(self, token: str) -> tuple[str, str] | tuple[()] | None:
         """The two parts that a piece was last merged from: () for one character, None if merging doesn't give the piece."""
@@ -113,92 +178,232 @@ class PieceModel:
                 limit, b = self.rank[b] + 0.5, right[0]
         return True
 
-    def check(self, a: int, b: int) -> bool:
-        """If token b can follow token a (both by number), kept for later."""
-        if len(self.pairs) > KEPT_PAIRS:
-            self.pairs.clear()
-        out = self.pairs[a * self.width + b] = self.compatible(self.names[a], self.names[b])
-        return out
+    def name(self, token: int) -> str:
+        return self.names[token] if token <= self.start else chr(token - self.start - 1)
+
+    def fits(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """If each token can follow the one before it; answers are kept for later."""
+        # no merge reaches over a character without a piece: what follows is as at the start of a text
+        keys = np.minimum(before, self.start).astype(np.int64) * self.width + after
+        out = self.pairs.get(keys)
+        new = np.unique(keys[out < 0])
+        if len(new):
+            if self.pairs.n + len(new) > KEPT_PAIRS:
+                self.pairs.clear()
+            answers = np.array([self.compatible(self.names[k // self.width], self.names[k % self.width]) for k in new.tolist()], np.int32)
+            for a in range(0, len(new), KEPT_PAIRS // 2):
+                if self.pairs.n + len(new[a : a + KEPT_PAIRS // 2]) > KEPT_PAIRS:
+                    self.pairs.clear()
+                self.pairs.put(new[a : a + KEPT_PAIRS // 2], answers[a : a + KEPT_PAIRS // 2])
+            out[out < 0] = answers[np.searchsorted(new, keys[out < 0])]
+        return out > 0
 
-    def tokens(self, unit: str) -> list[int]:
-        """The tokens of a unit, by number, from the table of its prefixes' last tokens."""
+    def matches(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in a row of characters: (where, how long, which), by a walk of the automaton from every place.
+
+        left: how many characters there are from each place to the end of its unit.
+        """
+        alive, state, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
+        for size in range(1, self.longest + 1):
+            arcs = state * self.alphabet + codes[alive + size - 1]
+            state = self.arc_table.get(arcs).astype(np.int64)
+            on = state >= 0
+            alive, state = alive[on], state[on]
+            which = self.ends[state]
+            hit = which >= 0
+            found.append((alive[hit].astype(np.int32), np.full(int(hit.sum()), size, np.int32), which[hit]))
+            more = left[alive] > size
+            alive, state = alive[more], state[more]
+            if not len(alive):
+                break
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32),) * 3
+
+    def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of units one after the other, and where each unit's start and end in them."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        text = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        starts = np.cumsum(size) - size
+        unit = np.repeat(np.arange(len(units)), size)
+        codes, left = self.codes[text], (starts + size)[unit] - np.arange(len(text))
+        where, length, which = self.matches(codes, left)
+        # a unit of n characters has n + 1 places, from the one before its first character
+        first = starts + np.arange(len(units))
+        last = np.full(len(text) + len(units), -1, np.int32)
+        last[first] = self.start
+        bare = np.flatnonzero(codes == 0)
+        last[bare + unit[bare] + 1] = self.start + 1 + text[bare].astype(np.int32)
+        # by the number of characters before the end of the piece, the longest piece first
+        number = where - starts[unit[where]] + length
+        order = np.argsort((number * 64 + 63 - np.minimum(length, 63)).astype(np.uint16 if len(number) == 0 or number.max() < 1023 else np.int64), kind="stable")
+        end, length, which, number = (where + unit[where] + length)[order], length[order], which[order], number[order]
+        cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(length) != 0)) + 1
+        for a, z in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(end)])).tolist()):
+            at, piece = end[a:z], which[a:z]
+            open_ = last[at] < 0
+            at, piece = at[open_], piece[open_]
+            if len(at):
+                before = last[at - length[a]]
+                good = (before >= 0) & self.fits(np.maximum(before, 0), piece)
+                last[at[good]] = piece[good]
+        return self.backwards(last, first, size)
+
+    def backwards(self, last: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each unit, from the table of last tokens."""
+        at, own, steps = first + size, np.flatnonzero(size > 0), []
+        while len(own):
+            token = last[at[own]]
+            if (token < 0).any():
+                raise ValueError("the pieces aren't those of a byte-pair model: a prefix has no last token")
+            steps.append((own, token))
+            at[own] -= np.where(token < self.start, self.sizes[np.minimum(token, self.start)], 1)
+            own = own[at[own] > first[own]]
+        count = np.bincount(np.concatenate([x for x, _ in steps]), minlength=len(size)) if steps else np.zeros(len(size), np.int64)
+        edge = np.concatenate(([0], np.cumsum(count)))
+        out = np.empty(edge[-1], np.int32)
+        for k, (own, token) in enumerate(steps, 1):
+            out[edge[own + 1] - k] = token
+        return out, edge
+
+    def long_tokens(self, unit: str) -> list[int]:
+        """The tokens of one unit of any length, character by character."""
         n = len(unit)
-        last = [-1] * (n + 1)
+        last, codes, known = [-1] * (n + 1), self.codes[np.frombuffer(unit.encode("utf-32-le"), np.uint32)].tolist(), self.single_pairs
         last[0] = self.start
-        known, width, at = self.pairs.get, self.width, 1
-        for end, (piece, size) in self.automaton.iter(unit):
-            end += 1
-            while at < end:  # places where no piece ends
-                if last[at] < 0:
-                    self.single(unit, last, at)
-                at += 1
-            if last[end] < 0:
-                before = last[end - size]
-                if before >= 0:
-                    fits = known(before * width + piece)
-                    if fits or (fits is None and self.check(before, piece)):
-                        last[end] = piece
-        while at <= n:
-            if last[at] < 0:
-                self.single(unit, last, at)
-            at += 1
+        open_: list[list[tuple[int, int]]] = [[] for _ in range(self.longest + 1)]  # pieces that end so many characters on
+        for at in range(n):
+            if not codes[at]:
+                last[at + 1] = self.start + 1 + ord(unit[at])
+            state = 0
+            for size in range(1, min(self.longest, n - at) + 1):
+                state = self.arcs.get(state * self.alphabet + codes[at + size - 1], -1)
+                if state < 0:
+                    break
+                if self.ends[state] >= 0:
+                    open_[(at + size) % (self.longest + 1)].append((int(self.ends[state]), size))
+            ready = open_[(at + 1) % (self.longest + 1)]
+            for piece, size in ready:  # the longest began first
+                if last[at + 1] < 0 <= last[at + 1 - size]:
+                    key = min(last[at + 1 - size], self.start) * self.width + piece
+                    fits = known.get(key)
+                    if fits is None:
+                        if len(known) > KEPT_PAIRS // 4:
+                            known.clear()
+                        fits = known[key] = self.compatible(self.names[key // self.width], self.names[piece])
+                    if fits:
+                        last[at + 1] = piece
+            ready.clear()
         out = []
         while n:
+            if last[n] < 0:
+                raise ValueError("the pieces aren't those of a byte-pair model: a prefix has no last token")
             out.append(last[n])
-            n -= self.sizes[last[n]]
+            n -= int(self.sizes[last[n]]) if last[n] < self.start else 1
         return out[::-1]
 
-    def single(self, unit: str, last: list[int], at: int) -> None:
-        """A character without a piece as the last token, if it can follow."""
-        char = unit[at - 1]
-        i = self.numbers.get(char)
-        if i is None:
-            i = self.numbers[char] = len(self.names)
-            self.names.append(char)
-            ids = [self.byte_ids[b] for b in char.encode()]
-            self.sizes.append(1)
-            self.spelled.append(",".join(map(str, ids)))
-            self.lengths.append(len(ids))
-            self.raw.append(char.encode())
-        if last[at - 1] >= 0 and (self.pairs.get(last[at - 1] * self.width + i) or self.check(last[at - 1], i)):
-            last[at] = i
-
-    def unit(self, unit: str) -> tuple[str, int, str]:
-        """Ids joined by commas, how many, and the text decoded from them."""
-        tokens = self.tokens(unit)
-        if len(self.units) >= KEPT_UNITS:
-            self.units.clear()
-        out = self.units[unit] = (",".join([self.spelled[i] for i in tokens]), sum([self.lengths[i] for i in tokens]), b"".join([self.raw[i] for i in tokens]).decode())
-        return out
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's start and end in them."""
+        number = defaultdict(itertools.count().__next__)  # units by the order in which they come
+        counts, parts = [], []
+        for text in texts:
+            units = _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+            counts.append(len(units))
+            parts.append(np.fromiter(map(number.__getitem__, units), np.int32, len(units)))
+        which = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        units = list(number)
+        flat, edges = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        short = [i for i, u in enumerate(units) if len(u) <= LONG]
+        for a in range(0, len(short), UNITS):
+            tokens, edge = self.tokens([units[i] for i in short[a : a + UNITS]])
+            edges.append(edge[1:] + edges[-1][-1])
+            flat.append(tokens)
+        order = short
+        if len(short) < len(units):
+            long = [i for i, u in enumerate(units) if len(u) > LONG]
+            order = short + long
+            for i in long:
+                flat.append(np.array(self.long_tokens(units[i]), np.int32))
+                edges.append(edges[-1][-1:] + len(flat[-1]))
+        flat, edge, place = np.concatenate(flat), np.concatenate(edges), np.empty(len(units), np.int64)
+        place[np.array(order, np.int64)] = np.arange(len(units))
+        own = place[which]
+        size = edge[own + 1] - edge[own]
+        ends = np.cumsum(size)
+        tokens = flat[np.repeat(edge[own] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
+        return self.to_ids(tokens, at)
 
-    def encode(self, text: str) -> list[tuple[str, int, str]]:
-        if not text:
-            return []
-        get, make = self.units.get, self.unit
-        return [get(u) or make(u) for u in _UNIT.findall(MARK + text.replace(" ", MARK))]
+    def to_ids(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens as ids: characters without a piece become their bytes."""
+        bare = tokens > self.start
+        if not bare.any():
+            return tokens, at
+        points = tokens[bare] - self.start - 1
+        size = np.ones(len(tokens), np.int64)
+        size[bare] = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        out = np.repeat(tokens, size)
+        out[np.repeat(bare, size)] = self.byte_ids[np.frombuffer("".join(map(chr, points.tolist())).encode(), np.uint8)]
+        return out, np.concatenate(([0], np.cumsum(size)))[at]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: pieces and bytes joined, without the space mark before the first."""
+        return b"".join([self.raw[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
 _UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
+
+def load_pieces(path: str) -> list[tuple[str, float, int]]:
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    kind = lambda i: 6 if sp.is_byte(i) else 3 if sp.is_control(i) else 2 if sp.is_unknown(i) else 1
+    return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
+
+
+#: The model that this worker used last, by the digest of its pieces.
+_kept: dict[str, PieceModel] = {}
+
+
+def _model(name: str, pieces) -> PieceModel:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = PieceModel(pieces.value)
+    return _kept[name]
+
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
 
-def _encode(batches: Iterator[pa.RecordBatch], pieces, keep: bool) -> Iterator[pa.RecordBatch]:
-    model = PieceModel(pieces.value)
+def _runs(texts: pa.Array, size: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about `size` bytes of text."""
+    _, offsets = common.text_buffer(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def _encode(batches: Iterator[pa.RecordBatch], name: str, pieces, keep: bool) -> Iterator[pa.RecordBatch]:
+    model = _model(name, pieces)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                units = model.encode(text)
-                ids, decoded = ",".join([u[0] for u in units]), "".join([u[2] for u in units])[1:]
-                rows.append((doc_id, sum([u[1] for u in units]), sha(ids), sha(decoded), np.fromstring(ids, np.int32, sep=",") if keep else None, decoded if keep else None))
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
-    # the worker goes on to other tasks: nothing of this one stays
-    del model
-    common.give_back()
+        for first, last in _runs(batch.column(1)):
+            part = batch.slice(first, last - first)
+            ids, at = model.encode(part.column(1).to_pylist())
+            spelled, decoded = [], []
+            for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                own = ids[a:z].tolist()
+                spelled.append(sha(",".join([model.spelled[i] for i in own])))
+                text = model.decode(own)
+                decoded.append((sha(text), text if keep else None))
+            none = [None] * len(part)
+            yield pa.record_batch([
+                part.column(0), pa.array(np.diff(at)), pa.array(spelled, pa.string()), pa.array([x for x, _ in decoded], pa.string()),
+                pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())) if keep else pa.array(none, pa.list_(pa.int32())), pa.array([x for _, x in decoded] if keep else none, pa.string()),
+            ], schema=_RESULT)
+            del ids, spelled, decoded
+            common.give_back()
 
 
 def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
@@ -206,5 +411,7 @@ def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
 
     The model's pieces, of fixed number, are sent to the executors.
     """
-    pieces = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path).pieces)
-    return common.base_columns(docs, key, text).mapInArrow(lambda b: _encode(b, pieces, keep), RESULT)
+    found = load_pieces(model_path)
+    name = hashlib.sha256(repr(found).encode()).hexdigest()
+    pieces = docs.sparkSession.sparkContext.broadcast(found)
+    return common.base_columns(docs, key, text).mapInArrow(lambda b: _encode(b, name, pieces, keep), RESULT)

@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
-from locspark.llm.piece_encoding import PieceModel, encode_pieces
+from locspark.llm.piece_encoding import NumberTable, PieceModel, encode_pieces
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,7 +47,31 @@ def test_pieces_of_the_model_come_back():
     model, sp = PieceModel.load(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
     for p in list(model.ids)[::37]:
         text = p.replace("▁", " ")
-        assert ",".join(u[0] for u in model.encode(text)) == ",".join(map(str, sp.encode(text)))
+        assert model.encode([text])[0].tolist() == sp.encode(text)
+
+
+def test_long_and_short_units_alike():
+    model, r = PieceModel.load(PATH), random.Random(5)
+    units = ["▁" * r.randint(0, 3) + "".join(r.choice(["a", "e", "the", "é", "中", "𝔘", "X", "ing", "er"]) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    flat, edge = model.tokens(units)
+    assert [flat[a:z].tolist() for a, z in zip(edge, edge[1:])] == [model.long_tokens(u) for u in units]
+
+
+def test_number_table():
+    r, table = np.random.default_rng(1), NumberTable(12)
+    keys = np.unique(r.integers(0, 1 << 40, 3000))
+    table.put(keys, np.arange(len(keys), dtype=np.int32))
+    assert table.get(keys).tolist() == list(range(len(keys))) and (table.get(keys + (1 << 41)) == -1).all()
+    table.clear()
+    assert (table.get(keys) == -1).all()
+
+
+def test_a_very_long_text(spark):
+    text = "word and other word " * 60_000 + "x" * 100_000
+    data = [(1, text), (1, text), (None, "a b")]
+    got = encode_pieces(spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, n_tokens string"), PATH).collect()
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert sorted(r.ids for r in got) == sorted(sp.encode(t) for _, t in data) and sorted(r.decoded for r in got) == sorted(t for _, t in data)
 
 
 def test_empty_table(spark):
