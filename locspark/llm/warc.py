@@ -8,7 +8,8 @@ version line, headers, lengths and payload digests; anything wrong raises ValueE
 Of records with equal payloads of at least `min_revisit` bytes, that with the largest page_id is the response and holds
 the payload; the others are revisits that refer to it. Null payloads are empty. Rows with a null page_id are archived,
 and refer to others, but no record refers to them, unless all rows of that payload have none, when all are responses.
-Repeated rows of the response's id are all responses. An empty table gives no archives and no rows.
+Repeated rows of the response's id are all responses. Columns but page_id, url and html, of whatever name, are left out.
+An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +31,23 @@ DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES = 4 << 20
 #: The dictionary is trained on so many payloads at most, of so many bytes of each.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 16 << 10, 300, 8 << 10
+#: Payloads that make up more than one in so many pages are hot; there can't be more of them than that.
+HOT_PAYLOADS = 1000
 DATE = "2020-01-01T00:00:00Z"
 LEVEL = 3
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary of the `SAMPLE_ROWS` pages with the smallest hash of their url and payload; empty if they are too few."""
-    rows = pages.select(F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("url", "html").alias("h")).orderBy("h", "html").limit(SAMPLE_ROWS).select(F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("x")).collect()
+    """A dictionary of the `SAMPLE_ROWS` pages with the smallest hash of id and url; empty if they are too few.
+
+    The driver gets the hashes first, then of the pages up to the last of them so many bytes at most.
+    """
+    hashed = pages.withColumn("h", F.xxhash64("page_id", "url"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    start = F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8")
+    rows = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min(start).alias("x")).orderBy("h").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.x) for r in rows if len(r.x) > 64]).as_bytes()
     except zstandard.ZstdError:
@@ -97,8 +108,13 @@ def write_archives(pages: DataFrame, min_revisit: int = 0, archive_bytes: int =
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     dictionary = train_dictionary(pages)
     marked = pages.withColumn("payload", F.sha1("html"))
-    responses = marked.filter(F.octet_length("html") >= min_revisit).groupBy("payload").agg(F.max("page_id").alias("response"))
-    joined = marked.join(responses, "payload", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("response")), None).otherwise(F.col("response")).alias("refers_to"))
+    responses = common.written(marked.filter(F.octet_length("html") >= min_revisit).groupBy("payload").agg(F.max("page_id").alias("response"), F.count("*").alias("n")))
+    # a payload of very many pages is looked up in a broadcast table of at most `HOT_PAYLOADS` rows; its pages are dealt by id
+    total = responses.agg(F.sum("n")).first()[0] or 0
+    hot = responses.filter(F.col("n") * HOT_PAYLOADS > total).select("payload", F.col("response").alias("hot"), F.lit(True).alias("is_hot"))
+    spread = marked.join(F.broadcast(hot), "payload", "left").withColumn("dealt", F.when(F.col("is_hot"), F.concat_ws(" ", "payload", F.xxhash64("page_id", "url"))).otherwise(F.col("payload")))
+    found = spread.join(responses.select(F.col("payload").alias("dealt"), "response"), "dealt", "left").withColumn("response", F.coalesce("hot", "response"))
+    joined = found.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("response")), None).otherwise(F.col("response")).alias("refers_to"))
     # a revisit holds no payload, only its length and digest, but both are taken from the full text
     return joined.mapInArrow(lambda b: _write(b, dictionary, archive_bytes), "archive string, bytes binary")
 
