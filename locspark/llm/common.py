@@ -32,14 +32,19 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of its own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="locspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        at = _own_dirs[app] = _own_dirs.get(app) or "file://" + tempfile.mkdtemp(prefix="locspark-")
     return at
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -88,11 +93,15 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-total // block_bytes))
 
 
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """`df` dealt by `key` into a partition for each of its `n` values, or the session's number of partitions where that is more."""
+    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 8 else 8), key)
+
+
 def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
     """(block, doc_id, text) dealt by block; equal plans share one shuffle."""
-    parts = max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n_blocks > 8 else 8)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    return docs.select(block.alias("block"), "doc_id", "text").repartition(parts, "block")
+    return dealt(docs.select(block.alias("block"), "doc_id", "text"), n_blocks, "block")
 
 
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +131,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class NumberTable:
+    """Values from 0 by non-negative 64-bit keys, for whole arrays at once: open addressing, linear probing."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for those without."""
+        at, mask = self._slots(keys), (1 << self.bits) - 1
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            slot = at[rest] = (at[rest] + 1) & mask
+            found = self.keys[slot]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[slot[hit]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct new keys."""
+        at, mask, rest = self._slots(keys), (1 << self.bits) - 1, np.arange(len(keys))
+        while len(rest):
+            slot = at[rest]
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[rest[free]]
+            own = free & (self.keys[slot] == keys[rest])
+            self.values[slot[own]] = values[rest[own]]
+            rest = rest[~own]
+            at[rest] = (at[rest] + 1) & mask
+        self.n += len(keys)
+
+    def clear(self) -> None:
+        self.keys.fill(-1)
+        self.n = 0
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -230,7 +281,7 @@ def count_keys(blocks: DataFrame, extract: Callable[[pa.Table], list[tuple[int,
         return joined([requests(k, c.astype(np.uint32), block, kind, n_buckets) for kind, k, c in extract(table)], _REQUEST)
 
     asked = blocks.groupBy("block").applyInArrow(lambda t: ask(t), REQUEST)
-    return asked.groupBy("bucket", "kind").applyInArrow(lambda t: _answer(t), RESPONSE)
+    return dealt(asked, n_buckets, "bucket").groupBy("bucket", "kind").applyInArrow(lambda t: _answer(t), RESPONSE)
 
 
 def answers(table: pa.Table, kind: int) -> np.ndarray:

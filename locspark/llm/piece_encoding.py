@@ -40,48 +40,6 @@ LONG, UNITS = 64, 1 << 16
 TEXT_BYTES = 4 << 20
 
 
-class NumberTable:
-    """Values from 0 by non-negative 64-bit keys, for whole arrays at once: open addressing, linear probing."""
-
-    def __init__(self, bits: int):
-        self.bits, self.n = bits, 0
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key, -1 for those without."""
-        at, mask = self._slots(keys), (1 << self.bits) - 1
-        found = self.keys[at]
-        out = np.where(found == keys, self.values[at], -1)
-        rest = np.flatnonzero((found != keys) & (found >= 0))
-        while len(rest):
-            slot = at[rest] = (at[rest] + 1) & mask
-            found = self.keys[slot]
-            hit = found == keys[rest]
-            out[rest[hit]] = self.values[slot[hit]]
-            rest = rest[~hit & (found >= 0)]
-        return out
-
-    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Adds distinct new keys."""
-        at, mask, rest = self._slots(keys), (1 << self.bits) - 1, np.arange(len(keys))
-        while len(rest):
-            slot = at[rest]
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = keys[rest[free]]
-            own = free & (self.keys[slot] == keys[rest])
-            self.values[slot[own]] = values[rest[own]]
-            rest = rest[~own]
-            at[rest] = (at[rest] + 1) & mask
-        self.n += len(keys)
-
-    def clear(self) -> None:
-        self.keys.fill(-1)
-        self.n = 0
-
-
 class PieceModel:
     """Pieces with scores, as a model file has them.
 
@@ -105,7 +63,7 @@ class PieceModel:
         for i, (p, _, kind) in enumerate(pieces):
             if kind == 6:
                 self.byte_ids[int(p[3:5], 16)] = i
-        self.pairs, self.single_pairs = NumberTable(20), {}
+        self.pairs, self.single_pairs = common.NumberTable(20), {}
         self._build_automaton()
 
     def _build_automaton(self) -> None:
@@ -125,7 +83,7 @@ class PieceModel:
                     ends.append(-1)
             ends[state] = i
         self.ends, self.longest = np.array(ends, np.int32), max(map(len, self.ids), default=0)
-        self.arc_table = NumberTable(max(4, (2 * len(self.arcs)).bit_length()))
+        self.arc_table = common.NumberTable(max(4, (2 * len(self.arcs)).bit_length()))
         self.arc_table.put(np.fromiter(self.arcs, np.int64, len(self.arcs)), np.fromiter(self.arcs.values(), np.int32, len(self.arcs)))
 
     @classmethod

@@ -20,7 +20,7 @@ def piece_model_path() -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept", "text_hash")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept", "kept_text", "text_hash")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ together without a global sort, every window of `min_bytes` bytes owns an anchor
 `GRAM` bytes within it, the rightmost of equals. Equal windows have equal anchors at equal offsets, so:
 
 1. anchors are counted over the corpus; only windows whose anchor occurs twice can repeat,
-2. the windows of one such anchor form a context (a run of starts and the bytes under them); equal contexts of a block
-   are sent once, with their places,
-3. contexts that share anchors meet in one task, which sorts their suffixes in two stages: those smaller than their
-   successor directly, the others by scans over the buckets of first bytes; windows repeat where neighbours in the
-   sorted order have `min_bytes` bytes in common,
+2. the windows of one such anchor form a context (a run of starts and the bytes under them); equal contexts are merged
+   with a count before the sort, in their block and where they meet, so that copies are sorted once: all windows of a
+   context that stands at two places repeat by that count alone,
+3. contexts that share anchors meet in one task, which sorts the suffixes of the distinct ones in two stages: those smaller
+   than their successor directly, the others by scans over the buckets of first bytes; windows repeat where neighbours in
+   the sorted order have `min_bytes` bytes in common,
 4. the intervals go back to their documents.
 
 An anchor that occurs over `hot_anchor` times (a passage in very many documents) isn't gathered in one task: its windows
@@ -237,12 +238,12 @@ def _sort_bucket(table: pa.Table, min_bytes: int) -> pa.Table:
     return pa.table([pa.array(list(out), pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3))], schema=_INTERVAL)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_hash long, kept binary"
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_hash", pa.int64()), ("kept", pa.binary())])
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_hash long, kept binary, kept_text string"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_hash", pa.int64()), ("kept", pa.binary()), ("kept_text", pa.string())])
 
 
 @common.frugal
-def _cut(docs: pa.Table, intervals: pa.Table, keep_bytes: bool) -> pa.Table:
+def _cut(docs: pa.Table, intervals: pa.Table, keep_bytes: bool, keep_text: bool) -> pa.Table:
     if not docs.num_rows:
         return _RESULT.empty_table()
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in intervals[name].to_pylist()] or [np.zeros(0, kind)])
@@ -260,14 +261,15 @@ def _cut(docs: pa.Table, intervals: pa.Table, keep_bytes: bool) -> pa.Table:
             gone = np.cumsum(cover[:-1]) > 0
             removed, n_spans = int(gone.sum()), int((np.diff(np.concatenate(([False], gone)).astype(np.int8)) > 0).sum())
             kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-        out.append((doc_id, len(t), removed, n_spans, hashlib.sha256(kept).hexdigest(), _signed(xxhash.xxh64_intdigest(t, 42)), kept if keep_bytes else None))
+        out.append((doc_id, len(t), removed, n_spans, hashlib.sha256(kept).hexdigest(), _signed(xxhash.xxh64_intdigest(t, 42)), kept if keep_bytes else None, kept.decode("utf-8", "ignore") if keep_text else None))
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), _RESULT)], schema=_RESULT)
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = 200, keep_bytes: bool = True, gram: int | None = None, hot_anchor: int = HOT_ANCHOR, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row: what is left without repeated passages.
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = 200, keep_bytes: bool = True, keep_text: bool = False, gram: int | None = None, hot_anchor: int = HOT_ANCHOR, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_hash, kept, kept_text) of each row: what is left without repeated passages.
 
-    kept: the remaining bytes (null with keep_bytes=False). A cut can fall within a character, so it is binary.
+    kept: the remaining bytes (null with keep_bytes=False). A cut can fall within a character, so it is binary; kept_text (null
+    unless keep_text) is without the bytes of such a character. text_hash: Spark's xxhash64 of the text.
     """
     gram = gram or min(GRAM, max(1, min_bytes // 3))
     base = common.base_columns(docs, key, text)
@@ -275,17 +277,18 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_b
     blocks = common.in_blocks(base, n)
     seen = common.count_keys(blocks, lambda t: _anchors(t, min_bytes, gram), n)
     contexts = blocks.groupBy("block").cogroup(seen.select("block", "bucket", "kind", "answer").groupBy("block")).applyInArrow(lambda d, s: _contexts(d, s, min_bytes, gram, 2 * n, hot_anchor), CONTEXT)
-    intervals = contexts.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, min_bytes), INTERVAL)
-    return blocks.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(lambda d, i: _cut(d, i, keep_bytes), RESULT)
+    intervals = common.dealt(contexts, 2 * n, "bucket").groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, min_bytes), INTERVAL)
+    return blocks.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(lambda d, i: _cut(d, i, keep_bytes, keep_text), RESULT)
 
 
 def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with the repeated passages cut out of `text`; other columns and the number of rows as they are.
 
-    Rows are found again by id and the hash of their text (Spark's xxhash64), so repeated ids do no harm. Bytes of a
-    character that was cut in two go; a null text stays null.
+    Rows are found again by id and the hash of their text (Spark's xxhash64), so repeated ids do no harm, nor do other
+    columns of whatever name. Bytes of a character that was cut in two go; a null text stays null.
     """
-    whole = F.expr("make_valid_utf8(cast(kept as string))")
-    clean = suffix_dedup(docs, key, text, **options).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.regexp_replace(whole, "\ufffd", "").alias("_kept")).dropDuplicates(["_id", "_hash"])
-    out = docs.join(clean, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left")
-    return out.withColumn(text, F.coalesce("_kept", text)).select(docs.columns)
+    own = F.struct(*docs.columns).alias("row")  # the table's columns stay apart from those of the join
+    clean = suffix_dedup(docs, key, text, keep_bytes=False, keep_text=True, **options).filter("n_removed > 0").select("doc_id", "text_hash", F.col("kept_text").alias("kept")).dropDuplicates(["doc_id", "text_hash"])
+    rows = docs.select(own, F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    out = rows.join(clean, rows.id.eqNullSafe(clean.doc_id) & (rows.hash == clean.text_hash), "left")
+    return out.select(*(F.coalesce("kept", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from locspark.llm.piece_encoding import NumberTable, PieceModel, encode_pieces
+from locspark.llm.common import NumberTable
+from locspark.llm.piece_encoding import PieceModel, encode_pieces
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("piece_bpe_32k.model")

@@ -4,11 +4,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from locspark.llm.suffix_dedup import dedup_documents, suffix_dedup, suffix_order
 
 
-def brute(texts, length):
+def removed(texts, length):
     places = defaultdict(list)
     raw = [(t or "").encode() for t in texts]
     for d, t in enumerate(raw):
@@ -19,8 +20,12 @@ def brute(texts, length):
         if len(x) > 1:
             for d, i in x:
                 gone[d][i : i + length] = True
+    return gone
+
+
+def brute(texts, length):
     out = []
-    for t, g in zip(raw, gone):
+    for t, g in zip([(t or "").encode() for t in texts], removed(texts, length)):
         kept = bytes(b for b, x in zip(t, g) if not x)
         out.append((len(t), int(g.sum()), int((np.diff(np.concatenate(([0], g.astype(int)))) > 0).sum()), hashlib.sha256(kept).hexdigest()))
     return out
@@ -39,7 +44,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot,block", [(100_000, 600), (3, 600), (100_000, 1 << 20)])
+@pytest.mark.parametrize("hot,block", [(100_000, 600), (3, 600), (1, 600), (100_000, 1 << 20)])
 def test_against_brute_force(spark, hot, block):
     texts = corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -57,6 +62,16 @@ def test_windows_that_end_a_text_by_a_hot_anchor(spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute(texts, 30)
 
 
+def test_one_shared_window_and_a_text_that_is_just_it(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = [t for x in (word(30) for _ in range(100)) for t in (x, word(40) + x)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for hot in (1, 100_000):
+        rows = sorted(suffix_dedup(df, min_bytes=30, hot_anchor=hot, block_bytes=200).collect())
+        assert [r.n_removed >= 30 for r in rows] == [True] * len(texts) and [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute(texts, 30)
+
+
 def test_suffix_order_is_a_suffix_array():
     r = random.Random(1)
     for alphabet in (b"ab", b"abcd", b"a"):
@@ -76,4 +91,14 @@ def test_edge_cases(spark):
     got = suffix_dedup(df).collect()
     assert len(got) == 4 and sum(r.n_removed == r.n_bytes > 0 for r in got) == 3
     out = dedup_documents(df)
-    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, [(None, "", 1, "q"), (5, "", 2, "q"), (5, "", 2, "q"), (7, None, 3, None)])) or {r.text for r in out.collect()} == {"", None}
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, [Row(doc_id=i, text=t, block=b, bytes=q) for i, t, b, q in [(None, "", 1, "q"), (5, "", 2, "q"), (5, "", 2, "q"), (7, None, 3, None)]]))
+
+
+def test_text_outside_the_passages_and_clashing_columns_stay(spark):
+    passage = "é".join(f"passage {i}" for i in range(40))
+    rows = [(1, "\ufffd one " + passage, "a", 1), (2, "two " + passage + " \ufffd", "b", 2), (3, "three \ufffd", "c", 3)]
+    out = dedup_documents(spark.createDataFrame(rows, "doc_id long, text string, _id string, kept int"))
+    texts = {r.doc_id: r.text for r in out.collect()}
+    want = [bytes(b for b, g in zip(t.encode(), gone) if not g).decode("utf-8", "ignore") for (_, t, *_), gone in zip(rows, removed([t for _, t, *_ in rows], 200))]
+    assert texts == {1: want[0], 2: want[1], 3: want[2]} and "\ufffd" in texts[1] and "\ufffd" in texts[2]
+    assert sorted((r.doc_id, r._id, r.kept) for r in out.collect()) == [(1, "a", 1), (2, "b", 2), (3, "c", 3)]
