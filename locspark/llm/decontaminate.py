@@ -1,19 +1,22 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Benchmark texts are cut into pieces of about `piece` bytes (the last one ends with the text), so that parts of an item
-are found too. A piece of m bytes with k edits at most shares m - q + 1 - k q or more q-grams with the place where it
-stands, all within k diagonals. So for each text
+Benchmark texts are cut into pieces of about `piece` bytes, one every `stride` bytes (the last one ends with the text), so
+that parts of an item are found too; shorter items are one piece. A piece of m bytes with k edits at most shares
+m - q + 1 - k q or more q-grams with the place where it stands, all within k + 1 neighbouring diagonals. So for each text
 
 1. the hashes of all its q-grams are looked up among those of the pieces,
-2. hits are counted in overlapping bands of diagonals; a band under the bound is dropped, for good reason: it can't hold
-   the piece within the edit budget,
-3. what is left is verified by an alignment within the band.
+2. hits are counted in overlapping bands of 2 k + 2 diagonals; a band under the bound is dropped, for good reason: it can't
+   hold the piece within the edit budget,
+3. what is left is verified by an alignment within the band, many bands side by side.
 
 Texts are compared lower-cased (A-Z), any white-space byte as a space. The pieces are sent to the executors in blocks of
 at most `block_bytes` of benchmark text, one pass over the documents for each, so a benchmark of any size is handled.
 
-Null, empty and short texts hold no piece. Items shorter than `least` bytes after that are too common to tell anything
-and are left out. Repeated rows are judged each. An empty table, or no benchmark, gives no finds.
+Null and empty texts hold no piece, null and empty items have none. An item under q bytes is looked up by grams of its own
+length, and an item under `word` bytes counts only as it is, where no letter or digit stands before or after it. Items with a null
+id are found like others, with a null item_id; texts of one item id are one item. Repeated rows, and rows of null or
+repeated ids, are judged each. Texts of any length are read whole. Other columns, of whatever name, stay out of the
+search. An empty table, or no benchmark, gives no finds.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ from pyspark.sql import functions as F
 
 from locspark.llm import common
 
-PIECE, STRIDE, LEAST, Q, EDITS = 100, 50, 60, 10, 0.06
+PIECE, STRIDE, WORD, Q, EDITS = 100, 25, 40, 8, 0.1
 BENCHMARK_BLOCK = 4 << 20
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[*range(9, 14)]] = 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 FINDS = "doc_id long, item_id long, first_byte long, last_byte long, edits int, n_places int, text_hash long"
 _FINDS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64()), ("edits", pa.int32()), ("n_places", pa.int32()), ("text_hash", pa.int64())])
@@ -54,18 +59,16 @@ def _gram_hashes(plain: np.ndarray, q: int) -> np.ndarray:
 
 
 class Pieces:
-    """The pieces of a block of benchmark items, indexed by the hashes of their q-grams."""
+    """The pieces of a block of benchmark items that have grams of one length, indexed by the hashes of their grams."""
 
-    def __init__(self, items: list[tuple[int, bytes]], piece: int, stride: int, least: int, q: int, edits: float):
-        self.q, self.items, self.raw, self.budget, self.bound = q, [], [], [], []
+    def __init__(self, items: list[tuple[int | None, bytes]], piece: int, stride: int, word: int, q: int, edits: float):
+        self.q, self.items, self.raw, self.budget, self.bound, self.alone = q, [], [], [], [], []
         hashes, which, offset = [], [], []
         for item, raw in items:
             plain = _PLAIN[np.frombuffer(raw, np.uint8)]
-            if len(plain) < max(least, q):
-                continue
             for a in sorted({*range(0, max(1, len(plain) - piece + 1), stride), max(0, len(plain) - piece)}):
                 p = plain[a : a + piece]
-                k = int(edits * len(p))
+                k = int(edits * len(p)) if len(plain) >= word else 0
                 while k and len(p) - q + 1 - k * q < 4:
                     k -= 1
                 h = _gram_hashes(p, q)
@@ -76,17 +79,35 @@ class Pieces:
                 self.raw.append(p)
                 self.budget.append(k)
                 self.bound.append(len(p) - q + 1 - k * q)
+                self.alone.append(len(plain) < word)
         empty = np.zeros(0, np.int64)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes, self.which, self.offset = h[order], np.concatenate(which or [empty])[order], np.concatenate(offset or [empty])[order]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.hashes & common.U64((1 << 20) - 1)] = True
-        self.budget, self.bound, self.items = np.array(self.budget, np.int64), np.array(self.bound, np.int64), np.array(self.items, np.int64)
+        self.budget, self.bound, self.alone = np.array(self.budget, np.int64), np.array(self.bound, np.int64), np.array(self.alone, bool)
+        self.size = np.array([len(p) for p in self.raw], np.int64)
+
+    @classmethod
+    def all_of(cls, items: list[tuple[int | None, bytes]], piece: int, stride: int, word: int, q: int, edits: float) -> list[Pieces]:
+        """The pieces by the length of their grams (q, or the length of the item where that is less), those of short items apart."""
+        groups: dict[tuple[int, bool], list] = {}
+        for i, raw in items:
+            if raw:
+                groups.setdefault((min(q, len(raw)), len(raw) < word), []).append((i, raw))
+        return [cls(own, piece, stride, word, g, edits) for (g, _), own in sorted(groups.items(), key=lambda x: x[0])]
 
     def bands(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bands that reach the bound: text, piece, first diagonal (in the bytes of the batch)."""
         at = np.flatnonzero(self.filter[h & common.U64((1 << 20) - 1)])
+        # a band's hits stand at as many places as its bound says, no farther apart than a piece and its edits reach
+        few, far = int(self.bound.min()), int((self.size + 2 * self.budget).max())
+        dense = np.zeros(len(at) + 1, np.int32)
+        close = np.flatnonzero(at[few - 1 :] - at[: len(at) - few + 1] <= far) if len(at) >= few else np.zeros(0, np.int64)
+        np.add.at(dense, close, 1)
+        np.add.at(dense, close + few, -1)
+        at = at[np.cumsum(dense[:-1]) > 0]
         lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
         n = hi - lo
         hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -110,60 +131,96 @@ class Pieces:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def banded(piece: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """Fewest edits between the piece and any part of the text, if within the budget: (edits, start, end).
+def banded(pieces: np.ndarray, stretch: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fewest edits between each piece and a part of its stretch of text within the band: (edits, start, end).
 
-    One row of the alignment for each byte of the piece, all diagonals of the text's stretch at once.
+    pieces: (n, m) bytes. stretch: (n, m + w - 1) bytes, or -1 beyond the text; diagonal t of the w in the band sets byte i of
+    the piece against place t + i. An alignment starts on any diagonal of the band, with no edit yet, and stays within it.
+    Edits over the budget are only known to be over it.
     """
-    n = len(text)
-    cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for c in piece.tolist():
-        new, begin = cost + 1, start.copy()
-        swap = cost[:-1] + (text != c)
-        better = swap <= new[1:]
-        new[1:][better], begin[1:][better] = swap[better], start[:-1][better]
-        # a run of skipped text bytes: the least of new[j] + (i - j) over j <= i
-        lead = new - steps
-        low = np.minimum.accumulate(lead)
-        origin = np.maximum.accumulate(np.where(lead == low, steps, 0))
-        cost, start = low + steps, begin[origin]
-        if cost.min() > budget:
-            return None
-    end = int(cost.argmin())
-    return int(cost[end]), int(start[end]), end
+    n, m = pieces.shape
+    w = stretch.shape[1] - m + 1
+    steps = np.arange(w, dtype=np.int32)
+    cost, start = np.zeros((n, w), np.int32), np.broadcast_to(steps, (n, w)).copy()
+    edits, left, right = np.full(n, budget + 1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    alive = np.arange(n)
+    for i in range(m):
+        swap = cost + (stretch[:, i : i + w] != pieces[:, i : i + 1])
+        # a byte of the piece that the text lacks: from the next diagonal
+        drop = np.concatenate((cost[:, 1:] + 1, np.full((len(cost), 1), budget + 2, np.int32)), 1)
+        from_next = drop < swap
+        cost = np.where(from_next, drop, swap)
+        start = np.where(from_next, np.concatenate((start[:, 1:], start[:, -1:]), 1), start)
+        # a run of text bytes that the piece lacks: the least of cost[s] + (t - s) over s <= t
+        lead = cost - steps
+        low = np.minimum.accumulate(lead, 1)
+        origin = np.maximum.accumulate(np.where(lead == low, steps, 0), 1)
+        cost, start = low + steps, np.take_along_axis(start, origin, 1)
+        if i % 16 == 15:
+            on = cost.min(1) <= budget
+            if not on.all():
+                alive, cost, start, pieces, stretch = alive[on], cost[on], start[on], pieces[on], stretch[on]
+                if not len(alive):
+                    break
+    if len(alive):
+        end = cost.argmin(1)
+        row = np.arange(len(alive))
+        edits[alive], left[alive], right[alive] = cost[row, end], start[row, end], end + m
+    return edits, left, right
+
+
+#: Bands that are aligned side by side.
+BANDS = 4096
+
+
+def _aligned(pieces: Pieces, plain: np.ndarray, at: np.ndarray, doc: np.ndarray, piece: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Bands that hold their piece within its budget: (text, piece, edits, start, end)."""
+    out = []
+    kind = pieces.size[piece] << 20 | pieces.budget[piece]
+    for x in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == x)
+        m, k = x >> 20, x & ((1 << 20) - 1)
+        for a in range(0, len(own), BANDS):
+            d, p, first = doc[own[a : a + BANDS]], piece[own[a : a + BANDS]], diagonal[own[a : a + BANDS]]
+            place = first[:, None] + np.arange(m + 2 * k + 1)
+            inside = (place >= at[d][:, None]) & (place < at[d + 1][:, None])
+            stretch = np.where(inside, plain[np.clip(place, 0, len(plain) - 1)].astype(np.int16), np.int16(-1))
+            edits, left, right = banded(np.stack([pieces.raw[i] for i in p.tolist()]).astype(np.int16), stretch, k)
+            start, end = np.maximum(first + left, at[d]), np.minimum(first + right, at[d + 1])
+            good = edits <= k
+            before = (start > at[d]) & _LETTER[plain[np.maximum(start - 1, 0)]]
+            after = (end < at[d + 1]) & _LETTER[plain[np.minimum(end, len(plain) - 1)]]
+            good &= ~(pieces.alone[p] & (before | after))
+            out += list(zip(d[good].tolist(), p[good].tolist(), edits[good].tolist(), start[good].tolist(), end[good].tolist()))
+    return out
 
 
 def _find(batches: Iterator[pa.RecordBatch], shipped, options: tuple) -> Iterator[pa.RecordBatch]:
-    pieces = Pieces(shipped.value, *options)
+    groups = Pieces.all_of(shipped.value, *options)
     for batch in batches:
         ids = batch.column(0).to_pylist()
         data, offsets = common.text_buffer(batch.column(1))
         rows = []
         for first, _, raw, at in common.pieces(data, offsets):
-            if len(raw) < pieces.q or not len(pieces.hashes):
-                continue
             plain = _PLAIN[raw]
-            h = _gram_hashes(plain, pieces.q)
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(h)]
-            inside = at[doc + 1] - np.arange(len(h)) >= pieces.q  # q-grams over the end of a text are none
-            h[~inside] = 0
-            best: dict[tuple[int, int], list] = {}
-            for d, p, diagonal in zip(*(x.tolist() for x in pieces.bands(h, doc))):
-                k, m = int(pieces.budget[p]), len(pieces.raw[p])
-                a, z = max(int(at[d]), diagonal - k - 1), min(int(at[d + 1]), diagonal + 3 * k + m + 3)
-                found = banded(pieces.raw[p], plain[a:z], k)
-                if found:
-                    edits, lo, hi = found
-                    own = best.setdefault((d, int(pieces.items[p])), [1 << 60, 0, 1 << 30, set()])
-                    own[0], own[1], own[2] = min(own[0], a + lo - int(at[d])), max(own[1], a + hi - int(at[d])), min(own[2], edits)
-                    own[3].add((p, a + lo))
+            best: dict[tuple[int, int | None], list] = {}
+            for pieces in groups:
+                if len(raw) < pieces.q:
+                    continue
+                h = _gram_hashes(plain, pieces.q)
+                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(h)]
+                inside = at[doc + 1] - np.arange(len(h)) >= pieces.q  # grams over the end of a text are none
+                h[~inside] = 0
+                for d, p, edits, lo, hi in _aligned(pieces, plain, at, *pieces.bands(h, doc)):
+                    own = best.setdefault((d, pieces.items[p]), [1 << 60, 0, 1 << 30, set()])
+                    own[0], own[1], own[2] = min(own[0], lo - int(at[d])), max(own[1], hi - int(at[d])), min(own[2], edits)
+                    own[3].add((pieces.q, p, lo))
             hashes = {d: xxhash.xxh64_intdigest(raw[at[d] : at[d + 1]].tobytes(), 42) for d, _ in best}  # as Spark's xxhash64
             rows += [(ids[first + d], item, x[0], x[1], x[2], len(x[3]), hashes[d] - (hashes[d] >> 63 << 64)) for (d, item), x in best.items()]
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _FINDS)] if rows else [pa.array([], f.type) for f in _FINDS], schema=_FINDS)
 
 
-def _finds(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", piece: int = PIECE, stride: int = STRIDE, least: int = LEAST, q: int = Q, edits: float = EDITS, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
+def _finds(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", piece: int = PIECE, stride: int = STRIDE, word: int = WORD, q: int = Q, edits: float = EDITS, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
     """The finds, with the hash of each text."""
     rows = common.base_columns(docs, key, text)
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
@@ -172,8 +229,8 @@ def _finds(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     out = None
     for b in range(blocks):
         own = items.filter(F.col("block") == b) if blocks > 1 else items
-        shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own.select("item_id", "text").toLocalIterator() if r.item_id is not None])
-        found = rows.mapInArrow(lambda x, s=shipped: _find(x, s, (piece, stride, least, q, edits)), FINDS)
+        shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own.select("item_id", "text").toLocalIterator()])
+        found = rows.mapInArrow(lambda x, s=shipped: _find(x, s, (piece, stride, word, q, edits)), FINDS)
         out = found if out is None else out.union(found)
     return out
 
@@ -189,7 +246,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` without the rows whose text holds a piece of a benchmark item.
 
-    Rows are found again by id and the hash of their text, so null and repeated ids do no harm.
+    Rows are found again by id and the hash of their text, so null and repeated ids do no harm, nor do columns of any name.
     """
-    hit = _finds(docs, benchmark, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(hit, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left_anti")
+    hit = _finds(docs, benchmark, key, text, **options).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    return rows.join(hit, rows.id.eqNullSafe(hit.doc_id) & (rows.hash == hit.text_hash), "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
