@@ -101,33 +101,43 @@ class Pieces:
     def bands(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bands that reach the bound: text, piece, first diagonal (in the bytes of the batch)."""
         at = np.flatnonzero(self.filter[h & common.U64((1 << 20) - 1)])
+        lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         # a band's hits stand at as many places as its bound says, no farther apart than a piece and its edits reach
         few, far = int(self.bound.min()), int((self.size + 2 * self.budget).max())
         dense = np.zeros(len(at) + 1, np.int32)
         close = np.flatnonzero(at[few - 1 :] - at[: len(at) - few + 1] <= far) if len(at) >= few else np.zeros(0, np.int64)
-        np.add.at(dense, close, 1)
-        np.add.at(dense, close + few, -1)
-        at = at[np.cumsum(dense[:-1]) > 0]
-        lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        n = hi - lo
+        dense[close] += 1
+        dense[close + few] -= 1
+        on = np.cumsum(dense[:-1]) > 0
+        at, lo, n = at[on], lo[on], n[on]
+        if not len(at):
+            return (np.zeros(0, np.int64),) * 3
         hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place, piece = np.repeat(at, n), self.which[hit]
-        diagonal = place - self.offset[hit]
-        width = self.budget[piece] + 1
+        place, piece, offset = np.repeat(at, n), self.which[hit], self.offset[hit]
+        diagonal, width = place - offset, (self.budget + 1)[piece]
+        # one number a hit, to sort by: piece, band, text (by its last 8 bits: a band reaches fewer texts than that), offset
+        texts, rank = np.unique(doc, return_inverse=True)
+        bits = int(self.size.max()).bit_length()
         found = []
         for shift in (0, 1):  # bands of 2 k + 2 diagonals, overlapping by half: any k + 1 neighbours lie in one of them
             band = (diagonal + width * shift) // (2 * width)
-            order = np.lexsort((self.offset[hit], band, piece, doc[place]))
-            b, p, d, o = band[order], piece[order], doc[place][order], self.offset[hit][order]
-            new = np.ones(len(order), bool)
-            new[1:] = (b[1:] != b[:-1]) | (p[1:] != p[:-1]) | (d[1:] != d[:-1])
-            other = new.copy()
-            other[1:] |= o[1:] != o[:-1]
-            group = np.cumsum(new) - 1
-            count = np.bincount(group, other) if len(order) else np.zeros(0)
-            first = np.flatnonzero(new)
-            keep = first[count >= self.bound[p[first]]]
-            found.append((d[keep], p[keep], b[keep] * 2 * width[order][keep] - width[order][keep] * shift))
+            low = int(band.min())
+            span = int(band.max() - low).bit_length()
+            if bits + 8 + span + len(self.raw).bit_length() > 63:
+                raise ValueError("a text or a block of the benchmark is too long for one search; take smaller blocks")
+            key = np.sort(((piece << span | (band - low)) << 8 | (rank[place] & 255)) << bits | offset)
+            group = key >> bits
+            new = np.concatenate(([True], group[1:] != group[:-1]))
+            count = np.bincount(np.cumsum(new) - 1, np.concatenate(([True], key[1:] != key[:-1])))
+            group = group[new]
+            p = group >> (span + 8)
+            on = count >= self.bound[p]
+            p, group = p[on], group[on]
+            w = (self.budget + 1)[p]
+            first = ((group >> 8 & ((1 << span) - 1)) + low) * 2 * w - w * shift
+            near = rank[np.clip(first, 0, len(doc) - 1)]
+            found.append((texts[np.minimum(near + ((group - near) & 255), len(texts) - 1)], p, first))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
