@@ -272,15 +272,20 @@ def _answer(table: pa.Table) -> pa.Table:
     }, schema=_RESPONSE)
 
 
-def count_keys(blocks: DataFrame, extract: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]], n_buckets: int) -> DataFrame:
-    """For each block, the corpus-wide sums of its keys' counts. extract: of a block's table, (kind, sorted distinct keys, counts)."""
+def count_keys(blocks: DataFrame, extract: Callable[..., list[tuple[int, np.ndarray, np.ndarray]]], n_buckets: int, seen: DataFrame | None = None) -> DataFrame:
+    """For each block, the corpus-wide sums of its keys' counts.
+
+    extract: of a block's table, and of the answers it has in `seen` if that is given, (kind, sorted distinct keys, counts).
+    """
 
     @frugal
-    def ask(table: pa.Table) -> pa.Table:
+    def ask(table: pa.Table, known: pa.Table | None = None) -> pa.Table:
         block = table["block"][0].as_py()
-        return joined([requests(k, c.astype(np.uint32), block, kind, n_buckets) for kind, k, c in extract(table)], _REQUEST)
+        found = extract(table) if known is None else extract(table, known)
+        return joined([requests(k, c.astype(np.uint32), block, kind, n_buckets) for kind, k, c in found], _REQUEST)
 
-    asked = blocks.groupBy("block").applyInArrow(lambda t: ask(t), REQUEST)
+    groups = blocks.groupBy("block")
+    asked = groups.applyInArrow(lambda t: ask(t), REQUEST) if seen is None else groups.cogroup(seen.groupBy("block")).applyInArrow(lambda t, k: ask(t, k), REQUEST)
     return dealt(asked, n_buckets, "bucket").groupBy("bucket", "kind").applyInArrow(lambda t: _answer(t), RESPONSE)
 
 

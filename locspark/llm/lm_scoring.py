@@ -12,10 +12,14 @@ known history that ends in it.
 
 so the probabilities of all tokens after a history add up to one. Counts are exact over all training rows. The
 automaton isn't broadcast, as it grows with the corpus: each block of texts asks for just the states and arcs that its
-texts pass (see `common`), and is then read in one pass.
+texts can pass (see `common`) and builds that part of the automaton. Of longer n-grams only those are asked for whose first
+and last tokens but one occur in training rows of other blocks too; the others' counts are known in the block. The block's
+texts are then read side by side, token by token; a text of more than `SEGMENT` tokens is read in segments, each of which
+passes the tokens before it that decide its first state.
 
 Training rows are those whose crc32(doc_id as text) mod `folds` isn't 0 (a null id counts as held out). Null and empty
-texts consist of the end token alone. Repeated rows count, and are scored, each. An empty table gives an empty result.
+texts consist of the end token alone. Repeated rows count, and are scored, each. Other columns, of whatever name, are left
+out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +35,11 @@ from locspark.llm import common
 
 #: Hashes of the start and the end of a text, which no word has.
 START, END = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
-#: Smoothing, fitted on held-out texts: a and b of l(h).
-LEFT_A, LEFT_B = 0.75, 0.07
-ORDER = 2
+#: Smoothing, a and b of l(h): the best on held-out texts of ten pairs tried.
+LEFT_A, LEFT_B = 0.6, 0.03
+ORDER = 3
+#: Tokens of a text that are read in one go.
+SEGMENT = 1024
 _START_KIND = 99
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -63,74 +69,152 @@ def token_stream(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(tokens), np.concatenate(docs)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
-def gram_keys(tokens: np.ndarray, docs: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 2 .. order: keys of the n-grams within texts, and the place of the last token of each."""
-    out, keys = [], tokens
-    for n in range(2, order + 1):
-        keys = common.mix(keys[:-1] * common.U64(0xA24BAED4963EE407) + tokens[n - 1 :] + common.U64(n))
-        inside = docs[n - 1 :] == docs[: len(docs) - n + 1]
-        out.append((keys[inside], np.flatnonzero(inside) + n - 1))
-    return out
+class Grams:
+    """The n-grams of a block's texts: `keys[n]` sorted and distinct, the index of the one that ends at each place in `at[n]` (-1: none), `last[n]` one such place for each, and in `own[n]` how often each occurs in training rows."""
+
+    def __init__(self, table: pa.Table, order: int, folds: int):
+        self.order, self.tokens, self.docs = order, *token_stream(table)
+        self.train = np.array([not is_held_out(i, folds) for i in table["doc_id"].to_pylist()], bool)
+        weight = self.train[self.docs].astype(np.float64)
+        self.keys, self.at, self.last, self.own = {}, {}, {}, {}
+        keys, inside = self.tokens, np.arange(len(self.tokens))
+        for n in range(1, order + 1):
+            if n > 1:
+                keys = common.mix(keys[:-1] * common.U64(0xA24BAED4963EE407) + self.tokens[n - 1 :] + common.U64(n))
+                inside = np.flatnonzero(self.docs[n - 1 :] == self.docs[: len(self.docs) - n + 1]) + n - 1
+            self.keys[n], first, which = np.unique(keys[inside - n + 1], return_index=True, return_inverse=True)
+            self.at[n] = np.full(len(self.tokens), -1, np.int32)
+            self.at[n][inside] = which
+            self.last[n] = inside[first]
+            self.own[n] = np.bincount(which, weight[inside], len(self.keys[n]))
+        self.start = int(np.searchsorted(self.keys[1], START))
+
+    def words(self) -> np.ndarray:
+        """Which distinct tokens are no start of a text."""
+        return np.arange(len(self.keys[1])) != self.start
+
+    def asked(self, n: int, below: np.ndarray) -> np.ndarray:
+        """Which n-grams (n > 2) can occur in training rows of other blocks, by the counts of those shorter by one."""
+        elsewhere = below > self.own[n - 1]
+        return elsewhere[self.at[n - 1][self.last[n] - 1]] & elsewhere[self.at[n - 1][self.last[n]]]
+
+    def counts(self, known: pa.Table, upto: int) -> dict[int, np.ndarray]:
+        """How often each n-gram, of up to `upto` tokens, occurs in training rows of all blocks."""
+        out = {1: np.empty(len(self.keys[1]))}
+        out[1][self.words()] = common.answers(known, 1)
+        out[1][self.start] = common.answers(known, _START_KIND)[0]
+        for n in range(2, upto + 1):
+            out[n] = self.own[n].copy()
+            out[n][self.asked(n, out[n - 1]) if n > 2 else slice(None)] = common.answers(known, n)
+        return out
+
+
+def _first_questions(table: pa.Table, order: int, folds: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    g = Grams(table, min(order, 2), folds)
+    words = g.words()
+    return [(1, g.keys[1][words], g.own[1][words]), (_START_KIND, g.keys[1][~words], g.own[1][~words]), *((n, g.keys[n], g.own[n]) for n in g.keys if n > 1)]
+
+
+def _further_questions(table: pa.Table, known: pa.Table, n: int, folds: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    g = Grams(table, n, folds)
+    ask = g.asked(n, g.counts(known, n - 1)[n - 1])
+    return [(n, g.keys[n][ask], g.own[n][ask])]
 
 
-def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, train, len(distinct)), where
-
-
-def _asked(table: pa.Table, order: int, folds: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    tokens, docs = token_stream(table)
-    train = np.array([not is_held_out(i, folds) for i in table["doc_id"].to_pylist()], bool)
-    weight = train[docs].astype(np.float64)
-    words = tokens != START
-    out = [(1, *_counted(tokens[words], weight[words])[:2]), (_START_KIND, np.array([START]), np.array([train.sum()]))]
-    for n, (keys, last) in enumerate(gram_keys(tokens, docs, order), 2):
-        out.append((n, *_counted(keys, weight[last])[:2]))
-    return out
+class Automaton:
+    """The states and arcs that a block's texts can pass: state 0 has no history, the others go by their history's n-gram.
 
+    Arcs are looked up by state and token; `weight` and `target` are theirs. Each state but 0 has a failure arc. State 0 has
+    an arc for every token.
+    """
 
-class Automaton:
-    """The states and arcs that a block's texts pass."""
-
-    def __init__(self, arcs: dict[int, np.ndarray], starts: int, total: int, known: int, left: tuple[float, float]):
-        self.arcs, self.starts, self.total, self.known, self.left = arcs, starts, total, known, left
-
-    def failure(self, history: np.ndarray) -> np.ndarray:
-        """What a state leaves for its failure arc, by how often its history was seen."""
-        a, b = self.left
-        return np.where(history > 0, np.minimum(1.0, a * np.maximum(history, 1.0) ** -b), 1.0)
-
-    def traverse(self, tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Reads all texts at once: of each token but the starts its text, its count, and its log10 weight without and with history."""
-        order = max(self.arcs)
-        words = tokens != START
-        seen = np.full(len(tokens), float(self.starts))
-        seen[words] = self.arcs[1][np.unique(tokens[words], return_inverse=True)[1]]
-        p = (seen + 0.1) / (self.total + 0.1 * (self.known + 1))
-        base = np.log10(p)
-        history = seen
-        for n, (keys, last) in enumerate(gram_keys(tokens, docs, order), 2):
-            count = self.arcs[n][np.unique(keys, return_inverse=True)[1]].astype(np.float64)
-            before = history[last - 1]
-            rest = self.failure(before)
-            p[last] = (1 - rest) * count / np.maximum(before, 1) + rest * p[last]
-            history = np.zeros(len(tokens))
-            history[last] = count
-        return docs[words], seen[words], base[words], np.log10(p[words])
+    def __init__(self, grams: Grams, counts: dict[int, np.ndarray], total: int, known: int, left: tuple[float, float]):
+        self.size, order, a, b = len(grams.keys[1]), grams.order, *left
+        base = {1: 1} | {n: 1 + sum(len(grams.keys[m]) for m in range(1, n)) for n in range(2, order)}
+        p = {1: (counts[1] + 0.1) / (total + 0.1 * (known + 1))}
+        history = order > 1  # without it there is only state 0
+        self.base_weight = np.log10(p[1])
+        self.base_target = np.where((counts[1] > 0) & history, base[1] + np.arange(self.size), 0)
+        ends = grams.keys[1] == END  # no state follows the end of a text
+        self.base_target[ends] = 0
+        self.start = int(self.base_target[grams.start])
+        # what smoothing leaves over, by state
+        n_states = 1 + sum(len(grams.keys[n]) for n in range(1, order))
+        rest, self.failure_target = np.ones(n_states), np.zeros(n_states, np.int64)
+        for n in range(1, order):
+            own = slice(base[n], base[n] + len(grams.keys[n]))
+            rest[own] = np.where(counts[n] > 0, np.minimum(1.0, a * np.maximum(counts[n], 1.0) ** -b), 1.0)
+            self.failure_target[own] = base[n - 1] + grams.at[n - 1][grams.last[n]] if n > 1 else 0
+        self.failure_weight = np.log10(rest)
+        keys, weight, target = [], [], []
+        for n in range(2, order + 1):
+            last = grams.last[n]
+            before, shorter = grams.at[n - 1][last - 1], grams.at[n - 1][last]
+            state = base[n - 1] + before.astype(np.int64)
+            p[n] = (1 - rest[state]) * counts[n] / np.maximum(counts[n - 1][before], 1) + rest[state] * p[n - 1][shorter]
+            seen = counts[n] > 0
+            keys.append((state * self.size + grams.at[1][last])[seen])
+            weight.append(np.log10(p[n][seen]))
+            target.append(np.where(ends[grams.at[1][last]], 0, base[n] + np.arange(len(last)) if n < order else base[n - 1] + shorter)[seen])
+        empty = [np.zeros(0, np.int64)]
+        self.weight, self.target, keys = np.concatenate(weight or empty), np.concatenate(target or empty), np.concatenate(keys or empty)
+        self.arcs = common.NumberTable(max(4, (2 * len(keys)).bit_length()))
+        self.arcs.put(keys, np.arange(len(keys), dtype=np.int32))
+        self.taken = self.failed = 0
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads one token in each state: failure arcs are followed until an arc fits. (weights passed, next states)."""
+        weight, state, after, rest = np.zeros(len(state)), state.copy(), np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(rest):
+            own, t = state[rest], token[rest]
+            arc = self.arcs.get(own * self.size + t)
+            hit, bare = arc >= 0, own == 0
+            weight[rest[hit]] += self.weight[arc[hit]]
+            after[rest[hit]] = self.target[arc[hit]]
+            weight[rest[bare]] += self.base_weight[t[bare]]
+            after[rest[bare]] = self.base_target[t[bare]]
+            fails = ~(hit | bare)
+            self.taken, self.failed = self.taken + len(rest) - int(fails.sum()), self.failed + int(fails.sum())
+            rest, own = rest[fails], own[fails]
+            weight[rest] += self.failure_weight[own]
+            state[rest] = self.failure_target[own]
+        return weight, after
+
+    def traverse(self, token: np.ndarray, begins: np.ndarray, order: int, segment: int = SEGMENT) -> np.ndarray:
+        """The weight of each place of the stream, for texts that begin (with START) at the given places."""
+        ends = np.concatenate((begins[1:], [len(token)]))
+        n = -(-(ends - begins - 1) // segment)
+        text = np.repeat(np.arange(len(begins)), n)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        counted = begins[text] + 1 + number * segment
+        stop = np.minimum(counted + segment, ends[text])
+        first = np.where(number > 0, np.maximum(counted - (order - 1), begins[text] + 1), counted)
+        state = np.where(number > 0, 0, self.start).astype(np.int64)
+        longest = np.argsort(first - stop, kind="stable")
+        first, counted, stop, state = first[longest], counted[longest], stop[longest], state[longest]
+        out = np.zeros(len(token))
+        for k in range(int((stop - first).max(initial=0))):
+            on = int(np.searchsorted(first - stop, -k, "left"))  # those of more than k tokens
+            place = first[:on] + k
+            weight, state[:on] = self.step(state[:on], token[place])
+            own = place >= counted[:on]
+            out[place[own]] = weight[own]
+        return out
 
 
 @common.frugal
-def _score(table: pa.Table, answers: pa.Table, order: int, folds: int, total: int, known: int, left: tuple[float, float]) -> pa.Table:
+def _score(table: pa.Table, known: pa.Table, order: int, folds: int, total: int, distinct: int, left: tuple[float, float]) -> pa.Table:
     if not table.num_rows:
         return _RESULT.empty_table()
-    tokens, docs = token_stream(table)
-    automaton = Automaton({n: common.answers(answers, n) for n in range(1, order + 1)}, int(common.answers(answers, _START_KIND)[0]), total, known, left)
-    doc, seen, base, score = automaton.traverse(tokens, docs)
-    n = table.num_rows
-    ids = table["doc_id"].to_pylist()
+    grams = Grams(table, order, folds)
+    counts = grams.counts(known, order)
+    automaton = Automaton(grams, counts, total, distinct, left)
+    token, words = grams.at[1], np.flatnonzero(grams.tokens != START)
+    score = automaton.traverse(token, np.flatnonzero(grams.tokens == START), order)[words]
+    doc, n, ids = grams.docs[words], table.num_rows, table["doc_id"].to_pylist()
     return pa.table([
-        pa.array(ids, pa.int64()), pa.array([is_held_out(i, folds) for i in ids]), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, seen > 0, n).astype(np.int64)),
-        pa.array([total] * n, pa.int64()), pa.array(np.round(np.bincount(doc, base, n), 6)), pa.array(np.round(np.bincount(doc, score, n), 6)),
+        pa.array(ids, pa.int64()), pa.array(~grams.train), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, counts[1][token[words]] > 0, n).astype(np.int64)),
+        pa.array([total] * n, pa.int64()), pa.array(np.round(np.bincount(doc, automaton.base_weight[token[words]], n), 6)), pa.array(np.round(np.bincount(doc, score, n), 6)),
     ], schema=_RESULT)
 
 
@@ -142,7 +226,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     base = common.base_columns(docs, key, text)
     n = common.block_count(base, block_bytes)
     blocks = common.in_blocks(base, n)
-    seen = common.written(common.count_keys(blocks, lambda t: _asked(t, order, folds), n))
+    seen = common.written(common.count_keys(blocks, lambda t: _first_questions(t, order, folds), n))
     total, known = seen.filter("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    asked = seen.select("block", "bucket", "kind", "answer")
-    return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda d, a: _score(d, a, order, folds, total, known, left), RESULT)
+    seen = seen.select("block", "bucket", "kind", "answer")
+    for m in range(3, order + 1):
+        more = common.count_keys(blocks, lambda t, k, m=m: _further_questions(t, k, m, folds), n, seen)
+        seen = seen.union(common.written(more.select("block", "bucket", "kind", "answer")))
+    return blocks.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(lambda d, a: _score(d, a, order, folds, total, known, left), RESULT)

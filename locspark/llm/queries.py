@@ -71,16 +71,20 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w,
   list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
     lambda a, b: xor(CAST(floor(xor(a, b) / 2) AS BIGINT), CASE WHEN xor(a, b) % 2 = 1 THEN 3988292384 ELSE 0 END)) AS crc FROM documents),
 m AS (SELECT *, (4294967295 - crc) % 10 = 0 AS held_out FROM d),
-t AS (SELECT doc_id, held_out, unnest(list_transform(w, lambda x: 'w' || x) || ['e']) AS token, unnest(range(1, len(w) + 2)) AS i, unnest(['s'] || list_transform(w, lambda x: 'w' || x)) AS before FROM m),
+t AS (SELECT doc_id, held_out, unnest(list_transform(w, lambda x: 'w' || x) || ['e']) AS token, unnest(range(1, len(w) + 2)) AS i, unnest(['s'] || list_transform(w, lambda x: 'w' || x)) AS before,
+  unnest((['0', 's'] || list_transform(w, lambda x: 'w' || x))[1:len(w) + 1]) AS before2 FROM m),
 c1 AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
 c2 AS (SELECT before, token, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
+c3 AS (SELECT before2, before, token, count(*) AS c FROM t WHERE NOT held_out AND before2 <> '0' GROUP BY ALL),
 n AS (SELECT CAST(sum(c) AS BIGINT) AS total, count(*) AS known, (SELECT count(*) FROM m WHERE NOT held_out) AS starts FROM c1),
 p AS (SELECT t.doc_id, t.held_out, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (n.total + 0.1::DOUBLE * (n.known + 1)) AS p,
-    coalesce(c2.c, 0) AS cc, CASE WHEN t.before = 's' THEN n.starts ELSE coalesce(h.c, 0) END AS h, n.total
-  FROM t CROSS JOIN n LEFT JOIN c1 ON t.token = c1.token LEFT JOIN c1 h ON t.before = h.token LEFT JOIN c2 ON t.before = c2.before AND t.token = c2.token),
-q AS (SELECT *, CASE WHEN h > 0 THEN least(1.0::DOUBLE, {lm_scoring.LEFT_A}::DOUBLE * pow(h::DOUBLE, -{lm_scoring.LEFT_B}::DOUBLE)) ELSE 1.0::DOUBLE END AS l FROM p)
+    coalesce(c2.c, 0) AS cc, CASE WHEN t.before = 's' THEN n.starts ELSE coalesce(h.c, 0) END AS h, coalesce(c3.c, 0) AS ccc, coalesce(k.c, 0) AS hh, n.total
+  FROM t CROSS JOIN n LEFT JOIN c1 ON t.token = c1.token LEFT JOIN c1 h ON t.before = h.token LEFT JOIN c2 ON t.before = c2.before AND t.token = c2.token
+  LEFT JOIN c2 k ON t.before2 = k.before AND t.before = k.token LEFT JOIN c3 ON t.before2 = c3.before2 AND t.before = c3.before AND t.token = c3.token),
+q AS (SELECT *, CASE WHEN h > 0 THEN least(1.0::DOUBLE, {lm_scoring.LEFT_A}::DOUBLE * pow(h::DOUBLE, -{lm_scoring.LEFT_B}::DOUBLE)) ELSE 1.0::DOUBLE END AS l,
+  CASE WHEN hh > 0 THEN least(1.0::DOUBLE, {lm_scoring.LEFT_A}::DOUBLE * pow(hh::DOUBLE, -{lm_scoring.LEFT_B}::DOUBLE)) ELSE 1.0::DOUBLE END AS ll FROM p)
 SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(total) AS train_tokens,
-  round(sum(log10(p)), 6) AS base_score, round(sum(log10((1 - l) * cc / greatest(h, 1) + l * p)), 6) AS score
+  round(sum(log10(p)), 6) AS base_score, round(sum(log10((1 - ll) * ccc / greatest(hh, 1) + ll * ((1 - l) * cc / greatest(h, 1) + l * p))), 6) AS score
 FROM q GROUP BY doc_id"""
 
 _OP4 = r"""
