@@ -38,6 +38,8 @@ START, END = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 #: Smoothing, a and b of l(h): the best on held-out texts of ten pairs tried.
 LEFT_A, LEFT_B = 0.6, 0.03
 ORDER = 3
+#: The part of an n-gram's hash that is its key: a byte less is sent, and an n-gram shares its key with one of 10**9 others once in 7 * 10**7 times.
+KEY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 #: Tokens of a text that are read in one go.
 SEGMENT = 1024
 _START_KIND = 99
@@ -80,7 +82,7 @@ class Grams:
         keys, inside = self.tokens, np.arange(len(self.tokens))
         for n in range(1, order + 1):
             if n > 1:
-                keys = common.mix(keys[:-1] * common.U64(0xA24BAED4963EE407) + self.tokens[n - 1 :] + common.U64(n))
+                keys = common.mix(keys[:-1] * common.U64(0xA24BAED4963EE407) + self.tokens[n - 1 :] + common.U64(n)) & KEY_BITS
                 inside = np.flatnonzero(self.docs[n - 1 :] == self.docs[: len(self.docs) - n + 1]) + n - 1
             self.keys[n], first, which = np.unique(keys[inside - n + 1], return_index=True, return_inverse=True)
             self.at[n] = np.full(len(self.tokens), -1, np.int32)
@@ -140,7 +142,7 @@ class Automaton:
         self.start = int(self.base_target[grams.start])
         # what smoothing leaves over, by state
         n_states = 1 + sum(len(grams.keys[n]) for n in range(1, order))
-        rest, self.failure_target = np.ones(n_states), np.zeros(n_states, np.int64)
+        rest, self.failure_target = np.ones(n_states), np.zeros(n_states, np.int32)
         for n in range(1, order):
             own = slice(base[n], base[n] + len(grams.keys[n]))
             rest[own] = np.where(counts[n] > 0, np.minimum(1.0, a * np.maximum(counts[n], 1.0) ** -b), 1.0)
@@ -155,10 +157,11 @@ class Automaton:
             seen = counts[n] > 0
             keys.append((state * self.size + grams.at[1][last])[seen])
             weight.append(np.log10(p[n][seen]))
-            target.append(np.where(ends[grams.at[1][last]], 0, base[n] + np.arange(len(last)) if n < order else base[n - 1] + shorter)[seen])
+            p.pop(n - 1)
+            target.append(np.where(ends[grams.at[1][last]], 0, base[n] + np.arange(len(last)) if n < order else base[n - 1] + shorter)[seen].astype(np.int32))
         empty = [np.zeros(0, np.int64)]
         self.weight, self.target, keys = np.concatenate(weight or empty), np.concatenate(target or empty), np.concatenate(keys or empty)
-        self.arcs = common.NumberTable(max(4, (2 * len(keys)).bit_length()))
+        self.arcs = common.NumberTable(max(4, (3 * len(keys) // 2).bit_length()))
         self.arcs.put(keys, np.arange(len(keys), dtype=np.int32))
         self.taken = self.failed = 0
 
@@ -209,11 +212,13 @@ def _score(table: pa.Table, known: pa.Table, order: int, folds: int, total: int,
     grams = Grams(table, order, folds)
     counts = grams.counts(known, order)
     automaton = Automaton(grams, counts, total, distinct, left)
+    seen = counts[1] > 0
+    del counts, known, grams.keys, grams.last, grams.own
     token, words = grams.at[1], np.flatnonzero(grams.tokens != START)
     score = automaton.traverse(token, np.flatnonzero(grams.tokens == START), order)[words]
     doc, n, ids = grams.docs[words], table.num_rows, table["doc_id"].to_pylist()
     return pa.table([
-        pa.array(ids, pa.int64()), pa.array(~grams.train), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, counts[1][token[words]] > 0, n).astype(np.int64)),
+        pa.array(ids, pa.int64()), pa.array(~grams.train), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, seen[token[words]], n).astype(np.int64)),
         pa.array([total] * n, pa.int64()), pa.array(np.round(np.bincount(doc, automaton.base_weight[token[words]], n), 6)), pa.array(np.round(np.bincount(doc, score, n), 6)),
     ], schema=_RESULT)
 
