@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,10 +99,27 @@ def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 8 else 8), key)
 
 
+_PACKED = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("packed", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([compress(t) for t in texts], pa.binary())], schema=_PACKED)
+
+
 def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, doc_id, text) dealt by block; equal plans share one shuffle."""
+    """(block, doc_id, packed) dealt by block, for `unpacked`: each text is a Zstandard frame, as texts are what is shuffled most."""
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    return dealt(docs.select(block.alias("block"), "doc_id", "text"), n_blocks, "block")
+    return dealt(docs.select(block.alias("block"), "doc_id", "text").mapInArrow(_pack, "block int, doc_id long, packed binary"), n_blocks, "block")
+
+
+def unpacked(block: pa.Table) -> pa.Table:
+    """(block, doc_id, text) of a block's rows."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    texts = pa.array([decompress(x) for x in block["packed"].to_pylist()], pa.large_binary())
+    return pa.table({"block": block["block"], "doc_id": block["doc_id"], "text": texts.cast(pa.large_string())})
 
 
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +299,7 @@ def count_keys(blocks: DataFrame, extract: Callable[..., list[tuple[int, np.ndar
     @frugal
     def ask(table: pa.Table, known: pa.Table | None = None) -> pa.Table:
         block = table["block"][0].as_py()
-        found = extract(table) if known is None else extract(table, known)
+        found = extract(unpacked(table)) if known is None else extract(unpacked(table), known)
         return joined([requests(k, c.astype(np.uint32), block, kind, n_buckets) for kind, k, c in found], _REQUEST)
 
     groups = blocks.groupBy("block")

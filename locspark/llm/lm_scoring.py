@@ -237,4 +237,4 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     for m in range(3, order + 1):
         more = common.count_keys(blocks, lambda t, k, m=m: _further_questions(t, k, m, folds), n, seen)
         seen = seen.union(common.written(more.select("block", "bucket", "kind", "answer")))
-    return blocks.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(lambda d, a: _score(d, a, order, folds, total, known, left), RESULT)
+    return blocks.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(lambda d, a: _score(common.unpacked(d), a, order, folds, total, known, left), RESULT)

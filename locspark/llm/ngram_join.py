@@ -219,7 +219,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     n = common.block_count(base, block_bytes)
     blocks = common.in_blocks(base, n)
     seen = common.count_keys(blocks, lambda t: _frequencies(t, words), n).select("block", "bucket", "kind", "answer")
-    sets = common.written(blocks.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(lambda d, a: _candidates(d, a, words, percent), SETS))
+    sets = common.written(blocks.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(lambda d, a: _candidates(common.unpacked(d), a, words, percent), SETS))
     shared = sets.filter("digest is not null")
     classes = common.written(shared.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("freqs").alias("freqs")))
     named = classes.filter("rep is not null")

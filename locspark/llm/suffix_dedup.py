@@ -71,11 +71,11 @@ def _signed(x: int) -> int:
 
 def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
     """(row key, bytes) of a block's rows; the key joins the id and the text, so that repeated ids do no harm."""
-    return [(xxhash.xxh3_64_intdigest(t, seed=(i or 0) & (2**64 - 1)), t) for i, t in zip(table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist())]
+    return [(xxhash.xxh3_64_intdigest(t, seed=(i or 0) & (2**64 - 1)), t) for i, t in zip(table["doc_id"].to_pylist(), table["text"].cast(pa.large_binary()).to_pylist())]
 
 
 def _anchors(table: pa.Table, min_bytes: int, gram: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    found = [_runs(np.frombuffer(t, np.uint8), min_bytes, gram)[0] for t in table["text"].cast(pa.binary()).to_pylist() if len(t) >= min_bytes]
+    found = [_runs(np.frombuffer(t, np.uint8), min_bytes, gram)[0] for t in table["text"].cast(pa.large_binary()).to_pylist() if len(t) >= min_bytes]
     keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, common.U64), return_counts=True)
     return [(0, keys, counts)]
 
@@ -276,9 +276,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_b
     n = common.block_count(base, block_bytes)
     blocks = common.in_blocks(base, n)
     seen = common.count_keys(blocks, lambda t: _anchors(t, min_bytes, gram), n)
-    contexts = blocks.groupBy("block").cogroup(seen.select("block", "bucket", "kind", "answer").groupBy("block")).applyInArrow(lambda d, s: _contexts(d, s, min_bytes, gram, 2 * n, hot_anchor), CONTEXT)
+    contexts = blocks.groupBy("block").cogroup(seen.select("block", "bucket", "kind", "answer").groupBy("block")).applyInArrow(lambda d, s: _contexts(common.unpacked(d), s, min_bytes, gram, 2 * n, hot_anchor), CONTEXT)
     intervals = common.dealt(contexts, 2 * n, "bucket").groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, min_bytes), INTERVAL)
-    return blocks.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(lambda d, i: _cut(d, i, keep_bytes, keep_text), RESULT)
+    return blocks.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(lambda d, i: _cut(common.unpacked(d), i, keep_bytes, keep_text), RESULT)
 
 
 def dedup_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
