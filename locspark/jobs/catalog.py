@@ -163,7 +163,7 @@ def dbscan(locs):
     return spatial.dbscan(_kept(locs), 1.0).select("movie_id", "loc_id", "cluster_id")
 
 
-_TRUNC = "a AS (SELECT l.*, coalesce(i.label, 0) AS speckle_id FROM locs l LEFT JOIN labels_image i ON i.x = trunc(l.x) AND i.y = trunc(l.y) AND trunc(l.x) BETWEEN 0 AND 255 AND trunc(l.y) BETWEEN 0 AND 255)"
+_TRUNC = "a AS (SELECT l.*, coalesce(i.label, 0) AS speckle_id FROM locs l LEFT JOIN labels_image i ON i.movie_id = l.movie_id AND i.x = trunc(l.x) AND i.y = trunc(l.y) AND trunc(l.x) BETWEEN 0 AND 255 AND trunc(l.y) BETWEEN 0 AND 255)"
 
 
 def _assigned(locs, labels):
@@ -175,14 +175,14 @@ def assign_trunc(locs, labels):
     return _assigned(locs, labels).select("movie_id", "loc_id", "location", "speckle_id")
 
 
-@query("""r AS (SELECT movie_id, loc_id, round_even(x - 100, 0) AS px, round_even(y - 100, 0) AS py FROM locs), a AS (SELECT r.*, i.label, px BETWEEN 0 AND 79 AND py BETWEEN 0 AND 79 AS inside FROM r LEFT JOIN labels_image i ON i.x = px AND i.y = py)
+@query("""r AS (SELECT movie_id, loc_id, round_even(x - 100, 0) AS px, round_even(y - 100, 0) AS py FROM locs), a AS (SELECT r.*, i.label, px BETWEEN 0 AND 79 AND py BETWEEN 0 AND 79 AS inside FROM r LEFT JOIN labels_image i ON i.movie_id = r.movie_id AND i.x = px AND i.y = py)
 SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, CASE WHEN NOT inside THEN 'out_of_bounds' WHEN label > 0 THEN 'nuclear_speckle' ELSE 'background' END AS location, CAST(CASE WHEN NOT inside THEN -1 ELSE coalesce(label, 0) END AS BIGINT) AS speckle_id FROM a""", "locs", "labels_image")
 def assign_round(locs, labels):
     moved = locs.withColumn("x", F.col("x") - 100).withColumn("y", F.col("y") - 100)
     return assign.assign_to_speckles(moved, labels, 80, 80, "round").select("movie_id", "loc_id", "location", "speckle_id")
 
 
-@query(f"{_TRUNC}, s AS (SELECT count(*) AS area FROM labels_image) SELECT CAST(movie_id AS BIGINT) AS movie_id, count(*) FILTER (speckle_id > 0) AS n_speckle, count(*) FILTER (speckle_id = 0) AS n_background, any_value(area) AS speckle_area, 65536 - any_value(area) AS background_area, round((count(*) FILTER (speckle_id > 0) / any_value(area)) / (count(*) FILTER (speckle_id = 0) / (65536 - any_value(area))), 6) AS enrichment FROM a, s GROUP BY movie_id", "locs", "labels_image")
+@query(f"{_TRUNC}, s AS (SELECT movie_id, count(*) AS area FROM labels_image GROUP BY movie_id) SELECT CAST(movie_id AS BIGINT) AS movie_id, count(*) FILTER (speckle_id > 0) AS n_speckle, count(*) FILTER (speckle_id = 0) AS n_background, any_value(area) AS speckle_area, 65536 - any_value(area) AS background_area, round((count(*) FILTER (speckle_id > 0) / any_value(area)) / (count(*) FILTER (speckle_id = 0) / (65536 - any_value(area))), 6) AS enrichment FROM a JOIN s USING (movie_id) GROUP BY movie_id", "locs", "labels_image")
 def enrichment_density(locs, labels):
     return assign.enrichment_density(_assigned(locs, labels), labels, SIZE, SIZE)
 
@@ -192,7 +192,7 @@ def enrichment_counts(locs, labels):
     return assign.enrichment_counts(_assigned(locs, labels))
 
 
-@query(f"{_TRUNC}, g AS (SELECT DISTINCT movie_id, label FROM locs, labels_image) SELECT CAST(g.movie_id AS BIGINT) AS movie_id, CAST(g.label AS BIGINT) AS speckle_id, count(a.loc_id) AS molecule_count, round(coalesce(sum(a.photons), 0), 6) AS total_photons FROM g LEFT JOIN a ON a.movie_id = g.movie_id AND a.speckle_id = g.label GROUP BY ALL", "locs", "labels_image")
+@query(f"{_TRUNC}, g AS (SELECT DISTINCT movie_id, label FROM labels_image SEMI JOIN locs USING (movie_id)) SELECT CAST(g.movie_id AS BIGINT) AS movie_id, CAST(g.label AS BIGINT) AS speckle_id, count(a.loc_id) AS molecule_count, round(coalesce(sum(a.photons), 0), 6) AS total_photons FROM g LEFT JOIN a ON a.movie_id = g.movie_id AND a.speckle_id = g.label GROUP BY ALL", "locs", "labels_image")
 def speckle_stats(locs, labels):
     return assign.speckle_stats(_assigned(locs, labels), labels)
 
@@ -202,6 +202,11 @@ def points_by_location(locs, labels):
     return assign.points_by_location(_assigned(locs, labels))
 
 
+@query(f"{_TRUNC} SELECT CAST(movie_id AS BIGINT) AS movie_id, CASE WHEN speckle_id > 0 THEN 'nuclear_speckle' ELSE 'background' END AS location, loc_id, round(x, 6) AS x, round(y, 6) AS y, CAST(frame AS BIGINT) AS frame, round(photons, 6) AS photons FROM a", "locs", "labels_image")
+def located_points(locs, labels):
+    return assign.located_points(_assigned(locs, labels))
+
+
 _M = "CAST(movie_id AS BIGINT) AS movie_id"
 _MC = f"{_M}, CAST(cluster_id AS BIGINT) AS cluster_id"
 _C = "t AS (SELECT * FROM locs WHERE cluster_id <> -1)"
@@ -323,9 +328,9 @@ def perimeter(pixels):
     return images.perimeter(images.label_components(_mask(pixels)))
 
 
-@query(f"{_MASK} SELECT DISTINCT CAST(a.image_id AS BIGINT) AS image_id, CAST(a.y + v.dy AS BIGINT) AS y, CAST(a.x + v.dx AS BIGINT) AS x FROM m a, {_EDGE} v(dy, dx) WHERE a.y + v.dy >= 0 AND a.x + v.dx >= 0 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.image_id = a.image_id AND b.y = a.y + v.dy AND b.x = a.x + v.dx)", "marker_pixels")
+@query(f"{_MASK} SELECT DISTINCT CAST(a.image_id AS BIGINT) AS image_id, CAST(a.y + v.dy AS BIGINT) AS y, CAST(a.x + v.dx AS BIGINT) AS x FROM m a, {_EDGE} v(dy, dx) WHERE a.y + v.dy BETWEEN 0 AND 63 AND a.x + v.dx BETWEEN 0 AND 63 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.image_id = a.image_id AND b.y = a.y + v.dy AND b.x = a.x + v.dx)", "marker_pixels")
 def label_boundaries(pixels):
-    return images.label_boundaries(_mask(pixels).withColumn("label", F.lit(1)))
+    return images.label_boundaries(_mask(pixels).withColumn("label", F.lit(1)), images.image_sizes(pixels))
 
 
 @query(f"""{_MASK}, z AS (SELECT p.image_id, p.y, p.x FROM marker_pixels p ANTI JOIN m USING (image_id, y, x)) SELECT CAST(m.image_id AS BIGINT) AS image_id, CAST(m.y AS BIGINT) AS y, CAST(m.x AS BIGINT) AS x, round(min(sqrt((m.y - z.y) * (m.y - z.y) + (m.x - z.x) * (m.x - z.x))), 6) AS distance FROM m JOIN z USING (image_id) GROUP BY ALL""", "marker_pixels")
@@ -366,13 +371,26 @@ def render_gaussian_pdf(locs):
     return render.render_gaussian_pdf(locs, SIZE, SIZE)
 
 
-@query("""t AS (SELECT * FROM locs), p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, greatest(x_error * 5, 0.5) AS s FROM t WHERE x >= 0 AND x < 256 AND y >= 0 AND y < 256), q AS (SELECT *, trunc(3 * s)::BIGINT + 1 AS r FROM p),
+_PEAK = """t AS (SELECT * FROM locs), p AS (SELECT movie_id, x * 5 AS cx, y * 5 AS cy, {s} AS s, {a} AS a FROM t WHERE x >= 0 AND x < 256 AND y >= 0 AND y < 256), q AS (SELECT *, trunc(3 * s)::BIGINT + 1 AS r FROM p),
 u AS (SELECT *, unnest(range(greatest(0, trunc(cy)::BIGINT - r), least(1280, trunc(cy)::BIGINT + r + 1))) AS y FROM q), v AS (SELECT *, unnest(range(greatest(0, trunc(cx)::BIGINT - r), least(1280, trunc(cx)::BIGINT + r + 1))) AS x FROM u),
-i AS (SELECT movie_id, y, x, sum(exp(-((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (2 * s * s))) AS value FROM v GROUP BY ALL) SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, round(value / max(value) OVER (PARTITION BY movie_id), 6) AS value FROM i""", "locs")
+i AS (SELECT movie_id, y, x, sum(a * exp(-((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (2 * s * s))) AS value FROM v GROUP BY ALL) SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, round(value / max(value) OVER (PARTITION BY movie_id), 6) AS value FROM i"""
+
+
+@query(_PEAK.format(s="greatest(x_error * 5, 0.5)", a="1"), "locs")
 def render_gaussian_peak(locs):
     return render.render_gaussian_peak(locs, SIZE, SIZE)
 
 
+@query(_PEAK.format(s="greatest(0.5, least(3.0, 5 / sqrt(greatest(photons, 1e-9) / 1000)))", a="photons / 1000"), "locs")
+def render_gaussian_photon(locs):
+    return render.render_gaussian_peak(locs, SIZE, SIZE, "photon")
+
+
+@query(_PEAK.format(s="2.5", a="1"), "locs")
+def render_gaussian_fixed(locs):
+    return render.render_gaussian_peak(locs, SIZE, SIZE, "fixed")
+
+
 @query("t AS (SELECT movie_id, loc_id, x, y FROM locs) SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, x > 0 AND x < 128 AND y > 0 AND y < 128 AS in_viewport FROM t WHERE x * 5 >= 0 AND x * 5 < 1000 AND y * 5 >= 0 AND y * 5 < 1000", "locs")
 def render_bounds(locs):
     on = render.render_bounds_check(locs, 200, 200)
@@ -428,7 +446,11 @@ def speckles_in_nuclei(pixels, dapi):
     return images.speckles_in_nuclei(images.region_props(images.label_components(_mask(pixels)), pixels), dapi.filter("value > 30")).select("image_id", "label", "new_label")
 
 
-@query(f"{_MASK}, {_PARTS}, {_REGIONS} SELECT CAST(image_id AS BIGINT) AS image_id, 1 AS n_nuclei, count(*) AS n_speckles, round(avg(area), 6) AS mean_area, round(stddev_pop(area), 6) AS std_area, round(avg(v), 6) AS mean_intensity, round(stddev_pop(v), 6) AS std_intensity, count(*)::DOUBLE AS speckles_per_nucleus FROM g GROUP BY image_id", "marker_pixels", "dapi_pixels")
+_NUCLEI = """dm AS (SELECT image_id, y * 1048576 + x AS i, y, x FROM dapi_pixels WHERE value > 30), dr AS (SELECT image_id, i, y, x, i AS root FROM dm UNION SELECT dm.image_id, dm.i, dm.y, dm.x, dr.root FROM dr JOIN dm ON dm.image_id = dr.image_id AND abs(dm.y - dr.y) <= 1 AND abs(dm.x - dr.x) <= 1 AND dr.root < dm.i),
+nn AS (SELECT image_id, count(DISTINCT root) AS n FROM (SELECT image_id, i, min(root) AS root FROM dr GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"{_MASK}, {_PARTS}, {_REGIONS}, {_NUCLEI} SELECT CAST(g.image_id AS BIGINT) AS image_id, any_value(k.n) AS n_nuclei, count(*) AS n_speckles, round(avg(area), 6) AS mean_area, round(stddev_pop(area), 6) AS std_area, round(avg(v), 6) AS mean_intensity, round(stddev_pop(v), 6) AS std_intensity, round(count(*) / any_value(k.n), 6) AS speckles_per_nucleus FROM g JOIN nn k USING (image_id) GROUP BY g.image_id", "marker_pixels", "dapi_pixels")
 def region_report(pixels, dapi):
     regions = lambda mask, p: images.region_props(images.label_components(mask), p)
     return images.region_report(regions(dapi.filter("value > 30"), dapi), regions(_mask(pixels), pixels))
@@ -499,7 +521,7 @@ def subcluster(locs):
 
 @query(None, "locs")
 def cluster_speckles(locs):
-    return workloads.cluster_speckles(locs, 1.0).select("movie_id", "loc_id", "cluster_id", "sub_cluster_id")
+    return workloads.cluster_speckles(locs, 1.0)["locs"].select("movie_id", "loc_id", "cluster_id", "sub_cluster_id")
 
 
 def _spread_sql(sigma: float, source: str, height: str, width: str) -> str:
@@ -554,7 +576,7 @@ def segment_speckles(pixels):
 
 @query(None, "dapi_pixels")
 def segment_nuclei(pixels):
-    return images.segment_nuclei(pixels, least=500)
+    return images.segment_nuclei(pixels, least=200)
 
 
 @query(None, "marker_pixels")
@@ -564,15 +586,30 @@ def segment_by_distance(pixels):
 
 @query(None, "marker_pixels")
 def segment_by_h_maxima(pixels):
-    return floods.segment_by_h_maxima(pixels, least=30)
+    return floods.segment_by_h_maxima(pixels, radius=4, least=20)
 
 
 @query(None, "frame_pixels", "marker_pixels")
 def analyze_movie(pixels, marker):
-    one = marker.filter("image_id = 0")  # a movie has one marker image
-    return workloads.analyze_movie(tables.pixels_to_frames(pixels), one, 64, 64, small=10, least=30)["enrichment"]
+    return workloads.analyze_movie(tables.pixels_to_frames(pixels), _of_movies(marker, pixels), 64, 64, small=10, least=30)["enrichment"]
+
+
+@query(None, "frame_pixels", "marker_pixels")
+def analyze_movie_counts(pixels, marker):
+    return workloads.analyze_movie_counts(tables.pixels_to_frames(pixels), _of_movies(marker, pixels), 64, 64, small=10)["enrichment"]
+
+
+def _of_movies(marker, pixels):
+    """The marker images whose number is that of a movie."""
+    return marker.withColumnRenamed("image_id", "movie_id").join(pixels.select("movie_id").distinct(), "movie_id", "left_semi")
 
 
 @query(None, "marker_pixels", "dapi_pixels")
 def analyze_marker_dapi(marker, dapi):
-    return workloads.analyze_marker_dapi(marker, dapi, least_nucleus=500, least_speckle=30)["report"]
+    return workloads.analyze_marker_dapi(marker, dapi, least_nucleus=200, least_speckle=20, radius=4)["report"]
+
+
+@query(None, "frame_pixels")
+def localize_filter_cluster(pixels):
+    """From frames over fits and the filter cascade to the table of clusters."""
+    return workloads.localize_filter_cluster(tables.pixels_to_frames(pixels), eps=6.0)["clusters"]

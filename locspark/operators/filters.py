@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locspark.functions.scalars import MAX_CHI2, MAX_ELLIPTICITY, MAX_PHOTONS, MAX_PRECISION, MAX_SIGMA, MIN_MOLECULES, MIN_PHOTONS, MIN_SIGMA, ellipticity, mean_sigma, or_default, quality_score
+from locspark.operators.graph import written
 from locspark.operators.spatial import mean_neighbor_distance
 from locspark.operators.temporal import temporal_runs
 
@@ -35,7 +36,7 @@ def spatial_outliers(locs: DataFrame, k_neighbors: int = 10, threshold: float =
     """Rows with a column outlier: mean neighbour distance over `threshold` population deviations from the movie's mean, either way."""
     d = mean_neighbor_distance(locs, k_neighbors)
     stats = d.groupBy("movie_id").agg(F.avg("mean_distance").alias("m"), F.stddev_pop("mean_distance").alias("s"), F.count("*").alias("n"))
-    marked = d.join(F.broadcast(stats), "movie_id").select("movie_id", "loc_id", F.when((F.col("n") >= 10) & (F.col("s") > 0), F.abs(F.col("mean_distance") - F.col("m")) / F.col("s") > threshold).otherwise(False).alias("outlier"))
+    marked = d.join(stats, "movie_id").select("movie_id", "loc_id", F.when((F.col("n") >= 10) & (F.col("s") > 0), F.abs(F.col("mean_distance") - F.col("m")) / F.col("s") > threshold).otherwise(False).alias("outlier"))
     return locs.join(marked, ["movie_id", "loc_id"])
 
 
@@ -46,18 +47,20 @@ def temporal_rejects(locs: DataFrame, max_frames: int = 5, tolerance: float = 2.
     return locs.join(runs.select("movie_id", "loc_id", "run_id").join(long, ["movie_id", "run_id"]).drop("run_id"), ["movie_id", "loc_id"])
 
 
+def _survivors(locs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass the row-local filters with a column outlier, and those that are none with a column rejected; each written once, as it is read twice."""
+    spatial = written(spatial_outliers(written(locs.filter(first_reason().isNull()))))
+    return spatial, written(temporal_rejects(spatial.filter("not outlier").drop("outlier")))
+
+
 def filter_cascade(locs: DataFrame) -> DataFrame:
     """All six filters in order, then the quality score."""
-    kept = spatial_outliers(locs.filter(first_reason().isNull())).filter("not outlier").drop("outlier")
-    kept = temporal_rejects(kept).filter("not rejected").drop("rejected")
-    return kept.withColumn("quality_score", quality_score())
+    return _survivors(locs)[1].filter("not rejected").drop("rejected").withColumn("quality_score", quality_score())
 
 
 def filter_funnel(locs: DataFrame) -> DataFrame:
     """(movie_id, step, n): how many rows each reason rejects, and how many stay."""
-    tagged = locs.withColumn("step", first_reason())
-    kept = tagged.filter("step is null").drop("step")
-    spatial = spatial_outliers(kept)
-    last = temporal_rejects(spatial.filter("not outlier").drop("outlier"))
-    out = tagged.filter("step is not null").select("movie_id", "step").union(spatial.filter("outlier").select("movie_id", F.lit("spatial:outlier"))).union(last.select("movie_id", F.when(F.col("rejected"), "temporal:run").otherwise("kept")))
+    spatial, last = _survivors(locs)
+    own = locs.select("movie_id", first_reason().alias("step")).filter("step is not null")
+    out = own.union(spatial.filter("outlier").select("movie_id", F.lit("spatial:outlier"))).union(last.select("movie_id", F.when(F.col("rejected"), "temporal:run").otherwise("kept")))
     return out.groupBy("movie_id", "step").agg(F.count("*").alias("n"))

@@ -82,7 +82,7 @@ def _rebuilt(seed: np.ndarray, under: np.ndarray) -> np.ndarray:
 
 def h_maxima(pixels: DataFrame, h: DataFrame, key: str = KEY) -> DataFrame:
     """(key, y, x) of maxima that rise by h or more over every way to a higher pixel. h: (key, h); images with h <= 0 or none have no rows."""
-    p = pixels.join(F.broadcast(h), key).filter("h > 0")
+    p = pixels.join(h, key).filter("h > 0")
     hit = lambda a, h: a - _rebuilt(a - h.max(), a) >= h.max() * (1 - 1e-9)
     return _by_image(p, ["value", "h"], hit, "hit", "long", key).filter("hit = 1").select(key, "y", "x")
 

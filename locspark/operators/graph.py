@@ -5,20 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the folder spark.checkpoint.dir, which all machines share, read back."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir; in local mode, where it is unset, a folder of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="locspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        at = _own_dirs[app] = _own_dirs.get(app) or "file://" + tempfile.mkdtemp(prefix="locspark-")
+    return at
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(links: DataFrame, key: str = "movie_id") -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,7 +57,7 @@ def resize_image(pixels: DataFrame, height: int, width: int, key: str = KEY) ->
         turn = F.greatest(2 * F.col(size) - 2, F.lit(1))
         place = F.pmod(F.col("tap") + F.col("d"), turn)
         w = w.groupBy(size, "out", F.least(place, turn - place).cast("int").alias(axis)).agg(F.sum("g").alias("w"))
-        return p.join(F.broadcast(sizes.select(key, size)), key).join(w, [size, axis]).groupBy(key, other, F.col("out").alias(axis)).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+        return p.join(sizes.select(key, size), key).join(w, [size, axis]).groupBy(key, other, F.col("out").alias(axis)).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
 
     return along(along(pixels.select(key, "y", "x", "value"), "x", "width", width), "y", "height", height).select(key, "y", "x", "value")
 
@@ -79,7 +82,7 @@ def percentile_threshold(pixels: DataFrame, p: float, key: str = KEY) -> DataFra
 def otsu_threshold(pixels: DataFrame, bins: int = 256, key: str = KEY) -> DataFrame:
     """(key, threshold): the bin centre that parts the histogram with most variance between the classes, the first of equals."""
     bounds = pixels.groupBy(key).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    v = pixels.join(F.broadcast(bounds), key)
+    v = pixels.join(bounds, key)
     number = F.when(F.col("a") == F.col("b"), 0).otherwise(F.least(F.floor((F.col("value") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0)) * bins), F.lit(bins - 1)))
     h = v.groupBy(key, "a", "b", number.alias("bin")).agg(F.count("*").alias("n")).withColumn("c", F.col("a") + (F.col("b") - F.col("a")) * (F.col("bin") + 0.5) / bins)
     # an empty bin has the same classes as the one before it, so only bins with pixels can be the first best
@@ -93,7 +96,7 @@ def otsu_threshold(pixels: DataFrame, bins: int = 256, key: str = KEY) -> DataFr
 
 
 def threshold_mask(pixels: DataFrame, thresholds: DataFrame, key: str = KEY) -> DataFrame:
-    return pixels.join(F.broadcast(thresholds), key).filter("value > threshold").select(key, "y", "x")
+    return pixels.join(thresholds, key).filter("value > threshold").select(key, "y", "x")
 
 
 def local_maxima(pixels: DataFrame, distance: int, thresholds: DataFrame, border: int | None = None, key: str | list[str] = KEY) -> DataFrame:
@@ -107,7 +110,7 @@ def local_maxima(pixels: DataFrame, distance: int, thresholds: DataFrame, border
     both = both.withColumn("h", F.max("y").over(size)).withColumn("w", F.max("x").over(size))
     own = (F.col("best.value") == F.col("value")) & (F.col("best.at") == -(F.col("y") * _PIXEL + F.col("x")))
     inside = (F.col("y") >= border) & (F.col("x") >= border) & (F.col("y") <= F.col("h") - border) & (F.col("x") <= F.col("w") - border)
-    return both.join(F.broadcast(thresholds), keys).filter(own & inside & (F.col("value") > F.col("threshold"))).select(*keys, "y", "x", "value")
+    return both.join(thresholds, keys).filter(own & inside & (F.col("value") > F.col("threshold"))).select(*keys, "y", "x", "value")
 
 
 def label_components(mask: DataFrame, neighbors: int = 8, key: str = KEY) -> DataFrame:
@@ -147,7 +150,7 @@ def grid(sizes: DataFrame, key: str) -> DataFrame:
 def fill_holes(mask: DataFrame, sizes: DataFrame, key: str = KEY) -> DataFrame:
     """The mask with the background components that don't touch the border."""
     empty = grid(sizes, key).join(mask, [key, "y", "x"], "left_anti")
-    labels = written(label_components(written(empty), 4, key)).join(F.broadcast(sizes), key)
+    labels = written(label_components(written(empty), 4, key)).join(sizes, key)
     open_ = labels.filter("y = 0 or x = 0 or y = height - 1 or x = width - 1").select(key, "label").distinct()
     return mask.select(key, "y", "x").union(labels.join(open_, [key, "label"], "left_anti").select(key, "y", "x"))
 
@@ -159,22 +162,41 @@ def _disk(radius: int) -> Column:
 def binary_closing(mask: DataFrame, radius: int, sizes: DataFrame, key: str = KEY) -> DataFrame:
     """Dilation, then erosion, with a disk; pixels beyond the image never stop the erosion."""
     moved = mask.select(key, "y", "x", F.explode(_disk(radius)).alias("d")).select(key, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    inside = lambda df: df.join(F.broadcast(sizes), key).filter("y >= 0 and x >= 0 and y < height and x < width")
+    inside = lambda df: df.join(sizes, key).filter("y >= 0 and x >= 0 and y < height and x < width")
     wide = inside(moved.distinct()).select(key, "y", "x")
     empty = grid(sizes, key).join(wide, [key, "y", "x"], "left_anti")
     near = inside(empty.select(key, F.explode(_disk(radius)).alias("d"), "y", "x").select(key, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct())
     return wide.join(near.select(key, "y", "x"), [key, "y", "x"], "left_anti")
 
 
+def _nearest_in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's distances along columns (-1: none) the distances in the plane. A pixel looks to both sides only as far as the least distance it has so far, so a row takes its width times its largest distance."""
+    for batch in batches:
+        out = []
+        for raw in batch.column(2).to_pylist():
+            g = np.array(raw, np.float64)
+            own = np.where(g < 0, np.inf, g * g)
+            best = own.copy()
+            for d in range(1, len(g)):
+                if d * d >= best.max():
+                    break
+                best[d:] = np.minimum(best[d:], own[:-d] + d * d)
+                best[:-d] = np.minimum(best[:-d], own[d:] + d * d)
+            out.append(np.sqrt(best).tolist())
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["key", "y", "distance"])
+
+
 def distance_transform(mask: DataFrame, sizes: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, y, x, distance) of mask pixels to the nearest pixel off the mask: by columns, then the least over each row."""
+    """(key, y, x, distance) of mask pixels to the nearest pixel off the mask: by columns, then within each row. No rows of images that are all mask."""
     whole = grid(sizes, key).select(key, "y", "x").join(mask.select(key, "y", "x", F.lit(True).alias("on")), [key, "y", "x"], "left")
     up, down = W.partitionBy(key, "x").orderBy("y"), W.partitionBy(key, "x").orderBy(F.desc("y"))
     zero = F.when(F.col("on").isNull(), F.col("y"))
-    g = whole.withColumn("g", F.least(F.col("y") - F.last(zero, True).over(up), F.last(zero, True).over(down) - F.col("y")))
-    other = g.filter("g is not null").select(key, "y", F.col("x").alias("ox"), "g")
-    d2 = F.min((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + F.col("og") * F.col("og"))
-    return mask.select(key, "y", "x").join(other.withColumnRenamed("g", "og"), [key, "y"]).groupBy(key, "y", "x").agg(F.sqrt(d2).alias("distance"))
+    g = whole.withColumn("g", F.coalesce(F.least(F.col("y") - F.last(zero, True).over(up), F.last(zero, True).over(down) - F.col("y")), F.lit(-1)))
+    rows = g.groupBy(key, "y").agg(F.array_sort(F.collect_list(F.struct("x", "g"))).alias("p")).select(F.col(key).alias("key"), "y", F.col("p.g").alias("g"))
+    kinds = rows.schema
+    near = rows.mapInArrow(_nearest_in_rows, f"key {kinds['key'].dataType.simpleString()}, y {kinds['y'].dataType.simpleString()}, distance array<double>")
+    pixels = near.select(F.col("key").alias(key), "y", F.posexplode("distance").alias("x", "distance")).filter("distance < double('infinity')")
+    return pixels.join(mask.select(key, "y", "x"), [key, "y", "x"], "left_semi").select(key, "y", "x", "distance")
 
 
 def region_props(labels: DataFrame, pixels: DataFrame, key: str = KEY) -> DataFrame:
@@ -207,10 +229,11 @@ def perimeter(labels: DataFrame, key: str = KEY) -> DataFrame:
     return e.join(c, [key, "label", "y", "x"]).groupBy(key, "label").agg(F.sum(weight).alias("perimeter"))
 
 
-def label_boundaries(labels: DataFrame, key: str = KEY) -> DataFrame:
-    """Outer boundary: background pixels that share an edge with a label."""
+def label_boundaries(labels: DataFrame, sizes: DataFrame, key: str = KEY) -> DataFrame:
+    """Outer boundary: background pixels of the image that share an edge with a label. sizes: (key, height, width)."""
     moved = labels.select(key, F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in EDGES))).alias("n")).select(key, "n.y", "n.x").distinct()
-    return moved.filter("y >= 0 and x >= 0").join(labels, [key, "y", "x"], "left_anti")
+    inside = moved.join(sizes, key).filter("y >= 0 and x >= 0 and y < height and x < width").select(key, "y", "x")
+    return inside.join(labels, [key, "y", "x"], "left_anti")
 
 
 def speckles_in_nuclei(regions: DataFrame, nuclei: DataFrame, key: str = KEY) -> DataFrame:

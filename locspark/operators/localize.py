@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from locspark.functions.scalars import localization_precision
+
 LOCS = "movie_id int, frame int, peak int, x double, y double, x_error double, y_error double, photons double, intensity double, background double"
 FITTED = "movie_id int, frame int, group_id int, x double, y double, x_error double, y_error double, photons double, amplitude double, sigma double, background double, n_emitters int, chi_squared double, r_squared double"
 
@@ -200,6 +202,7 @@ def localize_grouped(frames: DataFrame, method: str = "fit", detection_threshold
 
     Where a fit isn't possible (or with method centroid): the weighted centre of 5 x 5 pixels about each peak, errors
     0.2, chi squared 999. Errors are 0.1 where the fit has no covariance. At most ten emitters a group, the brightest.
+    The columns are those that filters and clusters read: figures of the group's fit as cluster_*, and sigma_x and sigma_y alike.
     """
     half = fitting_window // 2
 
@@ -235,7 +238,9 @@ def localize_grouped(frames: DataFrame, method: str = "fit", detection_threshold
         for g, own in enumerate(grouped(found, fitting_window / 2)):
             yield from ((g, *r) for r in fitted(image, found[own]))
 
-    return _by_frame(frames, FITTED, of)
+    found = _by_frame(frames, FITTED, of)
+    names = {"n_emitters": "cluster_n_molecules", "chi_squared": "cluster_chi_squared", "r_squared": "cluster_r_squared"}
+    return found.withColumnsRenamed(names).withColumns({"sigma_x": F.col("sigma"), "sigma_y": F.col("sigma"), "localization_precision": localization_precision(F.col("x_error"), F.col("y_error"))}).drop("sigma")
 
 
 def fit_quality(windows: DataFrame, fits: DataFrame, emitters: DataFrame, key: str = "group_id") -> DataFrame:

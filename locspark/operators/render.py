@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +30,49 @@ def crop_center(image: DataFrame, height: int, width: int) -> DataFrame:
     return image.filter(F.col("y").between(height // 2 - q, height // 2 + q - 1) & F.col("x").between(width // 2 - q, width // 2 + q - 1))
 
 
-def _splat(points: DataFrame, lo_y: Column, hi_y: Column, lo_x: Column, hi_x: Column, value: Column, height: int, width: int) -> DataFrame:
-    """Adds up a kernel over the pixels lo .. hi (hi excluded) of each point; partial sums are formed before the shuffle."""
-    clip = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), c))
-    p = points.withColumn("y0", clip(lo_y, height)).withColumn("y1", clip(hi_y, height)).withColumn("x0", clip(lo_x, width)).withColumn("x1", clip(hi_x, width)).filter("y0 < y1 and x0 < x1")
-    p = p.withColumn("py", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("px", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    return p.groupBy("movie_id", F.col("py").alias("y"), F.col("px").alias("x")).agg(F.sum(value).alias("value"))
+#: Side of a tile of the image, and tiles that a task holds before it gives out their pixels.
+TILE, TILES = 256, 64
+
+
+def _kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up kernels in tiles: a few arrays a task take the place of a row for each pixel of each kernel."""
+    tiles: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def pixels() -> Iterator[pa.RecordBatch]:
+        for (movie, ty, tx), (value, touched) in tiles.items():
+            y, x = np.nonzero(touched)
+            yield pa.record_batch([pa.array([movie] * len(y), pa.int64()), pa.array(y + ty * TILE, pa.int64()), pa.array(x + tx * TILE, pa.int64()), pa.array(value[y, x])], names=["movie_id", "y", "x", "value"])
+        tiles.clear()
+
+    for batch in batches:
+        for movie, y0, y1, x0, x1, cy, cx, sy, sx, a in zip(*(c.to_pylist() for c in batch.columns)):
+            dy, dx = np.arange(y0, y1) - cy, np.arange(x0, x1) - cx
+            kernel = np.outer(a * np.exp(-dy * dy / (2 * sy * sy)), np.exp(-dx * dx / (2 * sx * sx)))
+            for ty in range(y0 // TILE, (y1 - 1) // TILE + 1):
+                for tx in range(x0 // TILE, (x1 - 1) // TILE + 1):
+                    if (movie, ty, tx) not in tiles:
+                        if len(tiles) >= TILES:
+                            yield from pixels()
+                        tiles[movie, ty, tx] = np.zeros((TILE, TILE)), np.zeros((TILE, TILE), bool)
+                    value, touched = tiles[movie, ty, tx]
+                    t, z, l, r = max(y0, ty * TILE), min(y1, (ty + 1) * TILE), max(x0, tx * TILE), min(x1, (tx + 1) * TILE)
+                    at = slice(t - ty * TILE, z - ty * TILE), slice(l - tx * TILE, r - tx * TILE)
+                    value[at] += kernel[t - y0 : z - y0, l - x0 : r - x0]
+                    touched[at] = True
+    yield from pixels()
+
+
+def _splat(points: DataFrame, lo_y: Column, hi_y: Column, lo_x: Column, hi_x: Column, height: int, width: int) -> DataFrame:
+    """Adds up a * exp(-((x - cx)**2 / 2 sx**2 + (y - cy)**2 / 2 sy**2)) over the pixels lo .. hi (hi excluded) of each point.
+
+    Each task adds up its points in tiles, in bounded memory, and the tasks' pixels are added up then; dense places are no
+    hot keys.
+    """
+    clip = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), c)).cast("long")
+    p = points.select(F.col("movie_id").cast("long").alias("movie_id"), clip(lo_y, height).alias("y0"), clip(hi_y, height).alias("y1"), clip(lo_x, width).alias("x0"), clip(hi_x, width).alias("x1"), *(F.col(c).cast("double") for c in ("cy", "cx", "sy", "sx", "a")))
+    whole = p.filter("y0 < y1 and x0 < x1").dropna().mapInArrow(_kernels, "movie_id long, y long, x long, value double")
+    kind = points.schema["movie_id"].dataType
+    return whole.groupBy("movie_id", "y", "x").agg(F.sum("value").alias("value")).select(F.col("movie_id").cast(kind), F.col("y").cast("int"), F.col("x").cast("int"), "value")
 
 
 def render_gaussian_pdf(locs: DataFrame, height: int, width: int, oversampling: int = 5, min_blur: float = 0.1) -> DataFrame:
@@ -39,10 +80,10 @@ def render_gaussian_pdf(locs: DataFrame, height: int, width: int, oversampling:
     lpx = or_default("x_error", 0.5)
     lpy = F.coalesce(F.col("y_error"), lpx)
     p = viewport(locs, height, width).select("movie_id", (F.col("x") * oversampling).alias("cx"), (F.col("y") * oversampling).alias("cy"), (F.greatest(lpx, F.lit(min_blur)) * oversampling).alias("sx"), (F.greatest(lpy, F.lit(min_blur)) * oversampling).alias("sy"))
-    dx, dy = F.col("px") - F.col("cx") + 0.5, F.col("py") - F.col("cy") + 0.5
-    value = F.exp(-(dx * dx / (2 * F.col("sx") * F.col("sx")) + dy * dy / (2 * F.col("sy") * F.col("sy")))) / (2 * math.pi * F.col("sx") * F.col("sy"))
-    edge = lambda c, s, sign: (F.col(c) + sign * 3 * F.col(s)).cast("int")
-    return _splat(p, edge("cy", "sy", -1), edge("cy", "sy", 1) + 1, edge("cx", "sx", -1), edge("cx", "sx", 1) + 1, value, height * oversampling, width * oversampling)
+    p = p.withColumn("a", 1 / (2 * math.pi * F.col("sx") * F.col("sy")))
+    centred = p.withColumns({"cy": F.col("cy") - 0.5, "cx": F.col("cx") - 0.5})  # a pixel counts at its middle
+    low = lambda c, s, sign: (F.col(c) + 0.5 + sign * 3 * F.col(s)).cast("int")
+    return _splat(centred, low("cy", "sy", -1), low("cy", "sy", 1) + 1, low("cx", "sx", -1), low("cx", "sx", 1) + 1, height * oversampling, width * oversampling)
 
 
 def render_gaussian_peak(locs: DataFrame, height: int, width: int, mode: str = "precision", oversampling: int = 5) -> DataFrame:
@@ -51,11 +92,10 @@ def render_gaussian_peak(locs: DataFrame, height: int, width: int, mode: str = "
     sigma = {"precision": F.greatest(or_default("x_error", 0.5) * oversampling, F.lit(0.5)), "photon": F.greatest(F.lit(0.5), F.least(F.lit(3.0), oversampling / F.sqrt(F.greatest(n, F.lit(1e-9)) / 1000))), "fixed": F.lit(oversampling * 0.5)}[mode]
     p = render_bounds_check(locs, height, width, oversampling).select("movie_id", (F.col("x") * oversampling).alias("cx"), (F.col("y") * oversampling).alias("cy"), sigma.alias("s"), (n / 1000 if mode == "photon" else F.lit(1.0)).alias("a"))
     p = p.withColumn("r", (3 * F.col("s")).cast("int") + 1).withColumn("ix", F.col("cx").cast("int")).withColumn("iy", F.col("cy").cast("int"))
-    dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
-    value = F.col("a") * F.exp(-(dx * dx + dy * dy) / (2 * F.col("s") * F.col("s")))
-    image = _splat(p, F.col("iy") - F.col("r"), F.col("iy") + F.col("r") + 1, F.col("ix") - F.col("r"), F.col("ix") + F.col("r") + 1, value, height * oversampling, width * oversampling)
+    p = p.withColumns({"sy": F.col("s"), "sx": F.col("s")})
+    image = _splat(p, F.col("iy") - F.col("r"), F.col("iy") + F.col("r") + 1, F.col("ix") - F.col("r"), F.col("ix") + F.col("r") + 1, height * oversampling, width * oversampling)
     top = image.groupBy("movie_id").agg(F.max("value").alias("top"))
-    return image.join(F.broadcast(top), "movie_id").select("movie_id", "y", "x", (F.col("value") / F.col("top")).alias("value"))
+    return image.join(top, "movie_id").select("movie_id", "y", "x", (F.col("value") / F.col("top")).alias("value"))
 
 
 def render_histogram(locs: DataFrame, height: int, width: int, oversampling: int = 5) -> DataFrame:
@@ -69,7 +109,7 @@ def sparse_smooth(image: DataFrame, sigma: float, sizes: DataFrame) -> DataFrame
     taps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(k / sum(kernel)).alias("k")) for d, k in zip(range(-radius, radius + 1), kernel)))
     for axis, other, size in (("x", "y", "w"), ("y", "x", "h")):
         turned = F.pmod(F.col(axis) + F.col("t.d"), 2 * F.col(size))
-        p = image.join(F.broadcast(sizes), "movie_id").withColumn("t", F.explode(taps))
+        p = image.join(sizes, "movie_id").withColumn("t", F.explode(taps))
         image = p.groupBy("movie_id", other, F.when(turned < F.col(size), turned).otherwise(2 * F.col(size) - 1 - turned).cast("int").alias(axis)).agg(F.sum(F.col("value") * F.col("t.k")).alias("value"))
     return image.select("movie_id", "y", "x", "value")
 
@@ -81,7 +121,7 @@ def render_histogram_smooth(locs: DataFrame, height: int, width: int, oversampli
     sizes = locs.select("movie_id").distinct().select("movie_id", F.lit(height * oversampling).alias("h"), F.lit(width * oversampling).alias("w"))
     image = sparse_smooth(counts, sigma, sizes)
     top = image.groupBy("movie_id").agg(F.max("value").alias("top"))
-    return image.join(F.broadcast(top), "movie_id").select("movie_id", "y", "x", (F.col("value") / F.col("top")).alias("value"))
+    return image.join(top, "movie_id").select("movie_id", "y", "x", (F.col("value") / F.col("top")).alias("value"))
 
 
 def render_set(locs: DataFrame, height: int, width: int, oversampling: int = 5) -> DataFrame:
@@ -98,9 +138,9 @@ def render_weighted(locs: DataFrame, padding: float = 5.0, pixel_size: float = 1
     """Weighted kernels over the bounds of each movie, cut at five deviations (less than 4e-6 of the peak is left out), then a blur."""
     scale = pixel_size / sr_pixel_size
     bounds = locs.groupBy("movie_id").agg((F.min("x") - padding).alias("bx"), (F.min("y") - padding).alias("by"), F.ceil((F.max("x") - F.min("x") + 2 * padding) * scale).cast("int").alias("w"), F.ceil((F.max("y") - F.min("y") + 2 * padding) * scale).cast("int").alias("h"))
-    p = locs.join(F.broadcast(bounds), "movie_id").select("movie_id", "w", "h", ((F.col("x") - F.col("bx")) * scale).alias("cx"), ((F.col("y") - F.col("by")) * scale).alias("cy"), render_sigma(pixel_size, sr_pixel_size).alias("s"), render_weight().alias("a"))
-    dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
+    p = locs.join(bounds, "movie_id").select("movie_id", "w", "h", ((F.col("x") - F.col("bx")) * scale).alias("cx"), ((F.col("y") - F.col("by")) * scale).alias("cy"), render_sigma(pixel_size, sr_pixel_size).alias("s"), render_weight().alias("a"))
+    p = p.withColumns({"sy": F.col("s"), "sx": F.col("s")})
     r = (5 * F.col("s")).cast("int") + 1
     lo = lambda c: F.col(c).cast("int") - r
-    image = _splat(p, lo("cy"), F.least(F.col("cy").cast("int") + r + 1, F.col("h")), lo("cx"), F.least(F.col("cx").cast("int") + r + 1, F.col("w")), F.col("a") * F.exp(-(dx * dx + dy * dy) / (2 * F.col("s") * F.col("s"))), 1 << 30, 1 << 30)
+    image = _splat(p, lo("cy"), F.least(F.col("cy").cast("int") + r + 1, F.col("h")), lo("cx"), F.least(F.col("cx").cast("int") + r + 1, F.col("w")), 1 << 30, 1 << 30)
     return sparse_smooth(image, blur_sigma * scale, bounds.select("movie_id", "h", "w")) if blur_sigma > 0 else image

@@ -32,7 +32,7 @@ def knn(locs: DataFrame, k: int) -> DataFrame:
     p = locs.select("movie_id", "loc_id", "x", "y")
     area = p.groupBy("movie_id").agg(F.count("*").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("extent"), F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1e-12)).alias("area"))
     area = area.withColumn("side", F.greatest(F.sqrt(F.lit(float(k)) * F.col("area") / F.col("n")), F.col("extent") / 4096))
-    p = written(p.join(F.broadcast(area), "movie_id"))
+    p = written(p.join(area, "movie_id"))
     todo, out, scale = p, None, 1.0
     while True:
         side = F.col("side") * scale
@@ -59,7 +59,7 @@ def mean_neighbor_distance(locs: DataFrame, k_neighbors: int = 10) -> DataFrame:
 def local_density(locs: DataFrame, k_neighbors: int = 10) -> DataFrame:
     """(movie_id, loc_id, density): 1 / (mean distance + 1e-6); 1 in movies of fewer than k points."""
     n = locs.groupBy("movie_id").agg(F.count("*").alias("n"))
-    return mean_neighbor_distance(locs, k_neighbors).join(F.broadcast(n), "movie_id").select("movie_id", "loc_id", F.when(F.col("n") < k_neighbors, 1.0).otherwise(1 / (F.col("mean_distance") + 1e-6)).alias("density"))
+    return mean_neighbor_distance(locs, k_neighbors).join(n, "movie_id").select("movie_id", "loc_id", F.when(F.col("n") < k_neighbors, 1.0).otherwise(1 / (F.col("mean_distance") + 1e-6)).alias("density"))
 
 
 def knee_eps(locs: DataFrame, eps_base: float = 5.0, min_samples: int = 3) -> DataFrame:
@@ -76,7 +76,7 @@ def knee_eps(locs: DataFrame, eps_base: float = 5.0, min_samples: int = 3) -> Da
 def eps_neighbors(locs: DataFrame, eps: float | DataFrame) -> DataFrame:
     """(movie_id, loc_id, other_id, distance) of all pairs no farther than eps, each both ways and each point with itself."""
     p = locs.select("movie_id", "loc_id", "x", "y")
-    p = p.withColumn("eps", F.lit(float(eps))) if not isinstance(eps, DataFrame) else p.join(F.broadcast(eps), "movie_id")
+    p = p.withColumn("eps", F.lit(float(eps))) if not isinstance(eps, DataFrame) else p.join(eps, "movie_id")
     p = p.select("*", *_cells(F.col("eps")))
     others = p.select("movie_id", F.col("loc_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
     return _around(p).join(others, ["movie_id", "cx", "cy"]).withColumn("distance", _distance()).filter("distance <= eps").select("movie_id", "loc_id", "other_id", "distance")

@@ -78,7 +78,7 @@ def histogram(df: DataFrame, column: str, bins: int, key: str = "movie_id") -> D
     v = df.filter(F.col(column).isNotNull()).select(key, F.col(column).cast("double").alias("v"))
     bounds = v.groupBy(key).agg(F.min("v").alias("a"), F.max("v").alias("b"))
     number, a, b = _bin(F.col("v"), F.col("a"), F.col("b"), bins)
-    n = v.join(F.broadcast(bounds), key).groupBy(key, number.alias("bin")).agg(F.count("*").alias("n"))
+    n = v.join(bounds, key).groupBy(key, number.alias("bin")).agg(F.count("*").alias("n"))
     grid = bounds.select(key, a.alias("a"), b.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return grid.join(n, [key, "bin"], "left").select(key, "bin", (F.col("a") + (F.col("b") - F.col("a")) / bins * F.col("bin")).alias("lo"), (F.col("a") + (F.col("b") - F.col("a")) / bins * (F.col("bin") + 1)).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -87,7 +87,7 @@ def histogram2d(df: DataFrame, first: str, second: str, bins: int = 30, key: str
     """(key, bin_1, bin_2, n) of the bins that aren't empty."""
     v = df.select(key, F.col(first).cast("double").alias("v"), F.col(second).cast("double").alias("w")).dropna()
     bounds = v.groupBy(key).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.min("w").alias("c"), F.max("w").alias("d"))
-    return v.join(F.broadcast(bounds), key).groupBy(key, _bin(F.col("v"), F.col("a"), F.col("b"), bins)[0].alias("bin_1"), _bin(F.col("w"), F.col("c"), F.col("d"), bins)[0].alias("bin_2")).agg(F.count("*").alias("n"))
+    return v.join(bounds, key).groupBy(key, _bin(F.col("v"), F.col("a"), F.col("b"), bins)[0].alias("bin_1"), _bin(F.col("w"), F.col("c"), F.col("d"), bins)[0].alias("bin_2")).agg(F.count("*").alias("n"))
 
 
 def photon_boxplot(locs: DataFrame, n: int = 10) -> DataFrame:

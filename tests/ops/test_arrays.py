@@ -78,11 +78,11 @@ def test_fit_finds_planted_spots(spark):
     image = 5 + (xs * 7 + ys * 3) % 4 * 0.25 + sum(a * np.exp(-((ys - y) ** 2 + (xs - x) ** 2) / (2 * s * s)) for y, x, a, s in spots)
     frames = spark.createDataFrame([(1, 0, 40, 40, image.ravel().tolist()), (1, 1, 40, 40, None), (1, 2, 0, 0, [])], "movie_id int, frame int, height int, width int, pixels array<double>")
     got = sorted(localize.localize_grouped(frames).collect(), key=lambda r: r.y)
-    assert len(got) == 2 and all(r.frame == 0 and r.n_emitters == 1 and r.r_squared > 0.99 for r in got)
+    assert len(got) == 2 and all(r.frame == 0 and r.cluster_n_molecules == 1 and r.cluster_r_squared > 0.99 for r in got)
     for r, (y, x, a, s) in zip(got, spots):
         assert abs(r.y - y) < 0.05 and abs(r.x - x) < 0.05 and abs(r.sigma - s) < 0.05 and abs(r.amplitude - a) < 0.05 * a
     plain = localize.localize_grouped(frames, "centroid").collect()
-    assert {r.chi_squared for r in plain} == {999.0} and {r.x_error for r in plain} == {0.2}
+    assert {r.cluster_chi_squared for r in plain} == {999.0} and {r.x_error for r in plain} == {0.2}
     assert localize.localize_centroid(frames.limit(0)).collect() == []
 
 
