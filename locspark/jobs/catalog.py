@@ -611,5 +611,5 @@ def analyze_marker_dapi(marker, dapi):
 
 @query(None, "frame_pixels")
 def localize_filter_cluster(pixels):
-    """From frames over fits and the filter cascade to the table of clusters."""
-    return workloads.localize_filter_cluster(tables.pixels_to_frames(pixels), eps=6.0)["clusters"]
+    """From frames over fits to the filter cascade: what each rule rejects, and what stays for the clusters."""
+    return workloads.localize_filter_cluster(tables.pixels_to_frames(pixels), eps=6.0)["funnel"]
