@@ -50,6 +50,21 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x), pa.array(y)], schema=_PAIR)
 
 
+#: A key with more than one row in so many is hot; there can't be more of them than that.
+HOT_KEYS = 1000
+
+
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """`rows` with the columns least and n: the smallest value of their key, and how many rows it has.
+
+    Rows of hot keys look theirs up in a broadcast table of at most `HOT_KEYS` rows, so none of them makes a task large.
+    """
+    least = written(rows.groupBy(key).agg(F.min(value).alias("least"), F.count("*").alias("n")))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(least.filter(F.col("n") * HOT_KEYS > total))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(least.filter(F.col("n") * HOT_KEYS <= total), key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node of `links` (two long columns) but the smallest of a component, which is its name.
 
@@ -62,11 +77,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: larger neighbours of a node go to its smallest neighbour
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both, "u", "v").filter("v > u").select(F.col("v").alias("a"), F.least("least", "u").alias("b")).distinct()
         # small star: smaller neighbours and the node itself go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        own = with_least(written(large), "a", "b")
+        small = own.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct("a", F.col("least").alias("b")))).alias("x")).select("x.a", "x.b")
         edges = written(small.filter("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

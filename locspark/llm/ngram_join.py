@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locspark.llm import common
-from locspark.llm.components import components
+from locspark.llm.components import components, with_least
 
 #: Texts of a candidate group that one task takes; larger groups are cut into parts of this size.
 PART = 3000
@@ -224,9 +224,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     classes = common.written(shared.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("freqs").alias("freqs")))
     named = classes.filter("rep is not null")
 
-    postings = named.select("rep", "n_shingles", "tokens").mapInArrow(lambda b: _postings(b, percent), "token long, rep long")
-    centre = postings.groupBy("token").agg(F.min("rep").alias("centre"), F.max("rep").alias("far")).filter("centre < far").select("token", "centre")
-    groups = components(postings.join(centre, "token").filter("rep <> centre").select("rep", "centre"))
+    postings = common.written(named.select("rep", "n_shingles", "tokens").mapInArrow(lambda b: _postings(b, percent), "token long, rep long"))
+    groups = components(with_least(postings, "token", "rep").filter("rep <> least").select("rep", "least"))
     groups = groups.union(groups.select(F.col("component").alias("node"), "component").distinct())
 
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")
@@ -251,9 +250,9 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Rows go by a hash of id and text, so that of a repeated id each text is judged by itself; rows with both equal stay.
     """
     row, own = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")), F.col(key).cast("long")
-    base = docs.select(row.alias("_row"), own.alias("_id"), F.col(text).alias("_text"))
-    groups = ngram_join(base, "_row", "_text", **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
-    rows = common.written(groups.join(base.filter("_id is not null").select("_row", "_id").distinct(), "_row"))
-    first = rows.groupBy("_group").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    others = rows.join(first, "_group").filter("_row <> _first").select(F.col("_row").alias("_other"))
-    return docs.join(others, row == F.col("_other"), "left_anti")
+    base = docs.select(row.alias("row"), own.alias("id"), F.col(text).alias("text"))
+    groups = ngram_join(base, "row", "text", **options).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct()
+    rows = groups.join(base.filter("id is not null").select("row", "id").distinct(), "row").select("group", F.struct("id", "row").alias("place"))
+    others = with_least(common.written(rows), "group", "place").filter("place.row <> least.row").select(F.col("place.row").alias("other"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), row.alias("row"))
+    return whole.join(others, whole.row == others.other, "left_anti").select(*(F.col(f"whole.`{c}`") for c in docs.columns))
