@@ -1,15 +1,22 @@
 """Licence scans by a positional index of rare licence words.
 
 Texts are cut into words (A-Z lower-cased; every other ASCII character but letters and digits separates). Templates are
-word sequences with a label and mandatory key phrases. Each template is filed under its rarest words, by inverse
-document frequency over all texts. A text looks up its words there: each hit says where the template would have to
-start, hits that agree on the start are one candidate, and the share of the template's weight that stands at its place
-is its score. A candidate counts if a key phrase stands in full at its place and the score reaches `least`.
+word sequences with a label and mandatory key phrases. All their words are indexed with the places they have in them. For
+each text
+
+1. its `LOOKUPS` licence words of highest inverse document frequency over all texts are looked up, and of each key phrase
+   whose words all occur in it, those words,
+2. the postings are intersected by relative position: each says where its template would have to start, and a candidate is
+   a start that two different words agree on (one, if a key phrase has a single word),
+3. a candidate counts if a key phrase stands in full at its place; its score is the share of the template's weight that
+   stands at its place, its label is given if that reaches `least`. As the words of a phrase that stands are all looked up
+   and agree, no such place is missed.
 
 Base phrases are templates whose words must all stand; every such place counts.
 
-Null and empty texts have no words, no labels and score 0. Texts are read whole; repeated rows are scanned each. An
-empty table gives no rows.
+Null and empty texts have no words, no labels and score 0. Texts are read whole; repeated rows, and rows of null or repeated
+ids, are scanned each. Several notices of one text, of whatever scores, are all labelled. Other columns, of whatever name,
+are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,13 +63,26 @@ TEMPLATES = (
     template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     template("cc0", "licensed under cc0 1 0 universal", "cc0 1 0"),
     template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    # fixed values: whole texts of two licences, in plain words
+    template("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+        to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the
+        software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but
+        not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for
+        any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other
+        dealings in the software""", "permission is hereby granted free of charge", "to deal in the software without restriction", "shall be included in all copies or substantial portions", "the software is provided as is"),
+    template("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions
+        of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above
+        copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+        this software is provided by the copyright holders and contributors as is""", "redistribution and use in source and binary forms", "redistributions of source code must retain", "endorse or promote products derived from this software", "this software is provided by the copyright holders"),
     template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
 )
 #: Least share of a template's weight that must stand at its place.
 LEAST = 0.6
-#: Under how many of its rarest words a template is filed.
-RARE = 3
+#: How many of a text's rarest licence words are looked up in any case.
+LOOKUPS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -100,10 +120,21 @@ class Index:
         of = {w: i for i, w in enumerate(self.words)}
         self.sequences = [np.array([of[w] for w in t.words]) for t in templates]
         self.mass = [np.array([weights[w] for w in t.words]) for t in templates]
-        self.rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (t, m) in enumerate(zip(self.sequences, self.mass)):
-            for w in sorted(set(t), key=lambda w: (-self.weights[self.words[w]], w))[:RARE]:
-                self.rare[int(w)] += [(k, int(p)) for p in np.flatnonzero(t == w)]
+        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, t in enumerate(self.sequences):
+            for p, w in enumerate(t.tolist()):
+                self.postings[w].append((k, p))
+        self.phrases = sorted({tuple(sorted(set(t[a:z].tolist()))) for t, x in zip(self.sequences, templates) for a, z in x.keys})
+        self.agreeing = [min([2, *(len(set(t[a:z].tolist())) for a, z in x.keys)]) for t, x in zip(self.sequences, templates)]
+        self.order = {w: i for i, w in enumerate(sorted(range(len(self.words)), key=lambda w: (-weights[self.words[w]], self.words[w])))}
+
+    def looked_up(self, words: set[int]) -> set[int]:
+        """Of a text's licence words those to look up."""
+        out = set(sorted(words, key=self.order.__getitem__)[:LOOKUPS])
+        for phrase in self.phrases:
+            if words.issuperset(phrase):
+                out.update(phrase)
+        return out
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of licence words, and which words they are."""
@@ -142,23 +173,28 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, base: list[tuple[int,
             begin = np.concatenate(([0], np.cumsum(n_words)))
             places, base_labels, labels, score = defaultdict(list), defaultdict(set), defaultdict(set), defaultdict(float)
             at, which = index.find(h)
-            known = dict(zip(at.tolist(), which.tolist()))
-            tried = set()
-            for p, w in zip(at.tolist(), which.tolist()):
-                for k, offset in index.rare.get(w, ()):
-                    start, d = p - offset, int(doc[p])
-                    if (k, start) in tried:
+            known, of = dict(zip(at.tolist(), which.tolist())), doc[at]
+            cuts = np.flatnonzero(np.diff(of)) + 1
+            for places_of, words_of in zip(np.split(at, cuts), np.split(which, cuts)) if len(at) else ():
+                d, look = int(doc[places_of[0]]), index.looked_up(set(words_of.tolist()))
+                votes: dict[tuple[int, int], set[int]] = defaultdict(set)
+                for p, w in zip(places_of.tolist(), words_of.tolist()):
+                    if w in look:
+                        for k, offset in index.postings[w]:
+                            votes[k, p - offset].add(w)
+                for (k, start), agree in votes.items():
+                    if len(agree) < index.agreeing[k]:
+                        continue
+                    seq, t = index.sequences[k].tolist(), index.templates[k]
+                    stand = lambda a, z: all(begin[d] <= start + i < begin[d + 1] and known.get(start + i) == seq[i] for i in range(a, z))  # noqa: B023, E731
+                    if not any(stand(a, z) for a, z in t.keys):
                         continue
-                    tried.add((k, start))
-                    seq, t = index.sequences[k], index.templates[k]
-                    stands = np.array([begin[d] <= q < begin[d + 1] and known.get(q) == x for q, x in zip(range(start, start + len(seq)), seq.tolist())])
                     if k in base_of:
-                        if stands.all():
-                            places[d].append(start - int(begin[d]))
-                            base_labels[d].add(base_of[k])
-                            score[d] = 1.0
-                    elif any(stands[a:z].all() for a, z in t.keys):
-                        share = float((index.mass[k] * stands).sum() / index.mass[k].sum())
+                        places[d].append(start - int(begin[d]))
+                        base_labels[d].add(base_of[k])
+                        score[d] = 1.0
+                    else:
+                        share = float(sum(m for i, m in enumerate(index.mass[k].tolist()) if stand(i, i + 1)) / index.mass[k].sum())
                         score[d] = max(score[d], share)
                         if share >= least:
                             labels[d].add(t.label)
