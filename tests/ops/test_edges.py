@@ -58,3 +58,55 @@ def test_constant_histogram_and_image(spark):
 def test_long_chain_is_one_component(spark):
     snake = spark.range(300).select(F.lit(0).alias("image_id"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"))
     assert images.label_components(snake).select("label").distinct().count() == 1
+
+
+def test_coordinates_that_are_no_numbers(spark):
+    df = locs(spark, [(0, i, 0, x, 0.0, 1.0) for i, x in enumerate([float("nan"), float("inf"), None, 1e300, 2.0])])
+    labels = spark.createDataFrame([(2, 0, 5)], "x int, y int, label int")
+    assert [r.speckle_id for r in assign.assign_to_speckles(df, labels, 4, 4).orderBy("loc_id").collect()] == [0, 0, 0, 0, 5]
+    assert [r.location for r in assign.assign_to_speckles(df, labels, 4, 4, "round").orderBy("loc_id").collect()] == ["out_of_bounds"] * 4 + ["nuclear_speckle"]
+
+
+def test_labels_of_each_movie(spark):
+    df = locs(spark, [(0, 0, 0, 1.0, 1.0, 2.0), (1, 1, 0, 1.0, 1.0, 3.0)])
+    labels = spark.createDataFrame([(0, 1, 1, 7), (1, 0, 0, 8)], "movie_id int, x int, y int, label int")
+    placed = assign.assign_to_speckles(df, labels, 4, 4)
+    assert {(r.movie_id, r.speckle_id) for r in placed.collect()} == {(0, 7), (1, 0)}
+    assert {(r.movie_id, r.speckle_area, r.n_speckle) for r in assign.enrichment_density(placed, labels, 4, 4).collect()} == {(0, 1, 1), (1, 1, 0)}
+    assert {(r.movie_id, r.speckle_id, r.molecule_count, tuple(r.molecules)) for r in assign.speckle_stats(placed, labels, molecules=True).collect()} == {(0, 7, 1, (0,)), (1, 8, 0, ())}
+
+
+def test_tables_come_back(spark, tmp_path):
+    df = tables.with_schema(locs(spark, [(0, 1, 2, 1.5, 2.5, None), (3, 4, 5, 6.0, 7.0, 8.0)]))
+    tables.write_localizations(df, f"file://{tmp_path}/locs")
+    back = tables.read_localizations(spark, f"file://{tmp_path}/locs")
+    assert back.columns == df.columns and {(r.movie_id, r.loc_id, r.frame, r.x, r.photons, r.sigma_x) for r in back.collect()} == {(0, 1, 2, 1.5, 0.0, 0.0), (3, 4, 5, 6.0, 8.0, 0.0)}
+    tables.write_localizations(df, f"file://{tmp_path}/csv", csv=True)
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(f"file://{tmp_path}/csv")
+    assert rows.columns == df.columns and sorted(r.photons for r in rows.collect()) == [0.0, 8.0]
+    tables.write_bundle(f"file://{tmp_path}/bundle", locs=df, sizes=df.select("loc_id"))
+    assert spark.read.parquet(f"file://{tmp_path}/bundle/sizes").count() == 2
+    found = df.select("movie_id", "loc_id").withColumn("cluster_id", F.lit(9)).withColumn("sub_cluster_id", F.lit(1)).filter("loc_id = 1")
+    assert {(r.loc_id, r.cluster_id, r.sub_cluster_id) for r in stats.attach_cluster_labels(df, found).collect()} == {(1, 9, 1), (4, -1, 0)}
+
+
+def test_distance_transform_of_a_wide_row(spark):
+    mask = spark.range(1, 400).select(F.lit(0).alias("image_id"), F.lit(1).alias("y"), F.col("id").cast("int").alias("x"))
+    sizes = spark.createDataFrame([(0, 2, 401)], "image_id int, height int, width int")
+    assert {round(r.distance, 9) for r in images.distance_transform(mask, sizes).collect()} == {1.0}
+    tall = spark.createDataFrame([(0, 1, 401)], "image_id int, height int, width int")
+    own = mask.withColumn("y", F.lit(0))
+    assert {(r.x, r.distance) for r in images.distance_transform(own, tall).collect()} == {(x, float(min(x, 400 - x))) for x in range(1, 400)}
+
+
+def test_fitted_emitters_go_through_the_cascade(spark):
+    from locspark.jobs.workloads import numbered
+    from locspark.operators import localize
+
+    spots = F.lit(0.0)
+    for cy, cx in ((20, 20), (20, 24), (40, 40)):
+        spots = spots + 300 * F.exp(-((F.col("y") - cy) * (F.col("y") - cy) + (F.col("x") - cx) * (F.col("x") - cx)) / 2.0)
+    grid = spark.range(64 * 64).select(F.lit(0).alias("movie_id"), F.lit(0).alias("frame"), (F.col("id") / 64).cast("int").alias("y"), (F.col("id") % 64).cast("int").alias("x")).withColumn("value", 5.0 + (F.col("x") * 7 + F.col("y") * 13) % 5 + spots)
+    found = numbered(localize.localize_grouped(tables.pixels_to_frames(grid)))
+    assert set(found.columns) >= {"cluster_n_molecules", "cluster_chi_squared", "cluster_r_squared", "localization_precision", "sigma_x", "sigma_y"}
+    assert {r.loc_id for r in filters.filter_cascade(found).collect()} <= {r.loc_id for r in found.collect()} and found.count() >= 2
