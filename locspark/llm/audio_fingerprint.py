@@ -3,7 +3,8 @@
 Samples are cut into overlapping frames; the power spectrum of each is folded into twelve pitch classes and normalised.
 Over an integral image of these, sixteen box filters compare parts of a window of frames; each answer takes two bits
 (Gray code), so a window gives one packed 32-bit integer. Equal integers of two recordings vote for the offset between
-their windows; at the offset with most votes the bit errors decide.
+their windows; the bit errors at an offset decide, and the offset with most votes that passes is the pair's. Runs of one
+integer vote as a whole and votes are added up piece by piece, so memory follows the offsets, not the pairs of windows.
 
 Recordings under `SHORT` samples can't hold a run of `LEAST_RUN` windows, so their fingerprint is a fine one, of frames and
 hops a quarter as long. Long recordings have a fine one besides, by which they meet the short ones; two long ones meet by
@@ -39,6 +40,8 @@ LEAST_RUN, LEAST_VOTES, MOST_ERRORS = 16, 3, 0.2
 #: Recordings of fewer samples can't reach LEAST_RUN; frame and hop of their fingerprints.
 SHORT, FINE_FRAME, FINE_HOP = FRAME + (WINDOW + LEAST_RUN - 2) * HOP, FRAME // 4, HOP // 4
 QUERY_WINDOWS = 1 << 20
+#: Pairs of runs, or offsets, that are looked at at once.
+HITS = 1 << 20
 
 
 def _fold(frame: int) -> np.ndarray:
@@ -140,6 +143,44 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _PRINTS)] if rows else [pa.array([], f.type) for f in _PRINTS], schema=_PRINTS)
 
 
+def _runs(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of one integer; `starts` begin new ones."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[starts] = True
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(values)))
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Slices of about `most` in total; a larger size has a slice of its own."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, z
+        a = z
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, .. for sizes[i] numbers each."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Votes:
+    """Votes for keys (query and offset), with the first and last place of each; adds up as it goes."""
+
+    def __init__(self):
+        self.key = self.votes = self.first = self.last = np.zeros(0, np.int64)
+
+    def add(self, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        key, votes = np.concatenate((self.key, key)), np.concatenate((self.votes, last - first + 1))
+        first, last = np.concatenate((self.first, first)), np.concatenate((self.last, last))
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        self.key, self.votes = key[order][at], np.add.reduceat(votes[order], at)
+        self.first, self.last = np.minimum.reduceat(first[order], at), np.maximum.reduceat(last[order], at)
+
+
 class Queries:
     """A block of query fingerprints, by integer."""
 
@@ -147,9 +188,12 @@ class Queries:
         self.ids, self.prints = [i for i, _ in prints], [np.frombuffer(p, np.uint32) for _, p in prints]
         size = self.size = np.array([len(p) for p in self.prints], np.int64)
         values = np.concatenate(self.prints) if prints else np.zeros(0, np.uint32)
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner = values[order], np.repeat(np.arange(len(size)), size)[order]
-        self.place = (np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size))[order] if prints else np.zeros(0, np.int64)
+        begin = np.cumsum(size) - size
+        at, length = _runs(values, begin[size > 0])
+        order = np.argsort(values[at], kind="stable")
+        self.values, self.length = values[at][order], length[order]
+        owner = np.repeat(np.arange(len(size)), size)[at] if prints else np.zeros(0, np.int64)
+        self.owner, self.place = owner[order], (at - begin[owner])[order]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[self._short(values)] = True
 
@@ -157,32 +201,42 @@ class Queries:
     def _short(values: np.ndarray) -> np.ndarray:
         return (values * np.uint32(0x9E3779B1)) >> np.uint32(10)
 
+    def votes(self, own: np.ndarray) -> Votes:
+        """Equal integers by query and offset: runs meet runs, so constant sound costs no more than its length."""
+        start, length = _runs(own, np.zeros(1, np.int64))
+        use = self.filter[self._short(own[start])]
+        start, length = start[use], length[use]
+        lo, hi = np.searchsorted(self.values, own[start], "left"), np.searchsorted(self.values, own[start], "right")
+        use = hi > lo
+        start, length, lo, n = start[use], length[use], lo[use], (hi - lo)[use]
+        out = Votes()
+        for a, z in _slices(n, HITS):
+            hit = _spread(lo[a:z], n[a:z])
+            s, e = np.repeat(start[a:z], n[a:z]), np.repeat(start[a:z] + length[a:z], n[a:z])
+            q, c, d = self.owner[hit], self.place[hit], self.place[hit] + self.length[hit]
+            width = (e - s) + (d - c) - 1
+            for b, y in _slices(width, HITS):
+                offset = _spread((s - d + 1)[b:y], width[b:y])
+                s_, e_, c_, d_, q_ = (np.repeat(x[b:y], width[b:y]) for x in (s, e, c, d, q))
+                out.add(q_ << 32 | (offset + (1 << 31)), np.maximum(s_, c_ + offset), np.minimum(e_, d_ + offset) - 1)
+        return out
+
     def matches(self, own: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(query, offset, run, bit errors): the best offset of each query that aligns with the fingerprint."""
-        at = np.flatnonzero(self.filter[self._short(own)])
-        lo, hi = np.searchsorted(self.values, own[at], "left"), np.searchsorted(self.values, own[at], "right")
-        n = hi - lo
-        hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if not len(hit):
-            return []
-        place = np.repeat(at, n)
-        key = self.owner[hit].astype(np.int64) << 32 | (place - self.place[hit] + (1 << 31))
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        votes = np.diff(np.concatenate((first, [len(key)])))
-        best: dict[int, tuple[int, int, int, int]] = {}
-        shorter = np.minimum(self.size[key[first] >> 32], len(own))
-        enough = votes >= LEAST_VOTES
-        for f, v, least in zip(first[enough].tolist(), votes[enough].tolist(), np.minimum(LEAST_RUN, shorter[enough]).tolist()):
-            q, offset, a, z = int(key[f] >> 32), int(key[f] & 0xFFFFFFFF) - (1 << 31), int(place[f]), int(place[f + v - 1])
-            if z - a + 1 >= least and v > best.get(q, (0,))[0]:
-                best[q] = (v, offset, a, z)
-        out = []
-        for q, (_, offset, a, z) in best.items():
-            wrong = np.bitwise_count(own[a : z + 1] ^ self.prints[q][a - offset : z + 1 - offset]).sum() / (32 * (z - a + 1))
+        """(query, offset, run, bit errors): of each query's offsets with votes enough, in the order of votes, the first that aligns."""
+        found = self.votes(own)
+        query, run = found.key >> 32, found.last - found.first + 1
+        use = (found.votes >= LEAST_VOTES) & (run >= np.minimum(LEAST_RUN, np.minimum(self.size[query], len(own))))
+        use = np.flatnonzero(use)
+        done, out = set(), []
+        for i in use[np.lexsort((found.key[use], -found.votes[use], query[use]))]:
+            q = int(query[i])
+            if q in done:
+                continue
+            offset, a, z = int(found.key[i] & 0xFFFFFFFF) - (1 << 31), int(found.first[i]), int(found.last[i]) + 1
+            wrong = np.bitwise_count(own[a:z] ^ self.prints[q][a - offset : z - offset]).sum() / (32 * (z - a))
             if wrong <= MOST_ERRORS:
-                out.append((self.ids[q], offset, z - a + 1, float(wrong)))
+                done.add(q)
+                out.append((self.ids[q], offset, z - a, float(wrong)))
         return out
 
 
