@@ -1,7 +1,12 @@
 """Chat formatting: tables of any known layout to canonical turns, to one training text a conversation.
 
-The nested field paths of a table's schema, as far as any layout uses them, are hashed; the hash selects the declarative
-mapping (SQL expressions) to canonical turns (conv_id, turn, role, text). The template writes each turn as
+The nested field paths of a table's schema with their kinds (number, text, or the type's name) are hashed; the hash selects
+the declarative mapping (SQL expressions) to canonical turns (conv_id, turn, role, text). A table whose hash is no layout's
+may have more columns or fields than a layout: then, layout by layout and those of most paths first, its paths that the
+layout has are hashed. More columns are left out of the output. A path of another kind is another path: text ids, say, fit no
+layout. `json_turns` does the same row by row for a column of JSON objects, by the names of their paths (JSON values of
+another kind are null); rows without a layout, as those of invalid JSON or without any message, are not among its turns, and
+`json_layout` is null for them. The template writes each turn as
 
     <s>[INST]role[/INST]text</s>
 
@@ -17,6 +22,7 @@ is one output row by definition, so its turns meet in one group; nothing else do
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +32,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Layout:
-    """Field paths that make up a layout, and how its rows become turns: id, array of (turn, role, text)."""
+    """Field paths with kinds that make up a layout, and how its rows become turns: id, array of (turn, role, text)."""
 
     name: str
     paths: tuple[str, ...]
@@ -39,42 +45,79 @@ def _turn(turn: str, role: str, text: str) -> str:
 
 
 LAYOUTS = (
-    Layout("turn rows", ("conv_id", "turn", "role", "text"), "conv_id", f"array({_turn('turn', 'role', 'text')})"),
-    Layout("messages", ("conv_id", "messages[].role", "messages[].content"), "conv_id", f"transform(messages, (m, i) -> {_turn('i', 'm.role', 'm.content')})"),
-    Layout("from and value", ("id", "conversations[].from", "conversations[].value"), "id", f"transform(conversations, (m, i) -> {_turn('i', "decode(m.from, 'human', 'user', 'gpt', 'assistant', m.from)", 'm.value')})"),
-    Layout("instruction", ("id", "instruction", "input", "output"), "id", f"""array({_turn('0', "'user'", "concat_ws(chr(10), instruction, nullif(input, ''))")}, {_turn('1', "'assistant'", 'output')})"""),
-    Layout("prompt", ("id", "prompt", "completion"), "id", f"""array({_turn('0', "'user'", 'prompt')}, {_turn('1', "'assistant'", 'completion')})"""),
+    Layout("turn rows", ("conv_id number", "turn number", "role text", "text text"), "conv_id", f"array({_turn('turn', 'role', 'text')})"),
+    Layout("messages", ("conv_id number", "messages[].role text", "messages[].content text"), "conv_id", f"transform(messages, (m, i) -> {_turn('i', 'm.role', 'm.content')})"),
+    Layout("from and value", ("id number", "conversations[].from text", "conversations[].value text"), "id", f"transform(conversations, (m, i) -> {_turn('i', "decode(m.from, 'human', 'user', 'gpt', 'assistant', m.from)", 'm.value')})"),
+    Layout("instruction", ("id number", "instruction text", "input text", "output text"), "id", f"""array({_turn('0', "'user'", "concat_ws(chr(10), instruction, nullif(input, ''))")}, {_turn('1', "'assistant'", 'output')})"""),
+    Layout("prompt", ("id number", "prompt text", "completion text"), "id", f"""array({_turn('0', "'user'", 'prompt')}, {_turn('1', "'assistant'", 'completion')})"""),
 )
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
-    """Paths of all leaves: dots for fields, [] for array elements."""
+    """Paths of all leaves, each with its kind: dots for fields, [] for array elements."""
     if isinstance(kind, T.StructType):
         return [p for f in kind.fields for p in field_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)]
     if isinstance(kind, T.ArrayType):
         return field_paths(kind.elementType, prefix + "[]")
-    return [prefix]
+    return [f"{prefix} {'number' if isinstance(kind, T.IntegralType) else 'text' if isinstance(kind, T.StringType) else kind.simpleString()}"]
 
 
-def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
+def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
 def select_layout(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
-    """The layout whose paths the schema has. Other columns are left out before hashing; of several, the one with most paths."""
-    by_hash = {fingerprint(x.paths): x for x in layouts}
-    have = set(field_paths(schema))
-    for x in sorted(layouts, key=lambda x: -len(x.paths)):
-        found = by_hash.get(fingerprint([p for p in x.paths if p in have]))
-        if found is x:
-            return x
-    raise ValueError(f"no layout for the fields {sorted(have)}")
+    """The layout of the schema's hash; with more columns or fields, see the module."""
+    by_hash, have = {fingerprint(x.paths): x for x in layouts}, field_paths(schema)
+    tried = [have] + [[p for p in have if p in x.paths] for x in sorted(layouts, key=lambda x: -len(x.paths))]
+    found = [by_hash[h] for h in map(fingerprint, tried) if h in by_hash]
+    if not found:
+        raise ValueError(f"no layout for the fields {sorted(have)}")
+    return found[0]
+
+
+def _names(layout: Layout) -> list[str]:
+    return [p.split(" ")[0] for p in layout.paths]
+
+
+def json_layout(json: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The name of the layout of each JSON object, null for none; elements of an array have the fields of the first."""
+    nothing = F.expr("cast(array() as array<string>)")
+    arrays = sorted({n.split("[]")[0] for x in layouts for n in _names(x) if "[]." in n})
+    of_elements = lambda a: F.transform(F.json_object_keys(F.get_json_object(json, f"$.{a}[0]")), lambda k: F.concat(F.lit(f"{a}[]."), k))
+    parts = [F.filter(F.json_object_keys(json), lambda k: ~k.isin(arrays)), *map(of_elements, arrays)]
+    have = F.concat(*[F.coalesce(p, nothing) for p in parts])
+    digest = lambda paths: F.sha2(F.array_join(F.sort_array(F.array_distinct(paths)), "\n"), 256)
+    whole = [F.when(digest(have) == fingerprint(_names(x)), x.name) for x in layouts]
+    within = [F.when(digest(F.array_intersect(have, F.array(*map(F.lit, _names(x))))) == fingerprint(_names(x)), x.name) for x in sorted(layouts, key=lambda x: -len(x.paths))]
+    return F.coalesce(*whole, *within)
+
+
+def _json_type(layouts: tuple[Layout, ...]) -> T.StructType:
+    sql = {"number": T.LongType(), "text": T.StringType()}
+    plain, nested = {}, {}
+    for path, kind in (p.split(" ") for x in layouts for p in x.paths):
+        column, _, field = path.partition("[].")
+        (nested.setdefault(column, {}) if field else plain)[field or column] = sql[kind]
+    struct = lambda fields: T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    return struct(plain | {c: T.ArrayType(struct(f)) for c, f in nested.items()})
+
+
+def json_turns(rows: DataFrame, column: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(conv_id, turn, role, text) of a column of JSON objects, each row of its own layout."""
+    read = rows.select(json_layout(F.col(column), layouts).alias("layout"), F.from_json(F.col(column), _json_type(layouts)).alias("r")).select("layout", "r.*")
+    pick = lambda sql: F.coalesce(*[F.when(F.col("layout") == x.name, F.expr(sql(x))) for x in layouts])
+    return _turns(read.filter("layout is not null"), pick(lambda x: f"cast({x.conv_id} as bigint)"), pick(lambda x: x.turns))
 
 
 def canonical_turns(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, turn, role, text) of a table of any known layout."""
     layout = select_layout(rows.schema, layouts)
-    out = rows.select(F.expr(f"cast({layout.conv_id} as bigint)").alias("conv_id"), F.explode(F.expr(layout.turns)).alias("t"))
+    return _turns(rows, F.expr(f"cast({layout.conv_id} as bigint)"), F.expr(layout.turns))
+
+
+def _turns(rows: DataFrame, conv_id: Column, turns: Column) -> DataFrame:
+    out = rows.select(conv_id.alias("conv_id"), F.explode(turns).alias("t"))
     return out.select("conv_id", "t.turn", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
 

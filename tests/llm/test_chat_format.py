@@ -1,9 +1,10 @@
 import hashlib
+import json
 import random
 
 import pytest
 
-from locspark.llm.chat_format import canonical_turns, chat_digests, format_chats, read_chats, select_layout
+from locspark.llm.chat_format import LAYOUTS, canonical_turns, chat_digests, field_paths, fingerprint, format_chats, json_layout, json_turns, read_chats, select_layout
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -51,6 +52,27 @@ def test_layouts(spark):
         assert sorted(map(tuple, canonical_turns(t).collect())) == want
     with pytest.raises(ValueError):
         select_layout(spark.createDataFrame([(1,)], "id long").schema)
+    with pytest.raises(ValueError):  # another kind is another path
+        select_layout(spark.createDataFrame([("1", "q", "a")], "id string, prompt string, completion string").schema)
+    assert fingerprint(field_paths(tables[1].schema)) == fingerprint(LAYOUTS[2].paths) != fingerprint(field_paths(tables[0].schema))
+
+
+def test_rows_of_several_layouts(spark):
+    data = [
+        {"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": None}]},
+        {"id": 2, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 1}]},
+        {"output": "a", "input": "more", "instruction": "q", "id": 3},
+        {"id": 4, "prompt": "q", "completion": "a", "turn": 9, "extra": {"id": 1}},
+        {"conv_id": 5, "turn": 3, "role": "system", "text": "s"},
+        {"id": None, "prompt": "é</s>", "completion": None},
+        {"id": 7}, {"conv_id": 8, "messages": []}, [1], None,
+    ]
+    df = spark.createDataFrame([(json.dumps(x), i) for i, x in enumerate(data)] + [("{broken", 10), (None, 11)], "json string, layout int")
+    names = [r.name for r in df.orderBy("layout").select(json_layout(df.json).alias("name")).collect()]
+    assert names == ["messages", "from and value", "instruction", "prompt", "turn rows", "prompt"] + [None] * 6
+    want = [(1, 0, "user", "q"), (1, 1, "assistant", ""), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "q\nmore"), (3, 1, "assistant", "a"), (4, 0, "user", "q"), (4, 1, "assistant", "a"), (5, 3, "system", "s"), (None, 0, "user", "é</s>"), (None, 1, "assistant", "")]
+    assert sorted(map(tuple, json_turns(df).collect()), key=str) == sorted(want, key=str)
+    assert json_turns(df.limit(0)).collect() == []
 
 
 def test_empty(spark):
