@@ -89,24 +89,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk on positives (with the prior), risk on negatives, and the gradients of both by (w, b), of the logistic loss."""
+    zp, zu = xp @ w + b, xu @ w + b
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    grad = lambda x, g: np.append(x.T @ g.astype(x.dtype), g.sum()).astype(np.float64)
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_positive = -prior * grad(xp, sigmoid(-zp) / len(zp))
+    g_negative = grad(xu, sigmoid(zu) / len(zu)) - prior * grad(xp, sigmoid(zp) / len(zp))
+    return float(positive), float(negative), g_positive, g_negative
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.2, decay: float = 1e-5) -> Model:
-    """Minimises the non-negative risk of a logistic model with Adam, over all rows in each step."""
+    """Minimises the non-negative risk of a logistic model with Adam, over all rows in each step. The tables are standardised in place."""
     if not len(positive) or not len(unlabelled):
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(N_FEATURES), float(np.log(p / (1 - p))), np.zeros(N_FEATURES), np.ones(N_FEATURES))
-    mean = unlabelled.mean(0)
-    scale = np.maximum(unlabelled.std(0), 1e-3) * np.sqrt(N_FEATURES / 30)
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(xp.shape[1]), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
+    mean = unlabelled.mean(0, dtype=np.float64)
+    scale = np.maximum(unlabelled.std(0, dtype=np.float64), 1e-3) * np.sqrt(N_FEATURES / 30)
+    for x in (positive, unlabelled):
+        x -= mean.astype(x.dtype)
+        x /= scale.astype(x.dtype)
+    w, b = np.zeros(positive.shape[1]), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
-    grad = lambda x, g: np.append(x.T @ g, g.sum())
     for t in range(1, steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
-        negative = soft(zu).mean() - prior * soft(zp).mean()
-        g_negative = grad(xu, sigmoid(zu) / len(zu)) - prior * grad(xp, sigmoid(zp) / len(zp))
-        g = -prior * grad(xp, sigmoid(-zp) / len(zp)) + g_negative if negative >= 0 else -g_negative
+        _, negative, g_positive, g_negative = risk(positive, unlabelled, w.astype(positive.dtype), b, prior)
+        g = g_positive + g_negative if negative >= 0 else -g_negative
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -144,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for r in sorted(found.toLocalIterator(), key=lambda r: bytes(r.x)):
         got[r.positive].append(np.frombuffer(bytes(r.x), np.float32))
-    table = lambda x: np.stack(x).astype(np.float64) if x else np.zeros((0, N_FEATURES))
+    table = lambda x: np.stack(x) if x else np.zeros((0, N_FEATURES), np.float32)
     return train(table(got[True]), table(got[False]), prior)
 
 

@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 
-from locspark.llm.quality_classifier import N_FEATURES, good_documents, is_held_out, score_quality, train
+from locspark.llm.quality_classifier import N_CLASSES, N_FEATURES, THRESHOLD, features, fit, good_documents, is_held_out, risk, score_quality, train
 
 SF = "/root/testdata/sf0.1"
 
@@ -25,6 +28,46 @@ def test_risk_is_learned_without_negatives():
     assert (model.score(x(300, 1.0)) > 0.5).mean() > 0.9 and (model.score(x(300, -1.0)) < 0.5).mean() > 0.9
 
 
+def test_risk_against_plain_sums():
+    r = np.random.default_rng(1)
+    xp, xu, w, b, prior = r.normal(1, 1, (7, 4)), r.normal(0, 1, (9, 4)), r.normal(0, 1, 4), 0.3, 0.4
+    loss = lambda x, y, w, b: math.log1p(math.exp(-(2 * y - 1) * (sum(i * j for i, j in zip(x, w)) + b)))
+    mean = lambda xs, y, w, b: sum(loss(x, y, w, b) for x in xs) / len(xs)
+    plain = lambda w, b: (prior * mean(xp, 1, w, b), mean(xu, 0, w, b) - prior * mean(xp, 0, w, b))
+    *values, g_positive, g_negative = risk(xp, xu, w, b, prior)
+    assert np.allclose(values, plain(w, b))
+    for k, grad in enumerate((g_positive, g_negative)):
+        for i in range(5):
+            d = np.eye(5)[i] * 1e-6
+            assert abs((plain(w + d[:4], b + d[4])[k] - plain(w - d[:4], b - d[4])[k]) / 2e-6 - grad[i]) < 1e-6
+
+
+def plain_features(text):
+    raw = text.encode()
+    kind = lambda c: 5 + (c | 32) - 97 if chr(c).isascii() and chr(c).isalpha() else 1 if 48 <= c < 58 else 2 if 9 <= c <= 13 else 3 if c == 32 else 4 if c > 127 else 31 if chr(c) in ".,;:!?'\"()-" else 0
+    k, n = [kind(c) for c in raw], max(1, len(raw))
+    out = [0.0] * N_CLASSES**2
+    for a, b in zip(k, k[1:]):
+        out[a * N_CLASSES + b] += 1
+    words = raw.lower().split()
+    m = max(1, len(words))
+    share = lambda c: 3 * k.count(c) / n
+    tail = [math.log1p(len(raw)) / 10, share(0), share(1), share(2), 3 * sum(65 <= c <= 90 for c in raw) / n, min(len(raw) / m, 40) / 20, len(set(words)) / m, math.log1p(m) / 8]
+    return [math.sqrt(x / max(1, len(raw) - 1)) for x in out] + tail
+
+
+def test_features_and_scores_against_plain_python(spark):
+    texts = ["", "a", "Ab, ab AB\n12 é—x", "word " * 70_000, "{}<>\x00~", "the cat sat on the mat. " * 9, "x" * 300_000]
+    got = np.concatenate(list(features(pa.array(texts))))
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-6)
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 in (2, 5))) for i in range(21)], "doc_id long, quality int")
+    model = fit(docs, labels)
+    for row in score_quality(docs, labels).collect():
+        z = sum((x - m) / s * w for x, m, s, w in zip(plain_features(texts[row.doc_id % 7]), model.mean, model.scale, model.weights)) + model.bias
+        assert abs(row.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-4 and row.predicted == (row.score >= THRESHOLD)
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(None, None, 0.5), (1, "", 0.5), (2, "a b", 0.5), (2, "a b", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
