@@ -54,13 +54,14 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 HOT_KEYS = 1000
 
 
-def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """`rows` with the columns least and n: the smallest value of their key, and how many rows it has.
+def with_least(rows: DataFrame, key: str, value: str, total: int | None = None) -> DataFrame:
+    """`rows`, a written table, with the columns least and n: the smallest value of their key, and how many rows it has.
 
     Rows of hot keys look theirs up in a broadcast table of at most `HOT_KEYS` rows, so none of them makes a task large.
+    total: the number of rows, or more than that.
     """
-    least = written(rows.groupBy(key).agg(F.min(value).alias("least"), F.count("*").alias("n")))
-    total = least.agg(F.sum("n")).first()[0] or 0
+    total = rows.count() if total is None else total
+    least = rows.groupBy(key).agg(F.min(value).alias("least"), F.count("*").alias("n"))
     hot = F.broadcast(least.filter(F.col("n") * HOT_KEYS > total))
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(least.filter(F.col("n") * HOT_KEYS <= total), key))
 
@@ -72,17 +73,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b and a is not null and b is not null")
+    counted = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = written(edges.mapInArrow(_local, "a long, b long"))
-    state = None
+    state = counted(edges)
     while True:
         # large star: larger neighbours of a node go to its smallest neighbour
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        large = with_least(both, "u", "v").filter("v > u").select(F.col("v").alias("a"), F.least("least", "u").alias("b")).distinct()
+        large = with_least(both, "u", "v", 2 * state[0]).filter("v > u").select(F.col("v").alias("a"), F.least("least", "u").alias("b")).distinct()
         # small star: smaller neighbours and the node itself go to the smallest of them
-        own = with_least(written(large), "a", "b")
+        own = with_least(written(large), "a", "b", 2 * state[0])
         small = own.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct("a", F.col("least").alias("b")))).alias("x")).select("x.a", "x.b")
         edges = written(small.filter("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = counted(edges)
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = now
