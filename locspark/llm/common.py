@@ -230,9 +230,9 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * powers(n + 1, True)[starts] + (ends - starts).astype(U64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of each word: A-Z lower-cased, split at the six ASCII white-space bytes."""
-    low = _LOWER[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of each word: A-Z lower-cased (or not), split at the six ASCII white-space bytes."""
+    low = _LOWER[data] if lower else data
     starts, ends, doc = spans(_SPACE[low], offsets)
     return range_hashes(low, starts, ends), doc
 
@@ -247,14 +247,29 @@ def from_planes(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
+def packed_sums(values: np.ndarray) -> bytes:
+    """Sums in as many bytes each as the largest needs (4 or 8), after a byte that says how many."""
+    width = 4 if values.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + planes(values.astype(f"<u{width}"))
+
+
+def unpacked_sums(raw: bytes) -> np.ndarray:
+    return from_planes(raw[1:], np.dtype(f"<u{raw[0]}"))
+
+
 REQUEST = "bucket int, block int, kind int, keys binary, counts binary"
 RESPONSE = "block int, bucket int, kind int, answer binary, total long, known long"
 
 
+def bucket_edges(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Where the buckets begin and end among sorted keys: a bucket is a range of the hash space."""
+    first = np.array([(b << 64) // n_buckets + (1 if (b << 64) % n_buckets else 0) for b in range(1, n_buckets)], U64)
+    return np.concatenate(([0], np.searchsorted(keys, first), [len(keys)])).astype(np.int64)
+
+
 def requests(keys: np.ndarray, counts: np.ndarray, block: int, kind: int, n_buckets: int) -> dict[str, list]:
-    """Sorted distinct keys with their counts, cut up by bucket (a bucket is a range of the hash space)."""
-    edges = np.searchsorted(keys, np.array([(b << 64) // n_buckets + (1 if (b << 64) % n_buckets else 0) for b in range(1, n_buckets)], U64)) if n_buckets > 1 else np.zeros(0, np.int64)
-    edges = np.concatenate(([0], edges, [len(keys)]))
+    """Sorted distinct keys with their counts, cut up by bucket."""
+    edges = bucket_edges(keys, n_buckets)
     used = np.flatnonzero(np.diff(edges))
     cut = [(int(edges[b]), int(edges[b + 1])) for b in used]
     return {
@@ -280,12 +295,12 @@ def _answer(table: pa.Table) -> pa.Table:
     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(where, np.concatenate(counts), len(distinct))
     total, known = int(sums.sum()), int((sums > 0).sum())
-    sums = np.minimum(sums, 2**32 - 1).astype(np.uint32)[where]
+    sums = sums.astype(np.uint64)[where]
     at = np.cumsum([0, *map(len, keys)])
     n = len(blocks)
     return pa.table({
         "block": pa.array(blocks, pa.int32()), "bucket": table["bucket"].combine_chunks(), "kind": table["kind"].combine_chunks(),
-        "answer": pa.array([planes(sums[at[i] : at[i + 1]]) for i in range(n)], pa.binary()),
+        "answer": pa.array([packed_sums(sums[at[i] : at[i + 1]]) for i in range(n)], pa.binary()),
         "total": pa.array([total] + [0] * (n - 1), pa.int64()), "known": pa.array([known] + [0] * (n - 1), pa.int64()),
     }, schema=_RESPONSE)
 
@@ -310,4 +325,4 @@ def count_keys(blocks: DataFrame, extract: Callable[..., list[tuple[int, np.ndar
 def answers(table: pa.Table, kind: int) -> np.ndarray:
     """The sums for a block's sorted distinct keys of one kind."""
     rows = sorted((b, a) for b, k, a in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["answer"].to_pylist()) if k == kind)
-    return np.concatenate([from_planes(a, np.uint32) for _, a in rows]) if rows else np.zeros(0, np.uint32)
+    return np.concatenate([unpacked_sums(a) for _, a in rows]) if rows else np.zeros(0, np.uint32)

@@ -90,7 +90,7 @@ def _candidates(docs: pa.Table, answers: pa.Table, words: int, percent: int) ->
         else:
             t, f = s[shared], f[shared]
             order = np.lexsort((t, f))
-            out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), t[order].tobytes(), f[order].astype(np.uint32).tobytes()))
+            out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), t[order].tobytes(), np.minimum(f[order], 2**32 - 1).astype(np.uint32).tobytes()))
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), _SETS)], schema=_SETS)
 
 
