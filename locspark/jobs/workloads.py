@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from locspark.operators import assign, filters, floods, images, localize, render, spatial, stats
 from locspark.operators.graph import written
+from locspark.operators.ordered import in_order, with_numbers
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Localizations with an id within their movie, in order of frame, peak and place; a window over one movie's rows."""
+    """Localizations with an id within their movie, in order of frame, peak and place. Runs jobs when called."""
     rest = [c for c in ("peak", "group_id") if c in found.columns]
-    return found.withColumn("loc_id", F.row_number().over(W.partitionBy("movie_id").orderBy("frame", *rest, "y", "x")).cast("long"))
+    return with_numbers(in_order(found, "movie_id", ["frame", *rest, "y", "x"]), "movie_id", "loc_id").drop("part", "place")
 
 
 def cluster_speckles(locs: DataFrame, eps: float | DataFrame | None = None, min_samples: int = 3, levels: int = 2) -> dict[str, DataFrame]:
@@ -28,9 +28,10 @@ def cluster_speckles(locs: DataFrame, eps: float | DataFrame | None = None, min_
 def localize_filter_cluster(frames: DataFrame, eps: float | DataFrame | None = None, min_samples: int = 3) -> dict[str, DataFrame]:
     """From frames to clusters: fitted emitters, the filter cascade, density clusters. locs, funnel, and all of cluster_speckles."""
     found = written(numbered(localize.localize_grouped(frames)))
-    kept = written(filters.filter_cascade(found))
+    kept, funnel = filters.cascade_and_funnel(found)
+    kept = written(kept)
     out = cluster_speckles(kept, eps, min_samples)
-    return out | {"found": found, "funnel": filters.filter_funnel(found), "clusters": stats.cluster_table(out["locs"].filter("cluster_id <> -1"))}
+    return out | {"found": found, "funnel": funnel, "clusters": stats.cluster_table(out["locs"].filter("cluster_id <> -1"))}
 
 
 def _labelled(marker: DataFrame, height: int, width: int, segment: Callable[..., DataFrame], **sizes: int) -> DataFrame:

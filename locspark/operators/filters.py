@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locspark.functions.scalars import MAX_CHI2, MAX_ELLIPTICITY, MAX_PHOTONS, MAX_PRECISION, MAX_SIGMA, MIN_MOLECULES, MIN_PHOTONS, MIN_SIGMA, ellipticity, mean_sigma, or_default, quality_score
 from locspark.operators.graph import written
-from locspark.operators.spatial import mean_neighbor_distance
+from locspark.operators.spatial import knn
 from locspark.operators.temporal import temporal_runs
 
 
@@ -33,11 +33,18 @@ def apply_filter(locs: DataFrame, step: str) -> DataFrame:
 
 
 def spatial_outliers(locs: DataFrame, k_neighbors: int = 10, threshold: float = 3.0) -> DataFrame:
-    """Rows with a column outlier: mean neighbour distance over `threshold` population deviations from the movie's mean, either way."""
-    d = mean_neighbor_distance(locs, k_neighbors)
-    stats = d.groupBy("movie_id").agg(F.avg("mean_distance").alias("m"), F.stddev_pop("mean_distance").alias("s"), F.count("*").alias("n"))
-    marked = d.join(stats, "movie_id").select("movie_id", "loc_id", F.when((F.col("n") >= 10) & (F.col("s") > 0), F.abs(F.col("mean_distance") - F.col("m")) / F.col("s") > threshold).otherwise(False).alias("outlier"))
-    return locs.join(marked, ["movie_id", "loc_id"])
+    """Rows with a column outlier: mean distance of the min(k, n - 1) - 1 nearest others over `threshold` population deviations from the movie's mean, either way. Runs jobs when called.
+
+    In movies of fewer than ten points there are none. Rows without a place are none, and have no part in the mean.
+    """
+    of = F.avg("distance")
+    d = written(knn(locs, k_neighbors - 1).groupBy("movie_id", "loc_id").agg(of.alias("whole"), ((F.sum("distance") - F.max("distance")) / F.nullif(F.count("*") - 1, F.lit(0))).alias("but_last")))
+    n = d.groupBy("movie_id").agg(F.count("*").alias("n"))
+    d = d.join(n, "movie_id").select("movie_id", "loc_id", "n", F.when(F.col("n") <= k_neighbors, F.col("but_last")).otherwise(F.col("whole")).alias("mean_distance"))
+    stats = d.groupBy("movie_id").agg(F.avg("mean_distance").alias("m"), F.stddev_pop("mean_distance").alias("s"))
+    far = F.when((F.col("n") >= 10) & (F.col("s") > 0), F.abs(F.col("mean_distance") - F.col("m")) / F.col("s") > threshold).otherwise(False)
+    marked = d.join(stats, "movie_id").select("movie_id", "loc_id", far.alias("outlier"))
+    return locs.join(marked, ["movie_id", "loc_id"], "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
 
 
 def temporal_rejects(locs: DataFrame, max_frames: int = 5, tolerance: float = 2.0) -> DataFrame:
@@ -53,14 +60,19 @@ def _survivors(locs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spatial, written(temporal_rejects(spatial.filter("not outlier").drop("outlier")))
 
 
+def cascade_and_funnel(locs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What all six filters keep, with the quality score, and (movie_id, step, n): how many rows each reason rejects, and how many stay. Runs jobs when called."""
+    spatial, last = _survivors(locs)
+    own = locs.select("movie_id", first_reason().alias("step")).filter("step is not null")
+    out = own.union(spatial.filter("outlier").select("movie_id", F.lit("spatial:outlier"))).union(last.select("movie_id", F.when(F.col("rejected"), "temporal:run").otherwise("kept")))
+    return last.filter("not rejected").drop("rejected").withColumn("quality_score", quality_score()), out.groupBy("movie_id", "step").agg(F.count("*").alias("n"))
+
+
 def filter_cascade(locs: DataFrame) -> DataFrame:
     """All six filters in order, then the quality score."""
-    return _survivors(locs)[1].filter("not rejected").drop("rejected").withColumn("quality_score", quality_score())
+    return cascade_and_funnel(locs)[0]
 
 
 def filter_funnel(locs: DataFrame) -> DataFrame:
     """(movie_id, step, n): how many rows each reason rejects, and how many stay."""
-    spatial, last = _survivors(locs)
-    own = locs.select("movie_id", first_reason().alias("step")).filter("step is not null")
-    out = own.union(spatial.filter("outlier").select("movie_id", F.lit("spatial:outlier"))).union(last.select("movie_id", F.when(F.col("rejected"), "temporal:run").otherwise("kept")))
-    return out.groupBy("movie_id", "step").agg(F.count("*").alias("n"))
+    return cascade_and_funnel(locs)[1]

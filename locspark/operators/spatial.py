@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locspark.operators.graph import connected, written
+from locspark.operators.ordered import in_order, with_numbers
+from locspark.operators.quadtree import nearest
 
 
 def _cells(side: Column | float) -> list[Column]:
@@ -24,53 +26,35 @@ def _distance() -> Column:
 
 
 def knn(locs: DataFrame, k: int) -> DataFrame:
-    """(movie_id, loc_id, other_id, distance, rank): the k nearest others of each point; ties by id.
-
-    Cells hold about k points. A point is done when its k-th neighbour is no farther than a cell's side, as nearer ones
-    can't be outside the nine cells; the others go on with cells twice as wide.
-    """
-    p = locs.select("movie_id", "loc_id", "x", "y")
-    area = p.groupBy("movie_id").agg(F.count("*").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("extent"), F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1e-12)).alias("area"))
-    area = area.withColumn("side", F.greatest(F.sqrt(F.lit(float(k)) * F.col("area") / F.col("n")), F.col("extent") / 4096))
-    p = written(p.join(area, "movie_id"))
-    todo, out, scale = p, None, 1.0
-    while True:
-        side = F.col("side") * scale
-        others = p.select("movie_id", F.col("loc_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), *_cells(side))
-        found = _around(todo.select("*", *_cells(side))).join(others, ["movie_id", "cx", "cy"]).filter("loc_id <> other_id").withColumn("distance", _distance())
-        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("movie_id", "loc_id").orderBy("distance", "other_id"))).filter(F.col("rank") <= k)
-        full = F.least(F.lit(k), F.col("n") - 1)
-        ranked = written(ranked.select("movie_id", "loc_id", "other_id", "distance", "rank", "n", side.alias("reach"), (F.col("extent") < side).alias("all")))
-        done = ranked.groupBy("movie_id", "loc_id").agg(((F.max("rank") >= F.first(full)) & ((F.max("distance") <= F.first("reach")) | F.first("all"))).alias("done")).filter("done").select("movie_id", "loc_id")
-        own = ranked.join(done, ["movie_id", "loc_id"]).select("movie_id", "loc_id", "other_id", "distance", "rank")
-        out = own if out is None else out.union(own)
-        todo = written(todo.filter("n > 1").join(done, ["movie_id", "loc_id"], "left_anti"))
-        if todo.isEmpty():
-            return out
-        scale *= 2
+    """(movie_id, loc_id, other_id, distance, rank): the k nearest others of each point; ties by id. See `quadtree`."""
+    return nearest(locs, k)
 
 
 def mean_neighbor_distance(locs: DataFrame, k_neighbors: int = 10) -> DataFrame:
-    """(movie_id, loc_id, mean_distance) over the min(k, n) - 1 nearest others; 0 for a point alone."""
+    """(movie_id, loc_id, mean_distance) over the min(k, n) - 1 nearest others; 0 for a point alone, null for rows without a place."""
     near = knn(locs, k_neighbors - 1).groupBy("movie_id", "loc_id").agg(F.avg("distance").alias("mean_distance"))
-    return locs.select("movie_id", "loc_id").join(near, ["movie_id", "loc_id"], "left").fillna(0.0, ["mean_distance"])
+    alone = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"), 0.0)
+    return locs.select("movie_id", "loc_id", "x", "y").join(near, ["movie_id", "loc_id"], "left").select("movie_id", "loc_id", F.coalesce("mean_distance", alone).alias("mean_distance"))
 
 
 def local_density(locs: DataFrame, k_neighbors: int = 10) -> DataFrame:
-    """(movie_id, loc_id, density): 1 / (mean distance + 1e-6); 1 in movies of fewer than k points."""
-    n = locs.groupBy("movie_id").agg(F.count("*").alias("n"))
-    return mean_neighbor_distance(locs, k_neighbors).join(n, "movie_id").select("movie_id", "loc_id", F.when(F.col("n") < k_neighbors, 1.0).otherwise(1 / (F.col("mean_distance") + 1e-6)).alias("density"))
+    """(movie_id, loc_id, density): 1 / (mean distance + 1e-6); 1 in movies of fewer than k points; null for rows without a place."""
+    d = written(mean_neighbor_distance(locs, k_neighbors))
+    n = d.groupBy("movie_id").agg(F.count("mean_distance").alias("n"))
+    return d.join(n, "movie_id").select("movie_id", "loc_id", F.when(F.col("n") < k_neighbors, 1.0).otherwise(1 / (F.col("mean_distance") + 1e-6)).alias("density"))
 
 
 def knee_eps(locs: DataFrame, eps_base: float = 5.0, min_samples: int = 3) -> DataFrame:
-    """(movie_id, eps): where the sorted k-distances bend most, within half and twice eps_base; eps_base for 20 points or fewer."""
+    """(movie_id, eps): where the sorted k-distances bend most, within half and twice eps_base; eps_base for 20 points or fewer. Runs jobs when called."""
     k = max(min_samples, 4)
     d = knn(locs, k - 1).filter(F.col("rank") == k - 1).select("movie_id", "distance")
-    by = W.partitionBy("movie_id").orderBy("distance")
-    bent = d.withColumn("i", F.row_number().over(by)).withColumn("bend", F.lead("distance", 2).over(by) - 2 * F.lead("distance", 1).over(by) + F.col("distance")).withColumn("knee", F.lead("distance", 1).over(by))
-    best = bent.filter("bend is not null").groupBy("movie_id").agg(F.max_by("knee", F.struct("bend", -F.col("i"))).alias("knee"))
+    rows = with_numbers(in_order(d, "movie_id", ["distance"]), "movie_id", "i")
+    # each distance is the first, second and third of three in a row
+    three = rows.select("movie_id", "distance", "i", F.explode(F.array(*(F.lit(s) for s in range(3)))).alias("s")).groupBy("movie_id", (F.col("i") - F.col("s")).alias("i"))
+    three = three.agg(*(F.max(F.when(F.col("s") == s, F.col("distance"))).alias(f"d{s}") for s in range(3))).filter("d0 is not null and d2 is not null")
+    best = three.groupBy("movie_id").agg(F.max_by("d1", F.struct(F.col("d2") - 2 * F.col("d1") + F.col("d0"), -F.col("i"))).alias("knee"))
     n = locs.groupBy("movie_id").agg(F.count("*").alias("n"))
-    return n.join(best, "movie_id", "left").select("movie_id", F.when(F.col("n") <= 20, eps_base).otherwise(F.least(F.lit(2 * eps_base), F.greatest(F.lit(eps_base / 2), "knee"))).alias("eps"))
+    return n.join(best, "movie_id", "left").select("movie_id", F.when((F.col("n") <= 20) | F.col("knee").isNull(), eps_base).otherwise(F.least(F.lit(2 * eps_base), F.greatest(F.lit(eps_base / 2), "knee"))).alias("eps"))
 
 
 def eps_neighbors(locs: DataFrame, eps: float | DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locspark.functions.scalars import or_default
+from locspark.operators.ordered import in_order, with_previous
 
 
 def localization_summary(locs: DataFrame) -> DataFrame:
@@ -111,8 +112,9 @@ def dataset_summary(locs: DataFrame) -> DataFrame:
 
 
 def frame_intervals(locs: DataFrame) -> DataFrame:
-    by = W.partitionBy("movie_id").orderBy("frame", "loc_id")
-    return locs.select("movie_id", "loc_id", (F.col("frame") - F.lag("frame").over(by)).alias("gap")).filter("gap is not null")
+    """(movie_id, loc_id, gap): frames since the row before it, in order of frame and id. Runs jobs when called."""
+    rows = with_previous(in_order(locs.select("movie_id", "loc_id", "frame"), "movie_id", ["frame", "loc_id"]), "movie_id", ["frame"])
+    return rows.select("movie_id", "loc_id", (F.col("frame") - F.col("previous.frame")).alias("gap")).filter("gap is not null")
 
 
 def rank_in_cluster(locs: DataFrame) -> DataFrame:

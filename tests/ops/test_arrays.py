@@ -80,7 +80,7 @@ def test_fit_finds_planted_spots(spark):
     got = sorted(localize.localize_grouped(frames).collect(), key=lambda r: r.y)
     assert len(got) == 2 and all(r.frame == 0 and r.cluster_n_molecules == 1 and r.cluster_r_squared > 0.99 for r in got)
     for r, (y, x, a, s) in zip(got, spots):
-        assert abs(r.y - y) < 0.05 and abs(r.x - x) < 0.05 and abs(r.sigma - s) < 0.05 and abs(r.amplitude - a) < 0.05 * a
+        assert abs(r.y - y) < 0.05 and abs(r.x - x) < 0.05 and abs(r.sigma_x - s) < 0.05 and abs(r.sigma_y - s) < 0.05 and abs(r.amplitude - a) < 0.05 * a
     plain = localize.localize_grouped(frames, "centroid").collect()
     assert {r.cluster_chi_squared for r in plain} == {999.0} and {r.x_error for r in plain} == {0.2}
     assert localize.localize_centroid(frames.limit(0)).collect() == []
