@@ -33,6 +33,8 @@ from locspark.llm import common
 
 PIECE, STRIDE, WORD, Q, EDITS = 100, 25, 40, 8, 0.1
 BENCHMARK_BLOCK = 4 << 20
+#: Hits that are held at once, places that one gram may have among the pieces searched together, and bytes of text searched at once.
+HITS, SAME, STRETCH = 1 << 20, 2000, 1 << 18
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -40,8 +42,8 @@ _PLAIN[[*range(9, 14)]] = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
-FINDS = "doc_id long, item_id long, first_byte long, last_byte long, edits int, n_places int, text_hash long"
-_FINDS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64()), ("edits", pa.int32()), ("n_places", pa.int32()), ("text_hash", pa.int64())])
+FINDS = "doc_id long, item_id long, first_byte long, last_byte long, edits int, n_pieces int, text_hash long"
+_FINDS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64()), ("edits", pa.int32()), ("n_pieces", pa.int32()), ("text_hash", pa.int64())])
 
 
 def _gram_hashes(plain: np.ndarray, q: int) -> np.ndarray:
@@ -91,42 +93,78 @@ class Pieces:
 
     @classmethod
     def all_of(cls, items: list[tuple[int | None, bytes]], piece: int, stride: int, word: int, q: int, edits: float) -> list[Pieces]:
-        """The pieces by the length of their grams (q, or the length of the item where that is less), those of short items apart."""
+        """The pieces by the length of their grams (q, or the length of the item where that is less), those of short items apart.
+
+        Items whose grams are frequent among the items are dealt over several of these, so that a gram stands at few more
+        than `SAME` places of each.
+        """
         groups: dict[tuple[int, bool], list] = {}
         for i, raw in items:
             if raw:
                 groups.setdefault((min(q, len(raw)), len(raw) < word), []).append((i, raw))
-        return [cls(own, piece, stride, word, g, edits) for (g, _), own in sorted(groups.items(), key=lambda x: x[0])]
-
-    def bands(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bands that reach the bound: text, piece, first diagonal (in the bytes of the batch)."""
-        at = np.flatnonzero(self.filter[h & common.U64((1 << 20) - 1)])
-        lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        out = []
+        for (g, _), own in sorted(groups.items(), key=lambda x: x[0]):
+            parts: list[list] = [[]]
+            times: dict[int, int] = {}
+            for i, raw in own:
+                h, n = np.unique(_gram_hashes(_PLAIN[np.frombuffer(raw, np.uint8)], g), return_counts=True)
+                often = [(int(x), int(k) * -(-piece // stride)) for x, k in zip(h[n > 4], n[n > 4])]
+                if parts[-1] and any(times.get(x, 0) + k > SAME for x, k in often):
+                    parts.append([])
+                    times = {}
+                for x, k in often:
+                    times[x] = times.get(x, 0) + k
+                parts[-1].append((i, raw))
+            out += [cls(p, piece, stride, word, g, edits) for p in parts]
+        return out
+
+    def bands(self, plain: np.ndarray, at: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bands whose first diagonal lies in low .. high (high excluded) and that reach the bound: text, piece, first diagonal.
+
+        Where grams meet too often, as in a text of one letter, the stretch is cut in two, again and again, so that no more
+        than about `HITS` hits are held at once.
+        """
+        reach = int((self.size + 4 * (self.budget + 1)).max())
+        first, last = max(0, low - reach), min(len(plain), high + reach + self.q)
+        if last - first < self.q:
+            return
+        h = _gram_hashes(plain[first:last], self.q)
+        doc = np.searchsorted(at, np.arange(first, first + len(h)), "right") - 1
+        h[at[doc + 1] - np.arange(first, first + len(h)) < self.q] = 0  # grams over the end of a text are none
+        place = np.flatnonzero(self.filter[h & common.U64((1 << 20) - 1)])
+        lo, hi = np.searchsorted(self.hashes, h[place], "left"), np.searchsorted(self.hashes, h[place], "right")
+        place, lo, n = place[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         # a band's hits stand at as many places as its bound says, no farther apart than a piece and its edits reach
         few, far = int(self.bound.min()), int((self.size + 2 * self.budget).max())
-        dense = np.zeros(len(at) + 1, np.int32)
-        close = np.flatnonzero(at[few - 1 :] - at[: len(at) - few + 1] <= far) if len(at) >= few else np.zeros(0, np.int64)
+        dense = np.zeros(len(place) + 1, np.int32)
+        close = np.flatnonzero(place[few - 1 :] - place[: len(place) - few + 1] <= far) if len(place) >= few else np.zeros(0, np.int64)
         dense[close] += 1
         dense[close + few] -= 1
         on = np.cumsum(dense[:-1]) > 0
-        at, lo, n = at[on], lo[on], n[on]
-        if not len(at):
-            return (np.zeros(0, np.int64),) * 3
+        place, lo, n = place[on], lo[on], n[on]
+        if not len(place):
+            return
+        if n.sum() > HITS and high - low > 2 * reach:
+            middle = (low + high) // 2
+            yield from self.bands(plain, at, low, middle)
+            yield from self.bands(plain, at, middle, high)
+            return
         hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place, piece, offset = np.repeat(at, n), self.which[hit], self.offset[hit]
+        text, place, piece, offset = np.repeat(doc[place], n), np.repeat(place + first, n), self.which[hit], self.offset[hit]
         diagonal, width = place - offset, (self.budget + 1)[piece]
         # one number a hit, to sort by: piece, band, text (by its last 8 bits: a band reaches fewer texts than that), offset
         texts, rank = np.unique(doc, return_inverse=True)
+        text = np.searchsorted(texts, text)
         bits = int(self.size.max()).bit_length()
-        found = []
         for shift in (0, 1):  # bands of 2 k + 2 diagonals, overlapping by half: any k + 1 neighbours lie in one of them
             band = (diagonal + width * shift) // (2 * width)
-            low = int(band.min())
-            span = int(band.max() - low).bit_length()
-            if bits + 8 + span + len(self.raw).bit_length() > 63:
-                raise ValueError("a text or a block of the benchmark is too long for one search; take smaller blocks")
-            key = np.sort(((piece << span | (band - low)) << 8 | (rank[place] & 255)) << bits | offset)
+            begin = band * 2 * width - width * shift
+            on = (begin >= low) & (begin < high)
+            if not on.any():
+                continue
+            least = int(band[on].min())
+            span = int(band[on].max() - least).bit_length()
+            key = np.sort(((piece[on] << span | (band[on] - least)) << 8 | (text[on] & 255)) << bits | offset[on])
             group = key >> bits
             new = np.concatenate(([True], group[1:] != group[:-1]))
             count = np.bincount(np.cumsum(new) - 1, np.concatenate(([True], key[1:] != key[:-1])))
@@ -135,10 +173,10 @@ class Pieces:
             on = count >= self.bound[p]
             p, group = p[on], group[on]
             w = (self.budget + 1)[p]
-            first = ((group >> 8 & ((1 << span) - 1)) + low) * 2 * w - w * shift
-            near = rank[np.clip(first, 0, len(doc) - 1)]
-            found.append((texts[np.minimum(near + ((group - near) & 255), len(texts) - 1)], p, first))
-        return tuple(np.concatenate(x) for x in zip(*found))
+            begin = ((group >> 8 & ((1 << span) - 1)) + least) * 2 * w - w * shift
+            near = rank[np.clip(begin - first, 0, len(doc) - 1)]
+            if len(p):
+                yield texts[np.minimum(near + ((group - near) & 255), len(texts) - 1)], p, begin
 
 
 def banded(pieces: np.ndarray, stretch: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,9 +221,8 @@ def banded(pieces: np.ndarray, stretch: np.ndarray, budget: int) -> tuple[np.nda
 BANDS = 4096
 
 
-def _aligned(pieces: Pieces, plain: np.ndarray, at: np.ndarray, doc: np.ndarray, piece: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Bands that hold their piece within its budget: (text, piece, edits, start, end)."""
-    out = []
+def _aligned(pieces: Pieces, plain: np.ndarray, at: np.ndarray, doc: np.ndarray, piece: np.ndarray, diagonal: np.ndarray) -> Iterator[np.ndarray]:
+    """Bands that hold their piece within its budget, as rows (text, piece, edits, start, end). Equal pieces of text are aligned once."""
     kind = pieces.size[piece] << 20 | pieces.budget[piece]
     for x in np.unique(kind).tolist():
         own = np.flatnonzero(kind == x)
@@ -195,14 +232,54 @@ def _aligned(pieces: Pieces, plain: np.ndarray, at: np.ndarray, doc: np.ndarray,
             place = first[:, None] + np.arange(m + 2 * k + 1)
             inside = (place >= at[d][:, None]) & (place < at[d + 1][:, None])
             stretch = np.where(inside, plain[np.clip(place, 0, len(plain) - 1)].astype(np.int16), np.int16(-1))
-            edits, left, right = banded(np.stack([pieces.raw[i] for i in p.tolist()]).astype(np.int16), stretch, k)
+            both = np.ascontiguousarray(np.concatenate((stretch, p.astype(np.int64)[:, None].view(np.int16)), 1))
+            _, one, same = np.unique(both.view(f"V{both.itemsize * both.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            edits, left, right = (v[same] for v in banded(np.stack([pieces.raw[i] for i in p[one].tolist()]).astype(np.int16), stretch[one], k))
             start, end = np.maximum(first + left, at[d]), np.minimum(first + right, at[d + 1])
             good = edits <= k
             before = (start > at[d]) & _LETTER[plain[np.maximum(start - 1, 0)]]
             after = (end < at[d + 1]) & _LETTER[plain[np.minimum(end, len(plain) - 1)]]
             good &= ~(pieces.alone[p] & (before | after))
-            out += list(zip(d[good].tolist(), p[good].tolist(), edits[good].tolist(), start[good].tolist(), end[good].tolist()))
-    return out
+            if good.any():
+                yield np.stack([c[good].astype(np.int64) for c in (d, p, edits, start, end)], 1)
+
+
+def shortened(plain: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with runs of one byte cut to `most` bytes, which hold a piece just where the whole run does, at both of its ends: bytes, offsets, cuts and how many bytes are missing before each."""
+    edge = np.concatenate(([True], plain[1:] != plain[:-1])) if len(plain) else np.zeros(0, bool)
+    edge[at[:-1][at[:-1] < len(plain)]] = True
+    starts = np.flatnonzero(edge)
+    size = np.diff(np.append(starts, len(plain)))
+    long = size > most
+    if not long.any():
+        return plain, at, np.zeros(0, np.int64), np.zeros(1, np.int64)
+    gone = np.where(long, size - most, 0)
+    keep = np.ones(len(plain), bool)
+    for s, n in zip((starts + most // 2)[long].tolist(), gone[long].tolist()):
+        keep[s : s + n] = False
+    missing = np.cumsum(gone[long])
+    cuts = (starts + most // 2)[long] - (missing - gone[long])
+    return plain[keep], at - np.concatenate(([0], missing))[np.searchsorted((starts + most // 2)[long], at)], cuts, np.concatenate(([0], missing))
+
+
+def _gathered(groups: list[Pieces], plain: np.ndarray, at: np.ndarray) -> dict[tuple[int, int | None], list]:
+    """By text and item: first byte, last byte, fewest edits, the pieces found. A stretch of text at a time, so that a text of any length is read in bounded memory."""
+    best: dict[tuple[int, int | None], list] = {}
+    reach = max((int((g.size + 4 * (g.budget + 1)).max()) for g in groups), default=0)
+    plain, short, cuts, missing = shortened(plain, at, 4 * reach)
+    place = lambda x: x + missing[np.searchsorted(cuts, x, "left")]
+    for g, pieces in enumerate(groups):
+        for low in range(-reach, len(plain), STRETCH):
+            for bands in pieces.bands(plain, short, low, min(low + STRETCH, len(plain))):
+                for rows in _aligned(pieces, plain, short, *bands):
+                    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                    head = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+                    first, last, edits = place(np.minimum.reduceat(rows[:, 3], head)), place(np.maximum.reduceat(rows[:, 4], head)), np.minimum.reduceat(rows[:, 2], head)
+                    for d, p, lo, hi, e in zip(*(c.tolist() for c in (rows[head, 0], rows[head, 1], first, last, edits))):
+                        own = best.setdefault((d, pieces.items[p]), [1 << 60, 0, 1 << 30, set()])
+                        own[:3] = [min(own[0], lo - int(at[d])), max(own[1], hi - int(at[d])), min(own[2], e)]
+                        own[3].add((g, p))
+    return best
 
 
 def _find(batches: Iterator[pa.RecordBatch], shipped, options: tuple) -> Iterator[pa.RecordBatch]:
@@ -212,21 +289,9 @@ def _find(batches: Iterator[pa.RecordBatch], shipped, options: tuple) -> Iterato
         data, offsets = common.text_buffer(batch.column(1))
         rows = []
         for first, _, raw, at in common.pieces(data, offsets):
-            plain = _PLAIN[raw]
-            best: dict[tuple[int, int | None], list] = {}
-            for pieces in groups:
-                if len(raw) < pieces.q:
-                    continue
-                h = _gram_hashes(plain, pieces.q)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(h)]
-                inside = at[doc + 1] - np.arange(len(h)) >= pieces.q  # grams over the end of a text are none
-                h[~inside] = 0
-                for d, p, edits, lo, hi in _aligned(pieces, plain, at, *pieces.bands(h, doc)):
-                    own = best.setdefault((d, pieces.items[p]), [1 << 60, 0, 1 << 30, set()])
-                    own[0], own[1], own[2] = min(own[0], lo - int(at[d])), max(own[1], hi - int(at[d])), min(own[2], edits)
-                    own[3].add((pieces.q, p, lo))
+            best = _gathered(groups, _PLAIN[raw], at)
             hashes = {d: xxhash.xxh64_intdigest(raw[at[d] : at[d + 1]].tobytes(), 42) for d, _ in best}  # as Spark's xxhash64
-            rows += [(ids[first + d], item, x[0], x[1], x[2], len(x[3]), hashes[d] - (hashes[d] >> 63 << 64)) for (d, item), x in best.items()]
+            rows += [(ids[first + d], item, *x[:3], len(x[3]), hashes[d] - (hashes[d] >> 63 << 64)) for (d, item), x in best.items()]
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), _FINDS)] if rows else [pa.array([], f.type) for f in _FINDS], schema=_FINDS)
 
 
@@ -241,14 +306,17 @@ def _finds(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         own = items.filter(F.col("block") == b) if blocks > 1 else items
         shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own.select("item_id", "text").toLocalIterator()])
         found = rows.mapInArrow(lambda x, s=shipped: _find(x, s, (piece, stride, word, q, edits)), FINDS)
+        if blocks > 1:  # so that the driver and the executors hold one block at a time
+            found = common.written(found)
+            shipped.destroy()
         out = found if out is None else out.union(found)
     return out
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc_id, item_id, first_byte, last_byte, edits, n_places): one row for each text and item of which it holds a piece.
+    """(doc_id, item_id, first_byte, last_byte, edits, n_pieces): one row for each text and item of which it holds a piece.
 
-    first_byte, last_byte: from the first such place to the end of the last. edits: of the piece that fits best.
+    first_byte, last_byte: from the first such place to the end of the last. edits: of the piece that fits best. n_pieces: how many of the item's pieces it holds.
     """
     return _finds(docs, benchmark, key, text, **options).drop("text_hash")
 

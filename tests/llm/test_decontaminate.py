@@ -94,7 +94,7 @@ def test_rows_of_a_null_or_repeated_id_are_judged_each(spark):
     docs = [(i, t) for i in (None, 5) for t in ("clean é", "é said " + item, None)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(map(str, without_benchmark(df, bench).collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in docs if item not in (t or ""))
-    assert find_benchmark(df, bench).columns == ["doc_id", "item_id", "first_byte", "last_byte", "edits", "n_places"]
+    assert find_benchmark(df, bench).columns == ["doc_id", "item_id", "first_byte", "last_byte", "edits", "n_pieces"]
 
 
 def test_empty(spark):
@@ -103,3 +103,28 @@ def test_empty(spark):
     docs = spark.createDataFrame([(None, "x"), (1, None)], "doc_id long, text string")
     assert find_benchmark(none, bench).collect() == [] == find_benchmark(docs, bench).collect()
     assert without_benchmark(docs, bench).count() == 2
+
+
+def test_monotonous_texts_in_bounded_memory(monkeypatch):
+    """Texts of one letter and rules of dashes, held against all alignments on small twins, and in bounded memory on large ones."""
+    import tracemalloc
+
+    from locspark.llm import decontaminate as module
+
+    rule = [(i, b"item %d says %s " % (i, bytes([97 + i]) * 8) + b"-" * 80 + b" and ends with words %d" % (i * 7919)) for i in range(3)]
+    cases = [(b"a" * 700, [(1, b"a" * 130)]), (b"text " + b"-" * 500 + b" more", rule), (b"ab" * 300 + b"-" * 200, [(1, b"ab" * 60), *rule]), (rule[1][1] * 2, rule)]
+    for hits in (1 << 20, 5000):
+        monkeypatch.setattr(module, "HITS", hits)
+        monkeypatch.setattr(module, "STRETCH", max(hits // 4, 1000))
+        for text, items in cases:
+            p = plain(text.decode())
+            found = module._gathered(module.Pieces.all_of(items, 100, 25, 40, 8, 0.1), p, np.array([0, len(p)]))
+            assert {i for _, i in found} == {i for _, i in brute([(0, text.decode())], [(i, b.decode()) for i, b in items])}
+    monkeypatch.undo()
+    for text, items in ((b"a" * 1_000_000, [(1, b"a" * 400)]), (b"-" * 200_000, rule)):
+        p = plain(text.decode())
+        tracemalloc.start()
+        found = module._gathered(module.Pieces.all_of(items, 100, 25, 40, 8, 0.1), p, np.array([0, len(p)]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 300e6 and bool(found) == (text[:1] == b"a")
