@@ -6,9 +6,17 @@ the non-negative risk
     R = prior R+(positives, 1) + max(0, R(unlabelled, 0) - prior R+(positives, 0))
 
 whose second part, the risk on negatives, is estimated without any. Where it falls below zero a step goes against its
-gradient, which keeps the model from fitting the positives by heart. The class prior is the share of positives among
-the labelled training rows. Training takes at most `sample` rows of either kind, those with the smallest hash of their
-id; all else covers all rows.
+gradient, which keeps the model from fitting the positives by heart.
+
+The class prior of the unlabelled text is estimated from it: labels may be of good texts more often than the web is good. A
+first model, from one half of the ids, scores all rows of the other half; whatever share P of the positives and U of the
+unlabelled rows lie over a score, no more than U / P can be the prior, and over high scores, where hardly a bad text
+lies, it is about that. The prior is the least of these ratios over the scores that at least `LEAST_SHARE` of the positives
+reach, from bins that Spark adds up over all rows. With fewer than `LEAST_POSITIVES` in that half the share of good labels stands in.
+
+Training takes at most `sample` rows of either kind, those with the smallest hash of their id (of a repeated id the text
+with the smallest hash); all else covers all rows. Columns of whatever other name are left out. Texts of any length are
+read whole.
 
 Rows whose crc32(doc_id as text) mod `folds` is 0 (and those with a null id) give neither labels nor unlabelled text.
 Scores depend on the text alone. Null texts count as empty. Repeated rows are scored each. Without any positive, or any
@@ -31,6 +39,8 @@ from locspark.llm import common
 #: Most training rows of either kind.
 SAMPLE = 4000
 THRESHOLD = 0.3
+#: Bins of scores, and what the estimate of the prior asks for.
+BINS, LEAST_SHARE, LEAST_POSITIVES = 1000, 0.2, 30
 FOLDS = 5
 
 # byte classes: letters one by one (cases alike), other bytes by kind
@@ -145,16 +155,52 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = common.base_columns(docs, key, text)
     marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label is not null").groupBy("doc_id").agg(F.min("label").alias("label")).filter(_in_training(folds))
     n, good = marked.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("label") == 1, 1)), F.lit(0))).first()
-    prior = good / n if n else 0.5
+    own, positives = rows.filter(_in_training(folds)), marked.filter("label = 1").select("doc_id")
+    if good and n:
+        half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+        first = train(*_sampled(own.filter(half == 0), positives.filter(half == 0), sample // 2), 0.5)
+        prior = estimated_prior(*_binned(own.filter(half == 1), positives, first), good / n)
+    else:
+        prior = good / n if n else 0.5
+    return train(*_sampled(own, positives, sample), prior)
+
+
+def _sampled(rows: DataFrame, positives: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of at most `sample` positives and as many unlabelled rows."""
     first = lambda df: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the texts of the sample: its ids are at most 2 * sample rows, a proven bound
-    chosen = first(marked.filter("label = 1")).withColumn("positive", F.lit(True)).union(first(rows.filter(_in_training(folds))).withColumn("positive", F.lit(False)))
-    found = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "positive"]).select("doc_id", "text", "positive").mapInArrow(_featured, "positive boolean, x binary")
+    chosen = first(positives).withColumn("positive", F.lit(True)).union(first(rows).withColumn("positive", F.lit(False)))
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for r in sorted(found.toLocalIterator(), key=lambda r: bytes(r.x)):
+    for r in sorted(texts.select("doc_id", "text", "positive").mapInArrow(_featured, "positive boolean, x binary").toLocalIterator(), key=lambda r: bytes(r.x)):
         got[r.positive].append(np.frombuffer(bytes(r.x), np.float32))
-    table = lambda x: np.stack(x) if x else np.zeros((0, N_FEATURES), np.float32)
-    return train(table(got[True]), table(got[False]), prior)
+    positive, unlabelled = (np.stack(x) if x else np.zeros((0, N_FEATURES), np.float32) for x in (got[True], got[False]))
+    return positive, unlabelled
+
+
+def _bins(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = [shipped.value.score(x) for x in features(batch.column(1))]
+        score = np.concatenate(scores) if scores else np.zeros(0)
+        yield pa.record_batch([batch.column(0), pa.array(np.minimum(score * BINS, BINS - 1).astype(np.int32))], names=["doc_id", "bin"])
+
+
+def _binned(rows: DataFrame, positives: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the rows, and of the positives among them, have their score in each bin."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    scored = rows.mapInArrow(lambda b: _bins(b, shipped), "doc_id long, bin int").join(positives.withColumn("good", F.lit(1)), "doc_id", "left")
+    n, good = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+    for r in scored.groupBy("bin").agg(F.count("*").alias("n"), F.count("good").alias("good")).collect():  # at most BINS rows
+        n[r.bin], good[r.bin] = r.n, r.good
+    return n, good
+
+
+def estimated_prior(n: np.ndarray, good: np.ndarray, otherwise: float) -> float:
+    """The least U / P over scores that enough positives reach; n, good: all rows and positives by score, rising."""
+    if good.sum() < LEAST_POSITIVES:
+        return otherwise
+    u, p = np.cumsum(n[::-1]) / n.sum(), np.cumsum(good[::-1]) / good.sum()
+    return float(np.clip((u / np.maximum(p, 1e-9))[p >= LEAST_SHARE].min(), 0.01, 0.99))
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"

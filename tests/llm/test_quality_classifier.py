@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pyarrow as pa
 
+from locspark.llm import quality_classifier
 from locspark.llm.quality_classifier import N_CLASSES, N_FEATURES, THRESHOLD, features, fit, good_documents, is_held_out, risk, score_quality, train
 
 SF = "/root/testdata/sf0.1"
@@ -76,3 +77,26 @@ def test_edge_cases(spark):
     some = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (4, 1)], "doc_id long, quality int")
     assert score_quality(docs, some).count() == 4
     assert score_quality(docs.limit(0), some).collect() == []
+
+
+def test_the_prior_is_that_of_the_unlabelled_text(spark, monkeypatch):
+    """Nine of ten labels say good, three of ten texts are."""
+    r = np.random.default_rng(5)
+    good = lambda: " ".join(r.choice(["the", "cat", "sat", "upon", "a", "mat", "while", "it", "rained"], 60))
+    bad = lambda: " ".join(r.choice(["$$", "WIN", "xx7", "http", "!!", "0k", "the", "FREE"], 60))
+    truth = [k % 10 < 3 for k in range(3000)]
+    docs = spark.createDataFrame([(k, good() if g else bad()) for k, g in enumerate(truth)], "doc_id long, text string")
+    labelled = [k for k in range(3000) if truth[k]][:600] + [k for k in range(3000) if not truth[k]][:66]
+    labels = spark.createDataFrame([(k, int(truth[k])) for k in labelled], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "estimated_prior", lambda n, g, other, f=quality_classifier.estimated_prior: seen.append((f(n, g, other), other)) or seen[-1][0])
+    fit(docs, labels, sample=800)
+    assert abs(seen[0][0] - 0.3) < 0.05 and seen[0][1] > 0.85
+    assert quality_classifier.estimated_prior(np.array([70, 0, 30]), np.array([0, 0, 60]), 0.9) == 0.3 and quality_classifier.estimated_prior(np.array([1, 1]), np.array([0, 1]), 0.7) == 0.7
+
+
+def test_repeated_ids_with_different_texts_give_one_model(spark):
+    rows = [(k % 40, f"text {k} " * (k % 7 + 1)) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    models = [fit(spark.createDataFrame(own, "doc_id long, text string").repartition(n), labels) for own, n in ((rows, 1), (rows[::-1], 5))]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
