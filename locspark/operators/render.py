@@ -30,49 +30,83 @@ def crop_center(image: DataFrame, height: int, width: int) -> DataFrame:
     return image.filter(F.col("y").between(height // 2 - q, height // 2 + q - 1) & F.col("x").between(width // 2 - q, width // 2 + q - 1))
 
 
-#: Side of a tile of the image, and tiles that a task holds before it gives out their pixels.
-TILE, TILES = 256, 64
-
-
-def _kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up kernels in tiles: a few arrays a task take the place of a row for each pixel of each kernel."""
-    tiles: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-
-    def pixels() -> Iterator[pa.RecordBatch]:
-        for (movie, ty, tx), (value, touched) in tiles.items():
-            y, x = np.nonzero(touched)
-            yield pa.record_batch([pa.array([movie] * len(y), pa.int64()), pa.array(y + ty * TILE, pa.int64()), pa.array(x + tx * TILE, pa.int64()), pa.array(value[y, x])], names=["movie_id", "y", "x", "value"])
-        tiles.clear()
+#: Side of a tile of the image, kernels of a tile that one task adds up, and pixels of kernels that are worked out at once.
+TILE, CROWD, PIXELS = 256, 200_000, 2_000_000
+
+KERNEL = ["movie_id", "ty", "tx", "salt", "y0", "y1", "x0", "x1", "cy", "cx", "sy", "sx", "a"]
+
+
+def _add_up(value: np.ndarray, boxes: np.ndarray, y0, y1, x0, x1, cy, cx, sy, sx, a) -> None:
+    """Adds kernels to a tile, and marks their boxes by differences. Kernels of like size are worked out side by side."""
+    np.add.at(boxes, (y0, x0), 1)
+    np.add.at(boxes, (y1, x1), 1)
+    np.add.at(boxes, (y0, x1), -1)
+    np.add.at(boxes, (y1, x0), -1)
+    order = np.lexsort((x1 - x0, y1 - y0))
+    at = 0
+    while at < len(order):
+        area = np.maximum.accumulate((y1 - y0)[order[at:]]) * np.maximum.accumulate((x1 - x0)[order[at:]]) * np.arange(1, len(order) - at + 1)
+        own = order[at : at + max(1, int(np.searchsorted(area, PIXELS)))]
+        at += len(own)
+        ys, xs = y0[own, None] + np.arange((y1 - y0)[own].max()), x0[own, None] + np.arange((x1 - x0)[own].max())
+        dy, dx = ys - cy[own, None], xs - cx[own, None]
+        fy = np.where(ys < y1[own, None], a[own, None] * np.exp(-dy * dy / (2 * (sy * sy)[own, None])), 0.0)
+        fx = np.where(xs < x1[own, None], np.exp(-dx * dx / (2 * (sx * sx)[own, None])), 0.0)
+        place = np.minimum(ys, TILE - 1)[:, :, None] * TILE + np.minimum(xs, TILE - 1)[:, None, :]
+        value += np.bincount(place.ravel(), (fy[:, :, None] * fx[:, None, :]).ravel(), TILE * TILE)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pixels of each tile whose kernels come one after the other: one tile is held at a time."""
+    now, value, boxes = None, None, None
+
+    def pixels() -> pa.RecordBatch:
+        touched = np.cumsum(np.cumsum(boxes, 0), 1)[:TILE, :TILE] > 0
+        y, x = np.nonzero(touched)
+        movie, ty, tx, _ = now
+        return pa.record_batch([pa.array(np.full(len(y), movie)), pa.array(y + ty * TILE), pa.array(x + tx * TILE), pa.array(value.reshape(TILE, TILE)[touched])], names=["movie_id", "y", "x", "value"])
 
     for batch in batches:
-        for movie, y0, y1, x0, x1, cy, cx, sy, sx, a in zip(*(c.to_pylist() for c in batch.columns)):
-            dy, dx = np.arange(y0, y1) - cy, np.arange(x0, x1) - cx
-            kernel = np.outer(a * np.exp(-dy * dy / (2 * sy * sy)), np.exp(-dx * dx / (2 * sx * sx)))
-            for ty in range(y0 // TILE, (y1 - 1) // TILE + 1):
-                for tx in range(x0 // TILE, (x1 - 1) // TILE + 1):
-                    if (movie, ty, tx) not in tiles:
-                        if len(tiles) >= TILES:
-                            yield from pixels()
-                        tiles[movie, ty, tx] = np.zeros((TILE, TILE)), np.zeros((TILE, TILE), bool)
-                    value, touched = tiles[movie, ty, tx]
-                    t, z, l, r = max(y0, ty * TILE), min(y1, (ty + 1) * TILE), max(x0, tx * TILE), min(x1, (tx + 1) * TILE)
-                    at = slice(t - ty * TILE, z - ty * TILE), slice(l - tx * TILE, r - tx * TILE)
-                    value[at] += kernel[t - y0 : z - y0, l - x0 : r - x0]
-                    touched[at] = True
-    yield from pixels()
+        columns = [c.to_numpy() for c in batch.columns]
+        keys = np.stack(columns[:4], 1)
+        heads = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))) if len(keys) else []
+        for a, z in zip(heads, [*heads[1:], len(keys)]):
+            if now != tuple(keys[a].tolist()):
+                if now is not None:
+                    yield pixels()
+                now, value, boxes = tuple(keys[a].tolist()), np.zeros(TILE * TILE), np.zeros((TILE + 1, TILE + 1), np.int64)
+            y0, y1, x0, x1, cy, cx, sy, sx, amplitude = (c[a:z] for c in columns[4:])
+            top, left = now[1] * TILE, now[2] * TILE
+            clip = lambda c, o: np.clip(c - o, 0, TILE)
+            _add_up(value, boxes, clip(y0, top), clip(y1, top), clip(x0, left), clip(x1, left), cy - top, cx - left, sy, sx, amplitude)
+    if now is not None:
+        yield pixels()
 
 
 def _splat(points: DataFrame, lo_y: Column, hi_y: Column, lo_x: Column, hi_x: Column, height: int, width: int) -> DataFrame:
     """Adds up a * exp(-((x - cx)**2 / 2 sx**2 + (y - cy)**2 / 2 sy**2)) over the pixels lo .. hi (hi excluded) of each point.
 
-    Each task adds up its points in tiles, in bounded memory, and the tasks' pixels are added up then; dense places are no
-    hot keys.
+    Tiles are the key: a kernel goes to the one to four tiles that it meets, whose kernels one task adds up, a tile at a
+    time, so that each pixel is given out once, in whatever order the points come. Tiles with over `CROWD` kernels are
+    split by a salt, and their pixels added up again.
     """
     clip = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), c)).cast("long")
     p = points.select(F.col("movie_id").cast("long").alias("movie_id"), clip(lo_y, height).alias("y0"), clip(hi_y, height).alias("y1"), clip(lo_x, width).alias("x0"), clip(hi_x, width).alias("x1"), *(F.col(c).cast("double") for c in ("cy", "cx", "sy", "sx", "a")))
-    whole = p.filter("y0 < y1 and x0 < x1").dropna().mapInArrow(_kernels, "movie_id long, y long, x long, value double")
+    over = lambda lo, hi: F.explode(F.sequence(F.expr(f"{lo} div {TILE}"), F.expr(f"({hi} - 1) div {TILE}")))
+    met = p.filter("y0 < y1 and x0 < x1").dropna().withColumn("ty", over("y0", "y1")).withColumn("tx", over("x0", "x1"))
+    tile = ["movie_id", "ty", "tx"]
+    parts = F.ceil(F.col("n") / CROWD).cast("long")
+    crowded = met.groupBy(tile).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*tile, parts.alias("parts"))
+    light = met.join(crowded, tile, "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    heavy = met.join(crowded, tile).withColumn("salt", F.pmod(F.xxhash64("cy", "cx", "sy", "sx", "a"), F.col("parts")))
     kind = points.schema["movie_id"].dataType
-    return whole.groupBy("movie_id", "y", "x").agg(F.sum("value").alias("value")).select(F.col("movie_id").cast(kind), F.col("y").cast("int"), F.col("x").cast("int"), "value")
+
+    def drawn(kernels: DataFrame) -> DataFrame:
+        by = [*tile, "salt"]
+        return kernels.select(KERNEL).repartition(*by).sortWithinPartitions(*by).mapInArrow(_tiles, "movie_id long, y long, x long, value double")
+
+    out = drawn(light).union(drawn(heavy).groupBy("movie_id", "y", "x").agg(F.sum("value").alias("value")))
+    return out.select(F.col("movie_id").cast(kind), F.col("y").cast("int"), F.col("x").cast("int"), "value")
 
 
 def render_gaussian_pdf(locs: DataFrame, height: int, width: int, oversampling: int = 5, min_blur: float = 0.1) -> DataFrame:
