@@ -113,15 +113,85 @@ def local_maxima(pixels: DataFrame, distance: int, thresholds: DataFrame, border
     return both.join(thresholds, keys).filter(own & inside & (F.col("value") > F.col("threshold"))).select(*keys, "y", "x", "value")
 
 
-def label_components(mask: DataFrame, neighbors: int = 8, key: str = KEY) -> DataFrame:
-    """(key, y, x, label): connected components, numbered in raster order of their first pixels."""
-    p = mask.select(key, "y", "x", (F.col("y").cast("long") * _PIXEL + F.col("x")).alias("loc_id"))
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if neighbors == 8 else [])
-    moved = p.select(key, F.col("loc_id").alias("other_id"), F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("n")).select(key, "other_id", "n.y", "n.x")
-    names = connected(p.join(moved, [key, "y", "x"]), key)
-    rooted = p.join(names, [key, "loc_id"], "left").withColumn("root", F.coalesce("root", "loc_id"))
-    number = rooted.select(key, "root").distinct().withColumn("label", F.row_number().over(W.partitionBy(key).orderBy("root")))
-    return rooted.join(number, [key, "root"]).select(key, "y", "x", "label")
+#: Side of a tile in which parts are labelled at once, and pixels that a task works on at once.
+TILE, STRETCH = 128, 500_000
+_STEPS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
+
+
+def _least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component, for n nodes and the links between a and b."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
+def _tile_parts(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], side: int) -> Iterator[pa.RecordBatch]:
+    """Pixels (key, y, x) in order of tiles, rows and columns; with each the first pixel of its part of the tile."""
+
+    def parts(table: pa.Table) -> pa.RecordBatch:
+        key, y, x = (c.to_numpy().astype(np.int64) for c in table.columns)
+        new = np.ones(len(y), bool)
+        for i, c in enumerate((key, y // side, x // side)):
+            new[1:] = (new[1:] if i else False) | (c[1:] != c[:-1])
+        ly, lx, tile = y % side, x % side, np.cumsum(new) * side * side
+        code = tile + ly * side + lx
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for dy, dx in steps:
+            inside = np.flatnonzero((ly + dy < side) & (lx + dx < side) & (lx + dx >= 0))
+            want = code[inside] + dy * side + dx
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            hit = code[at] == want
+            a.append(inside[hit])
+            b.append(at[hit])
+        first = _least_labels(np.concatenate(a), np.concatenate(b), len(code))
+        return pa.record_batch([*table.combine_chunks().to_batches()[0].columns, pa.array(y[first] * _PIXEL + x[first])], names=["key", "y", "x", "node"])
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(w.num_rows for w in waiting) >= STRETCH:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            tiles = np.stack([table["key"].to_numpy(), table["y"].to_numpy() // side, table["x"].to_numpy() // side], 1)
+            last = np.flatnonzero((tiles != tiles[-1]).any(1))  # the last tile may go on
+            if len(last):
+                yield parts(table.slice(0, int(last[-1]) + 1))
+                waiting = table.slice(int(last[-1]) + 1).to_batches()
+    if sum(w.num_rows for w in waiting):
+        yield parts(pa.Table.from_batches(waiting))
+
+
+def label_components(mask: DataFrame, neighbors: int = 8, key: str = KEY, side: int = TILE) -> DataFrame:
+    """(key, y, x, label): connected components, numbered in raster order of their first pixels. Runs jobs when called.
+
+    Two levels: parts within tiles by one pass of a task over its tiles, then only the links of parts over the borders of
+    tiles go through `connected`, whose rounds and tables follow the number of such parts, not of pixels.
+    """
+    kinds, steps = dict(mask.dtypes), _STEPS[neighbors]
+    tile = lambda c: F.floor(F.col(c) / side)
+    p = mask.select(F.col(key).alias("key"), "y", "x").filter("key is not null and y is not null and x is not null")
+    order = ["key", tile("y"), tile("x")]
+    found = p.repartition(*order).sortWithinPartitions(*order, "y", "x").mapInArrow(lambda b: _tile_parts(b, steps, side), f"key {kinds[key]}, y {kinds['y']}, x {kinds['x']}, node long")
+    found = written(found)
+    rim = found.filter((F.pmod("y", F.lit(side)).isin(0, side - 1)) | F.pmod("x", F.lit(side)).isin(0, side - 1))
+    moved = rim.select("key", "node", tile("y").alias("ty"), tile("x").alias("tx"), F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("n"))
+    moved = moved.select("key", "node", "ty", "tx", "n.y", "n.x").filter((tile("y") != F.col("ty")) | (tile("x") != F.col("tx")))
+    links = written(moved.join(rim.select("key", "y", "x", F.col("node").alias("other")), ["key", "y", "x"]).select("key", F.col("node").alias("loc_id"), F.col("other").alias("other_id")).distinct())
+    if links.isEmpty():
+        rooted = found.withColumn("root", F.col("node"))
+    else:
+        names = connected(links, "key").select("key", F.col("loc_id").alias("node"), "root")
+        rooted = found.join(names, ["key", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    number = rooted.select("key", "root").distinct().withColumn("label", F.row_number().over(W.partitionBy("key").orderBy("root")))
+    return rooted.join(number, ["key", "root"]).select(F.col("key").alias(key), "y", "x", "label")
 
 
 def relabel(labels: DataFrame, key: str = KEY) -> DataFrame:
@@ -169,21 +239,54 @@ def binary_closing(mask: DataFrame, radius: int, sizes: DataFrame, key: str = KE
     return wide.join(near.select(key, "y", "x"), [key, "y", "x"], "left_anti")
 
 
+def envelope(g: np.ndarray) -> np.ndarray:
+    """Of rows of distances along columns (-1: none) the squared distances in the plane: least of (x - v)**2 + g[v]**2 over v.
+
+    The lower envelope of these parabolas is built for all rows side by side, a column at a time: a parabola pushes out
+    those at the end of its row's stack that it lies under from where they begin. Then each column is read off the stack.
+    Work is linear in the width.
+    """
+    rows, width = g.shape
+    stack, begin, top = np.zeros((rows, width), np.int64), np.zeros((rows, width)), np.full(rows, -1)
+    f = g.astype(float) ** 2
+    for x in range(width):
+        todo = np.flatnonzero(g[:, x] >= 0)
+        while len(todo):
+            t = top[todo]
+            v = stack[todo, np.maximum(t, 0)]
+            cross = np.where(t >= 0, ((f[todo, x] + x * x) - (f[todo, v] + v * v)) / np.maximum(2 * (x - v), 1), -np.inf)
+            out = (t >= 0) & (cross <= begin[todo, np.maximum(t, 0)])
+            stay = todo[~out]
+            top[stay] += 1
+            stack[stay, top[stay]] = x
+            begin[stay, top[stay]] = cross[~out]
+            top[todo[out]] -= 1
+            todo = todo[out]
+    best, at = np.full((rows, width), np.inf), np.zeros(rows, np.int64)
+    some = np.flatnonzero(top >= 0)
+    for x in range(width):
+        while True:
+            on = some[(at[some] < top[some]) & (begin[some, np.minimum(at[some] + 1, width - 1)] < x)]
+            if not len(on):
+                break
+            at[on] += 1
+        v = stack[some, at[some]]
+        best[some, x] = (x - v) ** 2 + f[some, v]
+    return best
+
+
 def _nearest_in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row's distances along columns (-1: none) the distances in the plane. A pixel looks to both sides only as far as the least distance it has so far, so a row takes its width times its largest distance."""
+    """Of each row's distances along columns (-1: none) the distances in the plane; rows of one width side by side."""
     for batch in batches:
-        out = []
-        for raw in batch.column(2).to_pylist():
-            g = np.array(raw, np.float64)
-            own = np.where(g < 0, np.inf, g * g)
-            best = own.copy()
-            for d in range(1, len(g)):
-                if d * d >= best.max():
-                    break
-                best[d:] = np.minimum(best[d:], own[:-d] + d * d)
-                best[:-d] = np.minimum(best[:-d], own[d:] + d * d)
-            out.append(np.sqrt(best).tolist())
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["key", "y", "distance"])
+        lists = batch.column(2)
+        size, values = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        at, out = np.cumsum(size) - size, np.empty(len(values))
+        for width in np.unique(size).tolist():
+            own = np.flatnonzero(size == width)
+            for a in range(0, len(own), max(1, 2_000_000 // max(width, 1))):
+                place = at[own[a : a + max(1, 2_000_000 // max(width, 1))], None] + np.arange(width)
+                out[place] = np.sqrt(envelope(values[place]))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.append(at, len(values)).astype(np.int32), pa.array(out))], names=["key", "y", "distance"])
 
 
 def distance_transform(mask: DataFrame, sizes: DataFrame, key: str = KEY) -> DataFrame:
