@@ -211,11 +211,13 @@ _M = "CAST(movie_id AS BIGINT) AS movie_id"
 _MC = f"{_M}, CAST(cluster_id AS BIGINT) AS cluster_id"
 _C = "t AS (SELECT * FROM locs WHERE cluster_id <> -1)"
 query(f"t AS (SELECT * FROM locs) SELECT {_M}, count(*) AS n, round(avg(localization_precision), 6) AS mean_precision, round(stddev_pop(localization_precision), 6) AS std_precision, round(avg(photons), 6) AS mean_photons, round(stddev_pop(photons), 6) AS std_photons FROM t GROUP BY movie_id", "locs")(stats.localization_summary)
-query(f"""{_C}, g AS (SELECT movie_id, cluster_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, max(x) - min(x) AS xe, max(y) - min(y) AS ye, sum(photons) AS tp, avg(photons) AS mp, stddev_pop(photons) AS sp, avg(quality_score) AS q, avg(localization_precision) AS lp, max(frame) - min(frame) + 1 AS span FROM t GROUP BY ALL),
+_PROPERTIES = f"""g AS (SELECT movie_id, cluster_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, max(x) - min(x) AS xe, max(y) - min(y) AS ye, sum(photons) AS tp, avg(photons) AS mp, stddev_pop(photons) AS sp, avg(quality_score) AS q, avg(localization_precision) AS lp, max(frame) - min(frame) + 1 AS span FROM t GROUP BY ALL),
 c AS (SELECT movie_id, cluster_id, avg(sqrt((x - mx) * (x - mx) + (y - my) * (y - my))) * 10 AS c FROM t JOIN g USING (movie_id, cluster_id) GROUP BY ALL)
 SELECT {_MC}, n AS n_molecules, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(xe, 6) AS x_extent, round(ye, 6) AS y_extent, round(tp, 6) AS total_photons, round(mp, 6) AS mean_photons, round(sp, 6) AS std_photons, round(q, 6) AS mean_quality, round(lp, 6) AS mean_precision, CAST(span AS BIGINT) AS frame_span, round(xe * ye, 6) AS area, round(xe * ye * 100, 6) AS area_nm2,
- round(sqrt(xe * ye / pi()), 6) AS radius, round(sqrt(xe * ye / pi()) * 10, 6) AS radius_nm, round(n / greatest(xe * ye, 1.0), 6) AS density, round(n / greatest(xe * ye, 1.0) * 10000, 6) AS density_um2, round(n / greatest(span, 1), 6) AS temporal_density, round(c, 6) AS compactness_nm FROM g JOIN c USING (movie_id, cluster_id)""", "locs")(stats.cluster_properties)
-query(f"t AS (SELECT movie_id, cluster_id, count(*) AS n FROM locs GROUP BY ALL) SELECT {_M}, count(*) FILTER (cluster_id <> -1) AS n_clusters, CAST(sum(n) FILTER (cluster_id = -1) AS BIGINT) AS n_noise, round(sum(n) FILTER (cluster_id = -1) / sum(n), 6) AS noise_fraction, min(n) FILTER (cluster_id <> -1) AS min_size, max(n) FILTER (cluster_id <> -1) AS max_size, round(avg(n) FILTER (cluster_id <> -1), 6) AS mean_size FROM t GROUP BY movie_id", "locs")(stats.cluster_stats)
+ round(sqrt(xe * ye / pi()), 6) AS radius, round(sqrt(xe * ye / pi()) * 10, 6) AS radius_nm, round(n / greatest(xe * ye, 1.0), 6) AS density, round(n / greatest(xe * ye, 1.0) * 10000, 6) AS density_um2, round(n / greatest(span, 1), 6) AS temporal_density, round(c, 6) AS compactness_nm FROM g JOIN c USING (movie_id, cluster_id)"""
+_STATS = f"t AS (SELECT movie_id, cluster_id, count(*) AS n FROM locs GROUP BY ALL) SELECT {_M}, count(*) FILTER (cluster_id <> -1) AS n_clusters, CAST(sum(n) FILTER (cluster_id = -1) AS BIGINT) AS n_noise, round(sum(n) FILTER (cluster_id = -1) / sum(n), 6) AS noise_fraction, min(n) FILTER (cluster_id <> -1) AS min_size, max(n) FILTER (cluster_id <> -1) AS max_size, round(avg(n) FILTER (cluster_id <> -1), 6) AS mean_size FROM t GROUP BY movie_id".replace("FROM locs", "FROM {rows}")
+query(f"{_C}, {_PROPERTIES}", "locs")(stats.cluster_properties)
+query(_STATS.format(rows="locs"), "locs")(stats.cluster_stats)
 query(f"{_C} SELECT {_MC}, count(*) AS n, round(avg(photons), 6) AS mean_photons, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area, round(count(*) / greatest((max(x) - min(x)) * (max(y) - min(y)), 1.0), 6) AS density FROM t GROUP BY movie_id, cluster_id", "locs")(stats.cluster_table)
 query(f"{_C} SELECT {_MC}, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(4 * stddev_pop(x), 6) AS width, round(4 * stddev_pop(y), 6) AS height FROM t GROUP BY movie_id, cluster_id HAVING count(*) >= 3", "locs")(stats.cluster_ellipses)
 query(f"{_C} SELECT {_MC}, count(*) AS size, CAST(max(frame) - min(frame) + 1 AS BIGINT) AS lifetime FROM t GROUP BY movie_id, cluster_id", "locs")(stats.cluster_lifetimes)
@@ -236,6 +238,50 @@ def validate_temporal(locs):
     return stats.validate_temporal(locs, max_density=0.02, max_simultaneous=1).select("movie_id", "loc_id", "cluster_id")
 
 
+@query("""d AS (SELECT movie_id, cluster_id, frame, count(*) AS k FROM locs WHERE cluster_id <> -1 GROUP BY ALL), g AS (SELECT movie_id, cluster_id, sum(k) AS n, max(k) AS most, max(frame) - min(frame) + 1 AS span FROM d GROUP BY ALL)
+SELECT CAST(l.movie_id AS BIGINT) AS movie_id, l.loc_id, CAST(CASE WHEN g.n < 2 OR (g.n / g.span > 0.5 AND g.most > least(5, g.n // 2)) THEN -1 ELSE l.cluster_id END AS BIGINT) AS cluster_id
+FROM (SELECT * REPLACE (CASE WHEN loc_id % 1200 < 60 THEN frame // 12 ELSE frame END AS frame, CASE WHEN loc_id % 1200 < 60 THEN 90 ELSE cluster_id END AS cluster_id) FROM locs) l LEFT JOIN g USING (movie_id, cluster_id)""".replace("FROM locs WHERE", "FROM (SELECT * REPLACE (CASE WHEN loc_id % 1200 < 60 THEN frame // 12 ELSE frame END AS frame, CASE WHEN loc_id % 1200 < 60 THEN 90 ELSE cluster_id END AS cluster_id) FROM locs) WHERE"), "locs")
+def validate_temporal_default(locs):
+    """At the defaults, over rows of which a cluster in each movie is bright in twelve rows of a frame."""
+    burst = F.col("loc_id") % 1200 < 60
+    moved = locs.withColumn("frame", F.when(burst, F.floor(F.col("frame") / 12)).otherwise(F.col("frame")).cast("int")).withColumn("cluster_id", F.when(burst, 90).otherwise(F.col("cluster_id")))
+    return stats.validate_temporal(moved).select("movie_id", "loc_id", "cluster_id")
+
+
+def _graph_sql(rows: str, eps: str) -> str:
+    """Density clusters of a table of rows: table q has its rows with a new cluster_id. Roots spread from neighbour to neighbour in rounds."""
+    return f"""e AS MATERIALIZED (SELECT a.movie_id, a.loc_id, b.loc_id AS other_id FROM {rows} a JOIN {rows} b ON a.movie_id = b.movie_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {eps}),
+gc AS MATERIALIZED (SELECT movie_id, loc_id FROM e GROUP BY ALL HAVING count(*) >= 3), gl AS MATERIALIZED (SELECT e.* FROM e JOIN gc USING (movie_id, loc_id) JOIN gc d ON e.movie_id = d.movie_id AND e.other_id = d.loc_id),
+gr AS (SELECT movie_id, loc_id, loc_id AS root, 0 AS i FROM gc UNION ALL SELECT gr.movie_id, gl.other_id, min(gr.root), gr.i + 1 FROM gr JOIN gl ON gr.movie_id = gl.movie_id AND gr.loc_id = gl.loc_id WHERE gr.i < 100 GROUP BY gr.movie_id, gl.other_id, gr.i + 1),
+gm AS (SELECT movie_id, loc_id, root FROM gr WHERE i = 100), gb AS (SELECT e.movie_id, e.loc_id, min(gm.root) AS root FROM e JOIN gm ON e.movie_id = gm.movie_id AND e.other_id = gm.loc_id GROUP BY ALL),
+gn AS (SELECT *, dense_rank() OVER (PARTITION BY movie_id ORDER BY root) - 1 AS number FROM (SELECT DISTINCT movie_id, root FROM gm)), ga AS (SELECT movie_id, loc_id, root FROM gm UNION ALL SELECT gb.* FROM gb ANTI JOIN gm USING (movie_id, loc_id)),
+q AS (SELECT o.* REPLACE (coalesce(gn.number, -1) AS cluster_id) FROM {rows} o LEFT JOIN ga ON ga.movie_id = o.movie_id AND ga.loc_id = o.loc_id LEFT JOIN gn ON ga.movie_id = gn.movie_id AND ga.root = gn.root)"""
+
+
+@query(f"{_KEPT}, {_graph_sql('t', '5.0')} SELECT CAST(movie_id AS BIGINT) AS movie_id, loc_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM q", "locs")
+def dbscan_default(locs):
+    return spatial.dbscan(_kept(locs)).select("movie_id", "loc_id", "cluster_id")
+
+
+# the knee of each movie, clusters at it, checked in time at the defaults: table v
+_CLUSTERED = f"""{_KEPT}, {_NEAR}, kd AS (SELECT movie_id, distance, row_number() OVER (PARTITION BY movie_id ORDER BY distance) AS i FROM k WHERE rank = 3),
+kb AS (SELECT *, lead(distance, 2) OVER w - 2 * lead(distance) OVER w + distance AS bend, lead(distance) OVER w AS knee FROM kd WINDOW w AS (PARTITION BY movie_id ORDER BY i)), kc AS (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY bend DESC, i) AS r FROM kb WHERE bend IS NOT NULL),
+te AS (SELECT t.*, least(10.0, greatest(2.5, knee)) AS eps FROM t JOIN kc ON t.movie_id = kc.movie_id AND kc.r = 1), {_graph_sql("te", "a.eps")},
+vd AS (SELECT movie_id, cluster_id, frame, count(*) AS k FROM q WHERE cluster_id <> -1 GROUP BY ALL), vg AS (SELECT movie_id, cluster_id, sum(k) AS n, max(k) AS most, max(frame) - min(frame) + 1 AS span FROM vd GROUP BY ALL),
+v AS (SELECT q.* REPLACE (CASE WHEN vg.n < 2 OR (vg.n / vg.span > 0.5 AND vg.most > least(5, vg.n // 2)) THEN -1 ELSE q.cluster_id END AS cluster_id) FROM q LEFT JOIN vg USING (movie_id, cluster_id))"""
+
+
+@query(f"{_CLUSTERED} SELECT * FROM (WITH t AS (SELECT * FROM v WHERE cluster_id <> -1), {_PROPERTIES})", "locs")
+def cluster_speckles_properties(locs):
+    """The clusters' table of the whole: knee, density clusters, check in time, sub-clusters."""
+    return workloads.cluster_speckles(_kept(locs))["properties"]
+
+
+@query(f"{_CLUSTERED} SELECT * FROM (WITH {_STATS.format(rows='v')})", "locs")
+def cluster_speckles_stats(locs):
+    return workloads.cluster_speckles(_kept(locs))["stats"]
+
+
 _HIST = "b AS (SELECT l_linenumber AS k, min(l_extendedprice)::DOUBLE AS a, max(l_extendedprice)::DOUBLE AS z FROM lineitem GROUP BY ALL), g AS (SELECT k, CASE WHEN a = z THEN a - 0.5 ELSE a END AS a, CASE WHEN a = z THEN z + 0.5 ELSE z END AS z FROM b)"
 
 
