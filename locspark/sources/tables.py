@@ -44,6 +44,19 @@ def localization_metadata(locs: DataFrame, parameters: dict | None = None) -> Da
     ).withColumn("parameters", F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)"))
 
 
+FRAME = "movie_id int, frame int, height int, width int, pixels array<double>"
+
+
+def read_frame_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
+    """Frames as a stream: files of rows (`FRAME`) in a folder, also those that come later. The localizers take it as they take a table, as they keep no state from frame to frame."""
+    return spark.readStream.schema(FRAME).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def write_stream(rows: DataFrame, path: str, checkpoint: str, **trigger):
+    """A stream's rows added to a table; by default all that is there, then the query ends. checkpoint: a folder that all machines share."""
+    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).outputMode("append").start(path)
+
+
 def frames_to_pixels(frames: DataFrame) -> DataFrame:
     """(movie_id, frame, y, x, value) of frames with row-major pixel arrays."""
     return frames.select("movie_id", "frame", "width", F.posexplode("pixels").alias("i", "value")).select("movie_id", "frame", F.expr("cast(i div width as int)").alias("y"), (F.col("i") % F.col("width")).alias("x"), "value")
