@@ -18,7 +18,8 @@ and dropped before the next.
 `bytes_as_audio` reads a text's UTF-8 bytes as 8-bit samples; that's how tables without sound are used here. Recordings
 too short for a fine window (304 samples) have no fingerprint (class_id null) and match nothing, but those of the same
 samples share a group_id; nulls and empty ones are in no group. Rows with a null id get the class but are no queries.
-Constant sound gives constant integers. Repeated rows are members of one class. An empty table gives no rows.
+Constant sound gives constant integers. Repeated rows are members of one class. Recordings of any length are read whole. Other
+columns, of whatever name, are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ points of the formatted text) of the assistants' texts.
 
 Null roles and texts count as empty. Rows without a conversation id form one conversation, with a null id. Turns of one
 number are ordered by role and text; repeated rows are turns of their own. An empty table gives no rows. A conversation
-is one output row by definition, so its turns meet in one group; nothing else does.
+is one output row by definition, so its turns meet in one group; nothing else does. Texts of any length are kept whole, and
+a conversation must fit one row.
 """
 
 from __future__ import annotations

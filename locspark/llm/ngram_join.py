@@ -14,7 +14,8 @@ A text's set are its distinct n-grams of lower-cased words; two texts link when
 5. The links found connect the classes; a component's name is its smallest id.
 
 Null and empty texts have no set, link with nothing and are components of their own, as are rows with a null id, which
-carry the name of their class if it has one. Repeated rows are copies of each other. An empty table gives no rows.
+carry the name of their class if it has one. Repeated rows are copies of each other. Texts of any length are read whole, a
+longer one makes a larger block. Other columns, of whatever name, are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Of records with equal payloads of at least `min_revisit` bytes, that with the la
 the payload; the others are revisits that refer to it. Null payloads are empty. Rows with a null page_id are archived,
 and refer to others, but no record refers to them, unless all rows of that payload have none, when all are responses.
 Repeated rows of the response's id are all responses. Columns but page_id, url and html, of whatever name, are left out.
-An empty table gives no archives and no rows.
+A payload of any length is one record, which a longer one makes a longer frame. An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from locspark.llm.lm_scoring import LEFT_A, LEFT_B, START, Automaton, Grams, is_held_out, score_texts
@@ -110,3 +111,19 @@ def test_columns_of_any_name_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sums_of_any_size():
+    """Two blocks with three billion each are answered six billion."""
+    from locspark.llm import common
+
+    keys = np.array([5, 9, 1 << 63], np.uint64)
+    asked = [common.requests(keys, np.array([3 * 10**9, 1, 7], np.uint32), block, 1, 2) for block in (0, 1)]
+    answer = {"block": [], "bucket": [], "kind": [], "answer": []}
+    for bucket in (0, 1):
+        table = common.joined(asked, common._REQUEST)
+        found = common._answer(table.filter(pa.compute.equal(table["bucket"], bucket)))
+        for c in answer:
+            answer[c] += found[c].to_pylist()
+    table = pa.table(answer)
+    assert [common.answers(table.filter(pa.compute.equal(table["block"], b)), 1).tolist() for b in (0, 1)] == [[6 * 10**9, 2, 14]] * 2
