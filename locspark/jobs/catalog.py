@@ -215,7 +215,7 @@ _PROPERTIES = f"""g AS (SELECT movie_id, cluster_id, count(*) AS n, avg(x) AS mx
 c AS (SELECT movie_id, cluster_id, avg(sqrt((x - mx) * (x - mx) + (y - my) * (y - my))) * 10 AS c FROM t JOIN g USING (movie_id, cluster_id) GROUP BY ALL)
 SELECT {_MC}, n AS n_molecules, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(xe, 6) AS x_extent, round(ye, 6) AS y_extent, round(tp, 6) AS total_photons, round(mp, 6) AS mean_photons, round(sp, 6) AS std_photons, round(q, 6) AS mean_quality, round(lp, 6) AS mean_precision, CAST(span AS BIGINT) AS frame_span, round(xe * ye, 6) AS area, round(xe * ye * 100, 6) AS area_nm2,
  round(sqrt(xe * ye / pi()), 6) AS radius, round(sqrt(xe * ye / pi()) * 10, 6) AS radius_nm, round(n / greatest(xe * ye, 1.0), 6) AS density, round(n / greatest(xe * ye, 1.0) * 10000, 6) AS density_um2, round(n / greatest(span, 1), 6) AS temporal_density, round(c, 6) AS compactness_nm FROM g JOIN c USING (movie_id, cluster_id)"""
-_STATS = f"t AS (SELECT movie_id, cluster_id, count(*) AS n FROM locs GROUP BY ALL) SELECT {_M}, count(*) FILTER (cluster_id <> -1) AS n_clusters, CAST(sum(n) FILTER (cluster_id = -1) AS BIGINT) AS n_noise, round(sum(n) FILTER (cluster_id = -1) / sum(n), 6) AS noise_fraction, min(n) FILTER (cluster_id <> -1) AS min_size, max(n) FILTER (cluster_id <> -1) AS max_size, round(avg(n) FILTER (cluster_id <> -1), 6) AS mean_size FROM t GROUP BY movie_id".replace("FROM locs", "FROM {rows}")
+_STATS = f"t AS (SELECT movie_id, cluster_id, count(*) AS n FROM locs GROUP BY ALL) SELECT {_M}, count(*) FILTER (cluster_id <> -1) AS n_clusters, CAST(coalesce(sum(n) FILTER (cluster_id = -1), 0) AS BIGINT) AS n_noise, round(coalesce(sum(n) FILTER (cluster_id = -1), 0) / sum(n), 6) AS noise_fraction, min(n) FILTER (cluster_id <> -1) AS min_size, max(n) FILTER (cluster_id <> -1) AS max_size, round(avg(n) FILTER (cluster_id <> -1), 6) AS mean_size FROM t GROUP BY movie_id".replace("FROM locs", "FROM {rows}")
 query(f"{_C}, {_PROPERTIES}", "locs")(stats.cluster_properties)
 query(_STATS.format(rows="locs"), "locs")(stats.cluster_stats)
 query(f"{_C} SELECT {_MC}, count(*) AS n, round(avg(photons), 6) AS mean_photons, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area, round(count(*) / greatest((max(x) - min(x)) * (max(y) - min(y)), 1.0), 6) AS density FROM t GROUP BY movie_id, cluster_id", "locs")(stats.cluster_table)
@@ -468,6 +468,17 @@ def opening(pixels):
     return floods.opening(pixels, 5)
 
 
+# a disk as rows of the width that each line of it has
+_WIDE = """kd AS (SELECT dy, CAST(floor(sqrt(900 - dy * dy)) AS BIGINT) AS w FROM range(-30, 31) r(dy)),
+la AS (SELECT image_id, y - dy AS y, x, min(value) OVER (PARTITION BY image_id, y, dy ORDER BY x ROWS BETWEEN w PRECEDING AND w FOLLOWING) AS value FROM marker_pixels, kd), lo AS (SELECT image_id, y, x, min(value) AS value FROM la WHERE y BETWEEN 0 AND 63 GROUP BY ALL),
+ha AS (SELECT image_id, y - dy AS y, x, max(value) OVER (PARTITION BY image_id, y, dy ORDER BY x ROWS BETWEEN w PRECEDING AND w FOLLOWING) AS value FROM lo, kd), hi AS (SELECT image_id, y, x, max(value) AS value FROM ha WHERE y BETWEEN 0 AND 63 GROUP BY ALL)"""
+
+
+@query(f"{_WIDE} SELECT {_PIX}, value FROM hi", "marker_pixels")
+def opening_default(pixels):
+    return floods.opening(pixels)
+
+
 @query(f"{_OPEN}, t AS (SELECT image_id, y, x, m.value - hi.value AS value FROM hi JOIN marker_pixels m USING (image_id, y, x)) SELECT {_PIX}, value FROM t", "marker_pixels")
 def top_hat(pixels):
     return floods.top_hat(pixels, 5)
@@ -600,6 +611,17 @@ def render_set(locs):
     return render.render_set(locs, SIZE, SIZE)
 
 
+_SET = {"precision": "render_gaussian_peak", "photon": "render_gaussian_photon", "histogram": "render_histogram_smooth"}
+_EACH = " UNION ALL ".join(f"SELECT '{mode}' AS mode, movie_id, value FROM ({SQL[name]})" for mode, name in _SET.items())
+
+
+@query(f"u AS ({_EACH}) SELECT mode, movie_id, count(*) AS n, count(*) FILTER (floor(value * 65535 + 1e-6) >= 65534) AS n_top, CAST(floor(max(value) * 65535 + 1e-6) AS BIGINT) AS top, round(sum(value) / 1000, 1) AS light FROM u GROUP BY ALL")
+def render_set_summary(spark, sf_dir):
+    """By mode and movie of the set of 16-bit images: pixels, those of full value, the largest value, and the light as a share of full pixels."""
+    out = render.render_set(view(spark, sf_dir, "locs"), SIZE, SIZE).groupBy("mode", "movie_id")
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 65534).alias("n_top"), F.max("value").alias("top"), F.round(F.sum((F.col("value") + 0.5) / 65535) / 1000, 1).alias("light"))
+
+
 @query("t AS (SELECT movie_id, trunc(y * 5)::BIGINT AS y, trunc(x * 5)::BIGINT AS x FROM locs WHERE x > 0 AND x < 256 AND y > 0 AND y < 256) SELECT CAST(movie_id AS BIGINT) AS movie_id, y, x, count(*)::DOUBLE AS value FROM t WHERE y BETWEEN 320 AND 959 AND x BETWEEN 320 AND 959 GROUP BY ALL", "locs")
 def crop_center(locs):
     return render.crop_center(render.render_histogram(locs, SIZE, SIZE), SIZE * 5, SIZE * 5)

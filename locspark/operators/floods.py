@@ -1,6 +1,6 @@
-"""Operators that need a whole image or cluster in order: grey opening, h-maxima, watershed, Ward sub-clusters.
+"""Grey opening by tiles with borders; operators that need a whole image or cluster in order: h-maxima, watershed, Ward sub-clusters.
 
-Images are shuffled by their id and worked on one at a time as arrays, so a task needs the memory of one image.
+For the latter images are shuffled by their id and worked on one at a time as arrays, so a task needs the memory of one image.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -61,9 +62,30 @@ def _disk_best(a: np.ndarray, radius: int, low: bool) -> np.ndarray:
     return out
 
 
-def opening(pixels: DataFrame, radius: int = 30, key: str = KEY) -> DataFrame:
-    """The least over a disk, then the largest: the image without its white top hat. Beyond the edges there is nothing."""
-    return _by_image(pixels, ["value"], lambda a: _disk_best(_disk_best(a, radius, True), radius, False), "value", "double", key)
+def _opened(table: pa.Table, radius: int, side: int) -> pa.Table:
+    """The opening of one tile, from its pixels and those within twice the radius about it."""
+    ty, tx, height, width = (table[c][0].as_py() for c in ("ty", "tx", "height", "width"))
+    top, left = max(0, ty * side - 2 * radius), max(0, tx * side - 2 * radius)
+    a = np.zeros((min(height, (ty + 1) * side + 2 * radius) - top, min(width, (tx + 1) * side + 2 * radius) - left))
+    y, x = table["y"].to_numpy(), table["x"].to_numpy()
+    a[y - top, x - left] = table["value"].to_numpy()
+    out = _disk_best(_disk_best(a, radius, True), radius, False)
+    own = np.flatnonzero((y // side == ty) & (x // side == tx))
+    return pa.table([table["key"].take(pa.array(own)), table["y"].take(pa.array(own)), table["x"].take(pa.array(own)), pa.array(out[y[own] - top, x[own] - left])], names=["key", "y", "x", "value"])
+
+
+def opening(pixels: DataFrame, radius: int = 30, key: str = KEY, side: int | None = None) -> DataFrame:
+    """The least over a disk, then the largest: the image without its white top hat. Beyond the edges there is nothing; pixels that the table lacks are 0.
+
+    By tiles of an image, each with a border of twice the radius, beyond which no pixel bears on the tile; so a large image is
+    many tasks.
+    """
+    side, types = side or max(256, 4 * radius), dict(pixels.dtypes)
+    p = pixels.join(images.image_sizes(pixels, key), key).select(F.col(key).alias("key"), "y", "x", F.col("value").cast("double").alias("value"), "height", "width")
+    tiles = lambda c, size: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - 2 * radius, F.lit(0)) / side), F.floor(F.least(F.col(c) + 2 * radius, F.col(size) - 1) / side)))
+    met = p.withColumn("ty", tiles("y", "height")).withColumn("tx", tiles("x", "width"))
+    found = met.groupBy("key", "ty", "tx").applyInArrow(lambda t: _opened(t, radius, side), f"key {types[key]}, y {types['y']}, x {types['x']}, value double")
+    return found.withColumnRenamed("key", key)
 
 
 def top_hat(pixels: DataFrame, radius: int = 30, key: str = KEY) -> DataFrame:

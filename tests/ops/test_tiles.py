@@ -65,3 +65,23 @@ def test_envelope():
     wide[0, 5] = 0
     began = time.time()
     assert images.envelope(wide)[0, -1] == min((9999 - 5) ** 2, 10_000**2) and time.time() - began < 2
+
+
+def test_opening_over_many_tiles(spark):
+    from locspark.operators import floods
+
+    rng = np.random.default_rng(8)
+    shapes = [(70, 55), (20, 90), (5, 5)]
+    pictures = [rng.integers(0, 50, s).astype(float) for s in shapes]
+    df = spark.createDataFrame([(i, int(y), int(x), float(a[y, x])) for i, a in enumerate(pictures) for y, x in np.argwhere(a >= 0)], "image_id int, y int, x int, value double").repartition(4)
+    for radius, side in ((3, 13), (9, 16), (3, None)):
+        got = {(r.image_id, r.y, r.x): r.value for r in floods.opening(df, radius, side=side).collect()}
+        for i, a in enumerate(pictures):
+            best = a
+            for low in (True, False):
+                wide = np.full(np.array(a.shape) + 2 * radius, np.inf if low else -np.inf)
+                wide[radius:-radius, radius:-radius] = best
+                cuts = [wide[radius + dy : radius + dy + a.shape[0], radius + dx : radius + dx + a.shape[1]] for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+                best = (np.min if low else np.max)(cuts, 0)
+            assert all(got[i, y, x] == best[y, x] for y, x in np.argwhere(a >= 0).tolist())
+        assert len(got) == sum(a.size for a in pictures)
