@@ -84,7 +84,7 @@ class Grams:
             if n > 1:
                 keys = common.mix(keys[:-1] * common.U64(0xA24BAED4963EE407) + self.tokens[n - 1 :] + common.U64(n)) & KEY_BITS
                 inside = np.flatnonzero(self.docs[n - 1 :] == self.docs[: len(self.docs) - n + 1]) + n - 1
-            self.keys[n], first, which = np.unique(keys[inside - n + 1], return_index=True, return_inverse=True)
+            self.keys[n], first, which = common.distinct(keys[inside - n + 1])
             self.at[n] = np.full(len(self.tokens), -1, np.int32)
             self.at[n][inside] = which
             self.last[n] = inside[first]
