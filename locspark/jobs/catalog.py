@@ -484,12 +484,28 @@ def top_hat(pixels):
     return floods.top_hat(pixels, 5)
 
 
-@query(None, "marker_pixels")
+# the image less h, grown under the image till nothing rises any more
+_PEAKS = """nb AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE dy <> 0 OR dx <> 0), hq AS (SELECT image_id, quantile_cont(value, 0.9) * 0.1 * (1 - 1e-9) AS h FROM marker_pixels GROUP BY image_id),
+g AS (SELECT image_id, y, x, value, value - h AS low FROM marker_pixels JOIN hq USING (image_id) WHERE h > 0),
+rc(image_id, y, x, v) USING KEY (image_id, y, x) AS (SELECT image_id, y, x, low FROM g
+ UNION SELECT g.image_id, g.y, g.x, max(least(g.value, r.v)) FROM rc r, nb JOIN g ON g.image_id = r.image_id AND g.y = r.y + dy AND g.x = r.x + dx JOIN recurring.rc o ON o.image_id = g.image_id AND o.y = g.y AND o.x = g.x WHERE least(g.value, r.v) > o.v GROUP BY g.image_id, g.y, g.x),
+m AS (SELECT image_id, y, x, y * 1048576 + x AS i FROM g JOIN rc USING (image_id, y, x) WHERE v = low)"""
+
+
+@query(f"{_PEAKS} SELECT {_PIX} FROM m", "marker_pixels")
 def h_maxima(pixels):
     return floods.h_maxima(pixels, images.percentile_threshold(pixels, 90).select("image_id", (F.col("threshold") * 0.1).alias("h")))
 
 
-@query(None, "marker_pixels")
+# one pixel of each image at a time: the one behind the first of all edges that lead out of what is labelled
+_FLOOD = """mk AS (SELECT image_id, y, x, y * 1048576 + x AS i, value FROM marker_pixels JOIN th USING (image_id) WHERE value > threshold),
+un AS (SELECT s.image_id, s.i AS p, o.i AS q, least(s.value, o.value) AS low, greatest(s.value, o.value) AS high FROM mk s JOIN mk o ON o.image_id = s.image_id AND (o.y = s.y AND o.x = s.x + 1 OR o.y = s.y + 1 AND o.x = s.x)),
+rk AS (SELECT image_id, p, q, row_number() OVER (PARTITION BY image_id ORDER BY low DESC, high DESC, p, q) AS k FROM un), ed AS (SELECT image_id, p AS a, q AS b, k FROM rk UNION ALL SELECT image_id, q, p, k FROM rk),
+fl(image_id, i, label) USING KEY (image_id, i) AS (SELECT mk.image_id, mk.i, l.label FROM mk JOIN l USING (image_id, y, x)
+ UNION SELECT e.image_id, arg_min(e.b, e.k), arg_min(t.label, e.k) FROM recurring.fl t JOIN ed e ON e.image_id = t.image_id AND e.a = t.i LEFT JOIN recurring.fl z ON z.image_id = e.image_id AND z.i = e.b WHERE z.i IS NULL GROUP BY e.image_id)"""
+
+
+@query(f"{_OTSU}, {_PEAKS}, {_PARTS}, {_FLOOD}, t AS (SELECT mk.image_id, mk.y, mk.x, fl.label FROM fl JOIN mk USING (image_id, i)) SELECT {_PIX}, CAST(label AS BIGINT) AS label FROM t", "marker_pixels")
 def watershed(pixels):
     seeds = images.label_components(h_maxima(pixels))
     return floods.watershed(pixels.withColumn("value", -F.col("value")), seeds, _mask(pixels))

@@ -1,13 +1,7 @@
-"""Grey opening by tiles with borders; operators that need a whole image or cluster in order: h-maxima, watershed, Ward sub-clusters.
-
-For the latter images are shuffled by their id and worked on one at a time as arrays, so a task needs the memory of one image.
-"""
+"""Grey opening by tiles with borders; h-maxima and watershed on a spanning forest of pixels; segmentations by them; Ward sub-clusters."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,24 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from locspark.operators import images
+from locspark.operators.forest import merged, pixel_edges, pixel_id
 from locspark.operators.graph import written
-from locspark.operators.images import KEY
-
+from locspark.operators.images import _STEPS, KEY, TILE
 
-def _by_image(pixels: DataFrame, columns: list[str], of: Callable[..., np.ndarray], out: str, kind: str, key: str) -> DataFrame:
-    """A new column of each pixel, from arrays of the given ones; pixels that the table lacks are 0."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        arrays = []
-        for c in columns:
-            a = np.zeros((y.max() + 1, x.max() + 1))
-            a[y, x] = pdf[c].to_numpy()
-            arrays.append(a)
-        return pd.DataFrame({key: pdf[key], "y": y, "x": x, out: of(*arrays)[y, x].astype("int64" if kind == "long" else "float64")})
-
-    types = dict(pixels.dtypes)
-    return pixels.select(key, "y", "x", *columns).groupBy(key).applyInPandas(run, f"{key} {types[key]}, y {types['y']}, x {types['x']}, {out} {kind}")
+def _placed(pixels: DataFrame, key: str) -> DataFrame:
+    return pixels.filter(F.col(key).isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _slide(a: np.ndarray, half: int, axis: int, low: bool) -> np.ndarray:
@@ -93,43 +76,33 @@ def top_hat(pixels: DataFrame, radius: int = 30, key: str = KEY) -> DataFrame:
     return pixels.join(low, [key, "y", "x"]).select(key, "y", "x", (F.col("value") - F.col("low")).alias("value"))
 
 
-def _rebuilt(seed: np.ndarray, under: np.ndarray) -> np.ndarray:
-    """The seed grown over its eight neighbours as long as it stays under the image."""
-    while True:
-        new = np.minimum(_slide(_slide(seed, 1, 0, False), 1, 1, False), under)
-        if (new == seed).all():
-            return seed
-        seed = new
-
-
-def h_maxima(pixels: DataFrame, h: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, y, x) of maxima that rise by h or more over every way to a higher pixel. h: (key, h); images with h <= 0 or none have no rows."""
-    p = pixels.join(h, key).filter("h > 0")
-    hit = lambda a, h: a - _rebuilt(a - h.max(), a) >= h.max() * (1 - 1e-9)
-    return _by_image(p, ["value", "h"], hit, "hit", "long", key).filter("hit = 1").select(key, "y", "x")
-
-
-def flooded(surface: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Labels of the mask's pixels, lowest first: each takes the label of the edge neighbour from which it was first reached."""
-    out = np.where(mask > 0, markers, 0).astype(np.int64)
-    heap = [(surface[y, x], i, y, x) for i, (y, x) in enumerate(np.argwhere(out > 0).tolist())]
-    heapq.heapify(heap)
-    age = len(heap)
-    while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for ny, nx in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            if 0 <= ny < out.shape[0] and 0 <= nx < out.shape[1] and mask[ny, nx] > 0 and not out[ny, nx]:
-                out[ny, nx] = out[y, x]
-                heapq.heappush(heap, (surface[ny, nx], age, ny, nx))
-                age += 1
-    return out
+def h_maxima(pixels: DataFrame, h: DataFrame, key: str = KEY, side: int = TILE) -> DataFrame:
+    """(key, y, x) of maxima that rise by h or more over every way to a higher pixel. Runs jobs when called.
+
+    h: (key, h); images with h <= 0 or none have no rows. Pixels without a place or value, or that the table lacks, are no way.
+    Parts of the spanning forest grow over passes that lie less than h below their top; what is as high as a part's top counts.
+    """
+    p = _placed(pixels.join(h, key).filter("h > 0"), key)
+    p = written(p.select(key, "y", "x", F.col("value").cast("double").alias("value"), pixel_id().alias("node"), (F.col("value") - F.col("h") * (1 - 1e-9)).cast("double").alias("bound")))
+    parts = merged(p.select(key, F.col("node").alias("id"), "bound"), pixel_edges(p, _STEPS[8], key), key, side).select(key, F.col("id").alias("node"), F.col("bound").alias("top"))
+    return p.join(parts, [key, "node"]).filter("bound = top").select(key, "y", "x")
 
 
-def watershed(surface: DataFrame, markers: DataFrame, mask: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, y, x, label): a flood of the mask over the surface from markers (key, y, x, label). Parts without a marker get no label."""
+def watershed(surface: DataFrame, markers: DataFrame, mask: DataFrame, key: str = KEY, side: int = TILE) -> DataFrame:
+    """(key, y, x, label): a flood of the mask over the surface from markers (key, y, x, label). Runs jobs when called.
+
+    The flood's parts are the trees of the minimum spanning forest that is rooted in the markers, over edge neighbours: a pixel
+    has the marker to which its highest point on the way is lowest. Of equal ways the lower neighbour counts, then the pair
+    of pixels that is first in raster order. Parts without a marker get no label; labels are over 0, of two markers in one
+    place the smallest counts; pixels without a place or value are no part of the mask.
+    """
     at = [key, "y", "x"]
-    p = mask.select(at).join(surface.select(*at, "value"), at).join(markers.select(*at, F.col("label").alias("marker")), at, "left").withColumn("marker", F.coalesce("marker", F.lit(0))).withColumn("on", F.lit(1))
-    return _by_image(p, ["value", "marker", "on"], flooded, "label", "long", key).filter("label > 0")
+    seeds = markers.filter("label > 0").groupBy(at).agg(F.min("label").cast("long").alias("marker"))
+    p = _placed(mask.select(at).distinct().join(surface.select(*at, (-F.col("value").cast("double")).alias("value")), at), key).join(seeds, at, "left")
+    p = written(p.select(*at, "value", F.coalesce(-F.col("marker"), pixel_id()).alias("node"), F.when(F.col("marker").isNotNull(), float("inf")).otherwise(float("-inf")).alias("bound")))
+    nodes = p.select(key, F.col("node").alias("id"), "bound").distinct()
+    parts = merged(nodes, pixel_edges(p, _STEPS[4], key), key, side).filter("root < 0").select(key, F.col("id").alias("node"), (-F.col("root")).alias("label"))
+    return p.join(parts, [key, "node"]).select(*at, "label")
 
 
 def segment_by_distance(pixels: DataFrame, small: int = 10, key: str = KEY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locspark.operators import floods, localize, render
 
@@ -56,20 +57,67 @@ def highest_pass(a, y, x):
     return -np.inf
 
 
-def test_h_maxima(spark):
+@pytest.mark.parametrize("side", [3, 256])
+def test_h_maxima(spark, side):
     a = np.random.default_rng(3).integers(0, 9, (9, 8)).astype(float)
     rows = [(0, y, x, float(a[y, x])) for y in range(9) for x in range(8)]
     pixels = spark.createDataFrame(rows, "image_id int, y int, x int, value double")
-    got = {(r.y, r.x) for r in floods.h_maxima(pixels, spark.createDataFrame([(0, 3.0)], "image_id int, h double")).collect()}
+    got = {(r.y, r.x) for r in floods.h_maxima(pixels, spark.createDataFrame([(0, 3.0)], "image_id int, h double"), side=side).collect()}
     assert got == {(y, x) for y in range(9) for x in range(8) if a[y, x] - highest_pass(a, y, x) >= 3}
     assert not floods.h_maxima(pixels, spark.createDataFrame([(0, 0.0)], "image_id int, h double")).count()
 
 
-def test_flood_meets_at_the_ridge():
+def image(spark, a, name="value"):
+    return spark.createDataFrame([(0, y, x, float(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])], f"image_id int, y int, x int, {name} double")
+
+
+def flood(spark, surface, markers, mask, side=256):
+    seeds = spark.createDataFrame([(0, int(y), int(x), int(markers[y, x])) for y, x in np.argwhere(markers)], "image_id int, y int, x int, label int")
+    on = image(spark, mask).filter("value > 0").select("image_id", "y", "x")
+    out = np.zeros(surface.shape, int)
+    for r in floods.watershed(image(spark, surface), seeds, on, side=side).collect():
+        out[r.y, r.x] = r.label
+    return out.tolist()
+
+
+def plain_flood(surface, markers, mask):
+    """Edge after edge in the stated order: two parts of which at most one has a marker become one."""
+    part = {(int(y), int(x)): {(int(y), int(x))} for y, x in np.argwhere(mask > 0)}
+    label = {p: int(markers[p]) for p in part}
+    edges = sorted((max(surface[p], surface[q]), min(surface[p], surface[q]), p, q) for p in part for q in ((p[0], p[1] + 1), (p[0] + 1, p[1])) if q in part)
+    for _, _, p, q in edges:
+        if part[p] is not part[q] and not (label[p] and label[q]):
+            new, name = part[p] | part[q], label[p] or label[q]
+            for r in new:
+                part[r], label[r] = new, name
+    return [[label.get((y, x), 0) for x in range(surface.shape[1])] for y in range(surface.shape[0])]
+
+
+def test_flood_meets_at_the_ridge(spark):
     surface = np.array([[0, 1, 2, 5, 2, 1, 0]], float)
     markers = np.array([[1, 0, 0, 0, 0, 0, 2]])
-    assert floods.flooded(surface, markers, np.ones((1, 7))).tolist() == [[1, 1, 1, 1, 2, 2, 2]]
-    assert floods.flooded(surface, markers, np.array([[1, 1, 0, 1, 1, 1, 1]])).tolist() == [[1, 1, 0, 2, 2, 2, 2]]
+    assert flood(spark, surface, markers, np.ones((1, 7))) == [[1, 1, 1, 1, 2, 2, 2]]
+    assert flood(spark, surface, markers, np.array([[1, 1, 0, 1, 1, 1, 1]])) == [[1, 1, 0, 2, 2, 2, 2]]
+
+
+@pytest.mark.parametrize("seed, values, side", [(1, 4, 5), (2, 1000, 5), (3, 1, 256), (4, 9, 256)])
+def test_flood_is_the_forest_of_markers(spark, seed, values, side):
+    rng = np.random.default_rng(seed)
+    surface, mask = rng.integers(0, values, (14, 11)).astype(float), (rng.random((14, 11)) < 0.8).astype(int)
+    markers = np.where(rng.random((14, 11)) < 0.06, rng.integers(1, 6, (14, 11)), 0)
+    assert flood(spark, surface, markers, mask, side) == plain_flood(surface, markers, mask)
+
+
+def test_floods_of_odd_tables(spark):
+    p = image(spark, np.arange(12.0).reshape(3, 4))
+    h = spark.createDataFrame([(0, 2.0)], "image_id int, h double")
+    odd = p.unionByName(spark.createDataFrame([(0, None, 1, 5.0), (0, 1, 9, None), (0, 2, 9, float("nan")), (None, 0, 0, 99.0)], p.schema))
+    assert [(r.y, r.x) for r in floods.h_maxima(odd.withColumn("top", F.lit(1)), h).collect()] == [(2, 3)]
+    flat = image(spark, np.full((3, 4), 7.0))
+    assert floods.h_maxima(flat, h).count() == 12 and floods.h_maxima(p.limit(0), h).count() == 0
+    seeds = spark.createDataFrame([(0, 0, 0, 3), (0, 0, 0, 2), (0, 2, 3, 0)], "image_id int, y int, x int, label int")
+    assert {r.label for r in floods.watershed(odd, seeds, odd.union(odd)).collect()} == {2} and floods.watershed(odd, seeds, p).count() == 12
+    assert floods.watershed(p, seeds.limit(0), p).count() == floods.watershed(p.limit(0), seeds, p).count() == 0
 
 
 def test_fit_finds_planted_spots(spark):
