@@ -113,3 +113,32 @@ def test_fitted_emitters_go_through_the_cascade(spark):
     # fewer than ten rows have no spatial outliers, one frame has no runs: what stays is what the row rules let through
     good = {r.loc_id for r in rows if 50 <= r.photons <= 50_000 and r.localization_precision <= 20 and 0.5 <= r.sigma_x <= 3 and r.cluster_n_molecules >= 2 and r.cluster_chi_squared <= 10}
     assert kept == good and len(rows) >= 2
+
+
+def test_cluster_means_in_any_order(spark):
+    """Means that lie halfway between two figures: sums of doubles miss them by the order of rows."""
+    from fractions import Fraction
+
+    rows = [(c, i, (7 * i * i + 3 * c * i) % 11 / 10, (c * 37 + 131) % 190 + (i * (5 + c) % 17 - 8) / 10) for c in range(40) for i in range(64)]
+    exact = lambda c, at: float(sum(Fraction(str(r[at])) for r in rows if r[0] == c) / 64)
+    want = {c: (exact(c, 2), exact(c, 3)) for c in range(40)}
+    ways = [rows, rows[::-1], sorted(rows, key=lambda r: r[2]), sorted(rows, key=lambda r: -r[3])]
+    assert any(sum(r[2] for r in way if r[0] == c) / 64 != want[c][0] for way in ways for c in range(40))
+    seen = []
+    for i, way in enumerate(ways):
+        df = spark.createDataFrame([(0, c, n, n, q, x, 1.5) for c, n, q, x in way], "movie_id int, cluster_id int, loc_id long, frame int, quality_score double, x double, y double")
+        df = df.withColumn("photons", F.col("x") * 7).withColumn("localization_precision", F.col("x") / 3).coalesce(1 + 2 * (i % 2))
+        got = {r.cluster_id: r for r in stats.cluster_properties(df).drop("std_photons").collect()}
+        assert {c: (r.mean_quality, r.mean_x) for c, r in got.items()} == want
+        seen.append(got)
+    assert all(s == seen[0] for s in seen)
+
+
+def test_cluster_means_beyond_decimals(spark):
+    """Numbers out of the range of decimals are added up as doubles; rows without a number don't count for a mean."""
+    nan, inf = float("nan"), float("inf")
+    cases = {0: [1e300, 3e300], 1: [1e-200, 3e-200], 2: [nan, 1.0], 3: [inf, 1.0], 4: [None, 2.0], 5: [None, None], 6: [0.0, -0.0], 7: [1e11] * 100_001, 8: [-4e15, 4e15], 9: [-2.5, 1e-30]}
+    df = spark.createDataFrame([(0, c, i, i, v, 1.0, v, 0.5, 1.0) for c, vs in cases.items() for i, v in enumerate(vs)], "movie_id int, cluster_id int, loc_id long, frame int, x double, y double, photons double, quality_score double, localization_precision double")
+    got = {r.cluster_id: (r.mean_x, r.total_photons) for r in stats.cluster_properties(df).collect()}
+    assert str(got.pop(2)) == "(nan, nan)"
+    assert got == {0: (2e300, 4e300), 1: (2e-200, 4e-200), 3: (inf, inf), 4: (2.0, 2.0), 5: (None, 0.0), 6: (0.0, 0.0), 7: (1e11, 1.00001e16), 8: (0.0, 0.0), 9: (-1.25, -2.5)}
