@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from locspark.functions import scalars
 from locspark.operators import assign, filters, images, spatial, stats, temporal
 from locspark.sources import tables
 
@@ -46,6 +47,12 @@ def test_nulls_take_defaults(spark):
     assert tables.with_schema(row, fill=True).first().photons == 0.0
 
 
+def test_precision_without_photons(spark):
+    df = locs(spark, [(0, i, 0, 1.0, 1.0, n) for i, n in enumerate([0.0, 1000.0, None])])
+    for rule, want in (("sum", [2.0, 1.0, 2.0]), ("background", [2.0, 1.2 / 10**0.5, 2.0])):
+        assert [r[0] for r in df.orderBy("loc_id").select(scalars.precision_from_photons(F.col("photons"), rule)).collect()] == want
+
+
 def test_constant_histogram_and_image(spark):
     df = locs(spark, [(0, i, 0, 1.0, 1.0, 7.0) for i in range(3)])
     bins = stats.histogram(df, "photons", 4).orderBy("bin").collect()
