@@ -21,20 +21,70 @@ def image_sizes(pixels: DataFrame, key: str = KEY) -> DataFrame:
     return pixels.groupBy(key).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
 
-def _along(pixels: DataFrame, axis: str, sizes: DataFrame, sigma: float, key: str) -> DataFrame:
-    """One pass of a Gaussian along one axis, cut at 4 sigma, edge pixels repeated: a weight table joined on the axis."""
+def _in_tiles(pixels: DataFrame, sizes: DataFrame, border: int, side: int, key: str) -> DataFrame:
+    """Pixels within their image as (key, ty, tx, y, x, .., height, width), once for each tile that they are within `border` of."""
+    p = pixels.join(sizes, key).filter("y >= 0 and x >= 0 and y < height and x < width")
+    tiles = lambda c, size: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - border, F.lit(0)) / side), F.floor(F.least(F.col(c) + border, F.col(size) - 1) / side)))
+    return p.withColumnRenamed(key, "key").withColumn("ty", tiles("y", "height")).withColumn("tx", tiles("x", "width"))
+
+
+def _frame(table: pa.Table, border: int, side: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
+    """Of a tile's table, by axis: the tile's first pixel and end, that of the tile with its border, the image's size; and its pixels' places therein."""
+    axes = []
+    for t, size in (("ty", "height"), ("tx", "width")):
+        at, n = table[t][0].as_py() * side, table[size][0].as_py()
+        axes.append((at, min(n, at + side), max(0, at - border), min(n, at + side + border), n))
+    return axes, table["y"].to_numpy() - axes[0][2], table["x"].to_numpy() - axes[1][2]
+
+
+def _given(table: pa.Table, axes: list, on: np.ndarray) -> list[pa.Array]:
+    """Key and places of the pixels of a tile that are on."""
+    y, x = np.nonzero(on)
+    return [pa.array([table["key"][0].as_py()] * len(y), table.schema.field("key").type), pa.array(y + axes[0][0], table.schema.field("y").type), pa.array(x + axes[1][0], table.schema.field("x").type)]
+
+
+def _blur(a: np.ndarray, on: np.ndarray, known: np.ndarray, sigma: float, axes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     radius = int(4 * sigma + 0.5)
-    other, size = ("x", "height") if axis == "y" else ("y", "width")
-    d = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")
-    raw = F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma)) / F.lit(sum(math.exp(-i * i / (2 * sigma * sigma)) for i in range(-radius, radius + 1)))
-    w = sizes.select(key, F.col(size).alias("n"), F.explode(F.sequence(F.lit(0), F.col(size) - 1)).alias("out")).select(key, "n", "out", d).withColumn("w", raw)
-    w = w.groupBy(key, "out", F.least(F.greatest(F.col("out") + F.col("d"), F.lit(0)), F.col("n") - 1).alias(axis)).agg(F.sum("w").alias("w"))
-    return pixels.join(w, [key, axis]).groupBy(key, other, F.col("out").alias(axis)).agg(F.sum(F.col("value") * F.col("w")).alias("value")).select(key, "y", "x", "value")
+    taps = np.exp(-np.arange(-radius, radius + 1) ** 2 / (2 * sigma * sigma))
+    taps /= taps.sum()
+    for axis in (1, 0):
+        first, end, low, _, n = axes[axis]
+        at = np.clip(np.arange(first - radius, end + radius), 0, n - 1) - low
+        cut = [tuple(slice(k, k + end - first) if i == axis else slice(None) for i in (0, 1)) for k in range(len(taps))]
+        a, on, known = (m.take(at, axis) for m in (a, on, known))
+        a, on, known = sum(a[c] * w for c, w in zip(cut, taps)), np.logical_or.reduce([on[c] for c in cut]), np.logical_or.reduce([known[c] for c in cut])
+    return a, on, known
+
+
+def _smooth_tile(table: pa.Table, sigmas: list[float], border: int, side: int) -> pa.Table:
+    axes, y, x = _frame(table, border, side)
+    shape = tuple(high - low for _, _, low, high, _ in axes)
+    value, null = table["value"].to_numpy(), table["value"].is_null().to_numpy()
+    a, on, known = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+    np.add.at(a, (y, x), np.where(null, 0.0, value))
+    on[y, x] = True
+    known[y[~null], x[~null]] = True
+    out = [_blur(a, on, known, s, axes) for s in sigmas]
+    both = np.logical_and.reduce([o for _, o, _ in out])
+    return pa.table([*_given(table, axes, both), *(pa.array(v[both], mask=~k[both]) for v, _, k in out)], names=["key", "y", "x", *(f"s{i}" for i in range(len(sigmas)))])
+
+
+def _smoothed(pixels: DataFrame, sigmas: list[float], key: str) -> DataFrame:
+    """(key, y, x, s0, s1, ..): Gaussians cut at 4 sigma, edge pixels repeated, by tiles with borders of the widest one. Runs jobs when called.
+
+    Pixels that the table lacks give nothing; rows are where all of them have a pixel in reach.
+    """
+    p = written(pixels.select(key, "y", "x", F.col("value").cast("double").alias("value")).dropna(subset=[key, "y", "x"]))
+    border, types = int(4 * max(sigmas) + 0.5), dict(p.dtypes)
+    side = max(256, 4 * border)
+    met = _in_tiles(p, written(image_sizes(p, key)), border, side, key)
+    columns = ", ".join(f"s{i} double" for i in range(len(sigmas)))
+    return met.groupBy("key", "ty", "tx").applyInArrow(lambda t: _smooth_tile(t, sigmas, border, side), f"key {types[key]}, y {types['y']}, x {types['x']}, {columns}").withColumnRenamed("key", key)
 
 
 def gaussian_smooth(pixels: DataFrame, sigma: float, key: str = KEY) -> DataFrame:
-    sizes = image_sizes(pixels, key)
-    return _along(_along(pixels.select(key, "y", "x", "value"), "x", sizes, sigma, key), "y", sizes, sigma, key)
+    """A Gaussian, cut at 4 sigma, edge pixels repeated. Runs jobs when called."""
+    return _smoothed(pixels, [sigma], key).withColumnRenamed("s0", "value")
 
 
 def resize_image(pixels: DataFrame, height: int, width: int, key: str = KEY) -> DataFrame:
@@ -63,10 +113,9 @@ def resize_image(pixels: DataFrame, height: int, width: int, key: str = KEY) ->
 
 
 def dog_enhance(pixels: DataFrame, key: str = KEY) -> DataFrame:
-    """Difference of Gaussians, the finest half added, negative values cut to 0."""
-    g = lambda s, n: gaussian_smooth(pixels, s, key).withColumnRenamed("value", n)
-    j = g(0.5, "f").join(g(1.5, "m"), [key, "y", "x"]).join(g(3.0, "c"), [key, "y", "x"])
-    return j.select(key, "y", "x", F.greatest(F.lit(0.0), F.col("m") - F.col("c") + 0.5 * (F.col("f") - F.col("m"))).alias("value"))
+    """Difference of Gaussians, the finest half added, negative values cut to 0. Runs jobs when called."""
+    f, m, c = (F.col(f"s{i}") for i in range(3))
+    return _smoothed(pixels, [0.5, 1.5, 3.0], key).select(key, "y", "x", F.greatest(F.lit(0.0), m - c + 0.5 * (f - m)).alias("value"))
 
 
 def normalize_image(pixels: DataFrame, bits16: bool = False, key: str = KEY) -> DataFrame:

@@ -85,3 +85,33 @@ def test_opening_over_many_tiles(spark):
                 best = (np.min if low else np.max)(cuts, 0)
             assert all(got[i, y, x] == best[y, x] for y, x in np.argwhere(a >= 0).tolist())
         assert len(got) == sum(a.size for a in pictures)
+
+
+def test_blurs_over_many_tiles(spark, monkeypatch):
+    """Images of several tiles, with a null, lacking pixels and a row twice; edge pixels repeated."""
+    rng = np.random.default_rng(3)
+    pictures = [rng.integers(0, 50, s).astype(float) for s in ((300, 270), (5, 3), (1, 1))]
+    rows = [(i, int(y), int(x), float(a[y, x])) for i, a in enumerate(pictures) for y, x in np.argwhere(a >= 0)]
+    df = spark.createDataFrame(rows, "image_id int, y int, x int, value double").repartition(4)
+
+    def blur(a, sigma):
+        r = int(4 * sigma + 0.5)
+        k = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma * sigma))
+        for axis in (0, 1):
+            a = np.apply_along_axis(lambda row: np.convolve(np.pad(row, r, "edge"), k / k.sum(), "valid"), axis, a)
+        return a
+
+    got = {(r.image_id, r.y, r.x): r.value for r in images.dog_enhance(df).collect()}
+    assert len(got) == len(rows)
+    for i, a in enumerate(pictures):
+        f, m, c = (blur(a, s) for s in (0.5, 1.5, 3.0))
+        want = np.maximum(0, m - c + 0.5 * (f - m))
+        assert all(abs(got[i, y, x] - want[y, x]) < 1e-9 for y, x in np.argwhere(a >= 0).tolist())
+    few = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 0, 2.0), (0, 0, 20, None), (0, 0, 40, 5.0)], "image_id int, y int, x int, value double")
+    out = {r.x: r.value for r in images.gaussian_smooth(few, 0.5).collect()}
+    assert set(out) == {0, 1, 2, 18, 19, 20, 21, 22, 38, 39, 40} and {x for x, v in out.items() if v is None} == set(range(18, 23)) and abs(sum(v for x, v in out.items() if x < 9) - 3 * (1 + 0)) < 1
+
+
+def test_three_blurs_take_one_pass(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1.0)], "image_id int, y int, x int, value double")
+    assert images.dog_enhance(df)._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
