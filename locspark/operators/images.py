@@ -221,6 +221,9 @@ def _tile_parts(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]],
 def label_components(mask: DataFrame, neighbors: int = 8, key: str = KEY, side: int = TILE) -> DataFrame:
     """(key, y, x, label): connected components, numbered in raster order of their first pixels. Runs jobs when called.
 
+    Written pixels are a few bytes each on disk, by which Spark would take millions of them for a small table and send them
+    through the driver; joins of pixels and of parts are therefore hinted as merges.
+
     Two levels: parts within tiles by one pass of a task over its tiles, then only the links of parts over the borders of
     tiles go through `connected`, whose rounds and tables follow the number of such parts, not of pixels.
     """
@@ -233,14 +236,14 @@ def label_components(mask: DataFrame, neighbors: int = 8, key: str = KEY, side:
     rim = found.filter((F.pmod("y", F.lit(side)).isin(0, side - 1)) | F.pmod("x", F.lit(side)).isin(0, side - 1))
     moved = rim.select("key", "node", tile("y").alias("ty"), tile("x").alias("tx"), F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("n"))
     moved = moved.select("key", "node", "ty", "tx", "n.y", "n.x").filter((tile("y") != F.col("ty")) | (tile("x") != F.col("tx")))
-    links = written(moved.join(rim.select("key", "y", "x", F.col("node").alias("other")), ["key", "y", "x"]).select("key", F.col("node").alias("loc_id"), F.col("other").alias("other_id")).distinct())
+    links = written(moved.join(rim.select("key", "y", "x", F.col("node").alias("other")).hint("merge"), ["key", "y", "x"]).select("key", F.col("node").alias("loc_id"), F.col("other").alias("other_id")).distinct())
     if links.isEmpty():
         rooted = found.withColumn("root", F.col("node"))
     else:
         names = connected(links, "key").select("key", F.col("loc_id").alias("node"), "root")
-        rooted = found.join(names, ["key", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = found.join(names.hint("merge"), ["key", "node"], "left").withColumn("root", F.coalesce("root", "node"))
     number = rooted.select("key", "root").distinct().withColumn("label", F.row_number().over(W.partitionBy("key").orderBy("root")))
-    return rooted.join(number, ["key", "root"]).select(F.col("key").alias(key), "y", "x", "label")
+    return rooted.join(number.hint("merge"), ["key", "root"]).select(F.col("key").alias(key), "y", "x", "label")
 
 
 def relabel(labels: DataFrame, key: str = KEY) -> DataFrame:
@@ -268,8 +271,8 @@ def grid(sizes: DataFrame, key: str) -> DataFrame:
 
 def fill_holes(mask: DataFrame, sizes: DataFrame, key: str = KEY) -> DataFrame:
     """The mask with the background components that don't touch the border."""
-    empty = grid(sizes, key).join(mask, [key, "y", "x"], "left_anti")
-    labels = written(label_components(written(empty), 4, key)).join(sizes, key)
+    empty = grid(sizes, key).join(mask.hint("merge"), [key, "y", "x"], "left_anti")
+    labels = written(label_components(written(empty), 4, key)).hint("merge").join(sizes, key)
     open_ = labels.filter("y = 0 or x = 0 or y = height - 1 or x = width - 1").select(key, "label").distinct()
     return mask.select(key, "y", "x").union(labels.join(open_, [key, "label"], "left_anti").select(key, "y", "x"))
 

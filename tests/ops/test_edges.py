@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from locspark.functions import scalars
 from locspark.operators import assign, filters, images, spatial, stats, temporal
-from locspark.sources import tables
+from locspark.sources import fixtures, tables
 
 LOCS = "movie_id int, loc_id long, frame int, x double, y double, photons double"
 
@@ -149,3 +149,13 @@ def test_cluster_means_beyond_decimals(spark):
     got = {r.cluster_id: (r.mean_x, r.total_photons) for r in stats.cluster_properties(df).collect()}
     assert str(got.pop(2)) == "(nan, nan)"
     assert got == {0: (2e300, 4e300), 1: (2e-200, 4e-200), 3: (inf, inf), 4: (2.0, 2.0), 5: (None, 0.0), 6: (0.0, 0.0), 7: (1e11, 1.00001e16), 8: (0.0, 0.0), 9: (-1.25, -2.5)}
+
+
+def test_views_of_a_large_table_are_not_crossed_by_partitions(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")  # less than what Spark takes the events of the smallest tables for
+    try:
+        for name in ("marker_pixels", "dapi_pixels", "frame_pixels", "labels_image"):
+            plan = fixtures.view(spark, "/root/testdata/sf0.001", name)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

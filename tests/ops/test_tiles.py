@@ -115,3 +115,12 @@ def test_blurs_over_many_tiles(spark, monkeypatch):
 def test_three_blurs_take_one_pass(spark):
     df = spark.createDataFrame([(0, 0, 0, 1.0)], "image_id int, y int, x int, value double")
     assert images.dog_enhance(df)._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
+def test_pixels_and_parts_are_not_broadcast(spark):
+    mask = spark.createDataFrame([(0, y, x) for y in range(5) for x in range(5) if (y, x) != (2, 2)], "image_id int, y int, x int")
+    sizes = spark.createDataFrame([(0, 5, 5)], "image_id int, height int, width int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    filled = images.fill_holes(mask, sizes)
+    assert filled.count() == 25 and "SortMergeJoin [image_id" in plan(filled)
+    assert "BroadcastHashJoin" not in plan(images.label_components(mask))
