@@ -124,3 +124,20 @@ def test_pixels_and_parts_are_not_broadcast(spark):
     filled = images.fill_holes(mask, sizes)
     assert filled.count() == 25 and "SortMergeJoin [image_id" in plan(filled)
     assert "BroadcastHashJoin" not in plan(images.label_components(mask))
+
+
+def test_closing_over_many_tiles(spark):
+    rng = np.random.default_rng(4)
+    masks = [rng.random((70, 45)) < 0.15, rng.random((9, 3)) < 0.4, np.ones((2, 2), bool)]
+    sizes = spark.createDataFrame([(i, *m.shape) for i, m in enumerate(masks)], "image_id int, height int, width int")
+    df = spark.createDataFrame([(i, int(y), int(x)) for i, m in enumerate(masks) for y, x in np.argwhere(m)], "image_id int, y int, x int")
+    for radius, side in ((2, 16), (5, 20), (3, None)):
+        disk = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+        got = sorted((r.image_id, r.y, r.x) for r in images.binary_closing(df, radius, sizes, side=side).collect())
+        want = []
+        for i, m in enumerate(masks):
+            h, w = m.shape
+            wide = {(y + dy, x + dx) for y, x in np.argwhere(m).tolist() for dy, dx in disk if 0 <= y + dy < h and 0 <= x + dx < w}
+            want += [(i, y, x) for y, x in wide if all((y + dy, x + dx) in wide for dy, dx in disk if 0 <= y + dy < h and 0 <= x + dx < w)]
+        assert got == sorted(want)
+    assert images.binary_closing(df, 3, sizes)._jdf.queryExecution().executedPlan().toString().count("Join") == 1  # pixels meet their image's size and nothing else
